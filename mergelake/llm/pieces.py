@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 #: A text can be cut where no piece of the model has the two characters side by side, without touching a possible
 #: merge: before a run of spaces, around a line end, and between letters and other characters.  Models are checked for it.
-CHUNK = re.compile(r" *(?:[^\W\d_]+|(?:[\d_]|[^\w \n])+)|\n| +")
+CHUNK = r" *(?:[^\W\d_{0}]+|(?:[\d_{0}]|[^\w \n])+)|\n| +"
 #: Longer chunks are encoded anew each time, and a full memo starts afresh: memory stays bounded.
 MEMO_CHARS, MEMO_CHUNKS, MEMO_PAIRS, BATCH_ROWS = 32, 500_000, 500_000, 256
 
@@ -44,8 +44,9 @@ class PieceCoder:
         plain = [i for i in range(n) if not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i) or p.is_byte(i))]
         self.id = {text[i]: i for i in plain}
         self.rank = {text[i]: p.get_score(i) for i in plain}
+        self.cut = re.compile(CHUNK.format("".join(sorted({c for s in self.rank for c in s if c.isalnum() and not c.isalpha() and not c.isdecimal()})))).findall
         for s in self.rank:
-            if CHUNK.findall(s) != [s]:
+            if self.cut(s) != [s]:
                 raise ValueError(f"the piece {s!r} crosses a cut")
         # A byte above 127 decodes to a lone surrogate first, so that runs of them can be read as UTF-8 together.
         for b, i in self.byte_id.items():
@@ -118,7 +119,7 @@ class PieceCoder:
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text between the begin and end ids."""
         ids, memo = [np.array([self.bos], "<u4").tobytes()], self.chunks
-        for chunk in CHUNK.findall(" " + text.replace(SPACE, " ")) if text else ():
+        for chunk in self.cut(" " + text.replace(SPACE, " ")) if text else ():
             got = memo.get(chunk)
             if got is None:
                 got = self.encode_chunk(chunk)
