@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_source_mixing": mixing.ORACLE}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -42,3 +44,21 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substrings
 
     return substrings.remove_repeats(documents(spark, sf_dir), 35).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicate(documents(spark, sf_dir))
+
+
+def fold(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs, fold(5) != 0)
+    return language.identify(docs, model).withColumn("held_out", fold(5) == 0).select("doc_id", "held_out", "lang_pred", "score", "rejected")
