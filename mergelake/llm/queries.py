@@ -62,3 +62,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.fit(docs, fold(5) != 0)
     return language.identify(docs, model).withColumn("held_out", fold(5) == 0).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import nearcopies
+
+    return nearcopies.near_copies(documents(spark, sf_dir))
