@@ -15,13 +15,14 @@ text and, for learning, the language are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .words import text_bytes
 
@@ -176,8 +177,8 @@ def fit(docs: DataFrame, learn: Column, fit_rows: int = 250, tune_rows: int = 80
     return identifier(kept, fit_rows)
 
 
-def identify(docs: DataFrame, model: Identifier | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: the id, lang_pred, score, bits (cross-entropy a byte) and rejected."""
+def identify(docs: DataFrame, model: Identifier | None, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per row: the id, lang_pred, score, bits (cross-entropy a byte), rejected, and the input's columns in keep, which may have any other names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,13 +190,16 @@ def identify(docs: DataFrame, model: Identifier | None, id_col: str = "doc_id",
                 letters = np.array(part.column(2).to_pylist(), bool)
                 pred = np.where(letters, np.array(model.langs, object)[best], "und")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(np.where(letters, bits, 0.0)), pa.array(rejected | ~letters)],
-                    ["id", "lang_pred", "score", "bits", "rejected"],
+                    [part.column(0), pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(np.where(letters, bits, 0.0)), pa.array(rejected | ~letters), *part.columns[3:]],
+                    ["id", "lang_pred", "score", "bits", "rejected", *part.schema.names[3:]],
                 )
                 at = to
 
-    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    kind = slim.schema["id"].dataType.simpleString()
+    other = [docs[c].alias(f"keep{k}") for k, c in enumerate(keep)]
+    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False)).alias("letters"), *other)
+    result = StructType([slim.schema["id"], *(StructField(n, t) for n, t in (("lang_pred", StringType()), ("score", DoubleType()), ("bits", DoubleType()), ("rejected", BooleanType()))), *slim.schema.fields[3:]])
     if model is None:
-        return slim.select(F.col("id").alias(id_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"), F.lit(True).alias("rejected"))
-    return slim.mapInArrow(run, f"id {kind}, lang_pred string, score double, bits double, rejected boolean").withColumnRenamed("id", id_col)
+        out = slim.select("id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"), F.lit(True).alias("rejected"), *slim.columns[3:])
+    else:
+        out = slim.mapInArrow(run, result)
+    return out.toDF(id_col, "lang_pred", "score", "bits", "rejected", *keep)

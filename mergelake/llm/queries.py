@@ -69,3 +69,19 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import nearcopies
 
     return nearcopies.near_copies(documents(spark, sf_dir))
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    spans = secrets.scan(docs, secrets.fit(docs)).select("doc_id", "spans")
+    count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
+    joined = lambda spans: F.concat_ws(",", F.transform(spans, secrets.named))
+    return spans.select(
+        "doc_id",
+        *[count(k).alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS[:3])],
+        F.sha2(joined(F.filter("spans", lambda s: s["rank"] < 3)), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
