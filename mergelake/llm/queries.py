@@ -85,3 +85,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(F.filter("spans", lambda s: s["rank"] < 3)), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import katz
+
+    out = katz.score(documents(spark, sf_dir), fold(7) != 2)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
