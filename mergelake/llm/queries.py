@@ -93,3 +93,11 @@ def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = katz.score(documents(spark, sf_dir), fold(7) != 2)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import imatch
+
+    out = imatch.fingerprint_all(documents(spark, sf_dir))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("fingerprint", "edited_fingerprint")})
