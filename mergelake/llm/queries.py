@@ -101,3 +101,20 @@ def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = imatch.fingerprint_all(documents(spark, sf_dir))
     return out.withColumns({c: F.array_join(c, ",") for c in ("fingerprint", "edited_fingerprint")})
+
+
+@query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import personal
+
+    found = personal.find(documents(spark, sf_dir), personal.fit())
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    kinds = F.array(*map(F.lit, personal.KINDS))
+    name = lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))
+    joined = lambda spans: F.concat_ws(",", F.transform(spans, name))
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{kind}") for k, kind in enumerate(personal.KINDS[:4])],
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"] < 4)), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
