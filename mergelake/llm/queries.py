@@ -118,3 +118,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(F.filter("spans", lambda s: s["kind"] < 4)), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op5_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk
+
+    return topk.search(documents(spark, sf_dir), F.col("doc_id") % 50 == 0, 10)
