@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -130,8 +130,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = checkpointed(both)
     for _ in range(most_rounds):
         # Every node ties its larger neighbours and itself to the smallest of all; then every node ties its smaller ones to the smallest.
-        least = F.least(F.col("a"), F.min("b").over(Window.partitionBy("a")))
-        large = now.withColumn("m", least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(now.withColumn("m", least).filter("m < a").select("a", F.col("m").alias("b")))
+        # The smallest is aggregated before it is joined: the centre of a large group is one key.
+        least = now.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = now.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.filter("m < a").select("a", F.col("m").alias("b")))
         large = large.filter("a != b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a != b").distinct()
