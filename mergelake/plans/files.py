@@ -57,7 +57,7 @@ def payload_excluded_files(spark, sf_dir):
     return V.files(spark, sf_dir).select("doc_id", "path").filter(T.payload_excluded(F.col("path")))
 
 
-@query(sql(f"SELECT {EXT} AS ext, {DETECT_LANG} AS detect_language, {PAYLOAD_LANG} AS payload_language, count(*) AS files FROM files GROUP BY ALL HAVING {DETECT_LANG} <> {PAYLOAD_LANG}", "files"))
+@query(sql(f", x AS (SELECT {EXT} AS ext, {DETECT_LANG} AS detect_language, {PAYLOAD_LANG} AS payload_language FROM files) SELECT ext, detect_language, payload_language, count(*) AS files FROM x WHERE detect_language <> payload_language GROUP BY ALL", "files"))
 def language_map_disagreement(spark, sf_dir):
     path = F.col("path")
     rows = V.files(spark, sf_dir).select(T.extension(path).alias("ext"), T.detect_language(path).alias("detect_language"), T.payload_language(path).alias("payload_language"))
