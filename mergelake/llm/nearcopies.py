@@ -12,8 +12,8 @@ buckets counts in the first only.
 
 Edge cases: a null text equals an empty one; a text of 1 to 4 words is a set of one run; texts
 without a word have an empty set and are linked to nothing, but equal ones are one class; words are
-runs of anything but ASCII white space, unchanged; repeated rows are equal texts; ties take the
-smallest id.  Only the id and the text are read.
+runs of anything but ASCII white space, unchanged; repeated rows are equal texts, and otherwise
+ids are unique; ties take the smallest id.  Only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -82,6 +82,7 @@ def signatures(runs: np.ndarray, offsets: np.ndarray, bands: int, rows: int) ->
 def links_of(key: tuple, rows: pa.Table, threshold: float) -> pa.Table:
     """One bucket, or two blocks of one: each member's links, counted, and a spanning set of them."""
     bucket, i, j = (k.as_py() for k in key)
+    rows = rows.take(np.unique(rows["id"].to_numpy(), return_index=True)[1])  # a repeated row is one member
     ids = rows["id"].to_pylist()
     block = np.array(rows["block"].to_pylist())
     sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows["runs"]]

@@ -188,15 +188,15 @@ def labelled(samples: int, seed: int = 5) -> Iterator[tuple[str, tuple[int, int,
     ]
     for _ in range(samples):
         if r.random() < 0.5:
-            _, cue, make = r.choice(good)
-            item, lead, personal = make(), r.choice(CUES[cue]) if r.random() < 0.8 else word(), True
+            kind, cue, make = r.choice(good)
+            item, lead = make(), r.choice(CUES[cue]) if r.random() < 0.8 else word()
         else:
-            item, lead, personal = r.choice(bad)(), r.choice(CUES[4]) if r.random() < 0.5 else word(), False
+            kind, item, lead = None, r.choice(bad)(), r.choice(CUES[4]) if r.random() < 0.5 else word()
         text = f"{word()} {word()} {lead}{r.choice((' ', ': ', ' '))}{item} {word()}."
         start = text.index(item)
         for c in candidates(text):
             if c[1] < start + len(item) and start < c[2]:
-                yield text, c, personal and (c[1], c[2]) == (start, start + len(item)) and (c[0] != 6 or bool(re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", item)))
+                yield text, c, c == (kind, start, start + len(item))
 
 
 def fit(samples: int = 4000, precision: float = 0.995) -> tuple[Boosted, dict[int, float]]:

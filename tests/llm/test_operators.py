@@ -1,0 +1,334 @@
+"""Each operator against a plain version on a small table with the awkward cases, and on an empty one."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from mergelake.llm import imatch, katz, language, mixing, nearcopies, personal, pieces, queries, secrets, substrings, topk
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def test_substrings(docs, raw, empty):
+    words = [(i, WORD.findall(t or "")) for i, t in raw]
+    seen = Counter(tuple(w[k : k + 35]) for _, w in words for k in range(len(w) - 34))
+    want = []
+    for i, w in words:
+        gone = [False] * len(w)
+        for k in range(len(w) - 34):
+            if seen[tuple(w[k : k + 35])] > 1:
+                gone[k : k + 35] = [True] * 35
+        want.append((str(i), len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in substrings.remove_repeats(docs).collect()]
+    assert sorted(got) == sorted(want)
+    assert sum(w[2] for w in want) > 300
+    assert substrings.remove_repeats(empty).count() == 0
+
+
+def test_katz(docs, raw, empty):
+    train = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(False))
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = [(i, [*WORD.findall((t or "").translate(LOWER)), 1]) for i, t in raw]
+    one, two, starts = Counter(), Counter(), 0
+    for i, w in tokens:
+        if not held(i):
+            one.update(w)
+            two.update(zip([0, *w[:-1]], w, strict=True))
+            starts += 1
+    n, v = sum(one.values()), len(one)
+    counts = lambda c: np.array([sum(x == r for x in c.values()) for r in range(1, 7)])
+    uni, factor = katz.Unigrams(np.r_[n, v, counts(one)]), katz.discounts(counts(two))
+    p1 = lambda w: float(uni.p(np.array([one[w]]))[0])
+    assert math.isclose(sum(map(p1, one)) + uni.rest, 1)
+    after = defaultdict(list)
+    for (a, b), k in two.items():
+        after[a].append((b, k, (factor[k] if k <= 5 else 1) * k))
+    weight, scale = {}, {}
+    for a, rows in after.items():
+        c = starts if a == 0 else one[a]
+        kept, least = sum(x for *_, x in rows) / c, 1 / (c + 1)
+        scale[a] = (1 - least) / kept if 1 - kept < least else 1.0
+        weight[a] = (1 - kept * scale[a]) / (1 - sum(p1(b) for b, *_ in rows))
+        total = sum(x for *_, x in rows) / c * scale[a] + weight[a] * (sum(p1(w) for w in one if (a, w) not in two) + uni.rest)
+        assert math.isclose(total, 1, rel_tol=1e-9)  # every context sums to one
+
+    def p(a, b):
+        k = two.get((a, b), 0)
+        c = starts if a == 0 else one[a]
+        return (factor[k] if k <= 5 else 1) * k / c * scale[a] if k else weight.get(a, 1.0) * p1(b)
+
+    want = defaultdict(list)
+    for i, w in tokens:
+        want[i].append((held(i), len(w), sum(one[x] > 0 for x in w), n, sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(p(a, b)) for a, b in zip([0, *w[:-1]], w, strict=True))))
+    got = defaultdict(list)
+    for r in katz.score(docs, train).collect():
+        got[r.doc_id].append((not r.train, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score))
+    assert got.keys() == want.keys()
+    for i, rows in want.items():
+        assert np.allclose(np.array(sorted(got[i]), float), np.array(sorted(rows), float), rtol=1e-9)
+    assert katz.score(empty, train).count() == 0
+    assert katz.score(docs, F.lit(False)).filter("abs(score) > 1e-9 or abs(base_score) > 1e-9").count() == 0
+
+
+def test_mixing(docs, empty):
+    out = mixing.replicate(docs, power=0.5, epochs=3.0)
+    assert out.columns == [*docs.columns, "copy_no", "n_copies"]
+    rate = {r.source: r.rate for r in mixing.rates(docs, power=0.5, epochs=3.0).collect()}
+    drawn = {(r.doc_id, r.copy_no) for r in out.collect()}
+    for r in docs.collect():  # inverted by hand
+        key = "null" if r.doc_id is None else str(r.doc_id)
+        parts = max(1, math.ceil(rate[r.source] / 16))
+        n = 0
+        for part in range(1, parts + 1):
+            u = int(hashlib.md5(f"mix|{part}|{key}".encode()).hexdigest()[:13], 16) / 2**52
+            p = total = math.exp(-rate[r.source] / parts)
+            k = 0
+            while total <= u:
+                k += 1
+                p *= rate[r.source] / parts / k
+                total += p
+            n += k
+        assert {c for i, c in drawn if i == r.doc_id} == set(range(1, n + 1))
+    weights = docs.sparkSession.createDataFrame([("cold", 1.0)], "source string, weight double")
+    assert {r.source for r in mixing.replicate(docs, weights).select("source").distinct().collect()} <= {"cold"}
+    assert mixing.replicate(empty).count() == 0
+
+
+def test_poisson_mean(spark):
+    big = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("x" * 10).alias("text"), F.lit("s").alias("source"))
+    assert abs(mixing.replicate(big, epochs=20.0).count() / 400_000 - 1) < 0.01
+
+
+def test_imatch(docs, raw, empty):
+    rows = imatch.fingerprint_all(docs, low=0.01, high=0.6).collect()
+    assert len(rows) == len(raw)
+    order = sorted(((-(1 << 63) if i is None else i, t or "", i) for i, t in raw), reverse=True)
+    want = []
+    for k, (_, text, i) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        half = len(text) // 2
+        want.append((str(i), len(text), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in rows) == sorted(want)
+    by_text = defaultdict(set)
+    texts = dict(raw)
+    for r in rows:
+        by_text[texts[r.doc_id] or ""].add(tuple(r.fingerprint))
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    assert all(len(x) == 1 for x in by_text.values())
+    assert imatch.fingerprint_all(empty).count() == 0
+    assert imatch.fingerprint_all(docs.filter("doc_id = 20"), low=0.0, high=1.0).first().near_next == 1.0
+
+
+def test_topk(docs, raw, empty):
+    raw = [(i, t) for i, t in raw if i is not None]
+    tf = [(i, Counter(WORD.findall((t or "").translate(LOWER)))) for i, t in raw]
+    df = Counter(w for _, c in tf for w in c)
+    mean = sum(sum(c.values()) for _, c in tf) / len(tf)
+    want = []
+    for q, asked in tf:
+        if q % 5 == 0:
+            scores = []
+            for i, c in tf:
+                size = sum(c.values())
+                s = sum(t * math.log(1 + (len(tf) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size / mean)) for w, t in asked.items() if w in c)
+                if s > 0:
+                    scores.append((-round(s, 7), i))
+            want += [(q, rank, i) for rank, (_, i) in enumerate(sorted(scores)[:10], 1)]
+    got = [(r.query_id, r.rank, r.doc_id) for r in topk.search(docs, F.col("doc_id") % 5 == 0).collect()]
+    assert sorted(got) == sorted(want)
+    assert topk.search(empty, F.lit(True)).count() == 0
+
+
+def test_block_bounds_prune():
+    import pyarrow as pa
+
+    texts = pa.chunked_array([["rare word"] * 3 + [f"common filler {k}" for k in range(5000)]])
+    df = np.bincount(topk.doc_terms(texts)[1])
+    index = topk.Index(texts, np.arange(5003), df, 5003, 15006, 1.2, 0.75)
+    terms = topk.doc_terms(pa.chunked_array([["rare common"]]))[0]
+    ids, _ = index.best(terms, np.ones(2), 3)
+    assert ids.tolist() == [0, 1, 2] and index.scored < index.all / 5
+
+
+def test_pieces(docs, raw, empty):
+    import sentencepiece
+
+    model = queries.piece_model()
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    want = []
+    for i, t in raw:
+        ids = library.encode(t or "", add_bos=True, add_eos=True)
+        want.append((str(i), ids, library.decode(ids)))
+    got = [(str(r.doc_id), np.frombuffer(bytes(r.ids), "<u4").tolist(), r.decoded) for r in pieces.encode(docs, model).collect()]
+    assert sorted(got) == sorted(want)
+    assert pieces.encode(empty, model).count() == 0
+
+
+def test_pieces_fuzz():
+    import random
+
+    import sentencepiece
+
+    model = queries.piece_model()
+    library, own, r = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.PieceCoder(model), random.Random(1)
+    for _ in range(2000):
+        t = "".join(r.choice("aabbcdeehilnorst   \n\t,.-'éß😀▁0123²_<>()=") for _ in range(r.randint(0, 60)))
+        ids = own.encode(t)
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_bos=True, add_eos=True)
+        assert own.decode(ids) == library.decode(np.frombuffer(ids, "<u4").tolist())
+
+
+def plain_personal(x):
+    out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
+    out += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", x):
+        d = re.sub(r"\D", "", m[0])
+        if 13 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(d[::-1])) % 10 == 0:
+            out.append((2, m.start(), m.end()))
+    return out + [(3, m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", x) if 9 <= len(re.sub(r"\D", "", m[0])) <= 15]
+
+
+def test_personal(docs, raw, empty):
+    model = personal.fit(1500)
+    got = defaultdict(list)
+    for r in personal.find(docs, model, redact=True).collect():
+        got[r.doc_id].append((tuple(tuple(s) for s in r.spans), r.redacted))
+    for i, t in raw:
+        for spans, redacted in got[i]:
+            assert [s for s in spans if s[0] < 4] == plain_personal(t or "")
+            assert (redacted is None) == (t is None)
+            assert not spans or "@" not in redacted
+    assert personal.find(empty, model).count() == 0
+
+
+def test_personal_fuzz():
+    import random
+
+    r = random.Random(3)
+    for _ in range(5000):
+        x = "".join(r.choice("ab@@..--_+12345 ()é%") for _ in range(r.randint(0, 40)))
+        assert personal.base(x) == plain_personal(x)
+
+
+def test_personal_method():
+    model = personal.fit()
+    found = lambda t: [personal.KINDS[k] for k, *_ in personal.spans(t, model)]
+    assert found("call phone (212) 555-0187 now") == ["number"]
+    assert found("my ssn 123-45-6789 ok") == ["identity"]
+    assert found("write to mary.lamb (at) home.org today") == ["contact"]
+    for clean in ("on 2024-01-15 we met", "version 1.22.333.4444 is out", "order 12345678 shipped", "plain words only"):
+        assert found(clean) == []
+    held = list(personal.labelled(1000, seed=99))
+    kept = [(personal.Boosted.odds(model[0], np.array([personal.features(t, *c)], float))[0] >= model[1][c[0]], p) for t, c, p in held]
+    assert sum(p for k, p in kept if k) / max(1, sum(k for k, _ in kept)) > 0.97
+
+
+def test_language(docs, empty, sf_dir, spark):
+    whole = queries.documents(spark, sf_dir)
+    model = language.fit(whole, queries.fold(5) != 0)
+    both = language.identify(whole, model).join(whole.select("doc_id", "lang"), "doc_id")
+    assert both.filter("lang <> lang_pred").count() <= 0.03 * both.count()
+    rows = {r.doc_id: r for r in language.identify(docs, model, keep=["text", "id", "rank"]).collect()}
+    assert rows[0].lang_pred == rows[1].lang_pred == rows[2].lang_pred == "und" and rows[0].score == 0 and rows[0].rejected
+    assert all(0 <= r.score <= 1 for r in rows.values()) and rows[4].rank == 3
+    assert language.identify(empty, model).count() == 0
+    assert language.fit(empty, F.lit(True)) is None
+    assert {r.lang_pred for r in language.identify(docs, None).collect()} == {"und"}
+
+
+def test_language_models_sum_to_one():
+    import pyarrow as pa
+
+    model = language.Model.fitted(language.codes(*language.plain(pa.array(["the cat sat on the mat", "a dog ate the cat"]))))
+    for context in (b"the", b" ca", b"zzz"):
+        codes = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint32)
+        assert math.isclose(np.exp2(model.log2(codes)).sum(), 1, rel_tol=1e-9)
+
+
+def plain_groups(raw):
+    first, sets, same = {}, {}, {}
+    for i, t in sorted(raw):
+        t = t or ""
+        same[i] = first.setdefault(t, i)
+        w = WORD.findall(t)
+        if same[i] == i:
+            sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root, links = {i: i for i in sets}, Counter()
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                links[a] += 1
+                links[b] += 1
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return sorted((i, same[i], find(same[i]), links[same[i]]) for i, _ in raw)
+
+
+def test_near_copies(docs, raw, empty):
+    got = sorted(tuple(r) for r in nearcopies.near_copies(docs).collect())
+    assert got == plain_groups([(i, t) for i, t in raw if i is not None])
+    assert len({g[2] for g in got}) < len({g[1] for g in got})
+    assert nearcopies.near_copies(empty).count() == 0
+
+
+def test_large_group_in_blocks(spark):
+    """More near copies than a block holds, and a chain of them: links are counted across blocks."""
+    base = [f"w{k}" for k in range(150)]
+    raw = [(k, " ".join([*base[: k % 7], *base[7:], f"end{k}"])) for k in range(450)]
+    got = sorted(tuple(r) for r in nearcopies.near_copies(spark.createDataFrame(raw, "doc_id long, text string")).collect())
+    assert got == plain_groups(raw)
+
+
+def test_banding():
+    bands, rows = nearcopies.banding(0.8, 0.9995)
+    assert 1 - (1 - 0.8**rows) ** bands >= 0.9995
+
+
+def test_secrets(docs, raw, empty):
+    model = secrets.fit(docs)
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    got = defaultdict(list)
+    for r in secrets.scan(docs, model).collect():
+        got[r.doc_id].append(([tuple(s) for s in r.spans], r.redacted))
+    for i, t in raw:
+        x = t or ""
+        want = [(m.start(), 0, m.end()) for m in assign.finditer(x) if len(m[2]) >= 8] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", x) if len(m[0]) >= 16]
+        want = sorted(want + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", x) if len(m[0]) >= 32])
+        for spans, redacted in got[i]:
+            assert [s for s in spans if s[1] < 3] == want
+            assert not want or secrets.MASK in redacted and "hunter2secret" not in redacted
+            assert spans or redacted == t
+    assert secrets.scan(empty, secrets.fit(empty)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_secrets_held_out(spark, sf_dir, seed):
+    import random
+
+    docs = queries.documents(spark, sf_dir)
+    model = secrets.fit(docs)
+    r = random.Random(seed)
+    rows = [("".join(r.choice(secrets.ALPHABET[:62]) for _ in range(32)), True) for _ in range(50)]
+    rows += [(w, False) for w in ("internationalization_of_things", "some_long_function_name_here", "averyveryverylongwordindeed", "getUserAccountInformation")]
+    found = {x.text: len(x.spans) > 0 for x in secrets.scan(spark.createDataFrame(rows, "text string, secret boolean"), model).collect()}
+    assert sum(found[t] for t, s in rows if s) >= 45
+    assert not any(found[t] for t, s in rows if not s)
+
+
+def test_mixing_sql(spark, sf_dir, duck):
+    from compare import same
+
+    same(queries.QUERIES["op3_source_mixing"](spark, sf_dir), duck.sql(queries.ORACLES["op3_source_mixing"]))
