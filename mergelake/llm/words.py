@@ -134,7 +134,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         a = np.ascontiguousarray(a)
         head.append(struct.pack("<cBQ", a.dtype.kind.encode(), a.dtype.itemsize, len(a)))
         body.append(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<B", len(arrays)) + b"".join(head + body))
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<B", len(arrays)) + b"".join(head + body))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
