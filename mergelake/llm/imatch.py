@@ -47,15 +47,19 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = 0.002, high: f
     return band.select("term", F.when(F.col("term") == EVERY, F.lit(0).cast("bigint")).otherwise(mask).alias("mask"))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value worked out once: inside a lambda a plain expression would be worked out for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def hashes(found: Column) -> Column:
     """A hash for each subset of the (term, mask) pairs, empty where it has none."""
-    ordered = F.array_sort(found)
 
-    def one(k: Column) -> Column:
-        own = F.filter(ordered, lambda t: F.getbit(t["mask"], k) == 1)
-        return F.when(F.size(own) > 0, F.lower(F.hex(F.xxhash64(F.array_join(F.transform(own, lambda t: t["term"]), " "))))).otherwise(F.lit(""))
+    def one(ordered: Column, k: Column) -> Column:
+        own = F.transform(F.filter(ordered, lambda t: F.getbit(t["mask"], k) == 1), lambda t: t["term"])
+        return bound(F.array_join(own, " "), lambda s: F.when(s != "", F.lower(F.hex(F.xxhash64(s)))).otherwise(F.lit("")))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
+    return bound(F.sort_array(found), lambda ordered: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: one(ordered, k)))
 
 
 def likeness(a: Column, b: Column) -> Column:
