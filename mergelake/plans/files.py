@@ -96,8 +96,8 @@ def path_guard(spark, sf_dir):
 
 @query(
     """WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, n, md5(coalesce(string_agg(line, chr(10) ORDER BY n) OVER before, '')) AS pre_md5, md5(coalesce(string_agg(line, chr(10) ORDER BY n) OVER after, '')) AS post_md5 FROM l
-WINDOW before AS (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), after AS (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)""".replace("string_agg(line, chr(10) ORDER BY n)", "string_agg(line, chr(10))")
+SELECT doc_id, n, md5(coalesce(string_agg(line, chr(10)) OVER before, '')) AS pre_md5, md5(coalesce(string_agg(line, chr(10)) OVER after, '')) AS post_md5 FROM l
+WINDOW before AS (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), after AS (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)"""
 )
 def hunk_context_window(spark, sf_dir):
     """Three lines on either side of each line, as frames."""
@@ -107,7 +107,13 @@ def hunk_context_window(spark, sf_dir):
     return rows.select("doc_id", "n", around(-3, -1).alias("pre_md5"), around(1, 3).alias("post_md5"))
 
 
-@query(sql(f"SELECT {PAYLOAD_LANG} AS language, floor((row_number() OVER (PARTITION BY {PAYLOAD_LANG} ORDER BY doc_id) - 1) / 10)::BIGINT AS chunk, doc_id FROM files", "files").replace("SELECT CASE", ", x AS (SELECT CASE", 1) + ") SELECT language, chunk, count(*) AS n_files, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM x GROUP BY ALL")
+@query(
+    sql(
+        f""", x AS (SELECT {PAYLOAD_LANG} AS language, floor((row_number() OVER (PARTITION BY {PAYLOAD_LANG} ORDER BY doc_id) - 1) / 10)::BIGINT AS chunk, doc_id FROM files)
+SELECT language, chunk, count(*) AS n_files, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM x GROUP BY ALL""",
+        "files",
+    )
+)
 def batches_by_language(spark, sf_dir):
     """Ten files to a batch within each language."""
     rows = V.files(spark, sf_dir).select("doc_id", T.payload_language(F.col("path")).alias("language"))
