@@ -3,13 +3,13 @@
 Terms are runs of letters and digits (and whatever is not ASCII), lower-cased.  The lexicon keeps terms
 whose document frequency lies in a band.  Several randomised subsets of it, of falling size so that
 short and long texts both have subsets that hold a few of their terms, each give one hash of a text's
-sorted distinct terms.  Two fingerprints are as alike as the part of subsets with equal hashes, of
+sorted distinct terms, which are gathered by exploding each term's few subsets.  Two fingerprints are as alike as the part of subsets with equal hashes, of
 those that hold a term of either text.
 
 The lexicon is broadcast: its terms have a document frequency of ``low`` of all documents at least, so
 there are at most (mean distinct terms of a document) / low of them, at any number of documents.
 
-Edge cases: a null text is empty; a text without a lexicon term has the fingerprint of empty hashes, and two such
+Edge cases: a null text is empty; a text without a lexicon term has an empty fingerprint, and two such
 are alike by 1; null ids come last in the order and ties go by the text; repeated rows are documents
 of their own; a single document is its own next one.  Only the id and the text are read.
 """
@@ -30,43 +30,33 @@ FINE = 64
 
 
 def terms(text: Column) -> Column:
-    return F.array_distinct(F.split(F.lower(text), SEPARATOR, -1))
+    return F.split(F.lower(text), SEPARATOR, -1)
+
+
+def distinct(values: Column) -> Column:
+    """The distinct values, by sorting: array_distinct compares every pair of strings, which long texts can't afford."""
+    first = lambda s: F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1)))
+    return F.transform(F.array(F.sort_array(values)), first)[0]
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = 0.002, high: float = 0.2) -> DataFrame:
-    """(term, mask): the terms of the band, and the subsets that each is in, as bits."""
+    """(term, subsets): the terms of the band, and the subsets that each is in."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    each = docs.select(F.explode(F.array_append(terms(text), F.lit(EVERY))).alias("term")).filter("term != ''")
+    each = docs.select(F.explode(F.array_append(distinct(terms(text)), F.lit(EVERY))).alias("term")).filter("term != ''")
     counts = each.groupBy("term").agg(F.count("*").alias("df"))
     total = counts.filter(F.col("term") == EVERY).select(F.col("df").alias("total"))
     band = counts.crossJoin(F.broadcast(total)).filter((F.col("term") == EVERY) | (F.col("df") >= F.greatest(F.lit(2), F.col("total") * low)) & (F.col("df") <= F.col("total") * high))
-    mask = F.lit(0).cast("bigint")
-    for k in range(SUBSETS):
-        inside = F.pmod(F.xxhash64("term", F.lit(k)), F.lit(1 << (LEAST + k % SCALES))) == 0
-        mask = mask.bitwiseOR(F.when(inside, F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return band.select("term", F.when(F.col("term") == EVERY, F.lit(0).cast("bigint")).otherwise(mask).alias("mask"))
-
-
-def bound(value: Column, use) -> Column:
-    """use(value), with value worked out once: inside a lambda a plain expression would be worked out for each element."""
-    return F.transform(F.array(value), use)[0]
-
-
-def hashes(found: Column) -> Column:
-    """A hash for each subset of the (term, mask) pairs, empty where it has none."""
-
-    def one(ordered: Column, k: Column) -> Column:
-        own = F.transform(F.filter(ordered, lambda t: F.getbit(t["mask"], k) == 1), lambda t: t["term"])
-        return bound(F.array_join(own, " "), lambda s: F.when(s != "", F.lower(F.hex(F.xxhash64(s)))).otherwise(F.lit("")))
-
-    return bound(F.sort_array(found), lambda ordered: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: one(ordered, k)))
+    inside = [F.when(F.pmod(F.xxhash64("term", F.lit(k)), F.lit(1 << (LEAST + k % SCALES))) == 0, F.lit(k)) for k in range(SUBSETS)]
+    subsets = F.when(F.col("term") == EVERY, F.array(F.lit(-1))).otherwise(F.array_compact(F.array(*inside)))
+    # No filter on the subsets here: it would depend on the term alone and be moved down to every word of every text.
+    return band.select("term", subsets.alias("subsets"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    both = F.arrays_zip(a.alias("a"), b.alias("b"))
-    held = F.size(F.filter(both, lambda x: (x["a"] != "") | (x["b"] != "")))
-    same = F.size(F.filter(both, lambda x: (x["a"] != "") & (x["a"] == x["b"])))
-    return F.when(held > 0, same / held).otherwise(F.lit(1.0))
+    """Of two fingerprints, arrays of subset and hash."""
+    subset = lambda x: x.substr(1, 2)
+    held = F.size(F.array_union(F.transform(a, subset), F.transform(b, subset)))
+    return F.when(held > 0, F.size(F.array_intersect(a, b)) / held).otherwise(F.lit(1.0))
 
 
 def in_order(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFrame:
@@ -92,7 +82,7 @@ def in_order(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> DataF
 
 
 def fingerprints(docs: DataFrame, words: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: the id, n_chars, edited (the text whose last half gave way to the next document's start), fingerprint and edited_fingerprint as arrays, near_edited and near_next."""
+    """One row per row: the id, n_chars, edited (the text whose last half gave way to the next document's start), fingerprint and edited_fingerprint as arrays of subset:hash, near_edited and near_next."""
     order = Window.partitionBy("bucket").orderBy("guest", F.col("rank").desc(), F.col("text").desc())
     rows = in_order(docs, buckets, id_col, text_col)
     rows = rows.withColumn("n", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("text").over(order), F.lit("")))
@@ -103,15 +93,17 @@ def fingerprints(docs: DataFrame, words: DataFrame, buckets: int, id_col: str =
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))
     keys = ["bucket", "n", "guest", "id", "n_chars", "edited_sha256"]
-    each = rows.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.side", F.explode(F.array_append(terms(F.col("s.t")), F.lit(EVERY))).alias("term"))
-    each = each.join(F.broadcast(words), "term")
-    pair = F.when(F.col("term") != EVERY, F.struct("term", "mask"))
-    both = each.groupBy("bucket", "n").agg(
-        *[F.first(k).alias(k) for k in keys[2:]],
-        F.collect_list(F.when(F.col("side") == 0, pair)).alias("own"),
-        F.collect_list(F.when(F.col("side") == 1, pair)).alias("changed"),
-    )
-    both = both.withColumn("fingerprint", hashes(F.col("own"))).withColumn("edited_fingerprint", hashes(F.col("changed"))).drop("own", "changed")
+    # Flat before the terms are exploded, so that no text goes along with each of them.
+    flat = rows.select(*keys, F.inline(sides).alias("side", "t"))
+    each = flat.select(*keys, "side", F.explode(F.array_append(terms(F.col("t")), F.lit(EVERY))).alias("term"))
+    each = each.join(F.broadcast(words), "term").select(*keys, "side", "term", F.explode("subsets").alias("k"))
+    # The buckets stay where the window put them: neither grouping moves a row.
+    same = [F.first(c).alias(c) for c in keys[2:]]
+    hashed = F.lower(F.hex(F.xxhash64(F.array_join(F.sort_array(F.collect_set("term")), " "))))
+    subsets = each.groupBy("bucket", "n", "side", "k").agg(*same, hashed.alias("hash"))
+    entry = F.concat(F.lpad(F.col("k").cast("string"), 2, "0"), F.lit(":"), "hash")
+    of = lambda side: F.sort_array(F.collect_list(F.when((F.col("side") == side) & (F.col("k") >= 0), entry)))
+    both = subsets.groupBy("bucket", "n").agg(*same, of(0).alias("fingerprint"), of(1).alias("edited_fingerprint"))
     after = F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("n"))
     both = both.withColumn("after", after).filter("guest = 0")
     return both.select(
