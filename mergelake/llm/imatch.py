@@ -21,35 +21,29 @@ from pyspark.sql import functions as F
 
 from .words import layout
 
-# What separates terms, and the term that every text has so that none is lost.
+# Fixed value: what separates terms.
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-EVERY = "\x00"
 #: Subset k takes each term with probability 2 ** -(LEAST + k % SCALES): most texts hold one to three terms of many subsets.
 SUBSETS, LEAST, SCALES = 60, 5, 6
 FINE = 64
 
 
 def terms(text: Column) -> Column:
-    return F.split(F.lower(text), SEPARATOR, -1)
-
-
-def distinct(values: Column) -> Column:
-    """The distinct values, by sorting: array_distinct compares every pair of strings, which long texts can't afford."""
-    first = lambda s: F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1)))
-    return F.transform(F.array(F.sort_array(values)), first)[0]
+    """The terms; every text also has the empty one, of the space put before it, so that no text is lost."""
+    return F.split(F.lower(F.concat(F.lit(" "), text)), SEPARATOR, -1)
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = 0.002, high: float = 0.2) -> DataFrame:
-    """(term, subsets): the terms of the band, and the subsets that each is in."""
+    """(term, subsets): the terms of the band, and the subsets that each is in; the empty term has subset -1."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    each = docs.select(F.explode(F.array_append(distinct(terms(text)), F.lit(EVERY))).alias("term")).filter("term != ''")
+    each = docs.select(F.explode(F.array_distinct(terms(text))).alias("term")).filter("term != ''")
     counts = each.groupBy("term").agg(F.count("*").alias("df"))
-    total = counts.filter(F.col("term") == EVERY).select(F.col("df").alias("total"))
-    band = counts.crossJoin(F.broadcast(total)).filter((F.col("term") == EVERY) | (F.col("df") >= F.greatest(F.lit(2), F.col("total") * low)) & (F.col("df") <= F.col("total") * high))
+    total = docs.agg(F.count("*").alias("total"))
+    band = counts.crossJoin(F.broadcast(total)).filter((F.col("df") >= F.greatest(F.lit(2), F.col("total") * low)) & (F.col("df") <= F.col("total") * high))
     inside = [F.when(F.pmod(F.xxhash64("term", F.lit(k)), F.lit(1 << (LEAST + k % SCALES))) == 0, F.lit(k)) for k in range(SUBSETS)]
-    subsets = F.when(F.col("term") == EVERY, F.array(F.lit(-1))).otherwise(F.array_compact(F.array(*inside)))
     # No filter on the subsets here: it would depend on the term alone and be moved down to every word of every text.
-    return band.select("term", subsets.alias("subsets"))
+    words = band.select("term", F.array_compact(F.array(*inside)).alias("subsets"))
+    return words.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.array(F.lit(-1)).alias("subsets")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -95,7 +89,7 @@ def fingerprints(docs: DataFrame, words: DataFrame, buckets: int, id_col: str =
     keys = ["bucket", "n", "guest", "id", "n_chars", "edited_sha256"]
     # Flat before the terms are exploded, so that no text goes along with each of them.
     flat = rows.select(*keys, F.inline(sides).alias("side", "t"))
-    each = flat.select(*keys, "side", F.explode(F.array_append(terms(F.col("t")), F.lit(EVERY))).alias("term"))
+    each = flat.select(*keys, "side", F.explode(terms(F.col("t"))).alias("term"))
     each = each.join(F.broadcast(words), "term").select(*keys, "side", "term", F.explode("subsets").alias("k"))
     # The buckets stay where the window put them: neither grouping moves a row.
     same = [F.first(c).alias(c) for c in keys[2:]]
