@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import checkpointed
 from .words import layout
 
 # Fixed value: what separates terms.
@@ -41,8 +42,8 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = 0.002, high: f
     total = docs.agg(F.count("*").alias("total"))
     band = counts.crossJoin(F.broadcast(total)).filter((F.col("df") >= F.greatest(F.lit(2), F.col("total") * low)) & (F.col("df") <= F.col("total") * high))
     inside = [F.when(F.pmod(F.xxhash64("term", F.lit(k)), F.lit(1 << (LEAST + k % SCALES))) == 0, F.lit(k)) for k in range(SUBSETS)]
-    # No filter on the subsets here: it would depend on the term alone and be moved down to every word of every text.
-    words = band.select("term", F.array_compact(F.array(*inside)).alias("subsets"))
+    # Written before it is used: else what later steps ask of the subsets, which depend on the term alone, is moved down to every word of every text.
+    words = checkpointed(band.select("term", F.array_compact(F.array(*inside)).alias("subsets"))).filter(F.size("subsets") > 0)
     return words.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.array(F.lit(-1)).alias("subsets")))
 
 
