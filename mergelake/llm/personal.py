@@ -1,9 +1,10 @@
 """PII: fixed base kinds, and wider candidates that boosted trees accept or leave.
 
-Generators with high recall propose spans that may overlap: runs of digit groups, account numbers,
-addresses with the sign spelt out.  Trees over their format and the words before them give each a
-log-odds, a threshold that was calibrated on held-out labelled samples accepts it, and of
-overlapping ones the likeliest stays.  Base spans always stay; added ones overlap none.
+Generators with high recall propose spans that may overlap: within each run of digit groups every
+span of consecutive ones with 7 to 15 digits, account numbers, addresses with the sign spelt out.
+Trees over their format, the words before them and the digits beside them give each a log-odds, a
+threshold that was calibrated on held-out labelled samples accepts it, and of overlapping ones the
+likeliest stays.  Base spans always stay; added ones overlap none.
 The labelled samples are generated, ``samples`` of them, with fixed seeds.
 
 Edge cases: a null text is empty and has no spans; spans are code points, the end exclusive; ties in
@@ -28,8 +29,10 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-# Generators: digit groups, account numbers, spelt-out addresses.
-GROUPS = re.compile(r"(?<![0-9A-Za-z])\(?[0-9](?:[()./\x20-]{0,2}[0-9])++(?![0-9A-Za-z])")
+# Generators: digit groups and what joins two of them, account numbers, spelt-out addresses.
+GROUP = re.compile(r"[0-9]+")
+JOINT = re.compile(r"[()./\x20-]{1,2}")
+LEAST_DIGITS, MOST_DIGITS = 7, 15
 ACCOUNT = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")
 SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{2,63}){1,4}")
 # Words before a candidate that speak for or against it.
@@ -41,6 +44,9 @@ CUES = [
     ("order", "invoice", "version", "isbn", "date", "ref", "page", "id", "build", "ticket", "no", "total", "price", "table", "on", "in"),
 ]
 BEFORE = re.compile(r"[A-Za-z]+")
+# The neighbours of a candidate: their digits, and what parts them from it.
+LEFT = re.compile(r"(?P<digits>[0-9]+)(?P<joint>[()./\x20-]{0,2})\Z")
+RIGHT = re.compile(r"(?P<joint>[()./\x20-]{0,2})(?P<digits>[0-9]+)")
 
 
 def luhn(digits: str) -> bool:
@@ -77,15 +83,40 @@ def base(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def numbers(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, digits) of every span of consecutive digit groups with LEAST_DIGITS to MOST_DIGITS digits; no letter touches a span.
+
+    A bracket before the first group belongs to a span that also holds its end.  A group has a digit at
+    least, so each start has MOST_DIGITS ends at most, in a run of any length.
+    """
+    groups = [m.span() for m in GROUP.finditer(text)]
+    for k, (a, b) in enumerate(groups):
+        if letter(text, a - 1):
+            continue
+        digits, n = b - a, k
+        bracket = a > 0 and text[a - 1] == "(" and not (letter(text, a - 2) or (a > 1 and "0" <= text[a - 2] <= "9"))
+        while digits <= MOST_DIGITS:
+            end = groups[n][1]
+            if digits >= LEAST_DIGITS and not letter(text, end):
+                yield a - (bracket and ")" in text[a:end]), end, digits
+            n += 1
+            if n == len(groups) or groups[n][0] - end > 2 or not JOINT.fullmatch(text, end, groups[n][0]):
+                break
+            digits += groups[n][1] - groups[n][0]
+
+
+def letter(text: str, at: int) -> bool:
+    """Whether an ASCII letter stands at a place; none stands outside the text."""
+    return 0 <= at < len(text) and text[at].isascii() and text[at].isalpha()
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) that the generators propose."""
     out = []
-    for m in GROUPS.finditer(text):
-        digits = sum("0" <= c <= "9" for c in m[0])
-        if 7 <= digits <= 15:
-            out.append((5, m.start(), m.end()))
-            if digits == 9:
-                out.append((6, m.start(), m.end()))
+    for start, end, digits in numbers(text):
+        out.append((5, start, end))
+        if digits == 9:
+            out.append((6, start, end))
     out += [(7, m.start(), m.end()) for m in ACCOUNT.finditer(text)]
     low = "(at)" in text or "[at]" in text
     return out + [(4, m.start(), m.end()) for m in SPELT.finditer(text)] if low else out
@@ -101,6 +132,10 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
     out = [kind, len(s), len(digits), len(groups), groups[0], groups[-1], max(groups), s.count("-"), s.count("."), s.count(" "), s.count("/"), s.count("("), len(set(digits))]
     out += [float(bool(re.fullmatch(r"\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}", s))), float(bool(re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", s)))]
     out += [float(bool(re.match(r"(?:19|20)[0-9]{2}[-/.]", s)) or bool(re.search(r"[-/.](?:19|20)[0-9]{2}\Z", s))), float(check_digits(s)), float(after in ("%", "€", "$"))]
+    # The digit groups that a joint ties to its ends: how many digits, and whether a blank parts them.
+    left, right = LEFT.search(text, max(0, start - 16), start), RIGHT.match(text, end, end + 16)
+    for m in (left, right):
+        out += [float(len(m["digits"])), float(" " in m["joint"])] if m else [0.0, 0.0]
     return out + [float(any(w in cue for w in before)) for cue in CUES]
 
 
@@ -155,7 +190,7 @@ class Boosted:
 
 
 def labelled(samples: int, seed: int = 5) -> Iterator[tuple[str, tuple[int, int, int], bool]]:
-    """(text, candidate, personal): generated texts with one item each."""
+    """(text, candidate, personal): generated texts with one item each, many of them with more numbers beside it."""
     r = random.Random(seed)
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     word = lambda: "".join(r.choice(("an", "er", "the", "ion", "de", "la", "st", "ou")) for _ in range(r.randint(1, 3)))
@@ -185,18 +220,41 @@ def labelled(samples: int, seed: int = 5) -> Iterator[tuple[str, tuple[int, int,
         lambda: f"{d(5)}-{d(4)}",
         lambda: f"{r.choice(('DE', 'AB', 'XK'))}{d(2)}{d(14)}",
         lambda: f"{d(1)} {d(2)} {d(1)} {d(3)} {d(2)}",
+        lambda: f"{d(4)} {d(4)} {d(4)} {d(4)}",
+        lambda: f"{d(4)}-{d(4)}-{d(4)}-{d(4)}",
+        lambda: " ".join(str(r.randint(0, 10 ** r.randint(1, 4))) for _ in range(r.randint(3, 12))),
+        lambda: " ".join(f"{r.choice((19, 20))}{d(2)}" for _ in range(r.randint(2, 5))),
     ]
+
+    def beside() -> tuple[str, int | None]:
+        """What stands next to an item, and its kind if that is personal too."""
+        if r.random() < 0.4:
+            kind, _, make = r.choice(good[:3])
+            return make(), kind
+        return r.choice((f"{r.choice((19, 20))}{d(2)}", d(r.randint(1, 3)))), None
+
     for _ in range(samples):
         if r.random() < 0.5:
             kind, cue, make = r.choice(good)
             item, lead = make(), r.choice(CUES[cue]) if r.random() < 0.8 else word()
         else:
             kind, item, lead = None, r.choice(bad)(), r.choice(CUES[4]) if r.random() < 0.5 else word()
-        text = f"{word()} {word()} {lead}{r.choice((' ', ': ', ' '))}{item} {word()}."
-        start = text.index(item)
+        parts = [(item, kind)]
+        if kind in (5, 6):
+            if r.random() < 0.3:
+                parts = [beside(), *parts]
+                lead = r.choice(CUES[4]) if r.random() < 0.3 else lead  # said of the neighbour
+            for _ in range(r.choice((0, 0, 1, 1, 2))):
+                parts.append(beside())
+        text, places = f"{word()} {word()} {lead}{r.choice((' ', ': ', ' '))}", []
+        for k, (part, kind) in enumerate(parts):
+            text += r.choice((" ", " ", ". ", "/")) if k and len(parts) > 1 else ""
+            places.append((kind, len(text), len(text) + len(part)))
+            text += part
+        text += f" {word()}."
         for c in candidates(text):
-            if c[1] < start + len(item) and start < c[2]:
-                yield text, c, c == (kind, start, start + len(item))
+            if c[1] < places[-1][2] and places[0][1] < c[2]:
+                yield text, c, c in places
 
 
 def fit(samples: int = 4000, precision: float = 0.995) -> tuple[Boosted, dict[int, float]]:
@@ -220,25 +278,25 @@ def fit(samples: int = 4000, precision: float = 0.995) -> tuple[Boosted, dict[in
 def spans(text: str, model: tuple[Boosted, dict[int, float]]) -> list[tuple[int, int, int]]:
     """All spans of a text: the base ones by kind and start, then the added ones likewise."""
     fixed = base(text)
-    taken = sorted((a, b) for _, a, b in fixed)
-    open_ = [c for c in candidates(text) if not meets(taken, c[1], c[2])]
+    proposed = candidates(text)
+    if not proposed:
+        return fixed
+    taken = bytearray(len(text))  # a mark on each place, so that a look costs a span's length and not the number of spans
+    for _, a, b in fixed:
+        taken[a:b] = b"\1" * (b - a)
+    open_ = [c for c in proposed if taken.find(1, c[1], c[2]) < 0]
     if not open_:
         return fixed
     trees, limits = model
-    odds = trees.odds(np.array([features(text, *c) for c in open_], float))
+    odds = np.concatenate([trees.odds(np.array([features(text, *c) for c in open_[k : k + 4096]], float)) for k in range(0, len(open_), 4096)])
     added: list[tuple[int, int, int]] = []
-    taken = []
     for o, c in sorted(zip(odds.tolist(), open_, strict=True), key=lambda x: (-x[0], x[1][1], -x[1][2])):
-        if o >= limits[c[0]] and not meets(taken, c[1], c[2]):
+        if o >= limits[c[0]] and taken.find(1, c[1], c[2]) < 0:
             added.append(c)
-            taken = sorted([*taken, (c[1], c[2])])
+            taken[c[1] : c[2]] = b"\1" * (c[2] - c[1])
     return fixed + sorted(added)
 
 
-def meets(taken: list[tuple[int, int]], start: int, end: int) -> bool:
-    return any(a < end and start < b for a, b in taken)
-
-
 def find(docs: DataFrame, model: tuple[Boosted, dict[int, float]], id_col: str = "doc_id", text_col: str = "text", redact: bool = False) -> DataFrame:
     """One row per row: the id and spans, an array of (kind, start, end), kind being a place in KINDS; with redact, also the text with every span replaced by its kind in brackets."""
 

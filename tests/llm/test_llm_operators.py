@@ -230,6 +230,29 @@ def test_personal_method():
     assert sum(p for k, p in kept if k) / max(1, sum(k for k, _ in kept)) > 0.97
 
 
+def test_personal_numbers_beside_numbers():
+    model = personal.fit()
+    found = lambda t: [(personal.KINDS[k], t[a:b]) for k, a, b in sorted(personal.spans(t, model), key=lambda s: s[1])]
+    number, identity = (lambda x: ("number", x)), ("identity", "123-45-6789")
+    assert found("call 212-555-0187 212-555-0199 now") == [number("212-555-0187"), number("212-555-0199")]
+    assert found("phones (212) 555-0187 (212) 555-0199 (212) 555-0111") == [number(f"(212) 555-0{n}") for n in (187, 199, 111)]
+    assert found("ssn 123-45-6789 (212) 555-0187 ok") == [identity, number("(212) 555-0187")]
+    assert found("phone 2024 (212) 555-0187 x") == [number("(212) 555-0187")]
+    assert found("tel 212-555-0187. 2024 was") == [number("212-555-0187")]
+    assert found("ssn 123-45-6789. 3 of them") == [identity]
+    assert found("we sold 12 33 1999 2000 4411 22 things") == []
+    assert len(personal.candidates("1 " * 5000)) <= 10 * 5000
+    for text in ("212-555-0187 212-555-0199", "x1 (23) 4567. 89 0 12y", "(123-45-6789)"):
+        want = set()
+        groups = [m.span() for m in re.finditer(r"[0-9]+", text)]
+        for i, (a, _) in enumerate(groups):
+            for _, b in groups[i:]:
+                n = len(re.sub(r"[^0-9]", "", text[a:b]))
+                if 7 <= n <= 15 and not re.search("[a-z]", text[max(0, a - 1) : b + 1]):
+                    want |= {(k, a - (text[max(0, a - 1)] == "(" and ")" in text[a:b]), b) for k in (5, 6)[: 1 + (n == 9)]}
+        assert set(personal.candidates(text)) == want
+
+
 def test_language(docs, empty, sf_dir, spark):
     whole = queries.documents(spark, sf_dir)
     model = language.fit(whole, queries.fold(5) != 0)
