@@ -1,17 +1,18 @@
 """Document fingerprints after I-Match, in DataFrame functions alone.
 
 Terms are runs of letters and digits (and whatever is not ASCII), lower-cased.  The lexicon keeps terms
-whose document frequency lies in a band.  Several randomised subsets of it, of falling size so that
-short and long texts both have subsets that hold a few of their terms, each give one hash of a text's
-sorted distinct terms, which are gathered by exploding each term's few subsets.  Two fingerprints are as alike as the part of subsets with equal hashes, of
+whose document frequency, counted over distinct texts, lies in a band.  Every term of it is in one of
+COVER disjoint subsets, so that no text with such a term goes without a fingerprint; further randomised
+subsets of falling size are for long texts, of whose terms these hold a few.  Each subset gives one hash of
+a text's sorted distinct terms, which are gathered by exploding each term's few subsets.  Two fingerprints are as alike as the part of subsets with equal hashes, of
 those that hold a term of either text.
 
-The lexicon is broadcast: its terms have a document frequency of ``low`` of all documents at least, so
-there are at most (mean distinct terms of a document) / low of them, at any number of documents.
+The lexicon is broadcast: its terms have a document frequency of ``low`` of all distinct texts at least, so
+there are at most (mean distinct terms of a text) / low of them, at any number of documents.
 
 Edge cases: a null text is empty; a text without a lexicon term has an empty fingerprint, and two such
-are alike by 1; null ids come last in the order and ties go by the text; repeated rows are documents
-of their own; a single document is its own next one.  Only the id and the text are read.
+are alike by 1 if the texts are equal and else by 0; null ids come last in the order and ties go by the text; repeated rows are documents
+of their own in the order, and one text in the lexicon's counts; a single document is its own next one.  Only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .words import layout
 
 # Fixed value: what separates terms.
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Subset k takes each term with probability 2 ** -(LEAST + k % SCALES): most texts hold one to three terms of many subsets.
-SUBSETS, LEAST, SCALES = 60, 5, 6
+#: The first COVER subsets share all terms out; each later subset k takes each term with probability 2 ** -(LEAST + k % SCALES): most texts hold one to three terms of many subsets.
+SUBSETS, COVER, LEAST, SCALES = 60, 20, 6, 5
 FINE = 64
 
 
@@ -37,21 +38,23 @@ def terms(text: Column) -> Column:
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = 0.002, high: float = 0.2) -> DataFrame:
     """(term, subsets): the terms of the band, and the subsets that each is in; the empty term has subset -1."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    each = docs.select(F.explode(F.array_distinct(terms(text))).alias("term")).filter("term != ''")
+    # Copies are one text: else the terms of a text that many rows hold would all be above the band.
+    each = docs.select(text.alias("text")).distinct().select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).filter("term != ''")
     counts = each.groupBy("term").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("total"))
+    total = docs.agg(F.count_distinct(F.xxhash64(text), F.hash(text)).alias("total"))
     band = counts.crossJoin(F.broadcast(total)).filter((F.col("df") >= F.greatest(F.lit(2), F.col("total") * low)) & (F.col("df") <= F.col("total") * high))
-    inside = [F.when(F.pmod(F.xxhash64("term", F.lit(k)), F.lit(1 << (LEAST + k % SCALES))) == 0, F.lit(k)) for k in range(SUBSETS)]
+    inside = [F.pmod(F.xxhash64("term"), F.lit(COVER)).cast("int")]
+    inside += [F.when(F.pmod(F.xxhash64("term", F.lit(k)), F.lit(1 << (LEAST + k % SCALES))) == 0, F.lit(k)) for k in range(COVER, SUBSETS)]
     # Written before it is used: else what later steps ask of the subsets, which depend on the term alone, is moved down to every word of every text.
-    words = checkpointed(band.select("term", F.array_compact(F.array(*inside)).alias("subsets"))).filter(F.size("subsets") > 0)
+    words = checkpointed(band.select("term", F.array_compact(F.array(*inside)).alias("subsets")))
     return words.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.array(F.lit(-1)).alias("subsets")))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Of two fingerprints, arrays of subset and hash."""
+def likeness(a: Column, b: Column, same: Column) -> Column:
+    """Of two fingerprints, arrays of subset and hash; same, whether the texts are equal, decides between empty ones."""
     subset = lambda x: x.substr(1, 2)
     held = F.size(F.array_union(F.transform(a, subset), F.transform(b, subset)))
-    return F.when(held > 0, F.size(F.array_intersect(a, b)) / held).otherwise(F.lit(1.0))
+    return F.when(held > 0, F.size(F.array_intersect(a, b)) / held).otherwise(same.cast("double"))
 
 
 def in_order(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFrame:
@@ -80,14 +83,15 @@ def fingerprints(docs: DataFrame, words: DataFrame, buckets: int, id_col: str =
     """One row per row: the id, n_chars, edited (the text whose last half gave way to the next document's start), fingerprint and edited_fingerprint as arrays of subset:hash, near_edited and near_next."""
     order = Window.partitionBy("bucket").orderBy("guest", F.col("rank").desc(), F.col("text").desc())
     rows = in_order(docs, buckets, id_col, text_col)
-    rows = rows.withColumn("n", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("text").over(order), F.lit("")))
+    rows = rows.withColumn("n", F.row_number().over(order)).withColumn("after", F.lead("text").over(order))
+    rows = rows.withColumn("next", F.coalesce("after", F.lit(""))).withColumn("same_next", F.coalesce(F.col("after") == F.col("text"), F.lit(True))).drop("after")
     n_chars = F.length("text")
     half = (n_chars / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n_chars - half), F.substring(F.col("next"), F.lit(1), half))
     rows = rows.withColumn("n_chars", n_chars.cast("long")).withColumn("edited", F.when(F.col("guest") == 0, edited).otherwise(F.lit("")))
-    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
+    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("same_edited", F.col("edited") == F.col("text"))
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))
-    keys = ["bucket", "n", "guest", "id", "n_chars", "edited_sha256"]
+    keys = ["bucket", "n", "guest", "id", "n_chars", "edited_sha256", "same_edited", "same_next"]
     # Flat before the terms are exploded, so that no text goes along with each of them.
     flat = rows.select(*keys, F.inline(sides).alias("side", "t"))
     each = flat.select(*keys, "side", F.explode(terms(F.col("t"))).alias("term"))
@@ -107,8 +111,8 @@ def fingerprints(docs: DataFrame, words: DataFrame, buckets: int, id_col: str =
         "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.coalesce("after", "fingerprint")).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), F.col("same_edited")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.coalesce("after", "fingerprint"), F.col("same_next")).alias("near_next"),
     )
 
 

@@ -126,6 +126,25 @@ def test_imatch(docs, raw, empty):
     assert imatch.fingerprint_all(docs.filter("doc_id = 20"), low=0.0, high=1.0).first().near_next == 1.0
 
 
+def test_imatch_short_texts_and_copies(spark):
+    import random
+
+    r = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(300)]
+    short = [" ".join(r.sample(vocabulary, r.randint(1, 6))) for _ in range(300)]
+    rare = [f"alone{k} single{k} once{k}" for k in range(100)]
+    copied = " ".join(r.sample(vocabulary, 40))
+    texts = [*short, *rare, *[copied] * 200]
+    rows = {x.doc_id: x for x in imatch.fingerprint_all(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    df = Counter(w for t in set(texts) for w in t.split())
+    for k, t in enumerate(texts):
+        assert bool(rows[k].fingerprint) == any(2 <= df[w] <= 0.2 * len(set(texts)) for w in t.split())
+    assert all(rows[k].near_next == 0 for k in range(301, 400))  # the next one has the id below
+    assert all(rows[k].near_next == 1 for k in range(401, 600)) and rows[400].near_next == 0
+    assert all(0 < rows[k].near_edited < 1 for k in range(401, 600))
+    assert all(x.near_edited == 0 for k, x in rows.items() if 300 < k < 400)
+
+
 def test_topk(docs, raw, empty):
     raw = [(i, t) for i, t in raw if i is not None]
     tf = [(i, Counter(WORD.findall((t or "").translate(LOWER)))) for i, t in raw]
