@@ -6,19 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ordinal(df: DataFrame, key: str, name: str = "ordinal") -> DataFrame:
-    """df with each row's place from 0 in the order of a unique integer key.
+def ordinal(df: DataFrame, key: str, name: str = "ordinal", within: str | None = None) -> DataFrame:
+    """df with each row's place from 0 in the order of a unique integer key, among all rows or those of equal ``within``.
 
     Rows are cut into buckets at quantiles; places are counted in each, and the sizes of those before it are added:
-    only as many rows as there are buckets meet in one task."""
+    only as many rows as there are buckets meet in one task, and a value of within is in as many tasks as its rows have buckets."""
     buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = df.agg(F.percentile_approx(key, F.array(*[F.lit(k / buckets) for k in range(1, max(buckets, 2))]), 10_000)).first()[0] or []
     bucket = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(key))) if cuts else F.lit(0)
     placed = df.withColumn("__bucket", bucket)
-    sizes = placed.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    before = sizes.select("__bucket", F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__bucket").orderBy(key)) - 1
-    return placed.withColumn("__own", own).join(F.broadcast(before), "__bucket").withColumn(name, (F.col("__before") + F.col("__own")).cast("long")).drop("__bucket", "__own", "__before")
+    placed = placed.withColumn("__within", F.col(within) if within else F.lit(0))
+    sizes = placed.groupBy("__within", "__bucket").agg(F.count("*").alias("__n"))
+    before = sizes.select(F.col("__within").alias("__w"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(Window.partitionBy("__within").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__within", "__bucket").orderBy(key)) - 1
+    same = (F.col("__bucket") == F.col("__b")) & F.col("__within").eqNullSafe(F.col("__w"))
+    return placed.withColumn("__own", own).join(F.broadcast(before), same).withColumn(name, (F.col("__before") + F.col("__own")).cast("long")).drop("__bucket", "__within", "__own", "__b", "__w", "__before")
 
 
 def packed(items: Column, most: int) -> Column:

@@ -117,8 +117,8 @@ SELECT language, chunk, count(*) AS n_files, min(doc_id) AS first_doc, max(doc_i
 def batches_by_language(spark, sf_dir):
     """Ten files to a batch within each language."""
     rows = V.files(spark, sf_dir).select("doc_id", T.payload_language(F.col("path")).alias("language"))
-    n = F.row_number().over(Window.partitionBy("language").orderBy("doc_id")) - 1
-    return rows.withColumn("chunk", F.floor(n / 10).cast("long")).groupBy("language", "chunk").agg(F.count("*").alias("n_files"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    placed = order.ordinal(rows, "doc_id", within="language")
+    return placed.withColumn("chunk", F.floor(F.col("ordinal") / 10).cast("long")).groupBy("language", "chunk").agg(F.count("*").alias("n_files"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
 @query(sql("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS file_index, doc_id, len(string_split(content, chr(10)))::BIGINT AS priority FROM files", "files"))

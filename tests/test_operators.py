@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from mergelake import catalogue
 from mergelake.functions import text as T
 from mergelake.operators import apply, order, parse, resolver
 from mergelake.streaming import detect
@@ -83,3 +84,13 @@ def test_stream_restarts(spark, tmp_path):
         df.filter(f"doc_id % 2 = {part}").write.mode("append").parquet(str(tmp_path / "in"))
         detect.detect(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert spark.read.json(str(tmp_path / "out")).count() == 6
+
+
+def test_ordinal_within_a_large_group(spark, sf_dir):
+    df = spark.createDataFrame([(k * 7 % 301, None if k % 50 == 0 else "big" if k % 3 else "small") for k in range(301)], "id long, lang string").repartition(3)
+    places = {}
+    for r in sorted(order.ordinal(df, "id", "n", within="lang").collect(), key=lambda r: r.id):
+        places.setdefault(r.lang, []).append(r.n)
+    assert sum(map(len, places.values())) == 301 and all(p == list(range(len(p))) for p in places.values())
+    plan = catalogue.QUERIES["batches_by_language"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__bucket" in plan  # no window over a whole language
