@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import code, files, hunks, pipeline, resolutions, runs
+from .plans import code, files, hunks, payloads, pipeline, resolutions, runs
 from .plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "code", "files", "hunks", "pipeline", "resolutions", "runs"]
+__all__ = ["ORACLES", "QUERIES", "code", "files", "hunks", "payloads", "pipeline", "resolutions", "runs"]

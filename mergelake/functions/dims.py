@@ -53,3 +53,40 @@ RETRY_RULES = [
     (["timeout", "deadline exceeded"], True), (["connection", "network"], True), (["rate limit", "too many requests", "429", "quota exceeded", "throttled"], True),
     (["500", "502", "503", "504", "internal server error", "service unavailable"], True), (["invalid", "not found", "unauthorized", "forbidden", "400", "401", "403"], False),
 ]
+# Names of text files without an extension; those that begin with a dot have one by the rule for extensions, and never match.
+TEXT_NAMES = ["Makefile", "Dockerfile", "README", "LICENSE", "CHANGELOG", "CONTRIBUTING", "AUTHORS", ".gitignore", ".gitattributes", ".editorconfig"]
+# Languages by extension, for applying (other: empty).
+APPLY_LANGUAGE = {"go": [".go"], "javascript": [".js"], "typescript": [".ts"], "python": [".py"], "java": [".java"], "c": [".c"], "cpp": [".cpp"], "csharp": [".cs"], "ruby": [".rb"], "php": [".php"], "rust": [".rs"]}
+# Signs of Go code: what a syntax check rejects, what handles an error, what opens a control structure, what speaks for idiom.
+GO_REJECTED = ["func (", "if {", ";;", "import ("]
+GO_HANDLED = ["if err != nil", "return err", "log.Fatal", "panic"]
+GO_CONTROL = ["if", "for", "switch", "select"]
+GO_ERRORS = ["if err != nil", "return err", "return nil, err"]
+GO_FUNCTION = r"^\s*func\s+(\w*\s*)?\w+\s*\([^)]*\).*"
+GO_TYPE = r"^\s*type\s+\w+\s+(struct|interface).*"
+PYTHON_CONTROL = ["if ", "for ", "while ", "def ", "class "]
+# Limits of a payload: bytes, files, conflicts of a file and of all, bytes of a line, lines of context and of a hunk.
+MAX_PAYLOAD, MAX_FILES, MAX_FILE_CONFLICTS, MAX_CONFLICTS, MAX_LINE, MAX_CONTEXT, MAX_HUNK_LINES, MAX_LINE_NUMBER = 10 * 1024 * 1024, 1000, 100, 5000, 10000, 50, 1000, 1000000
+# Messages of a payload's broken rules, by tag; the field and the limit are put in.
+RULE_MESSAGES = {
+    "required": "Field '%s' is required", "max": "Field '%s' exceeds maximum length of %s", "min": "Field '%s' is below minimum value of %s", "filepath": "Field '%s' contains invalid file path",
+    "language": "Field '%s' contains unsupported language", "conflict_id": "Field '%s' contains invalid conflict ID format", "safe_content": "Field '%s' contains unsafe content",
+    "repo_path": "Field '%s' contains invalid repository path", "gtfield": "Field '%s' must be greater than %s",
+}
+# Validation commands by type of project, in order: name, command, arguments, whether required.
+COMMANDS = {
+    "go": [("go_build", "go", "build ./...", True), ("go_test", "go", "test ./...", False), ("go_vet", "go", "vet ./...", False), ("gofmt", "gofmt", "-l .", False), ("staticcheck", "staticcheck", "./...", False), ("gosec", "gosec", "./...", False)],
+    "typescript": [("typescript_check", "tsc", "--noEmit", True), ("eslint", "eslint", ".", False), ("jest", "jest", "", False)],
+    "javascript": [("eslint", "eslint", ".", False), ("jest", "jest", "", False)],
+    "python": [("python_syntax", "python3", "-m py_compile .", True), ("pytest", "pytest", ".", False), ("flake8", "flake8", ".", False), ("mypy", "mypy", ".", False), ("black_check", "black", "--check .", False), ("bandit", "bandit", "-r .", False)],
+    "rust": [("cargo_build", "cargo", "build", True), ("cargo_test", "cargo", "test", False), ("cargo_clippy", "cargo", "clippy -- -D warnings", False), ("cargo_fmt_check", "cargo", "fmt -- --check", False)],
+}
+# Suggestions for a plain error: what its lower-cased text contains, and what to do.
+ERROR_HINTS = [
+    (["permission denied"], ["Check file permissions", "Run with appropriate privileges"]), (["network", "connection"], ["Check internet connection", "Verify network settings"]),
+    (["not found"], ["Verify the path exists", "Check spelling and case sensitivity"]),
+]
+# Suggestions for an answer's status code.
+STATUS_HINTS = {401: ["Check your API key", "Verify the API key has proper permissions"], 429: ["Wait before retrying", "Reduce request frequency"]} | {c: ["Retry the request", "Check API status page"] for c in (500, 502, 503, 504)}
+# Whether an error of a kind may be recovered from; an answer's status decides for api.
+RECOVERABLE = {"repository": True, "conflict": True, "filesystem": True, "validation": False, "authentication": True, "network": True, "configuration": True}

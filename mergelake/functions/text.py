@@ -103,3 +103,82 @@ def retryable(error: Column) -> Column:
     for parts, answer in reversed(dims.RETRY_RULES):
         out = F.when(contains_any(low, parts), F.lit(answer)).otherwise(out)
     return out
+
+
+def text_file(path: Column) -> Column:
+    """Whether a path is that of a text file, by its extension or, where it has no dot, its name."""
+    return F.when(F.contains(path, F.lit(".")), extension_of_path(path).isin(dims.TEXT_EXTENSIONS)).otherwise(base_name(path).isin(dims.TEXT_NAMES))
+
+
+def extension_of_path(path: Column) -> Column:
+    """From the last dot of a whole path."""
+    return F.regexp_extract(path, r"(\.[^.]*)\z", 1)
+
+
+def apply_language(path: Column) -> Column:
+    return mapped(F.lower(extension(path)), dims.APPLY_LANGUAGE, "")
+
+
+def is_go(path: Column) -> Column:
+    return F.endswith(F.lower(path), F.lit(".go"))
+
+
+def revision(name: Column) -> Column:
+    """Whether a revision's name is safe."""
+    return name.rlike(r"^[a-zA-Z0-9_-]+\z")
+
+
+def json_path(path: Column) -> Column:
+    """Whether JSON may be read from or written to a path; empty and - stand for the standard streams."""
+    return path.isin("", "-") | (~F.contains(path, F.lit("..")) & ~path.rlike(r"[;|&`$]"))
+
+
+def conflict_id(name: Column) -> Column:
+    return (F.octet_length(name) <= 100) & name.rlike(r"^[A-Za-z0-9:_./-]*\z")
+
+
+def safe_content(line: Column) -> Column:
+    """Whether a line is short enough and has no control characters but tab, line feed and carriage return."""
+    return (F.octet_length(line) <= dims.MAX_LINE) & ~line.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
+
+
+def repo_path(path: Column) -> Column:
+    return F.octet_length(path).between(1, 999) & ~path.rlike(r"[;|&`$\x00\r\n]")
+
+
+def hints(error: Column) -> Column:
+    """What to do about a plain error."""
+    none = F.array().cast("array<string>")
+    return F.flatten(F.array(*[F.when(contains_any(F.lower(error), parts), F.array(*map(F.lit, todo))).otherwise(none) for parts, todo in dims.ERROR_HINTS]))
+
+
+def status_hints(status: Column) -> Column:
+    """What to do about an answer's status code."""
+    out = F.array().cast("array<string>")
+    for code, todo in dims.STATUS_HINTS.items():
+        out = F.when(status == code, F.array(*map(F.lit, todo))).otherwise(out)
+    return out
+
+
+def recoverable(kind: Column, status: Column) -> Column:
+    """Whether an error of a kind may be recovered from."""
+    return F.when(kind == "api", status >= 500).otherwise(~kind.isin([k for k, ok in dims.RECOVERABLE.items() if not ok]))
+
+
+def register_predicates(spark) -> None:
+    """The five named predicates for SQL, is_filepath and so on: SQL functions, which the optimiser inlines."""
+    marks = " AND ".join(f"NOT contains(x, {_sql(t)})" for t in dims.UNSAFE_TOKENS) + " AND NOT x RLIKE '[\\\\x00\\\\n\\\\r]'"
+    prefixes = " AND ".join(f"NOT startswith(lower(x), '{t}')" for t in dims.UNSAFE_PREFIXES)
+    rules = {
+        "filepath": f"{marks} AND {prefixes} AND octet_length(x) BETWEEN 1 AND 499 AND x <> '/'",
+        "language": f"lower(x) IN ({', '.join(map(_sql, dims.LANGUAGES))})",
+        "conflict_id": "octet_length(x) <= 100 AND x RLIKE '^[A-Za-z0-9:_./-]*\\\\z'",
+        "safe_content": f"octet_length(x) <= {dims.MAX_LINE} AND NOT x RLIKE '[\\\\x00-\\\\x08\\\\x0B\\\\x0C\\\\x0E-\\\\x1F]'",
+        "repo_path": "octet_length(x) BETWEEN 1 AND 999 AND NOT x RLIKE '[;|&`$\\\\x00\\\\r\\\\n]'",
+    }
+    for name, body in rules.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION is_{name}(x STRING) RETURNS BOOLEAN RETURN {body}")
+
+
+def _sql(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -17,10 +17,9 @@ def splice(lines: Column, start: Column, end: Column, new: Column) -> Column:
 
 
 def splice_all(lines: Column, resolutions: Column) -> Column:
-    """All (start_line, end_line, resolved_lines) spliced, the last range first; null where one ends past the file."""
+    """All (start_line, end_line, resolved_lines) spliced, the last range first; null where one ends past the file as it is when its turn comes."""
     order = F.reverse(F.array_sort(resolutions))
-    done = F.aggregate(order, lines, lambda ls, r: splice(ls, r["start_line"], r["end_line"], r["resolved_lines"]))
-    return F.when(F.forall(resolutions, lambda r: r["end_line"] <= F.size(lines)), done)
+    return F.aggregate(order, lines, lambda ls, r: F.when(r["end_line"] <= F.size(ls), splice(ls, r["start_line"], r["end_line"], r["resolved_lines"])))
 
 
 def problem(path: Column, start: Column, end: Column, new: Column, confidence: Column) -> Column:
@@ -40,15 +39,22 @@ def tier(confidence: Column) -> Column:
     return F.when(confidence >= 0.8, "high").when(confidence >= 0.6, "medium").otherwise("low")
 
 
-def go_factor(code: Column) -> Column:
+def go_factor(lines: Column) -> Column:
     """How the looks of Go code change a confidence: syntax, signatures, imports, idiom."""
+    code = F.array_join(lines, "\n")
     balanced = reduce(lambda a, b: a & b, [T.imbalance(code, o, c) == 0 for o, c in ("{}", "()", "[]")])
-    syntax = balanced & ~T.contains_any(code, ["func (", "if {", ";;", "import ("])
-    names = F.transform(F.regexp_extract_all(code, F.lit(r"func (\w+)\("), F.lit(1)), lambda x: x)
+    syntax = balanced & ~T.contains_any(code, dims.GO_REJECTED)
+    names = F.filter(go_function_names(lines), lambda x: x != "")
     unique = F.size(names) == F.size(F.array_distinct(names))
-    imports = ~code.rlike(r'import "[^"\n]*(\n|\z)')
-    idiom = code.rlike(r"[A-Za-z]")
-    return F.when(syntax, 1.0).otherwise(0.3) * F.when(unique, 1.0).otherwise(0.7) * F.when(imports, 1.0).otherwise(0.8) * F.when(idiom, 1.1).otherwise(1.0)
+    cut = lambda x: x.rlike(r"^\s*import\s+") & F.contains(x, F.lit('import "')) & ~F.endswith(F.regexp_extract(x, r'import "(.*)\z', 1), F.lit('"'))
+    # Naming always counts one; one more of the others makes an idiom.
+    idiom = T.contains_any(code, dims.GO_ERRORS) | F.contains(code, F.lit("defer ")) | code.rlike(r"\b[a-z][a-zA-Z0-9]*\b") | code.rlike(r"\b[A-Z][A-Z0-9_]*\b")
+    return F.when(syntax, 1.0).otherwise(0.3) * F.when(unique, 1.0).otherwise(0.7) * F.when(F.exists(lines, cut), 0.8).otherwise(1.0) * F.when(idiom, 1.1).otherwise(1.0)
+
+
+def go_function_names(lines: Column) -> Column:
+    """The word after func of each line with a function's signature, up to its bracket."""
+    return F.transform(F.filter(lines, lambda x: x.rlike(dims.GO_FUNCTION)), lambda x: F.regexp_extract(x, r"^\s*func\s+([^\s(]*)", 1))
 
 
 def clamped(x: Column) -> Column:
@@ -60,11 +66,21 @@ def go_issues(lines: Column) -> dict[str, Column]:
     code = F.array_join(lines, "\n")
     trimmed = F.transform(lines, T.trimmed)
     incomplete = F.exists(trimmed, lambda x: x.rlike(r"func\s+\w+\([^)]*\)[^{]*\z") & ~F.contains(x, F.lit("{")))
-    handled = ["if err != nil", "return err", "log.Fatal", "panic"]
+    handled = dims.GO_HANDLED
     at = lambda i: F.coalesce(F.get(trimmed, i), F.lit(""))
     open_error = lambda i: F.contains(at(i), F.lit("(")) & F.contains(at(i), F.lit(")")) & F.contains(at(i), F.lit(", err")) & ~T.contains_any(at(i + 1), handled) & ~T.contains_any(at(i + 2), handled)
     unhandled = F.exists(F.sequence(F.lit(0), F.size(lines) - 1), open_error)
-    return {"incomplete_function": incomplete, "bad_declaration": T.contains_any(code, dims.BAD_DECLARATIONS), "type_mismatch": T.contains_any(code, dims.TYPE_MISMATCHES), "unhandled_error": unhandled, "bad_depth": ~depth_ok(lines)}
+    return {"incomplete_function": incomplete, "bad_declaration": T.contains_any(code, dims.BAD_DECLARATIONS), "type_mismatch": T.contains_any(code, dims.TYPE_MISMATCHES), "unhandled_error": unhandled, "bad_depth": ~depth_ok(lines), "open_control": F.exists(trimmed, open_control)}
+
+
+def open_control(line: Column) -> Column:
+    """Whether a trimmed line begins a control structure and has no brace."""
+    return line.rlike("^(" + "|".join(dims.GO_CONTROL) + r")[ (]") & ~F.contains(line, F.lit("{"))
+
+
+def go_broken(lines: Column) -> Column:
+    """Whether lines have any sign of broken Go code."""
+    return reduce(lambda a, b: a | b, go_issues(lines).values())
 
 
 def depth_ok(lines: Column) -> Column:

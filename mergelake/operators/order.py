@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Cuts are looked up in two steps of at most so many comparisons.
+FINE = 64
+#: Items that one task packs.
+PACK_BLOCK = 100_000
+
+
+def below(cuts: list, key: Column) -> Column:
+    """How many of the sorted cuts are below a key."""
+    if not cuts:
+        return F.lit(0)
+    array = lambda xs: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<bigint>")
+    coarse = F.size(F.filter(array(cuts[FINE - 1 :: FINE]), lambda c: c < key))
+    return coarse * FINE + F.size(F.filter(F.slice(array(cuts), coarse * FINE + 1, FINE), lambda c: c < key))
+
 
 def ordinal(df: DataFrame, key: str, name: str = "ordinal", within: str | None = None) -> DataFrame:
     """df with each row's place from 0 in the order of a unique integer key, among all rows or those of equal ``within``.
@@ -13,30 +29,83 @@ def ordinal(df: DataFrame, key: str, name: str = "ordinal", within: str | None =
     only as many rows as there are buckets meet in one task, and a value of within is in as many tasks as its rows have buckets."""
     buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = df.agg(F.percentile_approx(key, F.array(*[F.lit(k / buckets) for k in range(1, max(buckets, 2))]), 10_000)).first()[0] or []
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(key))) if cuts else F.lit(0)
-    placed = df.withColumn("__bucket", bucket)
+    placed = df.withColumn("__bucket", below(sorted(set(cuts)), F.col(key)))
     placed = placed.withColumn("__within", F.col(within) if within else F.lit(0))
     sizes = placed.groupBy("__within", "__bucket").agg(F.count("*").alias("__n"))
     before = sizes.select(F.col("__within").alias("__w"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(Window.partitionBy("__within").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     own = F.row_number().over(Window.partitionBy("__within", "__bucket").orderBy(key)) - 1
     same = (F.col("__bucket") == F.col("__b")) & F.col("__within").eqNullSafe(F.col("__w"))
-    return placed.withColumn("__own", own).join(F.broadcast(before), same).withColumn(name, (F.col("__before") + F.col("__own")).cast("long")).drop("__bucket", "__within", "__own", "__b", "__w", "__before")
-
-
-def packed(items: Column, most: int) -> Column:
-    """Greedy packing of (key, tokens) in order: the array with each one's batch.  An item that is too large has its own."""
-    state = F.struct(F.lit(0).alias("b"), F.lit(0).cast("bigint").alias("t"), F.lit(0).alias("n"), F.array().cast("array<struct<key:bigint,tokens:bigint,batch:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        full = (s["t"] + x["tokens"] > most) & (s["n"] > 0)
-        b, t = F.when(full, s["b"] + 1).otherwise(s["b"]), F.when(full, F.lit(0).cast("bigint")).otherwise(s["t"])
-        big = x["tokens"] > most
-        put = F.struct(x["key"].alias("key"), x["tokens"].alias("tokens"), b.alias("batch"))
-        return F.struct(
-            F.when(big, b + 1).otherwise(b).alias("b"),
-            F.when(big, F.lit(0).cast("bigint")).otherwise(t + x["tokens"]).alias("t"),
-            F.when(big, 0).otherwise(F.when(full, 0).otherwise(s["n"]) + 1).alias("n"),
-            F.concat(s["out"], F.array(put)).alias("out"),
-        )
-
-    return F.aggregate(items, state, step)["out"]
+    return placed.withColumn("__own", own).join(before, same).withColumn(name, (F.col("__before") + F.col("__own")).cast("long")).drop("__bucket", "__within", "__own", "__b", "__w", "__before")
+
+
+def chains(tokens: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a batch that begins at each of a block's items: where the next one begins (the block's size: not in it), how many batches begin from there on, and what the last one holds at the end (-1: it is closed)."""
+    n = len(tokens)
+    upto = np.r_[0, np.cumsum(tokens)]
+    after = np.maximum(np.searchsorted(upto, upto[:-1] + most, "right") - 1, np.arange(n) + 1)
+    count, held = np.ones(n, np.int64), np.empty(n, np.int64)
+    for i in range(n - 1, -1, -1):
+        j = after[i]
+        if j < n:
+            count[i], held[i] = count[j] + 1, held[j]
+        else:
+            held[i] = -1 if tokens[i] > most else upto[n] - upto[i]
+    return after, count, held
+
+
+def first_start(tokens: np.ndarray, most: int, held: int) -> int:
+    """Where the first batch of a block begins, if the one before holds so much (-1: none is open); the block's size if it takes all."""
+    if held < 0:
+        return 0
+    full = held + np.cumsum(tokens) > most
+    return int(full.argmax()) if full.any() else len(tokens)
+
+
+def packed(df: DataFrame, key: str, tokens: str, most: int, block: int = PACK_BLOCK) -> DataFrame:
+    """df with batch: greedy packing to most tokens in the order of a unique integer key, one sequence over all rows.  An item that is too large has a batch of its own.
+
+    How a block of items is packed depends on what came before only by where its first batch begins, which is at one of its first few items:
+    up to where a batch from the very first ends.  Each block lists the outcome of each, these lists are chained in order (rows: blocks times items of a batch),
+    and each block is then packed with what enters it."""
+    placed = ordinal(df, key, "__at").withColumn("__block", F.floor(F.col("__at") / block).cast("long"))
+    schema = df.select(key, tokens).schema
+    ways = "__block long, start long, least long, count long, held long"
+
+    def outcomes(key_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        t = rows.sort_values("__at")["__t"].to_numpy()
+        after, count, held = chains(t, most)
+        last = min(int(after[0]), len(t) - 1)
+        upto = np.cumsum(t)
+        # A batch begins at item s if what is held then exceeds the room before s, and not that before s - 1.
+        out = [(key_[0], s, most - int(upto[s]), int(count[s]), int(held[s])) for s in range(last + 1)]
+        out.append((key_[0], len(t), int(upto[-1]), 0, 0))
+        return pd.DataFrame(out, columns=["__block", "start", "least", "count", "held"])
+
+    def chained(rows: pd.DataFrame) -> pd.DataFrame:
+        out, held, batch = [], -1, -1
+        for block_, part in rows.sort_values(["__block", "start"]).groupby("__block"):
+            out.append((block_, held, batch))
+            *starts, whole = part.itertuples(index=False)
+            way = starts[0] if held < 0 else next((w for w in starts if held > w.least), None)
+            if way is None:
+                held += whole.least
+            else:
+                held, batch = way.held, batch + way.count
+        return pd.DataFrame(out, columns=["__block", "held", "batch"])
+
+    def filled(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("__at")
+        t, batch = rows["__t"].to_numpy(), int(entry["batch"].iloc[0]) if len(entry) else -1
+        at = first_start(t, most, int(entry["held"].iloc[0]))
+        out, after = np.full(len(t), batch), chains(t, most)[0]
+        while at < len(t):
+            batch += 1
+            out[at : after[at]] = batch
+            at = int(after[at])
+        return pd.DataFrame({"__k": rows["__k"], "__batch": out})
+
+    slim = placed.select("__block", "__at", F.col(key).alias("__k"), F.col(tokens).cast("long").alias("__t"))
+    by_block = slim.groupBy("__block")
+    entries = by_block.applyInPandas(outcomes, ways).withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(chained, "__block long, held long, batch long")
+    batches = by_block.cogroup(entries.groupBy("__block")).applyInPandas(filled, f"__k {schema[key].dataType.simpleString()}, __batch long")
+    return df.join(batches.withColumnRenamed("__k", key).withColumnRenamed("__batch", "batch"), key)

@@ -5,37 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HUNK = "struct<start_line:int,end_line:int,ours:array<string>,theirs:array<string>,base:array<string>>"
+from ..functions import text as T
+from . import apply
 
+BOUNDS = "struct<first:int,base:int,middle:int,last:int>"
 
-def hunks(lines: Column) -> Column:
-    """The conflict hunks of a file's lines: one ordered pass over them with the section as its state."""
-    none = F.array().cast("array<string>")
-    start = F.struct(
-        F.lit("OUT").alias("at"), F.lit(0).alias("n"), F.lit(0).alias("first"), none.alias("ours"), none.alias("theirs"), none.alias("base"), F.array().cast(f"array<{HUNK}>").alias("out")
-    )
 
-    def step(s: Column, line: Column) -> Column:
-        at, n = s["at"], s["n"] + 1
-        opens = (at == "OUT") & F.startswith(line, F.lit("<<<<<<<"))
-        to_base = (at == "OURS") & F.startswith(line, F.lit("|||||||"))
-        to_theirs = at.isin("OURS", "BASE") & (line == "=======")
-        closes = (at == "THEIRS") & F.startswith(line, F.lit(">>>>>>>"))
-        after = F.when(opens, "OURS").when(to_base, "BASE").when(to_theirs, "THEIRS").when(closes, "OUT").otherwise(at)
-        stays = (after == at) & (at != "OUT")
-        grown = lambda name, section: F.when(opens, none).when(stays & (at == section), F.concat(s[name], F.array(line))).otherwise(s[name])
-        hunk = F.struct(s["first"].alias("start_line"), n.alias("end_line"), s["ours"].alias("ours"), s["theirs"].alias("theirs"), s["base"].alias("base"))
+def hunks(lines: Column) -> Column:
+    """The conflict hunks of a file's lines, as (start_line, end_line, ours, theirs, base).
+
+    Only lines that look like markers are folded over, with the section as the state; a hunk is kept as the places of its markers,
+    and its lines are sliced out at the end, so the work is linear in the lines."""
+    kind = lambda x: F.when(F.startswith(x, F.lit("<<<<<<<")), 1).when(F.startswith(x, F.lit("|||||||")), 2).when(x == "=======", 3).when(F.startswith(x, F.lit(">>>>>>>")), 4).otherwise(0)
+    marks = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), kind(x).alias("kind"))), lambda m: m["kind"] > 0)
+    zero = F.lit(0)
+    start = F.struct(zero.alias("at"), zero.alias("first"), zero.alias("base"), zero.alias("middle"), F.array().cast(f"array<{BOUNDS}>").alias("out"))
+
+    def step(s: Column, m: Column) -> Column:
+        at, k, n = s["at"], m["kind"], m["n"]  # at: 0 outside, 1 ours, 2 base, 3 theirs
+        opens, to_base, to_theirs, closes = (at == 0) & (k == 1), (at == 1) & (k == 2), at.isin(1, 2) & (k == 3), (at == 3) & (k == 4)
+        hunk = F.struct(s["first"].alias("first"), s["base"].alias("base"), s["middle"].alias("middle"), n.alias("last"))
         return F.struct(
-            after.alias("at"),
-            n.alias("n"),
+            F.when(opens, 1).when(to_base, 2).when(to_theirs, 3).when(closes, 0).otherwise(at).alias("at"),
             F.when(opens, n).otherwise(s["first"]).alias("first"),
-            grown("ours", "OURS").alias("ours"),
-            grown("theirs", "THEIRS").alias("theirs"),
-            grown("base", "BASE").alias("base"),
+            F.when(opens, 0).when(to_base, n).otherwise(s["base"]).alias("base"),
+            F.when(to_theirs, n).otherwise(s["middle"]).alias("middle"),
             F.when(closes, F.concat(s["out"], F.array(hunk))).otherwise(s["out"]).alias("out"),
         )
 
-    return F.aggregate(lines, start, step)["out"]
+    between = lambda a, b: F.slice(lines, a + 1, b - a - 1)
+    cut = lambda h: F.struct(
+        h["first"].alias("start_line"), h["last"].alias("end_line"),
+        between(h["first"], F.when(h["base"] > 0, h["base"]).otherwise(h["middle"])).alias("ours"),
+        between(h["middle"], h["last"]).alias("theirs"),
+        F.when(h["base"] > 0, between(h["base"], h["middle"])).otherwise(F.array().cast("array<string>")).alias("base"),
+    )
+    return F.transform(F.aggregate(marks, start, step)["out"], cut)
 
 
 def hunk_rows(files: DataFrame) -> DataFrame:
@@ -43,49 +48,83 @@ def hunk_rows(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "path", "lines", F.posexplode(hunks(F.col("lines"))).alias("idx", "h")).select("doc_id", "path", "lines", F.col("idx").cast("long"), "h.*")
 
 
-RESOLUTIONS = "struct<resolutions:array<struct<file_path:string,start_line:int,end_line:int,resolved_lines:array<string>,confidence:double,reasoning:string,go_specific_notes:string>>>"
+RESOLUTION = "struct<file_path:string,start_line:int,end_line:int,resolved_lines:array<string>,confidence:double,reasoning:string>"
+ANSWER = "struct<resolutions:array<struct<file_path:string,start_line:int,end_line:int,resolved_lines:array<string>,confidence:double,reasoning:string,go_specific_notes:string>>,_corrupt:string>"
 
 
 def json_resolutions(text: Column) -> Column:
-    """The resolutions of an answer: what stands between its first opening and last closing brace, as JSON; null where that is none."""
-    return F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), RESOLUTIONS)["resolutions"]
+    """The resolutions of an answer: what stands between its first opening and last closing brace, as JSON; null where that is none.
+
+    Notes are added to the reasoning, and a Go file's resolution with a sign of broken code loses a fifth of its confidence."""
+    j = F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), ANSWER, {"columnNameOfCorruptRecord": "_corrupt"})
+
+    def whole(r: Column) -> Column:
+        path, why, notes, lines = (F.coalesce(r[c], F.lit("")) for c in ("file_path", "reasoning", "go_specific_notes", "file_path"))
+        lines = F.coalesce(r["resolved_lines"], F.array().cast("array<string>"))
+        noted = F.when(notes == "", why).when(why == "", F.concat(F.lit("Go-specific: "), notes)).otherwise(F.concat(why, F.lit(" [Go-specific: "), notes, F.lit("]")))
+        confidence = F.coalesce(r["confidence"], F.lit(0.0))
+        confidence = F.when(T.is_go(path) & apply.go_broken(lines), confidence * 0.8).otherwise(confidence)
+        number = lambda c: F.coalesce(r[c], F.lit(0))
+        return F.struct(path.alias("file_path"), number("start_line").alias("start_line"), number("end_line").alias("end_line"), lines.alias("resolved_lines"), confidence.alias("confidence"), noted.alias("reasoning"))
+
+    return F.when(j.isNotNull() & j["_corrupt"].isNull(), F.transform(F.coalesce(j["resolutions"], F.array().cast("array<struct<file_path:string,start_line:int,end_line:int,resolved_lines:array<string>,confidence:double,reasoning:string,go_specific_notes:string>>")), whole))
 
 
 def text_resolutions(text: Column) -> Column:
-    """Resolutions of a plain-text answer: a line with a file opens one, others fill it in; an array of (file_path, start_line, end_line, confidence)."""
-    kind = "struct<file_path:string,start_line:int,end_line:int,confidence:double>"
-    none = F.array().cast(f"array<{kind}>")
+    """The well-formed resolutions of a plain-text answer; null where there is none.
+
+    A line with a file opens one; lines with a range, a confidence or a reasoning fill it in; from the first that speaks of a resolution on,
+    lines are its content, but for blank ones, rules and comments."""
+    none = F.array().cast(f"array<{RESOLUTION}>")
+    no_lines = F.array().cast("array<string>")
+    blank = F.struct(F.lit("").alias("file_path"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), no_lines.alias("resolved_lines"), F.lit(0.5).cast("double").alias("confidence"), F.lit("").alias("reasoning"))
+    start = F.struct(F.lit(False).alias("is_open"), F.lit(False).alias("collecting"), blank.alias("now"), none.alias("out"))
 
     def step(s: Column, line: Column) -> Column:
         file = F.regexp_extract(line, r"(?i)file:?\s*(.+)", 1)
-        first, last = (F.regexp_extract(line, r"(?i)lines?\s*(\d+)-(\d+)", g) for g in (1, 2))
-        conf = F.regexp_extract(line, r"(?i)confidence:?\s*([0-9.]+)", 1)
-        head, tail = F.slice(s, 1, F.size(s) - 1), F.element_at(s, -1)
-        new = F.struct(file.alias("file_path"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.lit(0.5).alias("confidence"))
-        changed = F.struct(
-            tail["file_path"].alias("file_path"),
-            F.when(first != "", first.try_cast("int")).otherwise(tail["start_line"]).alias("start_line"),
-            F.when(last != "", last.try_cast("int")).otherwise(tail["end_line"]).alias("end_line"),
-            F.coalesce(F.when(conf != "", conf.try_cast("double")), tail["confidence"]).alias("confidence"),
+        opens = file != ""
+        is_open, collecting = s["is_open"] | opens, s["collecting"] & ~opens
+        old = lambda c: F.when(opens, blank[c]).otherwise(s["now"][c])
+        first, last = (F.when(~collecting, F.regexp_extract(line, r"(?i)lines?\s*(\d+)-(\d+)", g).try_cast("int")) for g in (1, 2))
+        why = T.trimmed(F.regexp_extract(line, r"(?i)reasoning:?\s*(.+)", 1))
+        begins = is_open & ~collecting & T.contains_any(F.lower(line), ["resolution", "resolved"])
+        content = is_open & collecting & (line != "") & ~T.contains_any(line, ["---", "==="]) & ~F.startswith(line, F.lit("#")) & ~F.startswith(line, F.lit("//"))
+        now = F.struct(
+            F.when(opens, T.trimmed(file)).otherwise(s["now"]["file_path"]).alias("file_path"),
+            F.coalesce(first, old("start_line")).alias("start_line"),
+            F.coalesce(last, old("end_line")).alias("end_line"),
+            F.when(content, F.concat(old("resolved_lines"), F.array(line))).otherwise(old("resolved_lines")).alias("resolved_lines"),
+            F.coalesce(F.regexp_extract(line, r"(?i)confidence:?\s*([0-9.]+)", 1).try_cast("double"), old("confidence")).alias("confidence"),
+            F.when(why != "", why).otherwise(old("reasoning")).alias("reasoning"),
         )
-        return F.when(file != "", F.concat(s, F.array(new))).when(F.size(s) > 0, F.concat(head, F.array(changed))).otherwise(s)
+        out = F.when(opens & s["is_open"], F.concat(s["out"], F.array(s["now"]))).otherwise(s["out"])
+        return F.struct(is_open.alias("is_open"), (collecting | begins).alias("collecting"), F.when(is_open, now).otherwise(s["now"]).alias("now"), out.alias("out"))
+
+    trimmed = F.transform(F.split(text, "\n", -1), T.trimmed)
+    every = F.aggregate(trimmed, start, step, lambda s: F.when(s["is_open"], F.concat(s["out"], F.array(s["now"]))).otherwise(s["out"]))
+    good = F.filter(every, lambda r: apply.problem(r["file_path"], r["start_line"], r["end_line"], r["resolved_lines"], r["confidence"]) == "")
+    return F.when(F.size(good) > 0, good)
+
 
-    trimmed = F.transform(F.split(text, "\n", -1), lambda x: F.trim(x))
-    return F.aggregate(trimmed, none, step)
+def answer_resolutions(text: Column) -> Column:
+    """JSON where an answer has it, and else plain text."""
+    return F.coalesce(json_resolutions(text), text_resolutions(text))
 
 
 def diff_rows(diffs: DataFrame) -> DataFrame:
-    """(doc_id, file_no, hunk_no, old_start, old_lines, new_start, new_lines, header, added, removed) of unified diffs (doc_id, text); every hunk counts, the last of each file too."""
+    """(doc_id, file_no, hunk_no, old_path, new_path, old_start, old_lines, new_start, new_lines, header, added, removed) of unified diffs (doc_id, text); every hunk counts, the last of each file too."""
     each = diffs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
     order = Window.partitionBy("doc_id").orderBy("n")
     head = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)\z"
     each = each.withColumn("file_no", F.sum(F.when(F.startswith("line", F.lit("diff --git ")), 1).otherwise(0)).over(order)).withColumn("is_head", F.col("line").rlike(head))
+    named = lambda g: F.last(F.when(F.startswith("line", F.lit("diff --git ")), F.regexp_extract("line", r"^diff --git a/(.*) b/(.*)\z", g)), ignorenulls=True).over(order)
+    each = each.withColumn("old_path", named(1)).withColumn("new_path", named(2))
     each = each.withColumn("hunk_no", F.sum(F.when(F.col("is_head"), 1).otherwise(0)).over(Window.partitionBy("doc_id", "file_no").orderBy("n"))).filter("hunk_no > 0")
     part = lambda g: F.max(F.when(F.col("is_head"), F.regexp_extract("line", head, g)))
     number = lambda g: F.coalesce(F.when(part(g) != "", part(g).cast("long")), F.lit(1).cast("long"))
     count = lambda c: F.count_if(~F.col("is_head") & F.startswith("line", F.lit(c))).cast("long")
     return each.groupBy("doc_id", "file_no", "hunk_no").agg(
-        number(1).alias("old_start"), number(2).alias("old_lines"), number(3).alias("new_start"), number(4).alias("new_lines"), F.trim(part(5)).alias("header"), count("+").alias("added"), count("-").alias("removed")
+        F.max("old_path").alias("old_path"), F.max("new_path").alias("new_path"), number(1).alias("old_start"), number(2).alias("old_lines"), number(3).alias("new_start"), number(4).alias("new_lines"), F.trim(part(5)).alias("header"), count("+").alias("added"), count("-").alias("removed")
     )
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions import text as T
-from ..operators import order
+from ..operators import order, parse
 from ..sources import views as V
 from ..sources.views import quoted, sql
 from .registry import query
@@ -25,6 +27,7 @@ def sql_map(ext: str, table: dict[str, list[str]], other: str) -> str:
 
 DETECT_LANG = sql_map(f"lower({EXT})", dims.DETECT_LANGUAGE, "'text'")
 PAYLOAD_LANG = sql_map(f"lower({EXT})", dims.PAYLOAD_LANGUAGE, "CASE WHEN ends_with(lower(path), 'dockerfile') THEN 'dockerfile' WHEN ends_with(lower(path), 'makefile') THEN 'makefile' ELSE 'text' END")
+APPLY_LANG = sql_map(f"lower({EXT})", dims.APPLY_LANGUAGE, "''")
 PAYLOAD_EXCLUDED = f"({sql_any('path', dims.PAYLOAD_EXCLUDED)} OR list_contains({quoted(dims.BINARY_EXTENSIONS)}, lower({EXT})))"
 IS_CONFLICT = f"list_contains({quoted(dims.CONFLICT_STATUS)}, line[1:2])"
 
@@ -57,17 +60,21 @@ def payload_excluded_files(spark, sf_dir):
     return V.files(spark, sf_dir).select("doc_id", "path").filter(T.payload_excluded(F.col("path")))
 
 
-@query(sql(f", x AS (SELECT {EXT} AS ext, {DETECT_LANG} AS detect_language, {PAYLOAD_LANG} AS payload_language FROM files) SELECT ext, detect_language, payload_language, count(*) AS files FROM x WHERE detect_language <> payload_language GROUP BY ALL", "files"))
+@query(sql(f", x AS (SELECT {EXT} AS ext, {DETECT_LANG} AS detect_language, {PAYLOAD_LANG} AS payload_language, {APPLY_LANG} AS apply_language FROM files) SELECT ext, detect_language, payload_language, apply_language, count(*) AS files FROM x WHERE detect_language <> payload_language OR detect_language <> apply_language GROUP BY ALL", "files"))
 def language_map_disagreement(spark, sf_dir):
     path = F.col("path")
-    rows = V.files(spark, sf_dir).select(T.extension(path).alias("ext"), T.detect_language(path).alias("detect_language"), T.payload_language(path).alias("payload_language"))
-    return rows.filter("detect_language <> payload_language").groupBy("ext", "detect_language", "payload_language").agg(F.count("*").alias("files"))
+    rows = V.files(spark, sf_dir).select(T.extension(path).alias("ext"), T.detect_language(path).alias("detect_language"), T.payload_language(path).alias("payload_language"), T.apply_language(path).alias("apply_language"))
+    return rows.filter("detect_language <> payload_language OR detect_language <> apply_language").groupBy("ext", "detect_language", "payload_language", "apply_language").agg(F.count("*").alias("files"))
+
 
+NAMED = "CASE doc_id % 7 WHEN 0 THEN 'docs/README' WHEN 1 THEN 'Makefile' WHEN 2 THEN '.gitignore' WHEN 3 THEN 'a.b/LICENSE' ELSE path END"
 
-@query(sql(f"SELECT doc_id, path, {EXT} AS ext FROM files WHERE list_contains({quoted(dims.TEXT_EXTENSIONS)}, {EXT})", "files"))
+
+@query(sql(rf", n AS (SELECT doc_id, {NAMED} AS path FROM files) SELECT doc_id, path FROM n WHERE CASE WHEN contains(path, '.') THEN list_contains({quoted(dims.TEXT_EXTENSIONS)}, regexp_extract(path, '(\.[^.]*)$', 1)) ELSE list_contains({quoted(dims.TEXT_NAMES)}, regexp_extract(path, '([^/]*)$', 1)) END", "files"))
 def text_file_filter(spark, sf_dir):
-    ext = T.extension(F.col("path"))
-    return V.files(spark, sf_dir).select("doc_id", "path", ext.alias("ext")).filter(F.col("ext").isin(dims.TEXT_EXTENSIONS))
+    i = F.col("doc_id") % 7
+    path = F.when(i == 0, "docs/README").when(i == 1, "Makefile").when(i == 2, ".gitignore").when(i == 3, "a.b/LICENSE").otherwise(F.col("path"))
+    return V.files(spark, sf_dir).select("doc_id", path.alias("path")).filter(T.text_file(F.col("path")))
 
 
 PATHS = """, paths AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN '../' || page_id WHEN 1 THEN 'src/a b' || page_id WHEN 2 THEN '/etc/p' || page_id WHEN 3 THEN 'src/x' || page_id || '.go' WHEN 4 THEN 'a;b' || page_id ELSE url END AS path FROM pages) """
@@ -86,12 +93,14 @@ def paths(spark, sf_dir):
     + PATHS[2:]
     + rf"""SELECT page_id, path, regexp_matches(path, '^[a-zA-Z0-9._/-]+$') AND NOT contains(path, '..') AND NOT starts_with(path, '/') AS strict_ok,
   length(path) > 0 AND NOT regexp_matches(path, '[;|&`$]') AS git_ok, NOT {sql_any('path', dims.UNSAFE_TOKENS)} AND NOT ({" OR ".join(f"starts_with(lower(path), '{p}')" for p in dims.UNSAFE_PREFIXES)})
-  AND strlen(path) BETWEEN 1 AND 499 AND path <> '/' AS payload_ok, strlen(path) BETWEEN 1 AND 999 AND NOT regexp_matches(path, '[;|&`$]') AS repo_ok FROM paths"""
+  AND strlen(path) BETWEEN 1 AND 499 AND path <> '/' AS payload_ok, strlen(path) BETWEEN 1 AND 999 AND NOT regexp_matches(path, '[;|&`$]') AS repo_ok,
+  regexp_matches(regexp_extract(path, '([^/]*)$', 1), '^[a-zA-Z0-9_-]+$') AS revision_ok, NOT contains(path, '..') AND NOT regexp_matches(path, '[;|&`$]') AS json_ok FROM paths"""
 )
 def path_guard(spark, sf_dir):
     p = F.col("path")
-    size = F.octet_length(p)
-    return paths(spark, sf_dir).select("page_id", "path", T.strict_path(p).alias("strict_ok"), T.shell_safe(p).alias("git_ok"), T.payload_path(p).alias("payload_ok"), (size.between(1, 999) & ~p.rlike(r"[;|&`$\x00\r\n]")).alias("repo_ok"))
+    return paths(spark, sf_dir).select(
+        "page_id", "path", T.strict_path(p).alias("strict_ok"), T.shell_safe(p).alias("git_ok"), T.payload_path(p).alias("payload_ok"), T.repo_path(p).alias("repo_ok"), T.revision(T.base_name(p)).alias("revision_ok"), T.json_path(p).alias("json_ok")
+    )
 
 
 @query(
@@ -107,25 +116,40 @@ def hunk_context_window(spark, sf_dir):
     return rows.select("doc_id", "n", around(-3, -1).alias("pre_md5"), around(1, 3).alias("post_md5"))
 
 
+#: Names of payload languages in order, which break ties between batches.
+NAMES = sorted({*dims.PAYLOAD_LANGUAGE, "text"})
+COUNTED = f"counted AS (SELECT c.doc_id, c.path, {PAYLOAD_LANG} AS language, coalesce(k.n, 0) AS n FROM conflicts c LEFT JOIN (SELECT doc_id, count(*) AS n FROM hunks GROUP BY 1) k USING (doc_id) WHERE NOT {PAYLOAD_EXCLUDED})"
+
+
+def counted(spark, sf_dir):
+    """(doc_id, path, language, n) of the files of a payload, with their number of hunks."""
+    rows = V.conflicts(spark, sf_dir).filter(~T.payload_excluded(F.col("path")))
+    return rows.select("doc_id", "path", T.payload_language(F.col("path")).alias("language"), F.size(parse.hunks(F.col("lines"))).cast("long").alias("n"))
+
+
 @query(
     sql(
-        f""", x AS (SELECT {PAYLOAD_LANG} AS language, floor((row_number() OVER (PARTITION BY {PAYLOAD_LANG} ORDER BY doc_id) - 1) / 10)::BIGINT AS chunk, doc_id FROM files)
-SELECT language, chunk, count(*) AS n_files, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM x GROUP BY ALL""",
-        "files",
+        f""", {COUNTED}, x AS (SELECT *, floor((row_number() OVER (PARTITION BY language ORDER BY doc_id) - 1) / 10)::BIGINT AS chunk FROM counted),
+b AS (SELECT language, chunk, count(*) AS n_files, min(doc_id) AS first_doc, max(doc_id) AS last_doc, sum(n)::BIGINT AS total_conflicts FROM x GROUP BY ALL)
+SELECT *, row_number() OVER (ORDER BY total_conflicts DESC, language, chunk) - 1 AS place FROM b""",
+        "hunks",
     )
 )
 def batches_by_language(spark, sf_dir):
-    """Ten files to a batch within each language."""
-    rows = V.files(spark, sf_dir).select("doc_id", T.payload_language(F.col("path")).alias("language"))
-    placed = order.ordinal(rows, "doc_id", within="language")
-    return placed.withColumn("chunk", F.floor(F.col("ordinal") / 10).cast("long")).groupBy("language", "chunk").agg(F.count("*").alias("n_files"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    """Ten files to a batch within each language; batches with the most hunks come first, ties by language and chunk."""
+    placed = order.ordinal(counted(spark, sf_dir), "doc_id", within="language")
+    batches = placed.withColumn("chunk", F.floor(F.col("ordinal") / 10).cast("long")).groupBy("language", "chunk")
+    batches = batches.agg(F.count("*").alias("n_files"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.sum("n").alias("total_conflicts"))
+    name = F.array_position(F.array(*map(F.lit, NAMES)), F.col("language"))
+    key = -F.col("total_conflicts") * F.lit(1 << 40) + name * F.lit(1 << 32) + F.col("chunk")
+    return order.ordinal(batches.withColumn("__key", key), "__key", "place").drop("__key")
 
 
-@query(sql("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS file_index, doc_id, len(string_split(content, chr(10)))::BIGINT AS priority FROM files", "files"))
+@query(sql(f", {COUNTED}, i AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS file_index, * FROM counted) SELECT file_index, doc_id, n AS priority, 'file:' || path AS criteria, row_number() OVER (ORDER BY n DESC, file_index) - 1 AS place FROM i", "hunks"))
 def batches_by_file(spark, sf_dir):
-    """One file to a batch, its lines as the priority; the index is its place among all."""
-    rows = V.files(spark, sf_dir).select("doc_id", F.size(T.lines(F.col("content"))).cast("long").alias("priority"))
-    return order.ordinal(rows, "doc_id", "file_index").select("file_index", "doc_id", "priority")
+    """One file to a batch, its hunks as the priority; the largest come first, ties by the place in the input, which is the batch's id."""
+    rows = order.ordinal(counted(spark, sf_dir), "doc_id", "file_index").select("file_index", "doc_id", F.col("n").alias("priority"), F.concat(F.lit("file:"), "path").alias("criteria"))
+    return order.ordinal(rows.withColumn("__key", -F.col("priority") * F.lit(1 << 40) + F.col("file_index")), "__key", "place").drop("__key")
 
 
 @query(sql(", x AS (SELECT doc_id, floor((row_number() OVER (ORDER BY doc_id) - 1) / 25)::BIGINT AS batch FROM files) SELECT batch, count(*) AS n_files, min(doc_id) AS first_doc FROM x GROUP BY batch", "files"))
@@ -148,20 +172,19 @@ def estimate_tokens(spark, sf_dir):
 
 @query(
     sql(
-        f""", t AS (SELECT doc_id, doc_id // 500 AS run, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) AS n, {TOKENS} AS tokens FROM files),
-p(run, n, batch, used, held) AS (SELECT DISTINCT run, 0::BIGINT, 0, 0::BIGINT, 0 FROM t
-  UNION ALL SELECT p.run, t.n, CASE WHEN t.tokens > 3000 THEN 1 ELSE 0 END + CASE WHEN p.used + t.tokens > 3000 AND p.held > 0 THEN p.batch + 1 ELSE p.batch END,
+        f""", t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, {TOKENS} AS tokens FROM files),
+p(n, batch, used, held) AS (SELECT 0::BIGINT, 0, 0::BIGINT, 0
+  UNION ALL SELECT t.n, CASE WHEN t.tokens > 3000 THEN 1 ELSE 0 END + CASE WHEN p.used + t.tokens > 3000 AND p.held > 0 THEN p.batch + 1 ELSE p.batch END,
     CASE WHEN t.tokens > 3000 THEN 0 WHEN p.used + t.tokens > 3000 AND p.held > 0 THEN t.tokens ELSE p.used + t.tokens END,
-    CASE WHEN t.tokens > 3000 THEN 0 WHEN p.used + t.tokens > 3000 AND p.held > 0 THEN 1 ELSE p.held + 1 END FROM p JOIN t ON t.run = p.run AND t.n = p.n + 1)
-SELECT t.doc_id, t.run, (p.batch - CASE WHEN t.tokens > 3000 THEN 1 ELSE 0 END)::INT AS batch, t.tokens FROM p JOIN t ON t.run = p.run AND t.n = p.n""",
+    CASE WHEN t.tokens > 3000 THEN 0 WHEN p.used + t.tokens > 3000 AND p.held > 0 THEN 1 ELSE p.held + 1 END FROM p JOIN t ON t.n = p.n + 1)
+SELECT t.doc_id, (p.batch - CASE WHEN t.tokens > 3000 THEN 1 ELSE 0 END)::BIGINT AS batch, t.tokens FROM p JOIN t ON t.n = p.n""",
         "files",
     )
 )
 def batches_by_size(spark, sf_dir):
-    """Greedy packing to 3000 tokens a batch, within runs of 500 files: the fold is ordered, so a run is bounded and runs are spread."""
-    rows = V.files(spark, sf_dir).select((F.floor(F.col("doc_id") / 500)).cast("long").alias("run"), F.struct(F.col("doc_id").alias("key"), tokens().alias("tokens")).alias("x"))
-    runs = rows.groupBy("run").agg(order.packed(F.array_sort(F.collect_list("x")), 3000).alias("p"))
-    return runs.select("run", F.explode("p").alias("q")).select(F.col("q.key").alias("doc_id"), "run", "q.batch", "q.tokens")
+    """Greedy packing to 3000 tokens a batch, one sequence over all files."""
+    rows = V.files(spark, sf_dir).select("doc_id", tokens().alias("tokens"))
+    return order.packed(rows, "doc_id", "tokens", 3000).select("doc_id", "batch", "tokens")
 
 
 REGISTRY = " UNION ALL ".join(f"SELECT {k} AS ordinal, '{n}' AS formatter, unnest({quoted(e)}) AS ext" for k, (n, e) in enumerate(dims.FORMATTERS))
@@ -172,12 +195,55 @@ def registry(spark):
     return spark.createDataFrame(rows, "ordinal int, formatter string, ext string")
 
 
-@query(sql(f", reg AS ({REGISTRY}), best AS (SELECT ext, arg_min(formatter, ordinal) AS formatter FROM reg WHERE formatter <> 'eslint' GROUP BY ext) SELECT doc_id, path, coalesce(formatter, 'none') AS formatter FROM files LEFT JOIN best ON best.ext = lower(substr({EXT}, 2))", "files"))
+#: Options of a formatting run: its name, the formatters it prefers and those it excludes.
+OPTIONS = [("plain", [], ["eslint"]), ("preferring", ["prettier", "rustfmt", "eslint"], ["eslint"]), ("falling back", ["eslint"], ["eslint"])]
+
+
+def eligible(spark, options: str, prefer: list[str], exclude: list[str]):
+    """The registry's formatters for a run: the preferred ones that are not excluded, or all that are not excluded where that leaves none."""
+    allowed = registry(spark).filter(~F.col("formatter").isin(exclude or [""])).withColumn("preferred", F.col("formatter").isin(prefer or [""]))
+    some = allowed.agg(F.bool_or("preferred").alias("some"))
+    return allowed.crossJoin(F.broadcast(some)).filter("preferred OR NOT some").select(F.lit(options).alias("options"), "ext", "formatter", "ordinal")
+
+
+SQL_OPTIONS = " UNION ALL ".join(f"SELECT '{o}' AS options, {quoted(p)}::VARCHAR[] AS prefer, {quoted(e)}::VARCHAR[] AS exclude" for o, p, e in OPTIONS)
+
+
+@query(sql(f""", reg AS ({REGISTRY}), opts AS ({SQL_OPTIONS}), allowed AS (SELECT options, ext, formatter, ordinal, list_contains(prefer, formatter) AS preferred FROM opts, reg WHERE NOT list_contains(exclude, formatter)),
+elig AS (SELECT * FROM allowed QUALIFY preferred OR NOT bool_or(preferred) OVER (PARTITION BY options)), best AS (SELECT options, ext, arg_min(formatter, ordinal) AS formatter FROM elig GROUP BY ALL)
+SELECT doc_id, path, o.options, coalesce(formatter, 'none') AS formatter FROM files CROSS JOIN opts o LEFT JOIN best b ON b.options = o.options AND b.ext = lower(substr({EXT}, 2))""", "files"))
 def formatter_selection(spark, sf_dir):
-    """The first formatter in the registry's order that is not excluded, for each file's extension."""
-    best = registry(spark).filter("formatter <> 'eslint'").groupBy("ext").agg(F.min_by("formatter", "ordinal").alias("formatter"))
-    rows = V.files(spark, sf_dir).select("doc_id", "path", F.lower(F.substring(T.extension(F.col("path")), 2, 64)).alias("ext"))
-    return rows.join(F.broadcast(best), "ext", "left").select("doc_id", "path", F.coalesce("formatter", F.lit("none")).alias("formatter"))
+    """The first formatter in the registry's order that a run may use, for each file's extension and each run's options."""
+    best = reduce(lambda a, b: a.unionByName(b), [eligible(spark, *o) for o in OPTIONS]).groupBy("options", "ext").agg(F.min_by("formatter", "ordinal").alias("formatter"))
+    rows = V.files(spark, sf_dir).select("doc_id", "path", F.lower(F.substring(T.extension(F.col("path")), 2, 64)).alias("ext"), F.explode(F.array(*[F.lit(o) for o, *_ in OPTIONS])).alias("options"))
+    return rows.join(F.broadcast(best), ["options", "ext"], "left").select("doc_id", "path", "options", F.coalesce("formatter", F.lit("none")).alias("formatter"))
+
+
+#: Extensions that a run takes only, and those it leaves out; as the user wrote them, so one with a dot matches nothing.
+FILTERS = [("all", [], []), ("included", ["go", ".py", "js", "md"], ["md"]), ("excluded", [], ["tsx", "json"])]
+SQL_FILTERS = " UNION ALL ".join(f"SELECT '{n}' AS options, {quoted(i)}::VARCHAR[] AS inc, {quoted(e)}::VARCHAR[] AS exc" for n, i, e in FILTERS)
+
+
+@query(sql(f""", reg AS (SELECT DISTINCT ext FROM ({REGISTRY})), f AS (SELECT doc_id, path, lower(substr({EXT}, 2)) AS ext FROM files)
+SELECT doc_id, path, options FROM f JOIN reg USING (ext) CROSS JOIN ({SQL_FILTERS}) WHERE (len(inc) = 0 OR list_contains(inc, ext)) AND NOT list_contains(exc, ext)""", "files"))
+def formattable_files(spark, sf_dir):
+    """Files whose extension a formatter supports and a run's lists let through."""
+    known = registry(spark).select("ext").distinct()
+    rows = V.files(spark, sf_dir).select("doc_id", "path", F.lower(F.substring(T.extension(F.col("path")), 2, 64)).alias("ext")).join(F.broadcast(known), "ext", "left_semi")
+    lets = [F.when((F.col("ext").isin(inc) if inc else F.lit(True)) & (~F.col("ext").isin(exc) if exc else F.lit(True)), F.lit(n)) for n, inc, exc in FILTERS]
+    return rows.select("doc_id", "path", F.explode(F.array_compact(F.array(*lets))).alias("options"))
+
+
+@query("""WITH c AS (SELECT source, doc_id, unnest([CASE WHEN doc_id % 11 = 0 AND source IN ('src0', 'src1') THEN 0 END, CASE WHEN doc_id % 7 = 0 AND source IN ('src1', 'src2', 'src3') THEN 1 END, 2]) AS rank FROM documents WHERE doc_id % 13 <> 5)
+SELECT source, doc_id, ['explicit', 'recent', 'all'][rank + 1] AS kind FROM c WHERE rank IS NOT NULL QUALIFY rank = min(rank) OVER (PARTITION BY source)""")
+def file_list_choice(spark, sf_dir):
+    """The files of a run that are there: the ones it names, else the recent ones, else all."""
+    i, s = F.col("doc_id"), F.col("source")
+    named, recent = F.when((i % 11 == 0) & s.isin("src0", "src1"), 0), F.when((i % 7 == 0) & s.isin("src1", "src2", "src3"), 1)
+    rows = V.table(spark, sf_dir, "documents").filter("doc_id % 13 <> 5").select("source", "doc_id", F.explode(F.array_compact(F.array(named, recent, F.lit(2)))).alias("rank"))
+    first = rows.groupBy("source").agg(F.min("rank").alias("first"))
+    kind = F.element_at(F.array(F.lit("explicit"), F.lit("recent"), F.lit("all")), F.col("rank") + 1)
+    return rows.join(first, "source").filter("rank = first").select("source", "doc_id", kind.alias("kind"))
 
 
 @query(f"WITH reg AS ({REGISTRY}) SELECT ext, min(ordinal) AS first_seen, count(*) AS formatters FROM reg GROUP BY ext")
@@ -194,12 +260,15 @@ def format_rollup(spark, sf_dir):
     return rows.agg(F.count("*").alias("processed"), F.count_if(~failed).alias("formatted"), F.count_if(failed).alias("failed"), (F.count_if(failed) == 0).alias("success"))
 
 
-@query("SELECT 'src/o_' || o_custkey || '.go' AS path, max(o_orderdate::DATE)::VARCHAR AS last_change FROM orders WHERE o_orderdate::DATE >= DATE '1998-01-01' - INTERVAL 400 DAY AND o_custkey % 3 <> 0 GROUP BY 1")
+@query("""WITH r AS (SELECT o_custkey, max(o_orderdate::DATE) AS day FROM orders WHERE o_orderdate::DATE >= DATE '1998-01-01' - INTERVAL 400 DAY AND o_custkey % 3 <> 0 GROUP BY 1)
+SELECT 'src/o_' || o_custkey || '.go' AS path, day::VARCHAR AS last_change, row_number() OVER (ORDER BY day DESC, o_custkey) - 1 AS place FROM r""")
 def recent_files(spark, sf_dir):
-    """Distinct files changed in the 400 days before a fixed day that still exist."""
+    """Distinct files changed in the 400 days before a fixed day that still exist, in the order in which a log from the newest change on names them first."""
     changed = V.table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day")).filter(F.col("day") >= F.date_sub(F.lit("1998-01-01").cast("date"), 400))
     present = V.table(spark, sf_dir, "orders").select("o_custkey").filter("o_custkey % 3 <> 0").distinct()
-    return changed.join(present, "o_custkey", "left_semi").groupBy(F.concat(F.lit("src/o_"), F.col("o_custkey").cast("string"), F.lit(".go")).alias("path")).agg(F.max("day").cast("string").alias("last_change"))
+    changed = changed.join(present, "o_custkey", "left_semi").groupBy("o_custkey").agg(F.max("day").alias("day"))
+    placed = order.ordinal(changed.withColumn("key", -F.unix_date("day").cast("long") * F.lit(1 << 40) + F.col("o_custkey")), "key", "place")
+    return placed.select(F.concat(F.lit("src/o_"), F.col("o_custkey").cast("string"), F.lit(".go")).alias("path"), F.col("day").cast("string").alias("last_change"), "place")
 
 
 MARKER = "(" + quoted([m for m, _ in dims.PROJECT_MARKERS]) + ")"
@@ -215,22 +284,38 @@ def project_discovery(spark, sf_dir):
     return listing.join(F.broadcast(markers), "file").groupBy("repo").agg(F.min_by("type", "priority").alias("type"), F.countDistinct("file").alias("config_files"))
 
 
-@query(f"""WITH m AS (SELECT doc_id, ['test: all', '# build: no', 'lint :', 'other: x', 'check:' || doc_id, 'plain']::VARCHAR[] AS lines FROM documents), l AS (SELECT doc_id, unnest(lines) AS line FROM m),
+@query(f"""WITH l AS (SELECT doc_id, unnest(list_concat(['test: all', '# build: no', 'lint :', 'other: x', 'check:' || doc_id, 'plain']::VARCHAR[], string_split(text, chr(10)))) AS line FROM documents),
 t AS (SELECT doc_id, trim(string_split(line, ':')[1]) AS target FROM l WHERE contains(line, ':') AND NOT starts_with(line, '#')) SELECT target, count(*) AS n FROM t WHERE list_contains({quoted(dims.MAKE_TARGETS)}, target) GROUP BY target""")
 def npm_make_targets(spark, sf_dir):
-    lines = F.array(F.lit("test: all"), F.lit("# build: no"), F.lit("lint :"), F.lit("other: x"), F.concat(F.lit("check:"), F.col("doc_id").cast("string")), F.lit("plain"))
-    rows = V.table(spark, sf_dir, "documents").select(F.explode(lines).alias("line")).filter(F.contains("line", F.lit(":")) & ~F.startswith("line", F.lit("#")))
-    return rows.select(F.trim(F.split("line", ":")[0]).alias("target")).filter(F.col("target").isin(dims.MAKE_TARGETS)).groupBy("target").agg(F.count("*").alias("n"))
+    lines = F.concat(F.array(F.lit("test: all"), F.lit("# build: no"), F.lit("lint :"), F.lit("other: x"), F.concat(F.lit("check:"), F.col("doc_id").cast("string")), F.lit("plain")), T.lines(F.col("text")))
+    rows = V.table(spark, sf_dir, "documents").select(F.explode(lines).alias("line"))
+    return make_targets(rows).groupBy("target").agg(F.count("*").alias("n"))
 
 
-@query("""WITH s AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ['lint', 'test', 'deploy'] WHEN 1 THEN ['build'] WHEN 2 THEN ['start'] ELSE ['format', 'type-check', 'build'] END AS names FROM documents)
-SELECT doc_id, array_to_string(list_filter(['test', 'build', 'lint', 'type-check', 'format'], lambda x: list_contains(names, x)), ',') AS scripts FROM s""")
-def scripts_allow_list(spark, sf_dir):
-    """The known scripts of a package file's JSON, in their fixed order."""
-    i = F.col("doc_id")
-    text = F.when(i % 4 == 0, '{"scripts":{"lint":"a","test":"b","deploy":"c"}}').when(i % 4 == 1, '{"scripts":{"build":"a"}}').when(i % 4 == 2, '{"scripts":{"start":"a"}}').otherwise('{"scripts":{"format":"a","type-check":"b","build":"c"}}')
+def make_targets(rows):
+    """The known targets that lines of make files name."""
+    rows = rows.filter(F.contains("line", F.lit(":")) & ~F.startswith("line", F.lit("#")))
+    return rows.withColumn("target", F.trim(F.split("line", ":")[0])).filter(F.col("target").isin(dims.MAKE_TARGETS))
+
+
+PACKAGE = """CASE doc_id % 4 WHEN 0 THEN '{"name":"a","scripts":{"lint":"a","test":"b","deploy":"c"}}' WHEN 1 THEN '{"scripts":{"build":"a"}}' WHEN 2 THEN '{"scripts":{"start":"a"}}' ELSE '{"scripts":{"format":"a","type-check":"b","build":"c"},"private":true}' END"""
+
+
+def package_text(i):
+    """The package file of a number, as JSON."""
+    text = F.when(i % 4 == 0, '{"name":"a","scripts":{"lint":"a","test":"b","deploy":"c"}}').when(i % 4 == 1, '{"scripts":{"build":"a"}}').when(i % 4 == 2, '{"scripts":{"start":"a"}}')
+    return text.otherwise('{"scripts":{"format":"a","type-check":"b","build":"c"},"private":true}')
+
+
+def scripts(text):
+    """The known scripts of a package file, in their fixed order."""
     names = F.map_keys(F.from_json(text, "struct<scripts:map<string,string>>")["scripts"])
-    return V.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_intersect(F.array(*map(F.lit, dims.NPM_SCRIPTS)), names), ",").alias("scripts"))
+    return F.array_intersect(F.array(*map(F.lit, dims.NPM_SCRIPTS)), names)
+
+
+@query(f"WITH s AS (SELECT doc_id, json_keys({PACKAGE}, '$.scripts') AS names FROM documents) SELECT doc_id, array_to_string(list_filter({quoted(dims.NPM_SCRIPTS)}, lambda x: list_contains(names, x)), ',') AS scripts FROM s")
+def scripts_allow_list(spark, sf_dir):
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.array_join(scripts(package_text(F.col("doc_id"))), ",").alias("scripts"))
 
 
 @query(sql(f"SELECT doc_id, path FROM files WHERE list_contains({quoted(dims.VALIDATED_EXTENSIONS)}, {EXT}) AND NOT {sql_any('path', dims.SKIPPED_FOLDERS)}", "files"))

@@ -9,7 +9,7 @@ from ..functions import dims
 from ..functions import text as T
 from ..operators import parse
 from ..sources import views as V
-from ..sources.views import quoted, sql
+from ..sources.views import sql
 from .files import DETECT_LANG, PAYLOAD_EXCLUDED, PAYLOAD_LANG, sql_any
 from .registry import query
 
@@ -84,52 +84,114 @@ def marker_scan_issues(spark, sf_dir):
     return rows.filter(T.trimmed(F.col("line")).rlike(r"^(<{7}|={7}|>{7})")).select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), F.lit("conflict marker").alias("message"), F.lit("error").alias("severity"))
 
 
-@query(sql(f"""SELECT path || ':' || idx AS hunk_id, md5('Resolve the conflict in ' || path || ' [' || {DETECT_LANG} || '], lines ' || start_line || '-' || end_line || chr(10) || '<<<<<<< ours' || chr(10) || array_to_string(ours, chr(10)) || chr(10) ||
-'=======' || chr(10) || array_to_string(theirs, chr(10)) || chr(10) || '>>>>>>> theirs' || chr(10) || 'Answer in JSON.') AS prompt_md5 FROM hunks""", "hunks"))
+SQL_CONTEXT = "c.lines[greatest(h.start_line - {n}, 1):h.start_line - 1] AS pre, c.lines[h.end_line + 1:h.end_line + {n}] AS post"
+
+
+def with_context(h, n: int = 5):
+    """Hunks with the n lines before and after each, fewer at a file's ends."""
+    first = F.greatest(F.col("start_line") - n, F.lit(1))
+    return h.withColumn("pre", F.slice("lines", first, F.col("start_line") - first)).withColumn("post", F.slice("lines", F.col("end_line") + 1, F.lit(n)))
+
+
+@query(sql(f"""SELECT path || ':' || idx AS hunk_id, len(pre) AS n_pre, len(post) AS n_post, md5(array_to_string(pre, chr(10))) AS pre_md5, md5(array_to_string(post, chr(10))) AS post_md5, md5(array_to_string(ours, chr(10)) || '|' || array_to_string(theirs, chr(10))) AS sides_md5
+FROM (SELECT h.*, {SQL_CONTEXT.format(n=5)} FROM hunks h JOIN conflicts c USING (doc_id))""", "hunks"))
+def payload_contexts(spark, sf_dir):
+    """A hunk of a payload with contexts: five lines on either side, both sides, no base."""
+    text = lambda c: F.md5(joined(c))
+    sides = F.md5(F.concat(joined("ours"), F.lit("|"), joined("theirs")))
+    return with_context(hunks(spark, sf_dir)).select(hunk_id(), F.size("pre").cast("long").alias("n_pre"), F.size("post").cast("long").alias("n_post"), text("pre").alias("pre_md5"), text("post").alias("post_md5"), sides.alias("sides_md5"))
+
+
+def hunk_id():
+    return F.concat_ws(":", "path", F.col("idx").cast("string")).alias("hunk_id")
+
+
+def block(ours, theirs, base):
+    """A conflict as it stands in a file."""
+    return F.concat(
+        F.lit("<<<<<<< HEAD\n"), lined(ours), F.when(F.size(base) > 0, F.concat(F.lit("||||||| base\n"), lined(base))).otherwise(""), F.lit("=======\n"), lined(theirs), F.lit(">>>>>>> branch\n")
+    )
+
+
+def lined(xs):
+    """Lines, each with its end."""
+    return F.array_join(F.transform(xs, lambda x: F.concat(x, F.lit("\n"))), "")
+
+
+def sql_lined(xs: str) -> str:
+    return f"array_to_string(list_transform({xs}, lambda x: x || chr(10)), '')"
+
+
+SQL_BLOCK = f"""'<<<<<<< HEAD' || chr(10) || {sql_lined("ours")} || CASE WHEN len(base) > 0 THEN '||||||| base' || chr(10) || {sql_lined("base")} ELSE '' END || '=======' || chr(10) || {sql_lined("theirs")} || '>>>>>>> branch' || chr(10)"""
+ASK = "Merge each conflict below. Give the file, the lines, the merged content, a confidence from 0 to 1 and the reasons.\n\n"
+FORM = 'Answer as JSON: {"resolutions": [{"file_path": "", "start_line": 1, "end_line": 2, "resolved_lines": [""], "confidence": 0.5, "reasoning": "", "go_specific_notes": ""}]}'
+
+
+@query(sql(rf""", f AS (SELECT path, {PAYLOAD_LANG} AS language, any_value(doc_id) AS doc_id, string_agg(chr(10) || 'Conflict ' || (idx + 1) || ' (lines ' || start_line || '-' || end_line || '):' || chr(10) || {SQL_BLOCK}, '' ORDER BY idx) AS blocks,
+  flatten(list(list_concat(ours, theirs) ORDER BY idx)) AS ls FROM hunks GROUP BY path),
+g AS (SELECT *, list_transform(list_filter(ls, lambda x: regexp_matches(x, '^\s*func\s+(\w*\s*)?\w+\s*\([^)]*\)')), lambda x: trim(x)) AS fs FROM f),
+x AS (SELECT g.*, CASE WHEN len(c.lines) > 10 THEN c.lines[1:5] ELSE c.lines END AS head, CASE WHEN len(c.lines) > 10 THEN c.lines[-5:] ELSE [] END AS tail FROM g JOIN conflicts c ON c.doc_id = g.doc_id)
+SELECT path, md5('{ASK.replace(chr(10), "' || chr(10) || '")}' || 'File: ' || path || chr(10) || 'Conflicts:' || chr(10) || blocks
+  || CASE WHEN language = 'go' AND len(fs) > 0 THEN chr(10) || 'Function signatures involved: ' || array_to_string(fs, '; ') || chr(10) ELSE '' END
+  || chr(10) || 'Before conflict:' || chr(10) || array_to_string(list_transform(head, lambda x, i: i || ': ' || x || chr(10)), '')
+  || CASE WHEN len(tail) > 0 THEN 'After conflict:' || chr(10) || array_to_string(list_transform(tail, lambda x, i: i || ': ' || x || chr(10)), '') ELSE '' END || chr(10) || '---' || chr(10) || chr(10) || '{FORM}') AS prompt_md5 FROM x""", "hunks"))
 def prompt_build(spark, sf_dir):
-    h = hunks(spark, sf_dir)
-    return h.select(F.concat_ws(":", "path", F.col("idx").cast("string")).alias("hunk_id"), F.md5(prompt()).alias("prompt_md5"))
+    """The prompt for each file: its conflicts with bases, what Go's checks look at, the file's head and tail with numbers, and the form of the answer."""
+    rows = V.conflicts(spark, sf_dir).select("path", "lines", parse.hunks(F.col("lines")).alias("h")).filter(F.size("h") > 0)
+    return rows.select("path", F.md5(prompt(F.col("path"), F.col("h"), F.col("lines"))).alias("prompt_md5"))
+
 
+def prompt(path, h, lines):
+    each = F.transform(h, lambda x, i: F.concat(F.format_string("\nConflict %d (lines %d-%d):\n", i + 1, x["start_line"], x["end_line"]), block(x["ours"], x["theirs"], x["base"])))
+    both = F.flatten(F.transform(h, lambda x: F.concat(x["ours"], x["theirs"])))
+    signatures = F.transform(F.filter(both, lambda x: x.rlike(dims.GO_FUNCTION)), lambda x: F.trim(x))
+    go = F.when((T.payload_language(path) == "go") & (F.size(signatures) > 0), F.concat(F.lit("\nFunction signatures involved: "), F.array_join(signatures, "; "), F.lit("\n"))).otherwise("")
+    long = F.size(lines) > 10
+    numbered = lambda xs: F.array_join(F.transform(xs, lambda x, i: F.concat((i + 1).cast("string"), F.lit(": "), x, F.lit("\n"))), "")
+    head = F.when(long, F.slice(lines, 1, 5)).otherwise(lines)
+    tail = F.when(long, F.concat(F.lit("After conflict:\n"), numbered(F.slice(lines, -5, 5)))).otherwise("")
+    return F.concat(F.lit(ASK), F.lit("File: "), path, F.lit("\nConflicts:\n"), F.array_join(each, ""), go, F.lit("\nBefore conflict:\n"), numbered(head), tail, F.lit("\n---\n\n"), F.lit(FORM))
 
-def prompt():
-    head = F.format_string("Resolve the conflict in %s [%s], lines %d-%d", "path", T.detect_language(F.col("path")), "start_line", "end_line")
-    return F.concat_ws("\n", head, F.lit("<<<<<<< ours"), joined("ours"), F.lit("======="), joined("theirs"), F.lit(">>>>>>> theirs"), F.lit("Answer in JSON."))
 
+@query(sql("""SELECT doc_id // 5 AS payload_id, 'Repository: /work/' || (doc_id // 5) || chr(10) || 'Total conflicts: ' || count(*) || chr(10) || 'Affected files: ' || array_to_string(list_sort(list_distinct(list(path))), ', ') AS context FROM hunks GROUP BY 1""", "hunks"))
+def context_string(spark, sf_dir):
+    """What a model is told about a payload: repository, conflicts, files."""
+    h = hunks(spark, sf_dir).select(F.floor(F.col("doc_id") / 5).alias("payload_id"), "path")
+    rows = h.groupBy("payload_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("path")).alias("paths"))
+    return rows.select("payload_id", F.concat(F.lit("Repository: /work/"), F.col("payload_id").cast("string"), F.lit("\nTotal conflicts: "), F.col("n").cast("string"), F.lit("\nAffected files: "), F.array_join("paths", ", ")).alias("context"))
 
-@query(sql(f"""SELECT h.path || ':' || h.idx AS hunk_id, r.confidence, md5('Improve: ' || array_to_string(h.ours, '|') || ' / ' || array_to_string(h.theirs, '|') || ' -> ' || array_to_string(r.resolved_lines, '|')) AS prompt_md5
+
+FIRST_TURN, LATER_TURN = "The confidence was low. Look for faults, weigh other merges and give a better one.\n\n", "Go on: practice, types, correctness.\n\n"
+
+
+@query(sql(f"""SELECT r.doc_id, r.idx AS res_idx, h.path || ':' || h.idx AS hunk_id, md5('Refinement, turn ' || (r.doc_id % 2 + 1) || chr(10) || chr(10) || CASE WHEN r.doc_id % 2 = 0 THEN '{FIRST_TURN.replace(chr(10), "' || chr(10) || '")}' ELSE '{LATER_TURN.replace(chr(10), "' || chr(10) || '")}' END
+  || 'File: ' || r.file_path || ' (lines ' || r.start_line || '-' || r.end_line || ')' || chr(10) || 'Confidence: ' || printf('%.2f', r.confidence) || chr(10) || CASE WHEN r.reasoning <> '' THEN 'Previous reasoning: ' || r.reasoning || chr(10) ELSE '' END
+  || 'Resolved content:' || chr(10) || array_to_string(list_transform(r.resolved_lines, lambda x: '  ' || x || chr(10)), '') || chr(10) || 'Original conflict:' || chr(10) || {SQL_BLOCK.replace("(ours", "(h.ours").replace("len(base", "len(h.base").replace("(base,", "(h.base,").replace("(theirs", "(h.theirs")}) AS prompt_md5
 FROM res r JOIN hunks h ON h.path = r.file_path AND h.start_line <= r.start_line AND h.end_line >= r.end_line WHERE r.confidence < 0.6
-QUALIFY row_number() OVER (PARTITION BY r.doc_id ORDER BY h.start_line) = 1""", "hunks", "res"))
+QUALIFY row_number() OVER (PARTITION BY r.doc_id, r.idx ORDER BY h.start_line) = 1""", "hunks", "res"))
 def refinement_prompt(spark, sf_dir):
-    r = V.resolutions(spark, sf_dir).filter("confidence < 0.6")
-    h = first_containing(r, hunks(spark, sf_dir))
-    text = F.concat(F.lit("Improve: "), F.array_join("ours", "|"), F.lit(" / "), F.array_join("theirs", "|"), F.lit(" -> "), F.array_join("resolved_lines", "|"))
-    return h.select(F.concat_ws(":", "path", F.col("idx").cast("string")).alias("hunk_id"), "confidence", F.md5(text).alias("prompt_md5"))
+    """What a model is asked again about a resolution of low confidence, with the conflict it is for."""
+    h = first_containing(V.resolutions(spark, sf_dir).filter("confidence < 0.6"), hunks(spark, sf_dir))
+    turn = F.col("doc_id") % 2
+    text = F.concat(
+        F.format_string("Refinement, turn %d\n\n", turn + 1), F.when(turn == 0, FIRST_TURN).otherwise(LATER_TURN), F.format_string("File: %s (lines %d-%d)\nConfidence: %.2f\n", "file_path", "start_line", "end_line", "confidence"),
+        F.when(F.col("reasoning") != "", F.concat(F.lit("Previous reasoning: "), "reasoning", F.lit("\n"))).otherwise(""), F.lit("Resolved content:\n"), lined(F.transform("resolved_lines", lambda x: F.concat(F.lit("  "), x))),
+        F.lit("\nOriginal conflict:\n"), block(F.col("ours"), F.col("theirs"), F.col("base")),
+    )
+    return h.select("doc_id", F.col("idx").alias("res_idx"), F.concat_ws(":", "path", F.col("h_idx").cast("string")).alias("hunk_id"), F.md5(text).alias("prompt_md5"))
 
 
 def first_containing(res, h):
-    """Each resolution with the first hunk of its file that contains its range."""
-    h = h.select("path", "idx", F.col("start_line").alias("h_start"), F.col("end_line").alias("h_end"), "ours", "theirs")
+    """Each resolution (doc_id, idx) with the first hunk of its file that contains its range."""
+    h = h.select("path", F.col("idx").alias("h_idx"), F.col("start_line").alias("h_start"), F.col("end_line").alias("h_end"), "ours", "theirs", "base")
     both = res.join(h, (F.col("file_path") == F.col("path")) & (F.col("h_start") <= F.col("start_line")) & (F.col("h_end") >= F.col("end_line")))
-    return both.withColumn("rn", F.row_number().over(Window.partitionBy("file_path", "doc_id").orderBy("h_start"))).filter("rn = 1")
+    return both.withColumn("rn", F.row_number().over(Window.partitionBy("file_path", "doc_id", "idx").orderBy("h_start"))).filter("rn = 1")
 
 
-@query(sql("""SELECT r.doc_id, h.idx, h.start_line::INT AS h_start, h.end_line::INT AS h_end FROM res r JOIN hunks h ON h.path = r.file_path AND h.start_line <= r.start_line AND h.end_line >= r.end_line
-QUALIFY row_number() OVER (PARTITION BY r.doc_id ORDER BY h.start_line) = 1""", "hunks", "res"))
+@query(sql("""SELECT r.doc_id, r.idx, h.idx AS h_idx, h.start_line::INT AS h_start, h.end_line::INT AS h_end FROM res r JOIN hunks h ON h.path = r.file_path AND h.start_line <= r.start_line AND h.end_line >= r.end_line
+QUALIFY row_number() OVER (PARTITION BY r.doc_id, r.idx ORDER BY h.start_line) = 1""", "hunks", "res"))
 def resolution_hunk_range_join(spark, sf_dir):
-    return first_containing(V.resolutions(spark, sf_dir), hunks(spark, sf_dir)).select("doc_id", "idx", "h_start", "h_end")
-
-
-@query(sql(f"""SELECT doc_id, CASE WHEN NOT list_contains({quoted(dims.LANGUAGES)}, {PAYLOAD_LANG}) THEN 'language' WHEN len(lines) > 16 THEN 'too many lines' WHEN n_dup > 1 THEN 'duplicate path'
-  WHEN m > 200 THEN 'line too long' ELSE '' END AS first_error, m AS max_line_bytes FROM (SELECT doc_id, path, lines, list_max(list_transform(lines, lambda x: strlen(x)))::BIGINT AS m,
-  count(*) OVER (PARTITION BY CASE WHEN doc_id % 97 = 0 THEN 'same' ELSE path END) AS n_dup FROM conflicts)""", "conflicts"))
-def payload_strict_validate(spark, sf_dir):
-    """The first rule that each file of a payload breaks, in the rules' order."""
-    key = F.when(F.col("doc_id") % 97 == 0, "same").otherwise(F.col("path"))
-    rows = V.conflicts(spark, sf_dir).withColumn("key", key).withColumn("m", F.array_max(F.transform("lines", lambda x: F.octet_length(x))).cast("long"))
-    twice = rows.groupBy("key").count().filter("count > 1").select("key", F.lit(True).alias("twice"))
-    rows = rows.join(twice, "key", "left")
-    error = F.when(~T.payload_language(F.col("path")).isin(dims.LANGUAGES), "language").when(F.size("lines") > 16, "too many lines").when(F.coalesce("twice", F.lit(False)), "duplicate path").when(F.col("m") > 200, "line too long").otherwise("")
-    return rows.select("doc_id", error.alias("first_error"), F.col("m").alias("max_line_bytes"))
+    return first_containing(V.resolutions(spark, sf_dir), hunks(spark, sf_dir)).select("doc_id", "idx", "h_idx", "h_start", "h_end")
 
 
 @query("""SELECT doc_id, replace(replace('a..b//' || source || '///x' || doc_id, '..', ''), '//', '/') AS path, regexp_replace('id ' || doc_id || '$:é-' || lang, '[^A-Za-z0-9:_./-]', '', 'g')[1:100] AS conflict_id, md5(replace(text, chr(0), '')) AS text_md5 FROM documents""")
@@ -158,20 +220,28 @@ def payload_json_roundtrip(spark, sf_dir):
     return back.select("b.path", "b.idx", "b.start_line", "b.end_line", (F.col("a.ours") == F.col("b.ours")).alias("same"))
 
 
-DIFFS = """, d AS (SELECT doc_id, ['diff --git a/x b/x', '--- a/x', '+++ b/x', '@@ -' || (doc_id % 7 + 1) || ',2 +' || (doc_id % 5 + 1) || ' @@ fn' || doc_id, '-old', '+new', ' same', '@@ -9 +9,3 @@', '+more', 'diff --git a/y b/y', '@@ -1,4 +1,5 @@ end', '-gone'] AS ls FROM documents),
+SQL_DIFF = """d AS (SELECT doc_id, flatten([['diff --git a/src/x' || doc_id || ' b/src/y' || doc_id, '--- src/x', '+++ src/y', '@@ -' || (doc_id % 7 + 1) || ',2 +' || (doc_id % 5 + 1) || ' @@ fn' || doc_id, '-old'],
+  list_transform(string_split(text, chr(10)), lambda x: '+' || x), [' same', '@@ -9 +9,3 @@', '+more', 'diff --git a/y b/z', '@@ -1,4 +1,5 @@ end'], list_transform(string_split(text, chr(10))[1:3], lambda x: '-' || x)]) AS ls FROM documents),
 e AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS line FROM d), f AS (SELECT *, sum(CASE WHEN starts_with(line, 'diff --git ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS file_no, starts_with(line, '@@') AS is_head FROM e),
-g AS (SELECT *, sum(CASE WHEN is_head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, file_no ORDER BY n) AS hunk_no FROM f) """
+g AS (SELECT *, sum(CASE WHEN is_head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, file_no ORDER BY n) AS hunk_no, first_value(line) OVER (PARTITION BY doc_id, file_no ORDER BY n) AS file_line FROM f)"""
 
 
 @query(
     "WITH "
-    + DIFFS[2:]
-    + r"""SELECT doc_id, file_no::BIGINT AS file_no, hunk_no::BIGINT AS hunk_no, max(CASE WHEN is_head THEN regexp_extract(line, '-(\d+)', 1)::BIGINT END) AS old_start, coalesce(max(CASE WHEN is_head THEN try_cast(regexp_extract(line, '-\d+,(\d+)', 1) AS BIGINT) END), 1) AS old_lines,
+    + SQL_DIFF
+    + r""" SELECT doc_id, file_no::BIGINT AS file_no, hunk_no::BIGINT AS hunk_no, any_value(regexp_extract(file_line, 'a/(.*) b/', 1)) AS old_path, any_value(regexp_extract(file_line, ' b/(.*)$', 1)) AS new_path,
+max(CASE WHEN is_head THEN regexp_extract(line, '-(\d+)', 1)::BIGINT END) AS old_start, coalesce(max(CASE WHEN is_head THEN try_cast(regexp_extract(line, '-\d+,(\d+)', 1) AS BIGINT) END), 1) AS old_lines,
 max(CASE WHEN is_head THEN regexp_extract(line, '\+(\d+)', 1)::BIGINT END) AS new_start, coalesce(max(CASE WHEN is_head THEN try_cast(regexp_extract(line, '\+\d+,(\d+)', 1) AS BIGINT) END), 1) AS new_lines,
 max(CASE WHEN is_head THEN trim(regexp_extract(line, '@@ .* @@(.*)', 1)) END) AS header, count(*) FILTER (NOT is_head AND starts_with(line, '+')) AS added, count(*) FILTER (NOT is_head AND starts_with(line, '-')) AS removed
-FROM g WHERE hunk_no > 0 GROUP BY ALL"""
+FROM g WHERE hunk_no > 0 GROUP BY doc_id, file_no, hunk_no"""
 )
 def unified_diff_parse(spark, sf_dir):
-    i = F.col("doc_id")
-    text = F.format_string("diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -%d,2 +%d @@ fn%d\n-old\n+new\n same\n@@ -9 +9,3 @@\n+more\ndiff --git a/y b/y\n@@ -1,4 +1,5 @@ end\n-gone", i % 7 + 1, i % 5 + 1, i)
-    return parse.diff_rows(V.table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+    i, s = F.col("doc_id"), F.col("doc_id").cast("string")
+    own = T.lines(F.col("text"))
+    lines = F.concat(
+        F.array(F.concat(F.lit("diff --git a/src/x"), s, F.lit(" b/src/y"), s), F.lit("--- src/x"), F.lit("+++ src/y"), F.format_string("@@ -%d,2 +%d @@ fn%d", i % 7 + 1, i % 5 + 1, i), F.lit("-old")),
+        F.transform(own, lambda x: F.concat(F.lit("+"), x)),
+        F.array(*map(F.lit, [" same", "@@ -9 +9,3 @@", "+more", "diff --git a/y b/z", "@@ -1,4 +1,5 @@ end"])),
+        F.transform(F.slice(own, 1, 3), lambda x: F.concat(F.lit("-"), x)),
+    )
+    return parse.diff_rows(V.table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("text")))

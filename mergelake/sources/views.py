@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import order, parse
+
 # Extensions by document id, and status codes by order key.
 EXTENSIONS = [".go", ".js", ".tsx", ".py", ".h", ".kt", ".md", ".json", ".png", ".lock", ".min.js", ".org"]
 CODES = ["UU", "AA", "DD", "AU", "UA", "DU", "UD", "M ", "??", " A"]
@@ -30,16 +32,27 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, path, lines): files with one or two hunks, some unterminated or with a carriage return in a marker."""
-    f = files(spark, sf_dir).withColumn("l", F.split("content", "\n", -1))
-    some = lambda cond, *xs: F.when(cond, F.array(*map(F.lit, xs))).otherwise(F.array().cast("array<string>"))
+    """(doc_id, path, lines): the whole text of each document against that of the next one of its source, in two or three hunks.
+
+    Some have a base, a nested marker, an empty side, a carriage return in a marker or no end.  Documents are paired by their place in the source, so a large source is no one task."""
+    f = order.ordinal(files(spark, sf_dir), "doc_id", "at", within="source").withColumn("content", F.coalesce("content", F.lit("")))
+    after = f.select(F.col("source").alias("s"), (F.col("at") - 1).alias("before"), F.col("content").alias("after"))
+    f = f.join(after, f["source"].eqNullSafe(after["s"]) & (f["at"] == after["before"]), "left").withColumn("after", F.coalesce("after", F.lit("no next")))
+    a, b = F.split("content", "\n", -1), F.split("after", "\n", -1)
+    f = f.select("doc_id", "path", a.alias("a"), b.alias("b")).withColumns({"ha": F.ceil(F.size("a") / 2).cast("int"), "hb": F.ceil(F.size("b") / 2).cast("int")})
+    some = lambda cond, *xs: F.when(cond, F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs])).otherwise(F.array().cast("array<string>"))
     i = F.col("doc_id")
     lines = F.concat(
         F.array(F.concat(F.lit("header "), i.cast("string")), F.lit("<<<<<<< HEAD")),
-        F.slice("l", 1, 3),
-        some(i % 3 == 0, "||||||| base", "old line"),
+        some(i % 7 == 0, "<<<<<<< inner"),
+        F.slice("a", F.lit(1), F.col("ha")),
+        some(i % 3 == 0, "||||||| base", "old line", F.col("a")[0]),
         F.array(F.when(i % 23 == 0, F.lit("=======\r")).otherwise(F.lit("======="))),
-        F.slice("l", 2, 4),
+        F.slice("b", F.lit(1), F.col("hb")),
+        F.array(F.lit(">>>>>>> branch"), F.lit("between"), F.lit("<<<<<<< HEAD")),
+        F.slice("a", F.col("ha") + 1, F.size("a")),
+        F.array(F.lit("=======")),
+        F.when(i % 11 == 0, F.array().cast("array<string>")).otherwise(F.slice("b", F.col("hb") + 1, F.size("b"))),
         some(i % 17 != 0, ">>>>>>> branch"),
         F.array(F.lit("tail")),
         some(i % 5 == 0, "<<<<<<< HEAD", "x = 1", "=======", "x = 2", ">>>>>>> branch"),
@@ -48,16 +61,19 @@ def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, file_path, start_line, end_line, confidence, reasoning, resolved_lines), some of them malformed."""
-    i = F.col("doc_id")
-    new = F.when(i % 41 == 0, F.array(F.lit("  <<<<<<< HEAD"))).when(i % 43 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("resolved "), i.cast("string")), F.lit("second")))
-    return files(spark, sf_dir).select(
+    """(doc_id, idx, file_path, start_line, end_line, confidence, reasoning, resolved_lines): one for each parsed hunk, some malformed, some reaching into the next hunk or past the file."""
+    h = parse.hunk_rows(conflicts(spark, sf_dir))
+    i, k = F.col("doc_id"), F.col("idx")
+    side = F.when((i + k) % 2 == 0, F.col("ours")).otherwise(F.col("theirs"))
+    new = F.when(i % 41 == 0, F.array(F.lit("  <<<<<<< HEAD"))).when(i % 43 == 0, F.array().cast("array<string>")).otherwise(F.concat(F.array(F.concat(F.lit("resolved "), i.cast("string"))), side))
+    return h.select(
         "doc_id",
+        "idx",
         F.when(i % 31 == 0, "").otherwise(F.col("path")).alias("file_path"),
-        F.when(i % 29 == 0, 0).otherwise(2).cast("long").alias("start_line"),
-        (i % 4 + 2).alias("end_line"),
-        F.when(i % 37 == 0, 1.2).otherwise((i * 37 % 101) / 100.0).alias("confidence"),
-        F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("reason "), i.cast("string"))).alias("reasoning"),
+        F.when((i % 29 == 0) & (k == 0), 0).otherwise(F.col("start_line")).cast("long").alias("start_line"),
+        F.when((i % 19 == 0) & (k == 0), F.col("end_line") + 3).otherwise(F.col("end_line")).cast("long").alias("end_line"),
+        F.when(i % 37 == 0, 1.2).otherwise(((i * 37 + k * 11) % 101) / 100.0).alias("confidence"),
+        F.when((i + k) % 4 == 0, "").otherwise(F.concat(F.lit("reason "), i.cast("string"))).alias("reasoning"),
         new.alias("resolved_lines"),
     )
 
@@ -77,17 +93,18 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, lines): small pieces of code with planted faults."""
+    """(doc_id, lines): small pieces of code with planted faults, then the document's whole text as comments."""
     i = F.col("doc_id")
     s = i.cast("string")
     pick = lambda n, a, b: F.when(i % n == 0, F.lit(a)).otherwise(F.lit(b))
     return table(spark, sf_dir, "documents").select(
         "doc_id",
-        F.array(
+        F.concat(F.array(
             pick(2, "package main", "package tools"), F.lit('import "fmt"'), F.concat(F.lit("func work"), s, F.lit("(a int) error "), pick(7, "", "{")), pick(5, "  out, err := call(a)", "  out := call(a)"),
             pick(3, "  if err != nil {", "  use(out)"), pick(11, "  var = 3", "  keep(out)"), pick(3, "  return err }", "  return nil"), pick(13, "  done()", "}"),
             pick(6, "type Thing struct {", "// none"), pick(6, "}", "// end"), F.concat(F.lit("func "), F.when(i % 19 == 0, F.concat(F.lit("work"), s)).otherwise(F.concat(F.lit("other"), s)), F.lit("(b int) {")), F.lit("}"),
-        ).alias("lines"),
+        ), F.when(i % 4 == 0, F.array(F.lit("import ("), F.lit('  "os"'), F.lit("  // none"), F.lit(""), F.lit('  log "logs"'), F.lit(")"))).otherwise(F.array().cast("array<string>")),
+        F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.concat(F.lit("// "), x))).alias("lines"),
     )
 
 
@@ -97,35 +114,34 @@ def quoted(values: list[str]) -> str:
 
 CTES = {
     "files": f"""files AS (SELECT doc_id, source, 'src/' || source || '/doc_' || doc_id || ({quoted(EXTENSIONS)})[doc_id % 12 + 1] AS path, text AS content FROM documents)""",
-    "conflicts": """split AS (SELECT doc_id, path, string_split(content, chr(10)) AS l FROM files),
-conflicts AS (SELECT doc_id, path, list_concat(['header ' || doc_id, '<<<<<<< HEAD'], l[1:3], CASE WHEN doc_id % 3 = 0 THEN ['||||||| base', 'old line'] ELSE [] END,
-  [CASE WHEN doc_id % 23 = 0 THEN '=======' || chr(13) ELSE '=======' END], l[2:5], CASE WHEN doc_id % 17 <> 0 THEN ['>>>>>>> branch'] ELSE [] END, ['tail'],
-  CASE WHEN doc_id % 5 = 0 THEN ['<<<<<<< HEAD', 'x = 1', '=======', 'x = 2', '>>>>>>> branch'] ELSE [] END) AS lines FROM split)""",
-    "hunks": """clines AS (SELECT doc_id, path, unnest(range(1, len(lines) + 1)) AS n, unnest(lines) AS line FROM conflicts),
-st(doc_id, path, n, line, before, after, start) AS (
-  SELECT doc_id, path, 0::BIGINT, '', 'OUT', 'OUT', 0::BIGINT FROM conflicts
-  UNION ALL
-  SELECT s.doc_id, s.path, c.n, c.line, s.after,
-    CASE WHEN s.after = 'OUT' AND starts_with(c.line, '<<<<<<<') THEN 'OURS' WHEN s.after = 'OURS' AND starts_with(c.line, '|||||||') THEN 'BASE'
-         WHEN s.after IN ('OURS', 'BASE') AND c.line = '=======' THEN 'THEIRS' WHEN s.after = 'THEIRS' AND starts_with(c.line, '>>>>>>>') THEN 'OUT' ELSE s.after END,
-    CASE WHEN s.after = 'OUT' AND starts_with(c.line, '<<<<<<<') THEN c.n ELSE s.start END
-  FROM st s JOIN clines c ON c.doc_id = s.doc_id AND c.n = s.n + 1),
-hunk0 AS (SELECT doc_id, path, start AS start_line, max(CASE WHEN before = 'THEIRS' AND after = 'OUT' THEN n END) AS end_line,
-  coalesce(list(line ORDER BY n) FILTER (before = 'OURS' AND after = 'OURS'), []) AS ours, coalesce(list(line ORDER BY n) FILTER (before = 'THEIRS' AND after = 'THEIRS'), []) AS theirs,
-  coalesce(list(line ORDER BY n) FILTER (before = 'BASE' AND after = 'BASE'), []) AS base
-  FROM st WHERE start > 0 GROUP BY doc_id, path, start),
+    "conflicts": """pairs AS (SELECT doc_id, path, string_split(coalesce(content, ''), chr(10)) AS a, string_split(coalesce(lead(coalesce(content, '')) OVER (PARTITION BY source ORDER BY doc_id), 'no next'), chr(10)) AS b FROM files),
+halves AS (SELECT *, (len(a) + 1) // 2 AS ha, (len(b) + 1) // 2 AS hb FROM pairs),
+conflicts AS (SELECT doc_id, path, flatten([['header ' || doc_id, '<<<<<<< HEAD'], CASE WHEN doc_id % 7 = 0 THEN ['<<<<<<< inner'] ELSE [] END, a[1:ha], CASE WHEN doc_id % 3 = 0 THEN ['||||||| base', 'old line', a[1]] ELSE [] END,
+  [CASE WHEN doc_id % 23 = 0 THEN '=======' || chr(13) ELSE '=======' END], b[1:hb], ['>>>>>>> branch', 'between', '<<<<<<< HEAD'], a[ha + 1:], ['======='], CASE WHEN doc_id % 11 = 0 THEN [] ELSE b[hb + 1:] END,
+  CASE WHEN doc_id % 17 <> 0 THEN ['>>>>>>> branch'] ELSE [] END, ['tail'], CASE WHEN doc_id % 5 = 0 THEN ['<<<<<<< HEAD', 'x = 1', '=======', 'x = 2', '>>>>>>> branch'] ELSE [] END]) AS lines FROM halves)""",
+    # The section after each line, as one letter a line.
+    "hunks": """sections AS (SELECT doc_id, path, lines, list_reduce(lines, lambda s, x: s || CASE WHEN right(s, 1) = 'O' AND starts_with(x, '<<<<<<<') THEN 'A' WHEN right(s, 1) = 'A' AND starts_with(x, '|||||||') THEN 'B'
+  WHEN right(s, 1) IN ('A', 'B') AND x = '=======' THEN 'T' WHEN right(s, 1) = 'T' AND starts_with(x, '>>>>>>>') THEN 'O' ELSE right(s, 1) END, 'O') AS s FROM conflicts),
+st0 AS (SELECT doc_id, path, unnest(range(1, len(lines) + 1)) AS n, unnest(lines) AS line, s FROM sections), st1 AS (SELECT doc_id, path, n, line, s[n] AS before, s[n + 1] AS after FROM st0),
+st AS (SELECT *, max(CASE WHEN before = 'O' AND after = 'A' THEN n END) OVER (PARTITION BY doc_id ORDER BY n) AS start FROM st1),
+hunk0 AS (SELECT doc_id, path, start AS start_line, max(CASE WHEN before = 'T' AND after = 'O' THEN n END) AS end_line,
+  coalesce(list(line ORDER BY n) FILTER (before = 'A' AND after = 'A'), []) AS ours, coalesce(list(line ORDER BY n) FILTER (before = 'T' AND after = 'T'), []) AS theirs,
+  coalesce(list(line ORDER BY n) FILTER (before = 'B' AND after = 'B'), []) AS base
+  FROM st WHERE start IS NOT NULL GROUP BY doc_id, path, start),
 hunks AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_line) - 1 AS idx FROM hunk0 WHERE end_line IS NOT NULL)""",
-    "res": """res AS (SELECT doc_id, CASE WHEN doc_id % 31 = 0 THEN '' ELSE path END AS file_path, (CASE WHEN doc_id % 29 = 0 THEN 0 ELSE 2 END)::BIGINT AS start_line, doc_id % 4 + 2 AS end_line,
-  CASE WHEN doc_id % 37 = 0 THEN 1.2::DOUBLE ELSE (doc_id * 37 % 101)::DOUBLE / 100.0::DOUBLE END AS confidence, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'reason ' || doc_id END AS reasoning,
-  CASE WHEN doc_id % 41 = 0 THEN ['  <<<<<<< HEAD'] WHEN doc_id % 43 = 0 THEN []::VARCHAR[] ELSE ['resolved ' || doc_id, 'second'] END AS resolved_lines FROM files)""",
+    "res": """res AS (SELECT doc_id, idx, CASE WHEN doc_id % 31 = 0 THEN '' ELSE path END AS file_path, (CASE WHEN doc_id % 29 = 0 AND idx = 0 THEN 0 ELSE start_line END)::BIGINT AS start_line,
+  (CASE WHEN doc_id % 19 = 0 AND idx = 0 THEN end_line + 3 ELSE end_line END)::BIGINT AS end_line,
+  CASE WHEN doc_id % 37 = 0 THEN 1.2::DOUBLE ELSE ((doc_id * 37 + idx * 11) % 101)::DOUBLE / 100.0::DOUBLE END AS confidence, CASE WHEN (doc_id + idx) % 4 = 0 THEN '' ELSE 'reason ' || doc_id END AS reasoning,
+  CASE WHEN doc_id % 41 = 0 THEN ['  <<<<<<< HEAD'] WHEN doc_id % 43 = 0 THEN []::VARCHAR[] ELSE list_concat(['resolved ' || doc_id], CASE WHEN (doc_id + idx) % 2 = 0 THEN ours ELSE theirs END) END AS resolved_lines FROM hunks)""",
     "status": f"""status AS (SELECT ({quoted(CODES)})[o_orderkey % 10 + 1] || ' src/o_' || o_orderkey || '.go' AS line FROM orders)""",
     "runs": """runs AS (SELECT l_orderkey AS batch_id, l_partkey % 900 + l_linenumber AS ms, l_returnflag <> 'R' AS ok, floor(l_quantity)::BIGINT AS conflicts, l_discount * 10 AS confidence FROM lineitem)""",
-    "code": """code AS (SELECT doc_id, [CASE WHEN doc_id % 2 = 0 THEN 'package main' ELSE 'package tools' END, 'import "fmt"', 'func work' || doc_id || '(a int) error ' || CASE WHEN doc_id % 7 = 0 THEN '' ELSE '{' END,
+    "code": """code AS (SELECT doc_id, flatten([[CASE WHEN doc_id % 2 = 0 THEN 'package main' ELSE 'package tools' END, 'import "fmt"', 'func work' || doc_id || '(a int) error ' || CASE WHEN doc_id % 7 = 0 THEN '' ELSE '{' END,
   CASE WHEN doc_id % 5 = 0 THEN '  out, err := call(a)' ELSE '  out := call(a)' END, CASE WHEN doc_id % 3 = 0 THEN '  if err != nil {' ELSE '  use(out)' END, CASE WHEN doc_id % 11 = 0 THEN '  var = 3' ELSE '  keep(out)' END,
   CASE WHEN doc_id % 3 = 0 THEN '  return err }' ELSE '  return nil' END, CASE WHEN doc_id % 13 = 0 THEN '  done()' ELSE '}' END, CASE WHEN doc_id % 6 = 0 THEN 'type Thing struct {' ELSE '// none' END,
-  CASE WHEN doc_id % 6 = 0 THEN '}' ELSE '// end' END, 'func ' || CASE WHEN doc_id % 19 = 0 THEN 'work' || doc_id ELSE 'other' || doc_id END || '(b int) {', '}'] AS lines FROM documents)""",
+  CASE WHEN doc_id % 6 = 0 THEN '}' ELSE '// end' END, 'func ' || CASE WHEN doc_id % 19 = 0 THEN 'work' || doc_id ELSE 'other' || doc_id END || '(b int) {', '}'],
+  CASE WHEN doc_id % 4 = 0 THEN ['import (', '  "os"', '  // none', '', '  log "logs"', ')'] ELSE [] END, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: '// ' || x)]) AS lines FROM documents)""",
 }
-NEEDS = {"conflicts": ["files"], "hunks": ["conflicts"], "res": ["files"]}
+NEEDS = {"conflicts": ["files"], "hunks": ["conflicts"], "res": ["hunks"]}
 
 
 def sql(body: str, *names: str) -> str:
