@@ -11,7 +11,7 @@ The lexicon is broadcast: its terms have a document frequency of ``low`` of all
 there are at most (mean distinct terms of a text) / low of them, at any number of documents.
 
 Edge cases: a null text is empty; a text without a lexicon term has an empty fingerprint, and two such
-are alike by 1 if the texts are equal and else by 0; null ids come last in the order and ties go by the text; repeated rows are documents
+are alike by 1 if the texts are equal and else by 0; null ids come last in the order and ties go by the text's hash, then by the text; repeated rows are documents
 of their own in the order, and one text in the lexicon's counts; a single document is its own next one.  Only the id and the text are read.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import checkpointed
+from .shared import checkpointed, join_small
 from .words import layout
 
 # Fixed value: what separates terms.
@@ -28,6 +28,9 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The first COVER subsets share all terms out; each later subset k takes each term with probability 2 ** -(LEAST + k % SCALES): most texts hold one to three terms of many subsets.
 SUBSETS, COVER, LEAST, SCALES = 60, 20, 6, 5
 FINE = 64
+#: Ranks that the buckets' edges are taken from, at most; more buckets than these lie between them.
+POINTS = 4096
+ABOUT = "struct<id:{},guest:int,n_chars:bigint,edited_sha256:string,same_edited:boolean,same_next:boolean>"
 
 
 def terms(text: Column) -> Column:
@@ -35,13 +38,25 @@ def terms(text: Column) -> Column:
     return F.split(F.lower(F.concat(F.lit(" "), text)), SEPARATOR, -1)
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", low: float = 0.002, high: float = 0.2) -> DataFrame:
+def weighted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(text, share) of one row for each distinct text, whose shares add up to 1 where equal rows stand for it; and the number of distinct texts, one row.
+
+    Texts that several rows have are joined by 96 bits of hash: broadcast up to a checked number of them, salted beyond."""
+    slim = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), rank_of(id_col).alias("rank"))
+    slim = slim.withColumn("h", F.struct(F.xxhash64("text").alias("a"), F.crc32(F.col("text").cast("binary")).alias("b")))
+    rows = slim.groupBy("h", "rank").agg(F.count("*").alias("n"))
+    texts = checkpointed(rows.groupBy("h").agg(F.min("rank").alias("first"), F.min_by("n", "rank").alias("of_first"), F.sum("n").alias("n")))
+    several = texts.filter("n > 1").select("h", "first", "of_first")
+    out = join_small(slim, several, "h", most=2_000_000).filter(F.col("first").isNull() | (F.col("rank") == F.col("first")))
+    return out.select("text", (1 / F.coalesce("of_first", F.lit(1))).alias("share")), texts.agg(F.count("*").alias("total"))
+
+
+def lexicon(docs: DataFrame, text_col: str = "text", low: float = 0.002, high: float = 0.2, id_col: str = "doc_id") -> DataFrame:
     """(term, subsets): the terms of the band, and the subsets that each is in; the empty term has subset -1."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
     # Copies are one text: else the terms of a text that many rows hold would all be above the band.
-    each = docs.select(text.alias("text")).distinct().select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).filter("term != ''")
-    counts = each.groupBy("term").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count_distinct(F.xxhash64(text), F.hash(text)).alias("total"))
+    each, total = weighted(docs, id_col, text_col)
+    each = each.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"), "share").filter("term != ''")
+    counts = each.groupBy("term").agg(F.round(F.sum("share")).cast("bigint").alias("df"))
     band = counts.crossJoin(F.broadcast(total)).filter((F.col("df") >= F.greatest(F.lit(2), F.col("total") * low)) & (F.col("df") <= F.col("total") * high))
     inside = [F.pmod(F.xxhash64("term"), F.lit(COVER)).cast("int")]
     inside += [F.when(F.pmod(F.xxhash64("term", F.lit(k)), F.lit(1 << (LEAST + k % SCALES))) == 0, F.lit(k)) for k in range(COVER, SUBSETS)]
@@ -57,31 +72,56 @@ def likeness(a: Column, b: Column, same: Column) -> Column:
     return F.when(held > 0, F.size(F.array_intersect(a, b)) / held).otherwise(same.cast("double"))
 
 
-def in_order(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """Documents in buckets of neighbouring ids; each bucket also has, as a guest, the document that follows its last one in descending order."""
-    rank = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
-    slim = docs.select(F.col(id_col).alias("id"), rank.alias("rank"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = [k / buckets for k in range(1, buckets)] or [0.5]
-    row = slim.agg(F.percentile_approx("rank", F.array(*map(F.lit, parts)), 100 * buckets), F.max("rank")).first()
-    tops, last = sorted(set(row[0] or [])), row[1]
+def rank_of(id_col: str) -> Column:
+    """Ids in order, null ones below all others."""
+    return F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
+
+
+def bucket_of(tops: list[int], points: int, parts: int) -> Column:
+    """A number that does not fall from one (rank, th) to a larger one; tops are the ranks at equal steps of the rows, repeated where many rows share a rank.
+
+    Up to each top, ranks are dealt to parts buckets by their distance; a rank that several steps share is dealt by th, the hash of its text, to parts for each step."""
     longs = lambda xs: F.array(*[F.lit(x).cast("bigint") for x in xs]).cast("array<bigint>")
-    # How many tops are below an id: first of every FINE-th, then within these.
-    coarse = F.size(F.filter(longs(tops[FINE - 1 :: FINE]), lambda t: t < F.col("rank")))
-    fine = F.size(F.filter(F.slice(longs(tops), coarse * FINE + 1, FINE), lambda t: t < F.col("rank"))) if tops else F.lit(0)
-    bucket = (coarse * FINE + fine).cast("int")
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guest"))
-    above = F.struct((F.col("bucket") + 1).alias("bucket"), F.lit(1).alias("guest"))
-    round_ = F.struct(F.lit(0).alias("bucket"), F.lit(2).alias("guest"))
-    # The largest id of a bucket follows the smallest of the bucket above; the largest of all follows the smallest of all.
-    top = F.array_contains(longs(tops), F.col("rank")) if tops else F.lit(False)
-    places = F.concat(F.array(own), F.when(top, F.array(above)).otherwise(F.array()), F.when(F.col("rank") == F.lit(last), F.array(round_)).otherwise(F.array()))
-    placed = slim.withColumn("bucket", bucket).withColumn("place", F.explode(places))
-    return placed.select("id", "rank", "text", "place.bucket", "place.guest")
+    own = sorted(set(tops))
+    often = [tops.count(t) if tops.count(t) > 1 else 0 for t in own]
+    base = [0]
+    for n in often:
+        base.append(base[-1] + parts * (1 + n))
+    # How many tops are below a rank: first of every FINE-th, then within these.
+    rank, th = F.col("rank"), F.col("th")
+    coarse = F.size(F.filter(longs(own[FINE - 1 :: FINE]), lambda t: t < rank))
+    at = (coarse * FINE + F.size(F.filter(F.slice(longs(own), coarse * FINE + 1, FINE), lambda t: t < rank))) if own else F.lit(0)
+    get = lambda xs, i: F.coalesce(F.get(longs(xs), i), F.lit(0)).cast("double")
+    low, high = get(own, at - 1), get(own, at)
+    share = F.when((at == 0) | (at >= len(own)), F.lit(0.0)).otherwise((rank.cast("double") - low) / F.greatest(high - low, F.lit(1.0)))
+    hashed = th.cast("double") / F.lit(2.0**64) + 0.5
+    within = lambda x, n: F.least((x * n).cast("bigint"), F.greatest(n - 1, F.lit(0)).cast("bigint"))
+    n = F.coalesce(F.get(longs(often), at), F.lit(0).cast("bigint"))
+    hot = (n > 0) & (F.get(longs(own), at) == rank)
+    start = F.coalesce(F.get(longs(base), at), F.lit(base[-1]).cast("bigint"))
+    return start + F.when(hot, F.lit(parts) + within(hashed, n * parts)).otherwise(within(share, F.lit(parts)))
+
+
+def in_order(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFrame:
+    """Documents in buckets of neighbours in the order of rank and then the text's hash; each bucket also has, as a guest, the document that follows its last one in descending order."""
+    slim = docs.select(F.col(id_col).alias("id"), rank_of(id_col).alias("rank"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    slim = slim.withColumn("th", F.xxhash64("text"))
+    points = max(2, min(buckets, POINTS))
+    tops = slim.agg(F.percentile_approx("rank", F.array(*[F.lit(k / points) for k in range(1, points)]), 100 * points)).first()[0] or []
+    placed = slim.withColumn("bucket", bucket_of(tops, points, -(-buckets // points)))
+    # The largest of each bucket follows the smallest of the next bucket that has any; the largest of all follows the smallest of all.
+    largest = checkpointed(placed.groupBy("bucket").agg(F.max(F.struct("rank", "th", F.xxhash64("text", F.lit(1)).alias("th2"))).alias("top")))
+    after = F.lead("bucket").over(Window.orderBy("bucket"))  # one small row for each bucket
+    edges = largest.withColumn("to", after).crossJoin(F.broadcast(largest.agg(F.min("bucket").alias("lowest"))))
+    edges = edges.select(F.struct("bucket", F.col("top.rank").alias("rank"), F.col("top.th").alias("th"), F.col("top.th2").alias("th2")).alias("edge"), F.coalesce("to", "lowest").alias("to"))
+    keyed = placed.withColumn("edge", F.struct("bucket", "rank", "th", F.xxhash64("text", F.lit(1)).alias("th2")))
+    guests = join_small(keyed, edges, "edge", most=2_000_000).filter("to IS NOT NULL").select("id", "rank", "text", "th", F.col("to").alias("bucket")).dropDuplicates(["bucket"])
+    return placed.select("id", "rank", "text", "th", "bucket", F.lit(0).alias("guest")).unionByName(guests.withColumn("guest", F.lit(1)))
 
 
 def fingerprints(docs: DataFrame, words: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: the id, n_chars, edited (the text whose last half gave way to the next document's start), fingerprint and edited_fingerprint as arrays of subset:hash, near_edited and near_next."""
-    order = Window.partitionBy("bucket").orderBy("guest", F.col("rank").desc(), F.col("text").desc())
+    order = Window.partitionBy("bucket").orderBy("guest", F.col("rank").desc(), F.col("th").desc(), F.col("text").desc())
     rows = in_order(docs, buckets, id_col, text_col)
     rows = rows.withColumn("n", F.row_number().over(order)).withColumn("after", F.lead("text").over(order))
     rows = rows.withColumn("next", F.coalesce("after", F.lit(""))).withColumn("same_next", F.coalesce(F.col("after") == F.col("text"), F.lit(True))).drop("after")
@@ -89,20 +129,20 @@ def fingerprints(docs: DataFrame, words: DataFrame, buckets: int, id_col: str =
     half = (n_chars / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n_chars - half), F.substring(F.col("next"), F.lit(1), half))
     rows = rows.withColumn("n_chars", n_chars.cast("long")).withColumn("edited", F.when(F.col("guest") == 0, edited).otherwise(F.lit("")))
-    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("same_edited", F.col("edited") == F.col("text"))
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))
-    keys = ["bucket", "n", "guest", "id", "n_chars", "edited_sha256", "same_edited", "same_next"]
-    # Flat before the terms are exploded, so that no text goes along with each of them.
-    flat = rows.select(*keys, F.inline(sides).alias("side", "t"))
-    each = flat.select(*keys, "side", F.explode(terms(F.col("t"))).alias("term"))
-    each = each.join(F.broadcast(words), "term").select(*keys, "side", "term", F.explode("subsets").alias("k"))
+    about = F.struct("id", "guest", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), (F.col("edited") == F.col("text")).alias("same_edited"), "same_next")
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t"), about.alias("about")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t"), F.lit(None).cast(ABOUT.format(docs.schema[id_col].dataType.simpleString())).alias("about")))
+    # Flat before the terms are exploded: no text goes along with each of them, and what else is known of a document goes with one term alone, the empty one.
+    flat = rows.select("bucket", "n", F.inline(sides).alias("side", "t", "about"))
+    each = flat.select("bucket", "n", "side", F.posexplode(F.array_distinct(terms(F.col("t")))).alias("place", "term"), "about")
+    each = each.select("bucket", "n", "side", "term", F.when(F.col("place") == 0, F.col("about")).alias("about"))
+    each = each.join(F.broadcast(words), "term").select("bucket", "n", "side", "term", "about", F.explode("subsets").alias("k"))
     # The buckets stay where the window put them: neither grouping moves a row.
-    same = [F.first(c).alias(c) for c in keys[2:]]
-    hashed = F.lower(F.hex(F.xxhash64(F.array_join(F.sort_array(F.collect_set("term")), " "))))
-    subsets = each.groupBy("bucket", "n", "side", "k").agg(*same, hashed.alias("hash"))
+    hashed = F.lower(F.hex(F.xxhash64(F.array_join(F.sort_array(F.collect_list("term")), " "))))
+    subsets = each.groupBy("bucket", "n", "side", "k").agg(hashed.alias("hash"), F.first("about", ignorenulls=True).alias("about"))
     entry = F.concat(F.lpad(F.col("k").cast("string"), 2, "0"), F.lit(":"), "hash")
     of = lambda side: F.sort_array(F.collect_list(F.when((F.col("side") == side) & (F.col("k") >= 0), entry)))
-    both = subsets.groupBy("bucket", "n").agg(*same, of(0).alias("fingerprint"), of(1).alias("edited_fingerprint"))
+    both = subsets.groupBy("bucket", "n").agg(F.first("about", ignorenulls=True).alias("about"), of(0).alias("fingerprint"), of(1).alias("edited_fingerprint"))
+    both = both.select("bucket", "n", "about.*", "fingerprint", "edited_fingerprint")
     after = F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("n"))
     both = both.withColumn("after", after).filter("guest = 0")
     return both.select(
@@ -118,4 +158,4 @@ def fingerprints(docs: DataFrame, words: DataFrame, buckets: int, id_col: str =
 
 def fingerprint_all(docs: DataFrame, low: float = 0.002, high: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """fingerprints() with the lexicon of the documents themselves."""
-    return fingerprints(docs, lexicon(docs, text_col, low, high), min(layout(docs, text_col).bins, 10_000), id_col, text_col)
+    return fingerprints(docs, lexicon(docs, text_col, low, high, id_col), layout(docs, text_col).bins, id_col, text_col)
