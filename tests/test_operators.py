@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mergelake import catalogue
 from mergelake.functions import text as T
-from mergelake.operators import apply, order, parse, resolver
+from mergelake.operators import apply, checks, order, parse, payload, resolver
 from mergelake.streaming import detect
 
 
@@ -14,6 +14,13 @@ def parsed(spark, text):
     return [(r.start_line, r.end_line, r.ours, r.theirs, r.base) for r in parse.hunk_rows(df).orderBy("idx").collect()]
 
 
+def test_long_file_parses(spark):
+    """Linear in the lines: a file of 200 000 lines with two hunks."""
+    body = ["x"] * 100_000
+    got = parsed(spark, "\n".join(["<<<<<<<", *body, "=======", ">>>>>>>", "<<<<<<<", "=======", *body, ">>>>>>>"]))
+    assert [(a, b, len(o), len(t)) for a, b, o, t, _ in got] == [(1, 100_003, 100_000, 0), (100_004, 200_006, 0, 100_000)]
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
@@ -57,10 +64,28 @@ def test_depth(spark):
     assert ok("a {\n}") and not ok("}{") and not ok("{")
 
 
-def test_packing(spark):
-    rows = [(k, t) for k, t in enumerate([30, 30, 60, 10, 10])]
-    df = spark.createDataFrame(rows, "key long, tokens long").agg(order.packed(F.array_sort(F.collect_list(F.struct("key", "tokens"))), 50).alias("p"))
-    assert [r.batch for r in df.first().p] == [0, 1, 2, 3, 3]
+def greedy(tokens, most):
+    """Packing one by one."""
+    out, batch, used, held = [], 0, 0, 0
+    for t in tokens:
+        if used + t > most and held:
+            batch, used, held = batch + 1, 0, 0
+        out.append(batch)
+        used, held = used + t, held + 1
+        if t > most:
+            batch, used, held = batch + 1, 0, 0
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 1000])
+def test_packing(spark, block):
+    import random
+
+    r = random.Random(block)
+    for tokens in ([30, 30, 60, 10, 10], [60, 60], [0, 0, 50, 0, 51, 0], [r.choice((0, 5, 10, 20, 49, 50, 51, 90)) for _ in range(40)]):
+        df = spark.createDataFrame([(k * 3, t) for k, t in enumerate(tokens)], "key long, tokens long").repartition(3)
+        got = {x.key: x.batch for x in order.packed(df, "key", "tokens", 50, block).collect()}
+        assert [got[k * 3] for k in range(len(tokens))] == greedy(tokens, 50)
 
 
 def test_ordinal(spark):
@@ -94,3 +119,90 @@ def test_ordinal_within_a_large_group(spark, sf_dir):
     assert sum(map(len, places.values())) == 301 and all(p == list(range(len(p))) for p in places.values())
     plan = catalogue.QUERIES["batches_by_language"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "__bucket" in plan  # no window over a whole language
+
+
+def answers(spark, text, parser):
+    rows = one(spark, parser(F.col("p")), p=text)
+    return rows and [(r.file_path, r.start_line, r.end_line, list(r.resolved_lines), round(r.confidence, 6), r.reasoning) for r in rows]
+
+
+def test_answers(spark):
+    text = "profile a.go\nLines 2-4\nlines 3-x\nconfidence: 0.7.1\nConfidence 0.9\nreasoning: why\nThe resolution:\n  x = 1 \n\n# no\n// no\n--- no\nlines 8-9\nfile: b.py\nlines 1-1\nresolved"
+    assert answers(spark, text, parse.text_resolutions) == [("a.go", 2, 4, ["x = 1", "lines 8-9"], 0.9, "why")]
+    assert answers(spark, "nothing here", parse.text_resolutions) is None
+    assert answers(spark, 'so {"resolutions": []} done', parse.json_resolutions) == []
+    assert answers(spark, "so {broken} done", parse.json_resolutions) is None
+    json = '{"resolutions": [{"file_path": "A.GO", "start_line": 1, "end_line": 2, "resolved_lines": ["if x", "y"], "confidence": 0.5, "go_specific_notes": "n"}]}'
+    assert answers(spark, json, parse.answer_resolutions) == [("A.GO", 1, 2, ["if x", "y"], 0.4, "Go-specific: n")]
+    assert answers(spark, json.replace("A.GO", "a.py"), parse.answer_resolutions)[0][4] == 0.5
+
+
+VALID = '{"files":[{"path":"a.go","language":"Go","conflicts":[{"id":"a:0","start_line":1,"end_line":5,"ours_lines":["x"],"theirs_lines":[]}],"context":{}}],"metadata":{"repo_path":"/w"}}'
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (VALID, (True, None, None, None, 0)),
+        ("", (False, None, "payload", "required", 1)),
+        ("{", (False, None, "payload", "json", 1)),
+        ("[]", (False, None, "payload", "decode", 1)),
+        (VALID.replace('"id"', '"ID"'), (False, None, "payload", "decode", 1)),
+        (VALID.replace('"start_line":1', '"start_line":"1"'), (False, None, "payload", "decode", 1)),
+        (VALID.replace('"path":"a.go"', '"path":""'), (False, "Field 'Path' is required", "Path", "required", 1)),
+        (VALID.replace("a.go", "/etc/x"), (False, "Field 'Path' contains invalid file path", "Path", "filepath", 1)),
+        (VALID.replace('"end_line":5', '"end_line":1'), (False, "Field 'EndLine' must be greater than StartLine", "EndLine", "gtfield", 1)),
+        (VALID.replace('"start_line":1', '"start_line":0').replace('"Go"', '"cobol"'), (False, "Field 'Language' contains unsupported language", "Language", "language", 2)),
+        (VALID.replace('"theirs_lines":[]', '"theirs_lines":null'), (False, "Field 'TheirsLines' is required", "TheirsLines", "required", 1)),
+        (VALID.replace('["x"]', '["a","\\u0002"]'), (False, "Field 'OursLines[1]' contains unsafe content", "OursLines[1]", "safe_content", 1)),
+        ('{"metadata":{"repo_path":"/w"}}', (False, "Field 'Files' is required", "Files", "required", 1)),
+        ('{"files":[],"metadata":{"repo_path":"a;b"}}', (False, "Field 'RepoPath' contains invalid repository path", "RepoPath", "repo_path", 1)),
+        ('{"files":[' + ",".join(['{"path":"a","language":"c","conflicts":[],"context":{}}'] * 2) + '],"metadata":{"repo_path":"/w"}}', (False, "duplicate", "files[0].path", "duplicate", 1)),
+        ('{"files":[' + ",".join(f'{{"path":"a{k}","language":"c","conflicts":[],"context":{{}}}}' for k in range(1001)) + '],"metadata":{"repo_path":"/w"}}', (False, "Field 'Files' exceeds maximum length of 1000", "Files", "max", 1)),
+    ],
+)
+def test_payload_rules(spark, text, want):
+    r = payload.validated(spark.createDataFrame([(text,)], "text string")).first()
+    message = r.message if r.stage in ("fields", "business") else None
+    assert (r.valid, message, r.field, r.tag, r.n_errors) == want
+
+
+def test_predicates_in_sql(spark):
+    T.register_predicates(spark)
+    ask = lambda e: spark.sql(f"SELECT {e} AS x").first()[0]
+    assert ask("is_filepath('src/a.go')") and not ask("is_filepath('a//b')") and not ask("is_filepath('/ETC/x')") and not ask("is_filepath('')")
+    assert ask("is_language('GO')") and not ask("is_language('cobol')")
+    assert ask("is_conflict_id('')") and ask("is_conflict_id('a/b.go:1')") and not ask("is_conflict_id('a b')")
+    assert ask("is_safe_content(concat('a', chr(9)))") and not ask("is_safe_content(concat('a', chr(2)))") and not ask("is_safe_content(repeat('a', 10001))")
+    assert ask("is_repo_path('/w')") and not ask("is_repo_path('a;b')")
+
+
+def test_syntax(spark):
+    def found(language, *lines):
+        r = one(spark, checks.syntax(F.lit(language), F.split("p", "\n")), p="\n".join(lines))
+        return list(r.errors), list(r.warnings)
+
+    assert found("go", "x;", "for ;", "{") == (["Unbalanced braces"], ["Line 1: Unnecessary semicolon in Go"])
+    assert found("javascript", "a", "b;", "c // d", "(") == (["Unbalanced parentheses"], ["Line 1: Possible missing semicolon", "Line 4: Possible missing semicolon"])
+    assert found("java", "package x", "import y", "z") == ([], ["Line 3: Possible missing semicolon"])
+    assert found("python", "if x", "   y", "while z:", "]{") == (["Line 1: Missing colon", "Unbalanced brackets"], ["Line 2: Inconsistent indentation"])
+    assert found("ruby", "{", "if") == ([], ["Potentially unbalanced braces"])
+    assert one(spark, checks.unreachable(F.split("p", "\n")), p="return 1\nx\nconst return\ny\nreturn\n}") == ["Line 2: Possible unreachable code after return"]
+    assert one(spark, checks.imports(F.split("p", "\n")), p='import "a"\nimport (\n  "b"\n\n// c\n)\n)\nx') == ['import "a"', '\t"b"']
+
+
+def test_go_factor(spark):
+    factor = lambda *lines: round(one(spark, apply.go_factor(F.split("p", "\n")), p="\n".join(lines)), 6)
+    assert factor("func a() {", "}") == 1.1
+    assert factor("func a() {", "}", "func a() {", "}") == 0.77
+    assert factor("import (", ")") == 0.33
+    assert factor('import "x') == 0.88
+    assert factor("1") == 1.0
+
+
+def test_splice_in_turn(spark):
+    """A range that fits only before a later one is cut fails its file."""
+    lines = F.array(*map(F.lit, "abcde"))
+    r = lambda a, b, *new: F.struct(F.lit(a).alias("start_line"), F.lit(b).alias("end_line"), F.array(*map(F.lit, new)).cast("array<string>").alias("resolved_lines"))
+    assert one(spark, apply.splice_all(lines, F.array(r(1, 1, "X", "Y"), r(4, 5, "Z"))), p=1) == ["X", "Y", "b", "c", "Z"]
+    assert one(spark, apply.splice_all(lines, F.array(r(2, 5), r(3, 5))), p=1) is None
