@@ -1,7 +1,8 @@
 """A training-data pipeline of five stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-read again as the next stage's docs.  All but the last return the columns of documents.
+read again as the next stage's docs.  All but the last return the columns of documents, in the input's order; columns beside
+those of documents come along unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,31 +12,32 @@ from pyspark.sql import functions as F
 
 from mergelake.llm import language, mixing, nearcopies, pieces, secrets
 from mergelake.llm.queries import piece_model
-from mergelake.llm.shared import stored
+from mergelake.llm.shared import stored, unused
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the models reject go (null texts and texts without a letter among them); lang becomes the predicted one."""
-    model = language.fit(docs, F.lit(True))
-    found = language.identify(docs, model, keep=[c for c in docs.columns if c != "doc_id"])
-    return found.filter(~F.col("rejected")).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    found_name = unused(docs, "language")
+    found = language.identify(docs, language.fit(docs, F.lit(True)), keep=docs.columns, results=found_name)
+    return found.filter(~found[found_name]["rejected"]).withColumn("lang", F.col(found_name)["lang_pred"]).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; documents without an id go."""
-    first = nearcopies.near_copies(docs).filter("doc_id = class_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group stays, the one with the smallest id (null ids last, ties by the text's hash); a document that is no copy stays, with an id or without."""
+    return nearcopies.keep_one(docs).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in its text are masked and n_chars follows."""
-    found = secrets.scan(docs, secrets.fit(docs))
-    return found.withColumn("text", F.col("redacted")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Every document stays; secrets in its text are masked and n_chars follows (a null text stays null, with its n_chars)."""
+    found_name = unused(docs, "found")
+    found = secrets.scan(docs, secrets.fit(docs), results=found_name)
+    n_chars = F.coalesce(F.length(F.col(found_name)["redacted"]).cast("long"), F.col("n_chars"))
+    return found.withColumn("n_chars", n_chars).withColumn("text", F.col(found_name)["redacted"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's rate says, shuffled."""
-    return mixing.replicate(docs).select(*docs.columns)
+    return mixing.replicate(docs, results=unused(docs, "copy")).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-#: Three of the stages are beyond SQL; the tests hold them against brute force.
+#: Three of the stages are beyond SQL; tests/llm/test_pipeline.py holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 
