@@ -146,6 +146,11 @@ def repo_path(path: Column) -> Column:
     return F.octet_length(path).between(1, 999) & ~path.rlike(r"[;|&`$\x00\r\n]")
 
 
+def first_bytes(text: Column, n: int) -> Column:
+    """The first n bytes of a text, as binary: the cut may fall inside a character."""
+    return F.substring(text.cast("binary"), 1, n)
+
+
 def hints(error: Column) -> Column:
     """What to do about a plain error."""
     none = F.array().cast("array<string>")

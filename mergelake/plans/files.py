@@ -219,6 +219,18 @@ def formatter_selection(spark, sf_dir):
     return rows.join(F.broadcast(best), ["options", "ext"], "left").select("doc_id", "path", "options", F.coalesce("formatter", F.lit("none")).alias("formatter"))
 
 
+@query(sql(f""", reg AS ({REGISTRY}), best AS (SELECT ext, arg_min(formatter, ordinal) AS formatter FROM reg GROUP BY ext)
+SELECT doc_id, path, coalesce(formatter, '') AS formatter, CASE WHEN formatter IS NULL THEN 'no formatter for .' || lower(substr({EXT}, 2)) WHEN doc_id % 2 = 0 THEN 'would run ' || formatter ELSE '' END AS message, formatter IS NOT NULL AND doc_id % 2 = 1 AS runs, true AS success
+FROM files LEFT JOIN best ON best.ext = lower(substr({EXT}, 2))""", "files"))
+def format_plan(spark, sf_dir):
+    """What a run does with each file: nothing where no formatter knows it, nothing but a message where it is dry, both of which are successes; else a command."""
+    best = registry(spark).groupBy("ext").agg(F.min_by("formatter", "ordinal").alias("formatter"))
+    rows = V.files(spark, sf_dir).select("doc_id", "path", F.lower(F.substring(T.extension(F.col("path")), 2, 64)).alias("ext")).join(F.broadcast(best), "ext", "left")
+    known, dry = F.col("formatter").isNotNull(), F.col("doc_id") % 2 == 0
+    message = F.when(~known, F.concat(F.lit("no formatter for ."), "ext")).when(dry, F.concat(F.lit("would run "), "formatter")).otherwise("")
+    return rows.select("doc_id", "path", F.coalesce("formatter", F.lit("")).alias("formatter"), message.alias("message"), (known & ~dry).alias("runs"), F.lit(True).alias("success"))
+
+
 #: Extensions that a run takes only, and those it leaves out; as the user wrote them, so one with a dot matches nothing.
 FILTERS = [("all", [], []), ("included", ["go", ".py", "js", "md"], ["md"]), ("excluded", [], ["tsx", "json"])]
 SQL_FILTERS = " UNION ALL ".join(f"SELECT '{n}' AS options, {quoted(i)}::VARCHAR[] AS inc, {quoted(e)}::VARCHAR[] AS exc" for n, i, e in FILTERS)

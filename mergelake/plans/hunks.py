@@ -194,12 +194,23 @@ def resolution_hunk_range_join(spark, sf_dir):
     return first_containing(V.resolutions(spark, sf_dir), hunks(spark, sf_dir)).select("doc_id", "idx", "h_idx", "h_start", "h_end")
 
 
-@query("""SELECT doc_id, replace(replace('a..b//' || source || '///x' || doc_id, '..', ''), '//', '/') AS path, regexp_replace('id ' || doc_id || '$:é-' || lang, '[^A-Za-z0-9:_./-]', '', 'g')[1:100] AS conflict_id, md5(replace(text, chr(0), '')) AS text_md5 FROM documents""")
+@query("""WITH p AS (SELECT *, replace(replace(replace('a..b//' || source || '///x' || doc_id || chr(0) || CASE WHEN doc_id % 10 = 0 THEN repeat('é', 300) ELSE '' END, chr(0), ''), '..', ''), '//', '/') AS path FROM documents)
+SELECT doc_id, md5(unhex(left(hex(encode(path)), 1000))) AS path_md5, least(strlen(path), 500) AS path_bytes, regexp_replace('id ' || doc_id || '$:é-' || lang, '[^A-Za-z0-9:_./-]', '', 'g')[1:100] AS conflict_id, md5(unhex(left(hex(encode(replace(text, chr(0), ''))), 20000))) AS text_md5 FROM p""")
 def payload_sanitize(spark, sf_dir):
+    """Paths, ids and lines as a payload may hold them: cut at 500, 100 and 10000 bytes, also inside a character."""
     s = F.col("doc_id").cast("string")
-    path = F.replace(F.replace(F.concat(F.lit("a..b//"), "source", F.lit("///x"), s), F.lit(".."), F.lit("")), F.lit("//"), F.lit("/"))
+    raw = F.concat(F.lit("a..b//"), "source", F.lit("///x"), s, F.lit("\0"), F.when(F.col("doc_id") % 10 == 0, F.repeat(F.lit("é"), F.lit(300))).otherwise(""))
+    path = T.first_bytes(F.replace(F.replace(F.translate(raw, "\0", ""), F.lit(".."), F.lit("")), F.lit("//"), F.lit("/")), 500)
     name = F.substring(F.regexp_replace(F.concat(F.lit("id "), s, F.lit("$:é-"), "lang"), r"[^A-Za-z0-9:_./-]", ""), 1, 100)
-    return V.table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), name.alias("conflict_id"), F.md5(F.translate("text", "\0", "")).alias("text_md5"))
+    text = T.first_bytes(F.translate("text", "\0", ""), dims.MAX_LINE)
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.md5(path).alias("path_md5"), F.octet_length(path).cast("long").alias("path_bytes"), name.alias("conflict_id"), F.md5(text).alias("text_md5"))
+
+
+@query(sql(f"SELECT count(*) AS total_files, count(*) AS total_conflicts, count(*) FILTER (NOT {PAYLOAD_EXCLUDED}) AS kept_files, count(DISTINCT {PAYLOAD_LANG}) FILTER (NOT {PAYLOAD_EXCLUDED}) AS languages FROM conflicts", "conflicts"))
+def payload_metadata(spark, sf_dir):
+    """A payload's own counts: files before exclusion, which are the conflicts reported too, and what is kept."""
+    kept, path = ~T.payload_excluded(F.col("path")), F.col("path")
+    return V.conflicts(spark, sf_dir).agg(F.count("*").alias("total_files"), F.count("*").alias("total_conflicts"), F.count_if(kept).alias("kept_files"), F.count_distinct(F.when(kept, T.payload_language(path))).alias("languages"))
 
 
 @query(sql("""SELECT count(*) AS total_files, sum(n)::BIGINT AS total_conflicts, sum(bytes)::BIGINT AS payload_bytes, max(m)::BIGINT AS max_line_bytes FROM
