@@ -1,14 +1,17 @@
-"""LM scoring with Katz backoff.
+"""LM scoring with Katz backoff of any order.
 
-An order-2 model: a pair seen in training has its Good-Turing discounted frequency, any other
-the backoff weight of its first token times the second's own probability, which is
-discounted in the same way, the rest going to unseen tokens as one class.  Weights are exact:
-1 less the discounted frequencies of a token's seen successors, over 1 less their own probabilities.
+A gram seen in training has its Good-Turing discounted frequency after its context, any other
+the backoff weight of the context times the probability of its last token after one token of context less, and so on down to
+single tokens, which are discounted in the same way, the rest going to unseen tokens as one class.  Weights are exact:
+1 less the discounted frequencies of a context's seen successors, over 1 less their own lower probabilities.
 
-Counts live in tables that are partitioned by the hash of the token (order 1) or of the pair's
-first token (order 2).  Each bin of documents asks each partition once for the counts of its distinct
-tokens, then of its distinct pairs, and evaluates every token of its texts from the answers.  A first token
-that makes up more than one partition's share of all tokens has its pairs dealt over all partitions, and its sums added up.
+Counts live in tables that are partitioned by the hash of the token (order 1) or of the context
+(higher orders).  Each bin of documents asks each partition once for the counts of its distinct
+tokens, then of its distinct pairs, and so on, and evaluates every token of its texts from the answers, lowest order first.  A context
+that makes up more than one partition's share of all tokens has its grams dealt over all partitions, and its sums added up.
+
+Good-Turing's counts of counts are always smoothed, by the line fitted to their logarithms (which is at most as flat as LEAST_SLOPE);
+there is no other rule for any size or shape of corpus.
 
 Edge cases: a null or empty text is its end token alone; with no training text every token has the
 probability 1 (all mass is the unseen class) and the base formula gives the same; repeated rows
@@ -27,6 +30,7 @@ from . import words as W
 
 #: Counts up to it are discounted.
 GT_MOST = 5
+LEAST_SLOPE = -1.1
 END, START = (W.mixed(np.array([x], W.U64)) for x in (0x45, 0x53))
 #: Of a pair's second token so many bits of its hash are sent.  A first token has at most one partition's share of tokens
 #: as successors in a partition, about a million at any size, so two of them meet with a chance of 1e-7.
@@ -37,24 +41,15 @@ ASKED = "bin int, shard int, payload binary"
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
-    """The factor of each count from 0 to GT_MOST, from how many things were seen 1, 2, ... GT_MOST + 1 times.
+    """The factor of each count from 0 to GT_MOST after Katz, from how many things were seen 1, 2, ... GT_MOST + 1 times.
 
-    Good-Turing after Katz, on the counts of counts as they are; where these are too irregular, as
-    repeated documents make them, on the power law fitted to them; where that fails too, as on a
-    handful of texts, a half is taken off each count."""
-    n = np.asarray(n, float)
+    Smoothed Good-Turing: the logarithms of the counts of counts lie on a line over that of the count, fitted with the counts as weights.  One
+    thing in all is added along the inverse square, so that there is a line for any corpus; a slope below -1 makes every factor lie between 0 and 1."""
     r = np.arange(1, GT_MOST + 2)
-    tries = [n]
-    if (n > 0).sum() > 1:
-        slope, at = np.polyfit(np.log(r[n > 0]), np.log(n[n > 0]), 1, w=np.sqrt(n[n > 0]))
-        tries.append(np.exp(at + slope * np.log(r)))
-    for n in tries:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            whole = r[-1] * n[-1] / n[0]
-            d = (r[1:] * n[1:] / (r[:-1] * n[:-1]) - whole) / (1 - whole)
-        if np.all(np.isfinite(d)) and np.all(d > 0) and np.all(d < 1):
-            return np.r_[1.0, d]
-    return np.r_[1.0, 1 - 0.5 / r[:-1]]
+    n = np.asarray(n, float) + 1.0 / r**2
+    slope = min(np.polyfit(np.log(r), np.log(n), 1, w=np.sqrt(n))[0], LEAST_SLOPE)
+    whole = r[-1] ** (1 + slope)
+    return np.r_[1.0, ((r[1:] / r[:-1]) ** (1 + slope) - whole) / (1 - whole)]
 
 
 def backoff(sums: np.ndarray, low: np.ndarray, context: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,10 +101,6 @@ class Tokens:
         self.hashes, which = np.unique(np.r_[hashes, START], return_inverse=True)
         self.which = which[:-1]
         self.start = int(which[-1])
-        before = np.empty(len(hashes), np.int64)
-        before[1:] = self.which[:-1]
-        before[ends - n] = self.start
-        self.before = before
 
     def asked(self) -> np.ndarray:
         """Training counts of the distinct tokens; START's is the number of training rows."""
@@ -117,11 +108,25 @@ class Tokens:
         out[self.start] = self.n_train_rows
         return out
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs, in order of their first token's hash: first, second, training count; and the pair of each token."""
-        code = self.before * len(self.hashes) + self.which
-        distinct, which = np.unique(code, return_inverse=True)
-        return distinct // len(self.hashes), distinct % len(self.hashes), np.bincount(which[self.train], minlength=len(distinct)), which
+    def first(self) -> np.ndarray:
+        """Where each row begins."""
+        return self.ends - self.counts
+
+    def before_by(self, x: np.ndarray, other) -> np.ndarray:
+        """Each token's value of x at the token before it; other at a row's first."""
+        out = np.empty(len(x), x.dtype)
+        out[1:] = x[:-1]
+        out[self.first()] = other
+        return out
+
+    def context(self, order: int) -> np.ndarray:
+        """The hash of the order - 1 tokens before each token; START stands before a row."""
+        token = self.hashes[self.which]
+        out = token = self.before_by(token, START[0])
+        for _ in range(order - 2):
+            token = self.before_by(token, START[0])
+            out = W.mixed(token * W.U64(W.BASE) + out)
+        return out
 
 
 def sent(bin_id: int, payloads: list[bytes]) -> pa.Table:
@@ -143,6 +148,11 @@ def count_tokens(rows: pa.Table) -> pa.Table:
     return pa.table({"bin": rows["bin"], "shard": rows["shard"], "payload": pa.array(back, pa.binary())})
 
 
+def shortened(x: np.ndarray) -> np.ndarray:
+    """Doubles with the lowest bits off, as integers, which keep the order of positive ones."""
+    return np.ascontiguousarray(x, np.float64).view(W.U64) >> W.U64(64 - SUM_BITS) << W.U64(64 - SUM_BITS)
+
+
 def of_heads(firsts: np.ndarray, counts: np.ndarray, lower: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """For each of n first tokens: how many successors were seen 1, ... GT_MOST times, and the count of the others; their own probabilities' sum."""
     out = np.zeros((GT_MOST + 1, n), np.int64)
@@ -153,27 +163,28 @@ def of_heads(firsts: np.ndarray, counts: np.ndarray, lower: np.ndarray, n: int)
     return out, np.bincount(firsts[counts > 0], weights=lower[counts > 0], minlength=n)
 
 
-def count_pairs(rows: pa.Table) -> pa.Table:
-    """A partition's pair counts and its first tokens' sums: each bin's answer follows the order of its question."""
+def count_grams(rows: pa.Table, order: int) -> pa.Table:
+    """A partition's gram counts and its contexts' sums: each bin's answer follows the order of its question."""
     parts = [W.unpack(p.as_py()) for p in rows["payload"]]
     heads = [np.cumsum(p[0], dtype=W.U64) for p in parts]
     keys = np.concatenate([np.repeat(h, p[1]) for h, p in zip(heads, parts, strict=True)])
     seconds = np.concatenate([p[2] for p in parts])
     counts = np.concatenate([p[3] for p in parts]).astype(np.int64)
-    # Only a bin that has the pair in training gives the second token's count; all that do agree.
-    second_counts = np.concatenate([p[4] for p in parts]).astype(np.int64)
-    order = np.lexsort((seconds, keys))
-    k, s = keys[order], seconds[order]
+    # Only a bin that has the gram in training gives what the last token's lower probability is made of; all that do agree.
+    given = np.concatenate([p[4] for p in parts])
+    at = np.lexsort((seconds, keys))
+    k, s = keys[at], seconds[at]
     new = np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])][: len(k)]
     first = np.flatnonzero(new)
-    total = np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
-    low = Unigrams(parts[0][5]).p(np.maximum.reduceat(second_counts[order], first)) if len(first) else np.zeros(0)
+    total = np.add.reduceat(counts[at], first) if len(first) else np.zeros(0, np.int64)
+    most = np.maximum.reduceat(given[at], first) if len(first) else given[:0]
+    low = Unigrams(parts[0][5]).p(most.astype(np.int64)) if order == 2 else most.view(np.float64)
     each = np.empty(len(k), np.int64)
-    each[order] = np.repeat(total, np.diff(np.r_[first, len(k)]))
+    each[at] = np.repeat(total, np.diff(np.r_[first, len(k)]))
     distinct, which = np.unique(k[first], return_inverse=True)
     sums, lows = of_heads(which, total, low, len(distinct))
     stats = np.array([(total == r).sum() for r in range(1, GT_MOST + 2)], np.int64)
-    back, at = [], 0
+    back, done = [], 0
     for h, p in zip(heads, parts, strict=True):
         mine = np.searchsorted(distinct, h)
         got = np.zeros((GT_MOST + 1, len(h)), np.int64)
@@ -181,8 +192,8 @@ def count_pairs(rows: pa.Table) -> pa.Table:
         if len(distinct):
             have = distinct[np.minimum(mine, len(distinct) - 1)] == h
             got[:, have], got_low[have] = sums[:, mine[have]], lows[mine[have]]
-        back.append(W.pack(each[at : at + len(p[2])], got.ravel(), got_low.view(W.U64) >> W.U64(64 - SUM_BITS) << W.U64(64 - SUM_BITS), stats))
-        at += len(p[2])
+        back.append(W.pack(each[done : done + len(p[2])], got.ravel(), shortened(got_low), stats))
+        done += len(p[2])
     return pa.table({"bin": rows["bin"], "shard": rows["shard"], "payload": pa.array(back, pa.binary())})
 
 
@@ -198,38 +209,85 @@ def token_answers(rows: pa.Table) -> tuple[np.ndarray, Unigrams]:
     return np.concatenate([g[0] for g in got]), Unigrams(np.sum([g[1] for g in got], axis=0))
 
 
-class Routes:
-    """Which partition each of a bin's pairs goes to, hot first tokens dealt out by pair; and the order in which they are asked."""
+class Grams:
+    """A bin's distinct grams of an order, and which partition each goes to; grams of hot contexts are dealt out one by one."""
 
-    def __init__(self, tokens: Tokens, counts: np.ndarray, total: int, shard_bits: int):
-        self.firsts, self.seconds, self.trained, self.which = tokens.pairs()
-        hot = counts * (1 << shard_bits) > max(total, 1)
-        hashes = tokens.hashes
-        by_head = hashes >> W.U64(64 - shard_bits)
-        shard = by_head[self.firsts].astype(np.int64)
+    def __init__(self, tokens: Tokens, order: int, context_count: np.ndarray, total: int, shard_bits: int):
+        self.contexts, of = np.unique(tokens.context(order), return_inverse=True)
+        self.count = np.zeros(len(self.contexts), np.int64)
+        self.count[of] = context_count
+        code, self.which = np.unique(of * len(tokens.hashes) + tokens.which, return_inverse=True)
+        self.firsts, self.seconds = code // len(tokens.hashes), tokens.hashes[code % len(tokens.hashes)]
+        self.trained = np.bincount(self.which[tokens.train], minlength=len(code))
+        hot = self.count * (1 << shard_bits) > max(total, 1)
+        shard = (self.contexts >> W.U64(64 - shard_bits))[self.firsts].astype(np.int64)
         warm = hot[self.firsts]
-        pair = W.mixed(hashes[self.firsts[warm]] * W.U64(W.BASE) + hashes[self.seconds[warm]])
-        shard[warm] = (pair >> W.U64(64 - shard_bits)).astype(np.int64)
+        gram = W.mixed(self.contexts[self.firsts[warm]] * W.U64(W.BASE) + self.seconds[warm])
+        shard[warm] = (gram >> W.U64(64 - shard_bits)).astype(np.int64)
         self.order = np.lexsort((np.arange(len(shard)), shard))
         self.cuts = np.searchsorted(shard[self.order], np.arange((1 << shard_bits) + 1))
-        #: Hot tokens that the bin has as a first one: every partition has a part of their sums.
-        self.hot = np.flatnonzero(hot & np.isin(np.arange(len(hashes)), self.firsts))
+        #: Hot contexts of the bin: every partition has a part of their sums.
+        self.hot = np.flatnonzero(hot)
 
-    def heads(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
-        """The first tokens that a partition is asked about, hot ones included, in ascending order, and each one's number of pairs."""
+    def of_shard(self, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The grams that a partition is asked about; its contexts, hot ones included, in ascending order, and each one's number of grams."""
         mine = self.order[self.cuts[shard] : self.cuts[shard + 1]]
         heads, n = np.unique(self.firsts[mine], return_counts=True)
         both = np.union1d(heads, self.hot)
         counts = np.zeros(len(both), np.int64)
         counts[np.searchsorted(both, heads)] = n
-        return both, counts
+        return mine, both, counts
+
+
+class Evaluated:
+    """A bin's tokens with what is known of them up to an order: how often each gram was seen, and each token's probability."""
+
+    def __init__(self, rows: pa.Table, got: pa.Table):
+        self.tokens = Tokens(rows)
+        replies = got.filter(pa.array(np.array(got["kind"].to_pylist(), np.int64) == 1))
+        self.counts, self.unigrams = token_answers(replies)
+        self.seen = self.counts[self.tokens.which]
+        self.p = self.unigrams.p(self.seen)
+        self.order = 1
+
+    def grams(self, shard_bits: int) -> Grams:
+        """Those of the next order."""
+        context = self.tokens.before_by(self.seen, self.counts[self.tokens.start])
+        return Grams(self.tokens, self.order + 1, context, self.unigrams.total, shard_bits)
+
+    def asked(self, shard_bits: int) -> list[bytes]:
+        g, out = self.grams(shard_bits), []
+        given = np.zeros(len(g.trained), np.uint32 if self.order == 1 else W.U64)
+        given[g.which] = self.seen if self.order == 1 else shortened(self.p)
+        given[g.trained == 0] = 0
+        for shard in range(1 << shard_bits):
+            mine, heads, n = g.of_shard(shard)
+            out.append(W.pack(W.gaps(g.contexts[heads]), n.astype(np.uint32), g.seconds[mine] >> W.U64(64 - SECOND_BITS), g.trained[mine].astype(np.uint32), given[mine], self.unigrams.stats))
+        return out
+
+    def up(self, got: pa.Table, shard_bits: int) -> None:
+        """Goes to the next order with its answers."""
+        g, order = self.grams(shard_bits), self.order + 1
+        seen = np.zeros(len(g.trained), np.int64)
+        sums, low, stats = np.zeros((GT_MOST + 1, len(g.contexts)), np.int64), np.zeros(len(g.contexts)), np.zeros(GT_MOST + 1, np.int64)
+        replies = got.filter(pa.array(np.array(got["kind"].to_pylist(), np.int64) == order))
+        for shard, (each, of_each, lows, some) in enumerate(answers(replies)):
+            mine, heads, _ = g.of_shard(shard)
+            seen[mine] = each
+            sums[:, heads] += of_each.reshape(GT_MOST + 1, -1)
+            low[heads] += lows.view(np.float64)
+            stats += some
+        factor = discounts(stats)
+        scale, weight = backoff(sums, low, g.count, factor)
+        share = seen * np.where(seen <= GT_MOST, factor[np.minimum(seen, GT_MOST)], 1.0) * (scale / np.maximum(g.count, 1))[g.firsts]
+        self.p = np.where(seen[g.which] > 0, share[g.which], weight[g.firsts][g.which] * self.p)
+        self.seen, self.order = seen[g.which], order
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", layout: W.Layout | None = None) -> DataFrame:
-    """One row per row: the id, train, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (Katz), both log10 of the text's probability."""
+def score(docs: DataFrame, train: Column, order: int = 2, id_col: str = "doc_id", text_col: str = "text", layout: W.Layout | None = None) -> DataFrame:
+    """One row per row: the id, train, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (Katz of an order), both log10 of the text's probability."""
     lay = layout or W.layout(docs, text_col)
     bits = lay.shard_bits
-    u32 = lambda a: a.astype(np.uint32)
 
     def ask_tokens(key, rows):
         t = Tokens(rows)
@@ -237,46 +295,30 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         cuts = W.slices(t.hashes, bits)
         return sent(key[0].as_py(), [W.pack(W.gaps(t.hashes[a:b]), counts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
 
-    def ask_pairs(key, rows, got):
-        if not rows.num_rows:
-            return sent(key[0].as_py(), [])
-        t = Tokens(rows)
-        counts, unigrams = token_answers(got)
-        routes = Routes(t, counts, unigrams.total, bits)
-        second_counts = u32(np.where(routes.trained > 0, counts[routes.seconds], 0))
-        out = []
-        for shard in range(1 << bits):
-            mine = routes.order[routes.cuts[shard] : routes.cuts[shard + 1]]
-            heads, n = routes.heads(shard)
-            second = t.hashes[routes.seconds[mine]] >> W.U64(64 - SECOND_BITS)
-            out.append(W.pack(W.gaps(t.hashes[heads]), u32(n), second, u32(routes.trained[mine]), second_counts[mine], unigrams.stats))
-        return sent(key[0].as_py(), out)
+    def ask_grams(to):
+        def ask(key, rows, got):
+            if not rows.num_rows:
+                return sent(key[0].as_py(), [])
+            e = Evaluated(rows, got)
+            while e.order < to - 1:
+                e.up(got, bits)
+            return sent(key[0].as_py(), e.asked(bits))
+
+        return ask
+
+    def counted(n):
+        return lambda rows: count_grams(rows, n)
 
     def scored(key, rows, got):
-        kinds = np.array(got["kind"].to_pylist(), np.int64)
-        t = Tokens(rows)
-        counts, unigrams = token_answers(got.filter(pa.array(kinds == 0)))
-        routes = Routes(t, counts, unigrams.total, bits)
-        seen = np.zeros(len(routes.firsts), np.int64)
-        sums = np.zeros((GT_MOST + 1, len(t.hashes)), np.int64)
-        low = np.zeros(len(t.hashes))
-        stats = np.zeros(GT_MOST + 1, np.int64)
-        for shard, (each, of_each, lows, some) in enumerate(answers(got.filter(pa.array(kinds == 1)))):
-            seen[routes.order[routes.cuts[shard] : routes.cuts[shard + 1]]] = each
-            heads, _ = routes.heads(shard)
-            sums[:, heads] += of_each.reshape(GT_MOST + 1, -1)
-            low[heads] += lows.view(np.float64)
-            stats += some
-        factor = discounts(stats)
-        context = np.maximum(counts, 1).astype(float)
-        scale, weight = backoff(sums, low, counts, factor)
-        p1 = unigrams.p(counts)
-        share = seen * np.where(seen <= GT_MOST, factor[np.minimum(seen, GT_MOST)], 1.0) * (scale / context)[routes.firsts]
+        e = Evaluated(rows, got)
+        while e.order < order:
+            e.up(got, bits)
+        t, u = e.tokens, e.unigrams
         with np.errstate(divide="ignore"):
-            logs = np.log10(np.where(seen > 0, share, weight[routes.firsts] * p1[routes.seconds]))[routes.which]
-        base = np.log10((counts + 1) / (unigrams.total + unigrams.distinct + 1))[t.which]
-        known = counts[t.which] > 0
-        begins = t.ends - t.counts
+            logs = np.log10(e.p)
+        base = np.log10((e.counts + 1) / (u.total + u.distinct + 1))[t.which]
+        known = e.counts[t.which] > 0
+        begins = t.first()
         row_sum = lambda x: np.add.reduceat(x, begins) if len(begins) else x[:0]
         return pa.table(
             {
@@ -284,17 +326,18 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 "train": rows["train"],
                 "n_tokens": pa.array(t.counts, pa.int64()),
                 "n_known": pa.array(row_sum(known.astype(np.int64))),
-                "train_tokens": pa.array(np.full(len(begins), unigrams.total), pa.int64()),
+                "train_tokens": pa.array(np.full(len(begins), u.total), pa.int64()),
                 "base_score": pa.array(row_sum(base)),
                 "score": pa.array(row_sum(logs)),
             }
         )
 
-    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.coalesce(train, F.lit(False)).alias("train")).withColumn("bin", W.bin_of("id", lay.bins))
+    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.coalesce(train, F.lit(False)).alias("train")).withColumn("bin", W.bin_of(lay.bins, "id", "text"))
     kind = slim.schema["id"].dataType.simpleString()
     by_bin = slim.groupBy("bin")
-    tokens = by_bin.applyInArrow(ask_tokens, ASKED).groupBy("shard").applyInArrow(count_tokens, ASKED)
-    pairs = by_bin.cogroup(tokens.groupBy("bin")).applyInArrow(ask_pairs, ASKED).groupBy("shard").applyInArrow(count_pairs, ASKED)
-    both = tokens.withColumn("kind", F.lit(0)).unionByName(pairs.withColumn("kind", F.lit(1)))
+    got = by_bin.applyInArrow(ask_tokens, ASKED).groupBy("shard").applyInArrow(count_tokens, ASKED).withColumn("kind", F.lit(1))
+    for n in range(2, order + 1):
+        grams = by_bin.cogroup(got.groupBy("bin")).applyInArrow(ask_grams(n), ASKED).groupBy("shard").applyInArrow(counted(n), ASKED)
+        got = got.unionByName(grams.withColumn("kind", F.lit(n)))
     result = f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return by_bin.cogroup(both.groupBy("bin")).applyInArrow(scored, result).withColumnRenamed("id", id_col)
+    return by_bin.cogroup(got.groupBy("bin")).applyInArrow(scored, result).withColumnRenamed("id", id_col)

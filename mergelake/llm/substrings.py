@@ -141,7 +141,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
             kept.append(b" ".join(these))
         return pa.table({"id": rows["id"], "n_words": pa.array(w.counts, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("bin", W.bin_of("id", lay.bins))
+    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("bin", W.bin_of(lay.bins, "id", "text"))
     kind = slim.schema["id"].dataType.simpleString()
     by_bin = slim.groupBy("bin")
     blocks = by_bin.applyInArrow(ask_blocks, ASKED).groupBy("shard").applyInArrow(lambda t: _answer(t, True), ASKED)
