@@ -12,8 +12,10 @@ buckets counts in the first only.
 
 Edge cases: a null text equals an empty one; a text of 1 to 4 words is a set of one run; texts
 without a word have an empty set and are linked to nothing, but equal ones are one class; words are
-runs of anything but ASCII white space, unchanged; repeated rows are equal texts, and otherwise
-ids are unique; ties take the smallest id.  Only the id and the text are read.
+runs of anything but ASCII white space, unchanged; repeated rows are equal texts;
+ids need be neither unique nor there: a distinct text is known by its smallest id and 128 bits of its hash;
+ties take the smallest id, null ids last, and a group of null ids alone has a null class_id and still a class_key.
+Only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 from .shared import checkpointed
 
 BLOCK = 192
+SLICE_BYTES = 512 << 10
 
 
 def banding(threshold: float, recall: float, most_rows: int = 8) -> tuple[int, int]:
@@ -82,47 +86,49 @@ def signatures(runs: np.ndarray, offsets: np.ndarray, bands: int, rows: int) ->
 def links_of(key: tuple, rows: pa.Table, threshold: float) -> pa.Table:
     """One bucket, or two blocks of one: each member's links, counted, and a spanning set of them."""
     bucket, i, j = (k.as_py() for k in key)
-    rows = rows.take(np.unique(rows["id"].to_numpy(), return_index=True)[1])  # a repeated row is one member
-    ids = rows["id"].to_pylist()
-    block = np.array(rows["block"].to_pylist())
+    ids = rows["node"].to_pylist()
+    first = {x: k for k, x in reversed(list(enumerate(ids)))}
+    if len(first) < len(ids):  # a repeated row is one member
+        rows = rows.take(pa.array(sorted(first.values())))
+        ids = rows["node"].to_pylist()
+    n = len(ids)
+    block = rows["block"].to_numpy()
     sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows["runs"]]
-    first = [set(x) for x in rows["buckets"].to_pylist()]
     size = np.array([len(s) for s in sets])
-    # Members' sets in one column, so that one member meets all others at once.
-    values, codes = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.zeros(0), np.zeros(0, int))
+    # Members' sets in one column, so that one member meets all others at once; their buckets likewise.
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    codes = codes.astype(np.int32)
     starts = np.r_[0, np.cumsum(size)]
-    n_links = np.zeros(len(ids), np.int64)
-    parent = list(range(len(ids)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    mark = np.zeros(len(values), bool)
-    tied: list[int | None] = [None] * len(ids)
-    for a in range(len(ids)):
+    lists = rows["buckets"].combine_chunks()
+    every, bucket_codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    bucket_starts = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
+    this, none = int(np.searchsorted(every, bucket)), len(every)
+    mark, bucket_mark = np.zeros(len(values), bool), np.zeros(len(every), bool)
+    n_links = np.zeros(n, np.int64)
+    group = np.arange(n)  # members tied so far share one number
+    loose = np.arange(n)  # by group: the member of it without a tie
+    tied: list[bytes | None] = [None] * n
+    for a in range(n):
         if i != j and block[a] != i:
             continue
-        mine = codes[starts[a] : starts[a + 1]]
+        mine, its = codes[starts[a] : starts[a + 1]], bucket_codes[bucket_starts[a] : bucket_starts[a + 1]]
         mark[mine] = True
-        both = np.add.reduceat(mark[codes], starts[:-1]) if len(codes) else np.zeros(0)
+        both = np.add.reduceat(mark[codes], starts[:-1])
         mark[mine] = False
         near = both >= threshold * (size + size[a] - both) - 1e-9
-        near &= (block == j) if i != j else (np.arange(len(ids)) > a)
-        for b in np.flatnonzero(near).tolist():
-            if len(first[a]) > 1 and min(first[a] & first[b]) != bucket:
-                continue
-            n_links[a] += 1
-            n_links[b] += 1
-            x, y = root(a), root(b)
-            if x != y:
-                parent[x] = y
-                # One tie for each union: the root that is no longer one has none yet.
-                tied[x] = ids[y]
-    kept = [k for k in range(len(ids)) if n_links[k] or tied[k] is not None]
-    return pa.table({"id": pa.array([ids[k] for k in kept], pa.int64()), "links": pa.array(n_links[kept], pa.int64()), "tie": pa.array([tied[k] for k in kept], pa.int64())})
+        near &= (block == j) if i != j else (np.arange(n) > a)
+        if len(its) > 1 and near.any():  # a pair counts in the first bucket that both are in
+            bucket_mark[its] = True
+            near &= np.minimum.reduceat(np.where(bucket_mark[bucket_codes], bucket_codes, none), bucket_starts[:-1]) == this
+            bucket_mark[its] = False
+        n_links[a] += near.sum()
+        n_links[near] += 1
+        for other in np.unique(group[near]).tolist():
+            if other != group[a]:  # one tie for each union
+                tied[loose[other]] = ids[a]
+                group[group == other] = group[a]
+    kept = [k for k in range(n) if n_links[k] or tied[k] is not None]
+    return pa.table({"node": pa.array([ids[k] for k in kept], pa.binary()), "links": pa.array(n_links[kept], pa.int64()), "tie": pa.array([tied[k] for k in kept], pa.binary())})
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -146,53 +152,82 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("the groups did not settle")
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text; null is empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
+
+
+def node_of(first_id: Column, key: Column) -> Column:
+    """A distinct text: its smallest id and its key, so that nodes sort by the id, those without one last."""
+    sign = F.lit(-(1 << 63)).cast("bigint")
+    return F.when(first_id.isNull(), F.concat(F.unhex(F.lit("01" + "0" * 16)), key)).otherwise(F.concat(F.unhex(F.concat(F.lit("00"), F.lpad(F.hex(first_id.bitwiseXOR(sign)), 16, "0"))), key))
+
+
+def id_of(node: Column) -> Column:
+    """The id in a node."""
+    sign = F.lit(-(1 << 63)).cast("bigint")
+    return F.when(F.hex(F.substring(node, 1, 1)) == "00", F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("bigint").bitwiseXOR(sign))
+
+
 def near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: the id (null ids are left out), copy_of (the smallest id with the same text), class_id (the smallest id of its group) and n_links (different texts within the threshold)."""
+    """One row per row: the id, copy_of (the smallest id with the same text), class_id (the smallest id of its group), n_links (different texts within the threshold),
+    class_key (one for each group, whatever its ids) and text_key."""
     bands, rows = banding(threshold, recall)
-    slim = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).filter("id IS NOT NULL")
-    keyed = slim.select("id", F.sha2("text", 256).alias("key"))
+    slim = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
+    keyed = slim.select("id", "key")
     firsts = keyed.groupBy("key").agg(F.min("id").alias("copy_of"))
+    nodes = firsts.select("key", "copy_of", node_of(F.col("copy_of"), F.col("key")).alias("node"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                sig = signatures(*shingles(part.column(1), n), bands, rows)
-                filled = pa.array(np.diff(shingles_count(part.column(1))) > 0)
+            for part in W.parts(batch, 1, SLICE_BYTES):
+                runs, offsets = shingles(part.column(1), n)
+                sig = signatures(runs, offsets, bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, bands), pa.int32()), pa.array(sig.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "bands"]).filter(filled)
-
-    def shingles_count(column: pa.Array) -> np.ndarray:
-        return np.r_[0, np.cumsum(W.words(column).counts)]
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["key", "bands"]).filter(pa.array(np.diff(offsets) > 0))
 
-    signed = slim.mapInArrow(sign, "id long, bands array<long>")
-    members = firsts.select(F.col("copy_of").alias("id")).join(signed, "id").select("id", F.posexplode("bands").alias("band", "hash"))
-    members = members.select("id", F.xxhash64("band", "hash").alias("bucket"))
+    # Copies of a text have the same bands: one of them stays for each task before anything is sent.
+    signed = slim.select("key", "text").mapInArrow(sign, "key binary, bands array<long>").groupBy("key").agg(F.first("bands").alias("bands"))
+    members = signed.join(nodes, "key").select("node", F.posexplode("bands").alias("band", "hash"))
+    members = members.select("node", F.xxhash64("band", "hash").alias("bucket"))
     # A bucket is known by its members: their number, and two sums of their hashes.
-    bits = F.xxhash64("id")
-    sums = members.groupBy("bucket").agg(F.count("*").alias("size"), F.sum(F.shiftright(bits, 24).cast("decimal(20,0)")).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s2")).filter("size > 1")
+    bits = F.xxhash64("node")
+    sums = members.groupBy("bucket").agg(F.count("*").alias("size"), F.sum(F.shiftright(bits, 24).cast("decimal(20,0)")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")).filter("size > 1")
     chosen = sums.groupBy("size", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
     held = checkpointed(members.join(chosen, "bucket").distinct())
-    lists = held.groupBy("id").agg(F.collect_list("bucket").alias("buckets"))
+    lists = held.groupBy("node").agg(F.collect_list("bucket").alias("buckets")).select("node", "buckets", id_of(F.col("node")).alias("id"), F.substring("node", 10, 16).alias("key"))
 
     def pack_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in W.parts(batch, 1, SLICE_BYTES):
                 runs, offsets = shingles(part.column(1), n)
                 packed = [runs[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(packed, pa.binary())], ["id", "buckets", "runs"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(packed, pa.binary())], ["node", "buckets", "runs"])
 
-    sets = slim.join(lists, "id").mapInArrow(pack_sets, "id long, buckets array<long>, runs binary")
+    # By id and key: the copies of one text are not gathered.
+    first = slim.alias("d").join(lists.alias("l"), F.col("d.id").eqNullSafe(F.col("l.id")) & (F.col("d.key") == F.col("l.key"))).select("l.node", "d.text", "l.buckets")
+    sets = first.mapInArrow(pack_sets, "node binary, buckets array<long>, runs binary")
     # Blocks of a large bucket: a member goes to every pair of blocks that has its own.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit(2)), blocks).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(2)), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    dealt = held.withColumn("blocks", blocks).withColumn("block", own).select("id", "bucket", "block", F.explode(pairs).alias("p")).select("id", "bucket", "block", "p.i", "p.j")
-    tasks = dealt.join(sets, "id")
-    found = checkpointed(tasks.groupBy("bucket", "i", "j").applyInArrow(lambda key, t: links_of(key, t, threshold), "id long, links long, tie long"))
-    roots = components(found.filter("tie IS NOT NULL").select(F.col("id").alias("a"), F.col("tie").alias("b")))
-    links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
-    classes = links.join(roots, links["id"] == roots["node"], "left").select("id", "n_links", F.coalesce("root", "id").alias("class_id"))
-    per_class = firsts.join(classes, firsts["copy_of"] == classes["id"], "left").select("key", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    return keyed.join(per_class, "key").select(F.col("id").alias(id_col), "copy_of", "class_id", "n_links")
+    dealt = held.withColumn("blocks", blocks).withColumn("block", own).select("node", "bucket", "block", F.explode(pairs).alias("p")).select("node", "bucket", "block", "p.i", "p.j")
+    tasks = dealt.join(sets, "node")
+    found = checkpointed(tasks.groupBy("bucket", "i", "j").applyInArrow(lambda key, t: links_of(key, t, threshold), "node binary, links long, tie binary"))
+    roots = components(found.filter("tie IS NOT NULL").select(F.col("node").alias("a"), F.col("tie").alias("b")))
+    links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
+    classes = links.join(roots.withColumnRenamed("node", "tied"), F.col("node") == F.col("tied"), "left").select("node", "n_links", F.coalesce("root", "node").alias("class_node"))
+    per_class = nodes.join(classes, "node", "left").withColumn("class_node", F.coalesce("class_node", "node"))
+    per_class = per_class.select("key", "copy_of", id_of(F.col("class_node")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.hex(F.substring("class_node", 10, 16)).alias("class_key"))
+    return keyed.join(per_class, "key").select(F.col("id").alias(id_col), "copy_of", "class_id", "n_links", "class_key", F.col("key").alias("text_key"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group, with all columns: the smallest id (null ids last), then the smallest text key, then the smallest hash of the other columns; rows equal in all are one."""
+    found = near_copies(docs, n, threshold, recall, id_col, text_col)
+    chosen = found.groupBy("class_key").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text_key").alias("key"))).alias("best"))
+    row = lambda i, key: F.sha2(F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("null")), F.hex(key)), 256)
+    best = chosen.select(row(F.col("best.id"), F.col("best.key")).alias("row"))
+    placed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), row(docs[id_col], text_key(docs[text_col])).alias("row"), F.xxhash64(F.to_json(F.struct(*[docs[c] for c in docs.columns if c != text_col]))).alias("rest"))
+    kept = placed.join(best, "row", "left_semi")
+    return kept.groupBy("row").agg(F.min_by("doc", "rest").alias("doc")).select("doc.*")

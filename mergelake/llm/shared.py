@@ -10,14 +10,25 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; one of our own only where none is named, as in tests."""
+    """The cluster's shared checkpoint folder; a local one only where none is named and the master is local, as in tests."""
     folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs has not, also in other letters' case."""
+    have = {c.lower() for c in docs.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the shared folder, without its lineage."""
     shared_folder(df.sparkSession)
