@@ -52,6 +52,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold(n: int) -> Column:
+    """The id's remainder; null for a null id, which is held out everywhere."""
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
@@ -61,7 +62,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     model = language.fit(docs, fold(5) != 0)
-    return language.identify(docs, model).withColumn("held_out", fold(5) == 0).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    return language.identify(docs, model).withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(True))).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 @query
