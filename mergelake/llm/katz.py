@@ -284,31 +284,34 @@ class Evaluated:
         self.seen, self.order = seen[g.which], order
 
 
-def score(docs: DataFrame, train: Column, order: int = 2, id_col: str = "doc_id", text_col: str = "text", layout: W.Layout | None = None) -> DataFrame:
-    """One row per row: the id, train, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (Katz of an order), both log10 of the text's probability."""
-    lay = layout or W.layout(docs, text_col)
-    bits = lay.shard_bits
+def by_bins(docs: DataFrame, train: Column, bins: int, id_col: str, text_col: str) -> DataFrame:
+    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    return slim.withColumn("bin", W.bin_of(bins, "id", "text"))
+
 
-    def ask_tokens(key, rows):
+def ask_tokens(bits: int):
+    def ask(key, rows):
         t = Tokens(rows)
         counts = t.asked()
         cuts = W.slices(t.hashes, bits)
         return sent(key[0].as_py(), [W.pack(W.gaps(t.hashes[a:b]), counts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
 
-    def ask_grams(to):
-        def ask(key, rows, got):
-            if not rows.num_rows:
-                return sent(key[0].as_py(), [])
-            e = Evaluated(rows, got)
-            while e.order < to - 1:
-                e.up(got, bits)
-            return sent(key[0].as_py(), e.asked(bits))
+    return ask
 
-        return ask
 
-    def counted(n):
-        return lambda rows: count_grams(rows, n)
+def ask_grams(order: int, bits: int):
+    def ask(key, rows, got):
+        if not rows.num_rows:
+            return sent(key[0].as_py(), [])
+        e = Evaluated(rows, got)
+        while e.order < order - 1:
+            e.up(got, bits)
+        return sent(key[0].as_py(), e.asked(bits))
+
+    return ask
+
 
+def evaluate(order: int, bits: int):
     def scored(key, rows, got):
         e = Evaluated(rows, got)
         while e.order < order:
@@ -332,12 +335,120 @@ def score(docs: DataFrame, train: Column, order: int = 2, id_col: str = "doc_id"
             }
         )
 
-    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.coalesce(train, F.lit(False)).alias("train")).withColumn("bin", W.bin_of(lay.bins, "id", "text"))
-    kind = slim.schema["id"].dataType.simpleString()
-    by_bin = slim.groupBy("bin")
-    got = by_bin.applyInArrow(ask_tokens, ASKED).groupBy("shard").applyInArrow(count_tokens, ASKED).withColumn("kind", F.lit(1))
+    return scored
+
+
+def result(rows: DataFrame, got: DataFrame, order: int, bits: int, id_col: str) -> DataFrame:
+    kind = f"id {rows.schema['id'].dataType.simpleString()}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return rows.groupBy("bin").cogroup(got.groupBy("bin")).applyInArrow(evaluate(order, bits), kind).withColumnRenamed("id", id_col)
+
+
+def score(docs: DataFrame, train: Column, order: int = 2, id_col: str = "doc_id", text_col: str = "text", layout: W.Layout | None = None) -> DataFrame:
+    """One row per row: the id, train, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (Katz of an order), both log10 of the text's probability.
+
+    Fits and scores in one go: each partition answers from its counts as they meet, so grams are sent once.  train_tables and score_with do the two apart."""
+    lay = layout or W.layout(docs, text_col)
+    bits, rows = lay.shard_bits, by_bins(docs, train, lay.bins, id_col, text_col)
+
+    def counted(n):
+        return lambda rows: count_grams(rows, n)
+
+    by_bin = rows.groupBy("bin")
+    got = by_bin.applyInArrow(ask_tokens(bits), ASKED).groupBy("shard").applyInArrow(count_tokens, ASKED).withColumn("kind", F.lit(1))
     for n in range(2, order + 1):
-        grams = by_bin.cogroup(got.groupBy("bin")).applyInArrow(ask_grams(n), ASKED).groupBy("shard").applyInArrow(counted(n), ASKED)
+        grams = by_bin.cogroup(got.groupBy("bin")).applyInArrow(ask_grams(n, bits), ASKED).groupBy("shard").applyInArrow(counted(n), ASKED)
         got = got.unionByName(grams.withColumn("kind", F.lit(n)))
-    result = f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return by_bin.cogroup(got.groupBy("bin")).applyInArrow(scored, result).withColumnRenamed("id", id_col)
+    return result(rows, got, order, bits, id_col)
+
+
+TABLE = "shard int, payload binary"
+
+
+def token_table(rows: pa.Table) -> pa.Table:
+    """A partition's tokens with their counts and its sums, as one packed row."""
+    parts = [W.unpack(p.as_py()) for p in rows["payload"]]
+    distinct, which = np.unique(np.concatenate([np.cumsum(p[0], dtype=W.U64) for p in parts]), return_inverse=True)
+    total = np.bincount(which, weights=np.concatenate([p[1] for p in parts]), minlength=len(distinct)).astype(np.int64)
+    real = total[distinct != START[0]]
+    stats = np.r_[real.sum(), (real > 0).sum(), [(real == r).sum() for r in range(1, GT_MOST + 2)]].astype(np.int64)
+    return pa.table({"shard": rows["shard"][:1], "payload": pa.array([W.pack(W.gaps(distinct[total > 0]), total[total > 0], stats)], pa.binary())})
+
+
+def tokens_found(rows: pa.Table, table: pa.Table) -> pa.Table:
+    """Answers to bins from a partition's table."""
+    gaps, total, stats = W.unpack(table["payload"][0].as_py()) if table.num_rows else (np.zeros(0, W.U64), np.zeros(0, np.int64), np.zeros(GT_MOST + 3, np.int64))
+    have, back = np.cumsum(gaps, dtype=W.U64), []
+    for p in rows["payload"]:
+        keys = np.cumsum(W.unpack(p.as_py())[0], dtype=W.U64)
+        at = np.minimum(np.searchsorted(have, keys), max(len(have) - 1, 0))
+        back.append(W.pack(np.where(have[at] == keys, total[at], 0) if len(have) else np.zeros(len(keys), np.int64), stats))
+    return pa.table({"bin": rows["bin"], "shard": rows["shard"], "payload": pa.array(back, pa.binary())})
+
+
+def gram_table(rows: pa.Table, order: int) -> pa.Table:
+    """A partition's contexts, each with its grams' last tokens and counts and its sums, as one packed row."""
+    parts = [W.unpack(p.as_py()) for p in rows["payload"]]
+    keys = np.concatenate([np.repeat(np.cumsum(p[0], dtype=W.U64), p[1]) for p in parts])
+    seconds, counts, given = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
+    kept = np.flatnonzero(counts > 0)
+    at = kept[np.lexsort((seconds[kept], keys[kept]))]
+    k, s = keys[at], seconds[at]
+    first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])][: len(k)])
+    total = np.add.reduceat(counts[at].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    most = np.maximum.reduceat(given[at], first) if len(first) else given[:0]
+    low = Unigrams(parts[0][5]).p(most.astype(np.int64)) if order == 2 else most.view(np.float64)
+    contexts, which = np.unique(k[first], return_inverse=True)
+    sums, lows = of_heads(which, total, low, len(contexts))
+    stats = np.array([(total == r).sum() for r in range(1, GT_MOST + 2)], np.int64)
+    packed = W.pack(W.gaps(contexts), np.bincount(which, minlength=len(contexts)).astype(np.uint32), s[first], total, sums.ravel(), shortened(lows), stats)
+    return pa.table({"shard": rows["shard"][:1], "payload": pa.array([packed], pa.binary())})
+
+
+def grams_found(rows: pa.Table, table: pa.Table) -> pa.Table:
+    """Answers to bins from a partition's table."""
+    none = [np.zeros(0, W.U64), np.zeros(0, np.uint32), np.zeros(0, W.U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, W.U64), np.zeros(GT_MOST + 1, np.int64)]
+    gaps, n, seconds, total, sums, lows, stats = W.unpack(table["payload"][0].as_py()) if table.num_rows else none
+    contexts, sums = np.cumsum(gaps, dtype=W.U64), sums.reshape(GT_MOST + 1, -1)
+    have, back = (np.repeat(np.arange(len(contexts), dtype=W.U64), n) << W.U64(SECOND_BITS)) | seconds, []
+    for p in rows["payload"]:
+        heads, m, asked = (x := W.unpack(p.as_py()))[0].cumsum(dtype=W.U64), x[1], x[2]
+        mine = np.minimum(np.searchsorted(contexts, heads), max(len(contexts) - 1, 0))
+        known = contexts[mine] == heads if len(contexts) else np.zeros(len(heads), bool)
+        got, low, each = np.zeros((GT_MOST + 1, len(heads)), np.int64), np.zeros(len(heads), W.U64), np.zeros(len(asked), np.int64)
+        if len(contexts):
+            got[:, known], low[known] = sums[:, mine[known]], lows[mine[known]]
+            keys = (np.repeat(mine, m).astype(W.U64) << W.U64(SECOND_BITS)) | asked
+            at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+            each = np.where(np.repeat(known, m) & (have[at] == keys), total[at], 0)
+        back.append(W.pack(each, got.ravel(), low, stats))
+    return pa.table({"bin": rows["bin"], "shard": rows["shard"], "payload": pa.array(back, pa.binary())})
+
+
+def tabled(n: int):
+    return token_table if n == 1 else (lambda rows: gram_table(rows, n))
+
+
+def stepped(rows: DataFrame, path: str, order: int, bits: int, write: bool) -> DataFrame:
+    """The answers to all bins, order by order, from the tables in a folder, each of which is written first where asked for."""
+    spark, by_bin, got = rows.sparkSession, rows.groupBy("bin"), None
+    for n in range(1, order + 1):
+        asks = by_bin.applyInArrow(ask_tokens(bits), ASKED) if n == 1 else by_bin.cogroup(got.groupBy("bin")).applyInArrow(ask_grams(n, bits), ASKED)
+        if write:
+            asks.groupBy("shard").applyInArrow(tabled(n), TABLE).withColumn("bits", F.lit(bits)).write.parquet(f"{path}/order={n}")
+        table = spark.read.parquet(f"{path}/order={n}").select("shard", "payload")
+        found = asks.groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(tokens_found if n == 1 else grams_found, ASKED).withColumn("kind", F.lit(n))
+        got = found if got is None else got.unionByName(found)
+    return got
+
+
+def train_tables(docs: DataFrame, train: Column, path: str, order: int = 2, id_col: str = "doc_id", text_col: str = "text", layout: W.Layout | None = None) -> None:
+    """Writes a model's tables to a folder that all executors share, path/order=1, 2, ...: a row for each partition of the hashes, its grams by context with counts and with what the backoff weights are made of."""
+    lay = layout or W.layout(docs, text_col)
+    stepped(by_bins(docs, train, lay.bins, id_col, text_col), path, order, lay.shard_bits, True)
+
+
+def score_with(docs: DataFrame, path: str, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """score()'s columns for any documents, none of them training ones, from the tables of train_tables."""
+    bits = docs.sparkSession.read.parquet(f"{path}/order=1").select("bits").first()[0]
+    rows = by_bins(docs, F.lit(False), W.layout(docs, text_col).bins, id_col, text_col)
+    return result(rows, stepped(rows, path, order, bits, False), order, bits, id_col)
