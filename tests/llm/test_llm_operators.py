@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -32,49 +33,103 @@ def test_substrings(docs, raw, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
-def test_katz(docs, raw, empty):
+def plain_discounts(counts):
+    """Katz's factors from counts of counts on a fitted line, by hand."""
+    n = [sum(c == r for c in counts) + 1 / r**2 for r in range(1, 7)]
+    x, y = [math.log(r) for r in range(1, 7)], [math.log(v) for v in n]
+    mx, my = (sum(v * w for v, w in zip(n, z, strict=True)) / sum(n) for z in (x, y))
+    slope = sum(w * (a - mx) * (b - my) for w, a, b in zip(n, x, y, strict=True)) / sum(w * (a - mx) ** 2 for w, a in zip(n, x, strict=True))
+    line = lambda r: r ** min(slope, -1.1)
+    whole = 6 * line(6) / line(1)
+    return {r: ((r + 1) * line(r + 1) / (r * line(r)) - whole) / (1 - whole) for r in range(1, 6)}
+
+
+def plain_katz(texts, trained, order):
+    """log10 of texts' probabilities from dictionaries of grams, by recursion."""
+    padded = [["<s>"] * (order - 1) + [*WORD.findall((t or "").translate(LOWER)), "</s>"] for t in texts]
+    grams = {m: Counter() for m in range(1, order + 1)}
+    contexts = Counter()
+    for w, t in zip(padded, trained, strict=True):
+        for k in range(order - 1, len(w)) if t else ():
+            for m in grams:
+                grams[m][tuple(w[k - m + 1 : k + 1])] += 1
+                contexts[tuple(w[k - m + 1 : k])] += 1
+    n, factor = sum(grams[1].values()), {m: plain_discounts(c.values()) for m, c in grams.items()}
+    cut = lambda m, c: c * factor[m].get(c, 1.0)
+    rest = max(1 - sum(cut(1, c) for c in grams[1].values()) / n, 1 / (n + 1))
+    plain = (1 - rest) / (sum(cut(1, c) for c in grams[1].values()) / n)
+    after = defaultdict(list)
+    for m in range(2, order + 1):
+        for g, c in grams[m].items():
+            after[g[:-1]].append((g, c))
+
+    def p(g):
+        m = len(g)
+        if m == 1:
+            return cut(1, grams[1][g]) / n * plain if grams[1][g] else rest
+        if g[:-1] not in after:
+            return p(g[1:])
+        scale, weight = of_context(g[:-1])
+        return cut(m, grams[m][g]) / contexts[g[:-1]] * scale if grams[m][g] else weight * p(g[1:])
+
+    memo = {}
+
+    def of_context(c):
+        if c not in memo:
+            kept, least = sum(cut(len(c) + 1, k) for _, k in after[c]) / contexts[c], 1 / (contexts[c] + 1)
+            scale = (1 - least) / kept if 1 - kept < least else 1.0
+            memo[c] = scale, (1 - kept * scale) / (1 - sum(p(g[1:]) for g, _ in after[c]))
+        return memo[c]
+
+    every = sum(p((*c, w)) for c in list(after)[:1] for (w,) in grams[1]) + of_context(list(after)[0])[1] * (rest if order == 2 else 0)
+    assert order > 2 or math.isclose(every, 1, rel_tol=1e-9)
+    return [sum(math.log10(p(tuple(w[k - order + 1 : k + 1]))) for k in range(order - 1, len(w))) for w in padded], grams[1], n
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz(docs, raw, empty, order):
     train = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(False))
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2
-    tokens = [(i, [*WORD.findall((t or "").translate(LOWER)), 1]) for i, t in raw]
-    one, two, starts = Counter(), Counter(), 0
-    for i, w in tokens:
-        if not held(i):
-            one.update(w)
-            two.update(zip([0, *w[:-1]], w, strict=True))
-            starts += 1
-    n, v = sum(one.values()), len(one)
-    counts = lambda c: np.array([sum(x == r for x in c.values()) for r in range(1, 7)])
-    uni, factor = katz.Unigrams(np.r_[n, v, counts(one)]), katz.discounts(counts(two))
-    p1 = lambda w: float(uni.p(np.array([one[w]]))[0])
-    assert math.isclose(sum(map(p1, one)) + uni.rest, 1)
-    after = defaultdict(list)
-    for (a, b), k in two.items():
-        after[a].append((b, k, (factor[k] if k <= 5 else 1) * k))
-    weight, scale = {}, {}
-    for a, rows in after.items():
-        c = starts if a == 0 else one[a]
-        kept, least = sum(x for *_, x in rows) / c, 1 / (c + 1)
-        scale[a] = (1 - least) / kept if 1 - kept < least else 1.0
-        weight[a] = (1 - kept * scale[a]) / (1 - sum(p1(b) for b, *_ in rows))
-        total = sum(x for *_, x in rows) / c * scale[a] + weight[a] * (sum(p1(w) for w in one if (a, w) not in two) + uni.rest)
-        assert math.isclose(total, 1, rel_tol=1e-9)  # every context sums to one
-
-    def p(a, b):
-        k = two.get((a, b), 0)
-        c = starts if a == 0 else one[a]
-        return (factor[k] if k <= 5 else 1) * k / c * scale[a] if k else weight.get(a, 1.0) * p1(b)
-
+    scores, one, n = plain_katz([t for _, t in raw], [not held(i) for i, _ in raw], order)
     want = defaultdict(list)
-    for i, w in tokens:
-        want[i].append((held(i), len(w), sum(one[x] > 0 for x in w), n, sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(p(a, b)) for a, b in zip([0, *w[:-1]], w, strict=True))))
+    for (i, t), score in zip(raw, scores, strict=True):
+        w = [(x,) for x in [*WORD.findall((t or "").translate(LOWER)), "</s>"]]
+        want[i].append((held(i), len(w), sum(one[x] > 0 for x in w), n, sum(math.log10((one[x] + 1) / (n + len(one) + 1)) for x in w), score))
     got = defaultdict(list)
-    for r in katz.score(docs, train).collect():
+    for r in katz.score(docs, train, order).collect():
         got[r.doc_id].append((not r.train, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score))
     assert got.keys() == want.keys()
     for i, rows in want.items():
-        assert np.allclose(np.array(sorted(got[i]), float), np.array(sorted(rows), float), rtol=1e-9)
-    assert katz.score(empty, train).count() == 0
-    assert katz.score(docs, F.lit(False)).filter("abs(score) > 1e-9 or abs(base_score) > 1e-9").count() == 0
+        for g, x in zip(sorted(got[i]), sorted(rows), strict=True):
+            assert g[:4] == x[:4] and math.isclose(g[4], x[4], rel_tol=1e-9) and math.isclose(g[5], x[5], rel_tol=1e-7)
+    assert katz.score(empty, train, order).count() == 0
+    assert katz.score(docs, F.lit(False), order).filter("abs(score) > 1e-9 or abs(base_score) > 1e-9").count() == 0
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_tables_score_like_one_go(spark, docs, tmp_path, order):
+    """Tables written, read again and asked for other documents give the same scores."""
+    train = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(False))
+    want = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.score, 6)) for r in katz.score(docs, train, order).collect())
+    katz.train_tables(docs, train, str(tmp_path / "model"), order)
+    got = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.score, 6)) for r in katz.score_with(docs.repartition(5), str(tmp_path / "model"), order).collect())
+    assert got == want
+    assert spark.read.parquet(str(tmp_path / "model")).select("order").distinct().count() == order
+
+
+def test_katz_hot_contexts_in_shards(spark):
+    """A context with most of all tokens is dealt over partitions."""
+    raw = [(k, " ".join(f"the w{(k * j) % 50}" for j in range(40))) for k in range(60)]
+    docs = spark.createDataFrame(raw, "doc_id long, text string")
+    scores, *_ = plain_katz([t for _, t in raw], [True] * 60, 2)
+    got = {r.doc_id: r.score for r in katz.score(docs, F.lit(True), 2).collect()}
+    assert all(math.isclose(got[k], s, rel_tol=1e-8) for k, s in enumerate(scores))
+
+
+def test_discounts_at_any_counts():
+    for n in ([0] * 6, [5, 0, 0, 0, 0, 0], [3, 90, 1, 7, 0, 100], [1000, 400, 200, 120, 80, 50], [10, 10, 10, 10, 10, 10]):
+        d = katz.discounts(np.array(n))
+        assert d[0] == 1 and all(0 < x < 1 for x in d[1:])
 
 
 def test_mixing(docs, empty):
@@ -145,35 +200,126 @@ def test_imatch_short_texts_and_copies(spark):
     assert all(x.near_edited == 0 for k, x in rows.items() if 300 < k < 400)
 
 
+def plain_topk(raw, is_query, k=10):
+    """Every query scored against every row."""
+    tf = [(i, t, Counter(WORD.findall((t or "").translate(LOWER)))) for i, t in raw]
+    df = Counter(w for *_, c in tf for w in c)
+    mean = sum(sum(c.values()) for *_, c in tf) / len(tf)
+    want, done = [], set()
+    for q, text, asked in tf:
+        if q is None or not is_query(q) or (q, text) in done:
+            continue
+        done.add((q, text))
+        scores = []
+        for i, _, c in tf:
+            size = sum(c.values())
+            s = sum(t * math.log(1 + (len(tf) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size / mean)) for w, t in asked.items() if w in c)
+            if s > 0:
+                scores.append((-round(s, 7), i is None, i or 0))
+        want += [(q, rank, None if none else i) for rank, (_, none, i) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(want, key=str)
+
+
+def plain_imatch(raw, low, high):
+    """Fingerprints by hand: a band of terms, their subsets by hash, each subset's sorted terms hashed."""
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    h64 = lambda x, seed=42: xxhash.xxh64(x, seed=seed).intdigest()
+    terms = lambda t: set(re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " " + t.lower())) - {""}
+    df = Counter(w for t in {t or "" for _, t in raw} for w in terms(t))
+    n = len({t or "" for _, t in raw})
+    subsets = {}
+    for w in (w for w, c in df.items() if max(2, n * low) <= c <= n * high):
+        h = h64(w.encode())
+        subsets[w] = {signed(h) % 20} | {k for k in range(20, 60) if signed(h64(k.to_bytes(4, "little"), h)) % (1 << (6 + k % 5)) == 0}
+
+    def fingerprint(t):
+        of = defaultdict(list)
+        for w in terms(t) & subsets.keys():
+            for k in subsets[w]:
+                of[k].append(w)
+        return sorted(f"{k:02d}:{h64(' '.join(sorted(ws, key=str.encode)).encode()):x}" for k, ws in of.items())
+
+    def like(a, b, same):
+        held = len({x[:2] for x in a + b})
+        return len(set(a) & set(b)) / held if held else float(same)
+
+    order = sorted(((-(1 << 63) if i is None else i, signed(h64((t or "").encode())), (t or "").encode(), i) for i, t in raw), reverse=True)
+    out = []
+    for k, (_, _, t, i) in enumerate(order):
+        text, after = t.decode(), order[(k + 1) % len(order)][2].decode()
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        a, b, c = fingerprint(text), fingerprint(edited), fingerprint(after)
+        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), a, b, round(like(a, b, text == edited), 9), round(like(a, c, text == after), 9)))
+    return sorted(out, key=str)
+
+
+def fingerprinted(frame):
+    return sorted(((r[0], r[1], r[2], list(r[3]), list(r[4]), round(r[5], 9), round(r[6], 9)) for r in frame.collect()), key=str)
+
+
+@pytest.mark.parametrize("band", [(0.002, 0.2), (0.01, 0.6)])
+def test_imatch_against_plain(docs, raw, band):
+    assert fingerprinted(imatch.fingerprint_all(docs, *band)) == plain_imatch(raw, *band)
+
+
+def test_imatch_null_and_shared_ids(spark):
+    """A third of the rows without an id and a third with one id: buckets split them by their texts, and neighbours stay right."""
+    import random
+
+    r = random.Random(5)
+    raw = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, " ".join(f"w{r.randint(0, 60)}" for _ in range(r.randint(0, 25)))) for k in range(240)]
+    docs = spark.createDataFrame(raw, "doc_id long, text string").repartition(5)
+    words = imatch.lexicon(docs)
+    assert imatch.in_order(docs, 40, "doc_id", "text").select("bucket").distinct().count() > 25
+    assert fingerprinted(imatch.fingerprints(docs, words, 40)) == plain_imatch(raw, 0.002, 0.2)
+
+
 def test_topk(docs, raw, empty):
-    raw = [(i, t) for i, t in raw if i is not None]
-    tf = [(i, Counter(WORD.findall((t or "").translate(LOWER)))) for i, t in raw]
-    df = Counter(w for _, c in tf for w in c)
-    mean = sum(sum(c.values()) for _, c in tf) / len(tf)
-    want = []
-    for q, asked in tf:
-        if q % 5 == 0:
-            scores = []
-            for i, c in tf:
-                size = sum(c.values())
-                s = sum(t * math.log(1 + (len(tf) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size / mean)) for w, t in asked.items() if w in c)
-                if s > 0:
-                    scores.append((-round(s, 7), i))
-            want += [(q, rank, i) for rank, (_, i) in enumerate(sorted(scores)[:10], 1)]
     got = [(r.query_id, r.rank, r.doc_id) for r in topk.search(docs, F.col("doc_id") % 5 == 0).collect()]
-    assert sorted(got) == sorted(want)
+    assert sorted(got, key=str) == plain_topk(raw, lambda q: q % 5 == 0)
     assert topk.search(empty, F.lit(True)).count() == 0
 
 
+def test_topk_null_and_shared_ids(spark):
+    import random
+
+    r = random.Random(2)
+    words = [f"w{int(r.paretovariate(0.7)) % 500}" for _ in range(3000)]
+    raw = [(None if k % 3 == 0 else 10 if k % 3 == 1 else k, " ".join(r.sample(words, 40))) for k in range(150)]
+    got = [(x.query_id, x.rank, x.doc_id) for x in topk.search(spark.createDataFrame(raw, "doc_id long, text string"), F.col("doc_id") % 5 == 0).collect()]
+    assert sorted(got, key=str) == plain_topk(raw, lambda q: q % 5 == 0)
+
+
+def test_wand_prunes_whole_documents_as_queries(spark, sf_dir):
+    """On the real table as one shard, a part of the postings is read and the results are those of scoring all."""
+    import pyarrow as pa
+
+    rows = queries.documents(spark, sf_dir.replace("sf0.001", "sf0.01")).select("doc_id", "text").toArrow()
+    terms, term, doc, count, length = topk.doc_terms(rows["text"])
+    df = np.bincount(term, minlength=len(terms))
+    index = topk.Index(topk.packed_index(rows["text"], rows["doc_id"], df, len(length), int(length.sum())), 1.2, 0.75)
+    for q in range(0, len(length), 20):
+        mine = doc == q
+        found, scores = index.best(terms[term[mine]], count[mine].astype(float), 10)
+        read = index.read
+        every = index.whole(terms[term[mine]], count[mine].astype(float))
+        index.read = read
+        assert scores.tolist() == sorted(every[every > 0], reverse=True)[:10]
+    assert index.read < index.all
+
+
 def test_block_bounds_prune():
     import pyarrow as pa
 
     texts = pa.chunked_array([["rare word"] * 3 + [f"common filler {k}" for k in range(5000)]])
     df = np.bincount(topk.doc_terms(texts)[1])
-    index = topk.Index(texts, np.arange(5003), df, 5003, 15006, 1.2, 0.75)
+    index = topk.Index(topk.packed_index(texts, pa.chunked_array([range(5003)]), df, 5003, 15006), 1.2, 0.75)
     terms = topk.doc_terms(pa.chunked_array([["rare common"]]))[0]
-    ids, _ = index.best(terms, np.ones(2), 3)
-    assert ids.tolist() == [0, 1, 2] and index.scored < index.all / 5
+    found, _ = index.best(terms, np.ones(2), 3)
+    assert index.ids[found].tolist() == [0, 1, 2] and index.read < index.all / 5
 
 
 def test_pieces(docs, raw, empty):
@@ -286,12 +432,56 @@ def test_language(docs, empty, sf_dir, spark):
 
 
 def test_language_models_sum_to_one():
+    own = language.identifier([("en", "the cat sat on the mät"), ("en", "a dog ate the cat")], 2)
+    model = own.models[0]
+    for context in ("the", " ca", "zzz", "mät"):
+        before = own.symbol(np.array([ord(c) for c in context], np.uint32)).astype(np.uint64)
+        head = sum(int(x) << 16 * (3 - k) for k, x in enumerate(before))
+        codes = np.array([head + s for s in range(own.symbols)], np.uint64)
+        assert math.isclose(np.exp2(model.log2(codes)).sum(), 1, rel_tol=1e-9)
+
+
+def plain_kneser_ney(texts, symbols):
+    """log2 of a character after up to three others, from dictionaries."""
+    clean = lambda t: re.sub(r" +", " ", "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in t.lower()))
+    grams = {4: Counter()}
+    for t in map(clean, texts):
+        t = "   " + t
+        grams[4].update(t[k : k + 4] for k in range(len(t) - 3))
+    for n in (3, 2, 1):
+        grams[n] = Counter(g[1:] for g in grams[n + 1])
+    seen = {n: Counter(c.values()) for n, c in grams.items()}
+    cut = {n: c[1] / (c[1] + 2 * c[2]) if c[1] and c[2] else 0.5 for n, c in seen.items()}
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / symbols
+        total = sum(c for g, c in grams[n].items() if g[:-1] == gram[:-1])
+        if not total:
+            return p(gram[1:])
+        kinds = sum(g[:-1] == gram[:-1] for g in grams[n])
+        return max(0, grams[n][gram] - cut[n]) / total + cut[n] * kinds / total * p(gram[1:])
+
+    return lambda text: [math.log2(p(("   " + clean(text))[k : k + 4])) for k in range(len(clean(text)))]
+
+
+def test_language_against_plain_kneser_ney():
     import pyarrow as pa
 
-    model = language.Model.fitted(language.codes(*language.plain(pa.array(["the cat sat on the mat", "a dog ate the cat"]))))
-    for context in (b"the", b" ca", b"zzz"):
-        codes = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint32)
-        assert math.isclose(np.exp2(model.log2(codes)).sum(), 1, rel_tol=1e-9)
+    texts = {"el": ["η γάτα κάθισε στο χαλί και η γάτα έφυγε", "ο σκύλος έφαγε"], "fr": ["Élan d'été, là où l'été est là", "le chat a été là"], "zh": ["我们都是一家人我们都好", "一家人都好"]}
+    own = language.identifier([(g, t) for g in texts for t in texts[g]], 2)
+    for text in ("Η ΓΑΤΑ έφαγε", "été où est le chat?", "我们一家", "xyz 42"):
+        bits, sizes = own.entropies(pa.array([text]))
+        for k, g in enumerate(own.langs):
+            assert math.isclose(bits[0, k], -sum(plain_kneser_ney(texts[g], own.symbols)(text)) / sizes[0], rel_tol=1e-9)
+    assert [own.langs[b] for b in own.predict(pa.array(["η γάτα έφαγε", "là où est le chat", "一家人"]))[0]] == ["el", "fr", "zh"]
+
+
+def test_language_many_labels(spark):
+    rows = [(k, f"text of {k}", f"l{k % 40:02d}" if k % 3 else "en") for k in range(300)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), fit_rows=5, tune_rows=2, max_langs=8)
+    assert len(model.langs) == 8 and "en" in model.langs
 
 
 def plain_groups(raw):
@@ -320,8 +510,8 @@ def plain_groups(raw):
 
 
 def test_near_copies(docs, raw, empty):
-    got = sorted(tuple(r) for r in nearcopies.near_copies(docs).collect())
-    assert got == plain_groups([(i, t) for i, t in raw if i is not None])
+    got = sorted((tuple(r)[:4] for r in nearcopies.near_copies(docs).collect()), key=str)
+    assert got == sorted(plain_groups([(i, t) for i, t in raw if i is not None]) + [(None, None, None, 0)], key=str)
     assert len({g[2] for g in got}) < len({g[1] for g in got})
     assert nearcopies.near_copies(empty).count() == 0
 
@@ -330,10 +520,25 @@ def test_large_group_in_blocks(spark):
     """More near copies than a block holds, and a chain of them: links are counted across blocks."""
     base = [f"w{k}" for k in range(150)]
     raw = [(k, " ".join([*base[: k % 7], *base[7:], f"end{k}"])) for k in range(450)]
-    got = sorted(tuple(r) for r in nearcopies.near_copies(spark.createDataFrame(raw, "doc_id long, text string")).collect())
+    got = sorted(tuple(r)[:4] for r in nearcopies.near_copies(spark.createDataFrame(raw, "doc_id long, text string")).collect())
     assert got == plain_groups(raw)
 
 
+def test_near_copies_null_and_shared_ids(spark):
+    """A third of the rows has no id and a third one id: rows of different texts stay apart, and one row of each group is kept."""
+    texts = [" ".join(f"w{k % 40}x{j}" for j in range(60)) for k in range(60)]
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else -k, texts[k] + (" tail" if k >= 40 else ""), k) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, class_id int")
+    got = nearcopies.near_copies(docs).collect()
+    assert len(got) == 60 and len({r.class_key for r in got}) == 40
+    kept = nearcopies.keep_one(docs).collect()
+    assert len(kept) == 40 and set(nearcopies.keep_one(docs).columns) == set(docs.columns)
+    best = {}
+    for i, t, k in rows:
+        best.setdefault(k % 40, []).append((i is None, i or 0))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted(min(x) for x in best.values())
+
+
 def test_banding():
     bands, rows = nearcopies.banding(0.8, 0.9995)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9995
@@ -370,6 +575,71 @@ def test_secrets_held_out(spark, sf_dir, seed):
     assert not any(found[t] for t, s in rows if not s)
 
 
+def test_secrets_in_long_texts(spark):
+    """One run of 100 000 characters, and 6000 matches in one text: the time follows the length."""
+    import random
+    import time
+
+    r = random.Random(1)
+    run = "".join(r.choice(secrets.ALPHABET[:62]) for _ in range(100_000))
+    many = " ".join(f"token={k:08d}x and word" for k in range(6000))
+    model = secrets.fit(spark.createDataFrame([(k, f"some plain words of text {k}") for k in range(50)], "doc_id long, text string"))
+    began = time.time()
+    found = {x.text[:5]: x for x in secrets.scan(spark.createDataFrame([(run,), (many,)], "text string"), model).collect()}
+    assert time.time() - began < 30
+    assert len(found["token"].spans) == 6000 and found["token"].redacted.count(secrets.MASK) == 6000 and found["token"].redacted.endswith(" and word")
+    spans = [(s["start"], s["end"]) for s in found[run[:5]].spans]
+    assert spans == [(0, 100_000)] and found[run[:5]].redacted == secrets.MASK
+
+
+def test_planted_secrets_in_prose(spark, sf_dir):
+    """Random strings put into held-out prose are found, words beside them are not."""
+    import random
+
+    r = random.Random(7)
+    docs = queries.documents(spark, sf_dir).select("doc_id", "text")
+    model = secrets.fit(docs)
+    prose = [x.text for x in docs.filter("doc_id % 3 = 1").orderBy("doc_id").limit(60).collect()]
+    keys = ["".join(r.choice(secrets.ALPHABET[:62]) for _ in range(r.choice((24, 32, 40)))) for _ in prose]
+    rows = [(k, f"{t[: len(t) // 2]} key {key} {t[len(t) // 2 :]}") for k, (t, key) in enumerate(zip(prose, keys, strict=True))]
+    got = {x.k: [x.text[s["start"] : s["end"]] for s in x.spans if s["rank"] == 3] for x in secrets.scan(spark.createDataFrame(rows, "k long, text string"), model).collect()}
+    hits, extra = sum(keys[k] in v for k, v in got.items()), sum(len([x for x in v if x != keys[k]]) for k, v in got.items())
+    assert hits >= 0.95 * len(keys) and extra <= 0.02 * len(keys)
+
+
+def test_planted_personal_data_in_prose(spark, sf_dir):
+    """Phones without a plus, identity numbers and accounts put into real prose with a cue are found."""
+    import random
+
+    r, model = random.Random(3), personal.fit()
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    prose = [x.text for x in queries.documents(spark, sf_dir).filter("doc_id % 3 = 1").orderBy("doc_id").limit(60).collect()]
+    hits = extra = 0
+    for k, t in enumerate(prose):
+        item, cue = ((f"({d(3)}) {d(3)}-{d(4)}", "call"), (f"{d(3)}-{d(2)}-{d(4)}", "ssn"), (f"{d(3)}.{d(3)}.{d(4)}", "phone"))[k % 3]
+        at = t.find(" ", len(t) // 2)
+        at = len(t) if at < 0 else at
+        text = f"{t[:at]} {cue} {item} {t[at:]}"
+        old = {(kind, t[a:b]) for kind, a, b in personal.spans(t, model)}
+        new = {(kind, text[a:b]) for kind, a, b in personal.spans(text, model)}
+        hits += any(x == item for _, x in new)
+        extra += len({x for _, x in new - old} - {item})
+    assert hits >= 0.9 * len(prose) and extra <= 0.05 * len(prose)
+
+
+def test_personal_time_is_linear():
+    import time
+
+    model = personal.fit(1500)
+    took = []
+    for n in (2000, 8000):
+        text = " ".join(f"{k % 900 + 100}-{k % 90 + 10}-{k % 9000 + 1000} and" for k in range(n))
+        began = time.process_time()
+        personal.spans(text, model)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0]
+
+
 def test_mixing_sql(spark, sf_dir, duck):
     from compare import same
 
