@@ -24,12 +24,14 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from .words import parts
+
 SPACE = "▁"
 #: A text can be cut where no piece of the model has the two characters side by side, without touching a possible
 #: merge: before a run of spaces, around a line end, and between letters and other characters.  Models are checked for it.
 CHUNK = r" *(?:[^\W\d_{0}]+|(?:[\d_{0}]|[^\w \n])+)|\n| +"
-#: Longer chunks are encoded anew each time, and a full memo starts afresh: memory stays bounded.
-MEMO_CHARS, MEMO_CHUNKS, MEMO_PAIRS, BATCH_ROWS = 32, 500_000, 500_000, 256
+#: Longer chunks are encoded anew each time; a full memo becomes the old one, whose entries come back as they are used: memory stays bounded.
+MEMO_CHARS, MEMO_CHUNKS, MEMO_PAIRS, SLICE_BYTES = 32, 150_000, 150_000, 512 << 10
 
 
 class PieceCoder:
@@ -58,8 +60,8 @@ class PieceCoder:
             self.auto.add_word(s, (len(s) - 1, s))
         self.auto.make_automaton()
         self.shorter = {s: next((s[:k] for k in range(len(s) - 1, 0, -1) if s[:k] in self.rank), None) for s in self.rank}
-        self.chunks: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.chunks, self.old_chunks = {}, {}
+        self.pairs, self.old_pairs = {}, {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by plain merging: the best-ranked neighbours first, the leftmost of equals."""
@@ -78,11 +80,13 @@ class PieceCoder:
 
     def fits(self, left: str, right: str) -> bool:
         """Whether right can follow left."""
-        known = self.pairs.get((left, right))
+        pair = left, right
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= MEMO_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == [left, right]
+                self.old_pairs, self.pairs = self.pairs, {}
+            known = self.old_pairs.get(pair)
+            known = self.pairs[pair] = self.merged(left + right) == [left, right] if known is None else known
         return known
 
     def pieces(self, text: str) -> list[str]:
@@ -122,10 +126,11 @@ class PieceCoder:
         for chunk in self.cut(" " + text.replace(SPACE, " ")) if text else ():
             got = memo.get(chunk)
             if got is None:
-                got = self.encode_chunk(chunk)
+                got = self.old_chunks.get(chunk) or self.encode_chunk(chunk)
                 if len(chunk) <= MEMO_CHARS:
                     if len(memo) >= MEMO_CHUNKS:
-                        memo.clear()
+                        self.old_chunks, memo = memo, {}
+                        self.chunks = memo
                     memo[chunk] = got
             ids.append(got)
         ids.append(np.array([self.eos], "<u4").tobytes())
@@ -155,8 +160,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(k, BATCH_ROWS)
+            for part in parts(batch, 1, SLICE_BYTES):
                 ids = [own.encode(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([own.decode(i) for i in ids], pa.string())],
