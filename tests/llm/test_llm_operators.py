@@ -300,7 +300,7 @@ def test_wand_prunes_whole_documents_as_queries(spark, sf_dir):
     rows = queries.documents(spark, sf_dir.replace("sf0.001", "sf0.01")).select("doc_id", "text").toArrow()
     terms, term, doc, count, length = topk.doc_terms(rows["text"])
     df = np.bincount(term, minlength=len(terms))
-    index = topk.Index(topk.packed_index(rows["text"], rows["doc_id"], df, len(length), int(length.sum())), 1.2, 0.75)
+    index = topk.Index([topk.packed_index(rows["text"], rows["doc_id"], df, len(length), int(length.sum()))], 1.2, 0.75)
     for q in range(0, len(length), 20):
         mine = doc == q
         found, scores = index.best(terms[term[mine]], count[mine].astype(float), 10)
@@ -316,7 +316,7 @@ def test_block_bounds_prune():
 
     texts = pa.chunked_array([["rare word"] * 3 + [f"common filler {k}" for k in range(5000)]])
     df = np.bincount(topk.doc_terms(texts)[1])
-    index = topk.Index(topk.packed_index(texts, pa.chunked_array([range(5003)]), df, 5003, 15006), 1.2, 0.75)
+    index = topk.Index([topk.packed_index(texts, pa.chunked_array([range(5003)]), df, 5003, 15006)], 1.2, 0.75)
     terms = topk.doc_terms(pa.chunked_array([["rare common"]]))[0]
     found, _ = index.best(terms, np.ones(2), 3)
     assert index.ids[found].tolist() == [0, 1, 2] and index.read < index.all / 5
