@@ -31,7 +31,7 @@ SPACE = "▁"
 #: merge: before a run of spaces, around a line end, and between letters and other characters.  Models are checked for it.
 CHUNK = r" *(?:[^\W\d_{0}]+|(?:[\d_{0}]|[^\w \n])+)|\n| +"
 #: Longer chunks are encoded anew each time; a full memo becomes the old one, whose entries come back as they are used: memory stays bounded.
-MEMO_CHARS, MEMO_CHUNKS, MEMO_PAIRS, SLICE_BYTES = 32, 150_000, 150_000, 512 << 10
+MEMO_CHARS, MEMO_CHUNKS, MEMO_PAIRS, SLICE_BYTES = 32, 250_000, 150_000, 512 << 10
 
 
 class PieceCoder:
