@@ -9,7 +9,7 @@ the copies are dealt to partitions, and ordered within them, by another hash.
 Edge cases: a null source is a source of its own; null and empty texts have no size,
 and a source of no size, or of weight 0, has rate 0; a null id hashes as the word null;
 repeated rows with one id draw the same count; an empty table gives an empty one.
-The columns of the input come back, with copy_no and n_copies (an input column of either name is replaced).
+The columns of the input come back, with copy_no and n_copies (an input column of either name is replaced), or with a struct of both under a name of the caller's.
 """
 
 from __future__ import annotations
@@ -54,19 +54,25 @@ def distribution(rate: Column) -> Column:
 
 
 def replicate(
-    docs: DataFrame, weights: DataFrame | None = None, power: float = 0.7, epochs: float = 1.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text"
+    docs: DataFrame, weights: DataFrame | None = None, power: float = 0.7, epochs: float = 1.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", results: str | None = None
 ) -> DataFrame:
-    """The mixture: each document as often as its draw says, in a globally random order."""
+    """The mixture: each document as often as its draw says, in a globally random order.
+
+    With results, a name that the input has not, all columns of the input stay and the results are one struct of that name."""
     table = rates(docs, weights, power, epochs, source_col, text_col)
     table = table.select("source", F.greatest(F.ceil(F.col("rate") / PART_RATE), F.lit(1)).cast("int").alias("__parts"), "rate")
     table = table.select(F.col("source").alias(source_col), "__parts", distribution(F.col("rate") / F.col("__parts")).alias("__cdf"))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    draws = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda i: F.size(F.filter("__cdf", lambda c: c <= uniform(F.lit(seed), i.cast("string"), key))))
-    columns = [c for c in docs.columns if c not in ("copy_no", "n_copies")]
-    drawn = join_small(docs.select(*columns), table, source_col).withColumn("n_copies", F.aggregate(draws, F.lit(0), lambda a, b: a + b).cast("long"))
-    copies = drawn.filter("n_copies > 0").select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy_no"), "n_copies")
-    place = copies.withColumn("__place", F.md5(F.concat_ws("|", F.lit(seed), F.lit("place"), key, F.col("copy_no").cast("string"))))
-    return place.repartition("__place").sortWithinPartitions("__place").drop("__place")
+    draws = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda i: F.size(F.filter("__cdf", lambda c: c <= uniform(F.lit(seed), i.cast("string"), F.col("__id")))))
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("__doc")
+    drawn = join_small(docs.select(whole, docs[source_col].alias(source_col), key.alias("__id")), table, source_col)
+    drawn = drawn.select("__doc", "__id", F.aggregate(draws, F.lit(0), lambda a, b: a + b).cast("long").alias("n_copies")).filter("n_copies > 0")
+    copies = drawn.select("__doc", "__id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy_no"), "n_copies")
+    place = copies.withColumn("__place", F.md5(F.concat_ws("|", F.lit(seed), F.lit("place"), F.col("__id"), F.col("copy_no").cast("string"))))
+    place = place.repartition("__place").sortWithinPartitions("__place")
+    if results:
+        return place.select("__doc.*", F.struct("copy_no", "n_copies").alias(results))
+    return place.select(*[F.col("__doc")[c].alias(c) for c in docs.columns if c not in ("copy_no", "n_copies")], "copy_no", "n_copies")
 
 
 #: The same in DuckDB's SQL, for the default weights.
