@@ -93,19 +93,19 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarr
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(column: pa.ChunkedArray, lower: bool = False) -> Words:
-    """The words of each row: runs of anything but ASCII white space."""
-    raw, offsets = text_bytes(column)
-    if not len(raw):
-        return Words(np.zeros(len(offsets) - 1, np.int64), np.zeros(0, U64))
-    ink = ~SPACE[raw]
+def runs_of(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of each row begin and end among its bytes, and how many it has; ``gap`` says which bytes stand between words."""
+    ink = ~gap[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     before, after = np.r_[False, ink[:-1]], np.r_[ink[1:], False]
     starts = np.flatnonzero(ink & (~before | edge[:-1]))
     ends = np.flatnonzero(ink & (~after | edge[1:])) + 1
-    counts = np.diff(np.searchsorted(starts, offsets))
-    value = BYTE_VALUE[LOWER] if lower else BYTE_VALUE
+    return starts, ends, np.diff(np.searchsorted(starts, offsets))
+
+
+def hashed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray = BYTE_VALUE) -> np.ndarray:
+    """The hash of each word from the values of its bytes."""
     out = np.empty(len(starts), U64)
     i = 0
     while i < len(starts):
@@ -116,7 +116,16 @@ def words(column: pa.ChunkedArray, lower: bool = False) -> Words:
         np.cumsum(value[raw[a:b]] * up[: b - a], out=total[1:])
         out[i:j] = (total[ends[i:j] - a] - total[starts[i:j] - a]) * down[starts[i:j] - a]
         i = j
-    return Words(counts, mixed(out))
+    return mixed(out)
+
+
+def words(column: pa.ChunkedArray, lower: bool = False) -> Words:
+    """The words of each row: runs of anything but ASCII white space."""
+    raw, offsets = text_bytes(column)
+    if not len(raw):
+        return Words(np.zeros(len(offsets) - 1, np.int64), np.zeros(0, U64))
+    starts, ends, counts = runs_of(raw, offsets)
+    return Words(counts, hashed(raw, starts, ends, BYTE_VALUE[LOWER] if lower else BYTE_VALUE))
 
 
 def grams(hashes: np.ndarray, n: int, powers: Powers = GRAM_POWERS) -> np.ndarray:
