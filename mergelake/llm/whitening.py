@@ -58,7 +58,9 @@ def above(v: np.ndarray, shift: float) -> int:
 
 
 def intervals(v: np.ndarray, want: int, most_in_one: int = 4, steps: int = 80) -> list[tuple[float, float, int]]:
-    """(low, high, eigenvalues in between), from above, that hold the ``want`` largest, all above 0, or as many as there are."""
+    """(low, high, eigenvalues in between), from above, that hold the ``want`` largest, all above 0, or as many as there are.
+
+    An interval is wide by a factor of 8 at most, so that the quadrature sees its small eigenvalues as well as its large ones."""
     top = float(np.abs(v).sum(axis=1).max()) * 1.01
     least = top * len(v) * np.finfo(float).eps
     want = min(want, above(v, least))
@@ -67,9 +69,9 @@ def intervals(v: np.ndarray, want: int, most_in_one: int = 4, steps: int = 80) -
         """n_low and n_high: eigenvalues above the ends."""
         if n_high >= want or n_low == n_high:
             return []
-        if not steps or n_low - n_high <= most_in_one and n_low <= want + most_in_one:
+        if not steps or n_low - n_high <= most_in_one and n_low <= want + most_in_one and high <= 8 * low:
             return [(low, high, n_low - n_high)]
-        mid = (low * high) ** 0.5 if high > 16 * low else (low + high) / 2
+        mid = (low * high) ** 0.5 if high > 8 * low else (low + high) / 2
         n_mid = above(v, mid)
         return split(mid, high, n_mid, n_high, steps - 1) + split(low, mid, n_low, n_mid, steps - 1)
 
