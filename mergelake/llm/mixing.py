@@ -3,12 +3,15 @@
 A source's rate is how often each of its documents should appear, on average, for
 the source to have its target share of the mixture.  A document's count is the
 inverse of the Poisson distribution with that rate at a number hashed from the seed
-and the document's id, so a rerun repeats it.  Each document is exploded by its count and
+and the whole row, so a rerun repeats it.  Each document is exploded by its count and
 the copies are dealt to partitions, and ordered within them, by another hash.
 
+Rows that are equal in every column are told apart by an occurrence number, so each has a draw and places of its own.  They are
+counted first and become one row with its number of occurrences, so a third of all rows being equal is no hot key; other rows are not gathered.
+
 Edge cases: a null source is a source of its own; null and empty texts have no size,
-and a source of no size, or of weight 0, has rate 0; a null id hashes as the word null;
-repeated rows with one id draw the same count; an empty table gives an empty one.
+and a source of no size, or of weight 0, has rate 0; null and shared ids are rows like others, for the id is only
+one of the columns that are hashed; an empty table gives an empty one.
 The columns of the input come back, with copy_no and n_copies (an input column of either name is replaced), or with a struct of both under a name of the caller's.
 """
 
@@ -53,22 +56,36 @@ def distribution(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), state, step)["c"]
 
 
+def row_key(docs: DataFrame) -> Column:
+    """128 bits, in hex, that stand for a row's columns in order."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.md5(docs[c].cast("string")), F.lit("null")) for c in docs.columns]))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(__doc, __key, __nth): each row as a struct, its key, and which of its equals it is, from 1."""
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__doc"), row_key(docs).alias("__key"))
+    equal = whole.groupBy("__key").agg(F.count("*").alias("__n")).filter("__n > 1")
+    told = join_small(whole, equal.withColumnRenamed("__key", "__of"), "__key", "__of")
+    once = told.filter("__n IS NULL").select("__doc", "__key", F.lit(1).cast("long").alias("__nth"))
+    often = told.filter("__n IS NOT NULL").groupBy("__key").agg(F.first("__doc").alias("__doc"), F.first("__n").alias("__n"))
+    return once.union(often.select("__doc", "__key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__nth")))
+
+
 def replicate(
-    docs: DataFrame, weights: DataFrame | None = None, power: float = 0.7, epochs: float = 1.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", results: str | None = None
+    docs: DataFrame, weights: DataFrame | None = None, power: float = 0.7, epochs: float = 1.0, seed: str = "mix", source_col: str = "source", text_col: str = "text", results: str | None = None
 ) -> DataFrame:
     """The mixture: each document as often as its draw says, in a globally random order.
 
     With results, a name that the input has not, all columns of the input stay and the results are one struct of that name."""
     table = rates(docs, weights, power, epochs, source_col, text_col)
     table = table.select("source", F.greatest(F.ceil(F.col("rate") / PART_RATE), F.lit(1)).cast("int").alias("__parts"), "rate")
-    table = table.select(F.col("source").alias(source_col), "__parts", distribution(F.col("rate") / F.col("__parts")).alias("__cdf"))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    draws = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda i: F.size(F.filter("__cdf", lambda c: c <= uniform(F.lit(seed), i.cast("string"), F.col("__id")))))
-    whole = F.struct(*[docs[c] for c in docs.columns]).alias("__doc")
-    drawn = join_small(docs.select(whole, docs[source_col].alias(source_col), key.alias("__id")), table, source_col)
-    drawn = drawn.select("__doc", "__id", F.aggregate(draws, F.lit(0), lambda a, b: a + b).cast("long").alias("n_copies")).filter("n_copies > 0")
-    copies = drawn.select("__doc", "__id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy_no"), "n_copies")
-    place = copies.withColumn("__place", F.md5(F.concat_ws("|", F.lit(seed), F.lit("place"), F.col("__id"), F.col("copy_no").cast("string"))))
+    table = table.select(F.col("source").alias("__source"), "__parts", distribution(F.col("rate") / F.col("__parts")).alias("__cdf"))
+    nth = F.col("__nth").cast("string")
+    draws = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda i: F.size(F.filter("__cdf", lambda c: c <= uniform(F.lit(seed), i.cast("string"), F.col("__key"), nth))))
+    drawn = join_small(numbered(docs).withColumn("__of", F.col("__doc")[source_col]), table, "__of", "__source")
+    drawn = drawn.select("__doc", "__key", "__nth", F.aggregate(draws, F.lit(0), lambda a, b: a + b).cast("long").alias("n_copies")).filter("n_copies > 0")
+    copies = drawn.select("__doc", "__key", "__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy_no"), "n_copies")
+    place = copies.withColumn("__place", F.md5(F.concat_ws("|", F.lit(seed), F.lit("place"), F.col("__key"), nth, F.col("copy_no").cast("string"))))
     place = place.repartition("__place").sortWithinPartitions("__place")
     if results:
         return place.select("__doc.*", F.struct("copy_no", "n_copies").alias(results))
@@ -85,10 +102,12 @@ pmf AS (SELECT source, k, CASE WHEN rate > 0 THEN exp(-rate / n + k * ln(rate /
         FROM (SELECT *, unnest(range(97)) AS k FROM parts)),
 cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf),
 lists AS (SELECT source, list(c ORDER BY k) AS cs FROM cdf GROUP BY source),
-parted AS (SELECT d.doc_id, unnest(generate_series(1, p.n)) AS i, l.cs FROM documents d
+keyed AS (SELECT *, md5(concat_ws('|', coalesce(md5(doc_id::VARCHAR), 'null'), coalesce(md5(text), 'null'), coalesce(md5(lang), 'null'), coalesce(md5(source), 'null'), coalesce(md5(n_chars::VARCHAR), 'null'))) AS row_key FROM documents),
+rows_ AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY row_key) AS nth FROM keyed),
+parted AS (SELECT d.row_key, d.nth, unnest(generate_series(1, p.n)) AS i, l.cs FROM rows_ d
            JOIN parts p ON coalesce(d.source, chr(0)) = coalesce(p.source, chr(0)) JOIN lists l ON coalesce(l.source, chr(0)) = coalesce(p.source, chr(0))),
-draws AS (SELECT doc_id, cs, ('0x' || substr(md5('mix|' || i || '|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM parted),
-counts AS (SELECT doc_id, sum(len(list_filter(cs, lambda c: c <= u)))::BIGINT AS n_copies FROM draws GROUP BY doc_id)
+draws AS (SELECT row_key, nth, cs, ('0x' || substr(md5('mix|' || i || '|' || row_key || '|' || nth), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM parted),
+counts AS (SELECT row_key, nth, sum(len(list_filter(cs, lambda c: c <= u)))::BIGINT AS n_copies FROM draws GROUP BY row_key, nth)
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, unnest(generate_series(1, c.n_copies)) AS copy_no, c.n_copies
-FROM documents d JOIN counts c ON c.doc_id = d.doc_id
+FROM rows_ d JOIN counts c ON c.row_key = d.row_key AND c.nth = d.nth
 """

@@ -42,16 +42,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def join_small(big: DataFrame, small: DataFrame, key: str, most: int = 100_000, salts: int = 64) -> DataFrame:
-    """Left join on a key (null equals null) that a third of the big side's rows may share.
+def join_small(big: DataFrame, small: DataFrame, key: str, small_key: str | None = None, most: int = 100_000, salts: int = 64) -> DataFrame:
+    """Left join on a key (null equals null; of another name on the small side, if one is given) that a third of the big side's rows may share.
 
     small is checkpointed and counted: up to ``most`` rows are broadcast, more are
     joined by a shuffle in which every key is salted.
     """
-    small = checkpointed(small).withColumnRenamed(key, "__key")
+    small = checkpointed(small).withColumnRenamed(small_key or key, "__joined")
     if small.limit(most + 1).count() <= most:
-        return big.join(F.broadcast(small), big[key].eqNullSafe(small["__key"]), "left").drop("__key")
+        return big.join(F.broadcast(small), big[key].eqNullSafe(small["__joined"]), "left").drop("__joined")
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
     salted = small.withColumn("__salt_of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     big = big.withColumn("__salt", salt)
-    return big.join(salted, big[key].eqNullSafe(salted["__key"]) & (big["__salt"] == salted["__salt_of"]), "left").drop("__key", "__salt", "__salt_of")
+    return big.join(salted, big[key].eqNullSafe(salted["__joined"]) & (big["__salt"] == salted["__salt_of"]), "left").drop("__joined", "__salt", "__salt_of")
