@@ -136,13 +136,15 @@ def test_mixing(docs, empty):
     out = mixing.replicate(docs, power=0.5, epochs=3.0)
     assert out.columns == [*docs.columns, "copy_no", "n_copies"]
     rate = {r.source: r.rate for r in mixing.rates(docs, power=0.5, epochs=3.0).collect()}
-    drawn = {(r.doc_id, r.copy_no) for r in out.collect()}
+    drawn = Counter((tuple(r)[:-2], r.copy_no, r.n_copies) for r in out.collect())
+    want, seen = Counter(), Counter()
     for r in docs.collect():  # inverted by hand
-        key = "null" if r.doc_id is None else str(r.doc_id)
+        key = hashlib.md5("|".join("null" if c is None else hashlib.md5(str(c).encode()).hexdigest() for c in r).encode()).hexdigest()
+        seen[key] += 1
         parts = max(1, math.ceil(rate[r.source] / 16))
         n = 0
         for part in range(1, parts + 1):
-            u = int(hashlib.md5(f"mix|{part}|{key}".encode()).hexdigest()[:13], 16) / 2**52
+            u = int(hashlib.md5(f"mix|{part}|{key}|{seen[key]}".encode()).hexdigest()[:13], 16) / 2**52
             p = total = math.exp(-rate[r.source] / parts)
             k = 0
             while total <= u:
@@ -150,12 +152,29 @@ def test_mixing(docs, empty):
                 p *= rate[r.source] / parts / k
                 total += p
             n += k
-        assert {c for i, c in drawn if i == r.doc_id} == set(range(1, n + 1))
+        want.update((tuple(r), c, n) for c in range(1, n + 1))
+    assert drawn == want and max(seen.values()) > 1
     weights = docs.sparkSession.createDataFrame([("cold", 1.0)], "source string, weight double")
     assert {r.source for r in mixing.replicate(docs, weights).select("source").distinct().collect()} <= {"cold"}
     assert mixing.replicate(empty).count() == 0
 
 
+def test_mixing_null_and_equal_rows(spark):
+    """A third of the rows has no id and a third is one row: each is drawn by itself, and no place is shared."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"text {k:05}" if k % 3 != 1 else "the same ", "s") for k in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    told = mixing.numbered(docs).select("__key", "__nth").collect()
+    assert len(set(told)) == len(rows) and max(r["__nth"] for r in told) == 3000
+    for rate in (3.0, 0.5):
+        out = mixing.replicate(docs, epochs=rate)
+        for where in ("doc_id IS NULL", "doc_id = 7", "doc_id IS NOT NULL AND doc_id <> 7"):
+            # copies k of a row are there as often as rows have k or more: the mean of the draws, and of their squares
+            copies = Counter(r.copy_no for r in out.filter(where).collect())
+            mean = sum(copies.values()) / 3000
+            square = sum((2 * k - 1) * n for k, n in copies.items()) / 3000
+            assert abs(mean - rate) < 0.1 * rate + 0.02 and abs(square - mean**2 - rate) < 0.15 * rate + 0.05
+
+
 def test_poisson_mean(spark):
     big = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("x" * 10).alias("text"), F.lit("s").alias("source"))
     assert abs(mixing.replicate(big, epochs=20.0).count() / 400_000 - 1) < 0.01
