@@ -31,13 +31,19 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "source", path.alias("path"), F.col("text").alias("content"))
 
 
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, path, content, after): each file with the text of the next one of its source."""
+    f = order.ordinal(files(spark, sf_dir), "doc_id", "at", within="source").withColumn("content", F.coalesce("content", F.lit("")))
+    after = f.select(F.col("source").alias("s"), (F.col("at") - 1).alias("before"), F.col("content").alias("after"))
+    f = f.join(after, f["source"].eqNullSafe(after["s"]) & (f["at"] == after["before"]), "left").withColumn("after", F.coalesce("after", F.lit("no next")))
+    return f.select("doc_id", "source", "path", "content", "after")
+
+
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, path, lines): the whole text of each document against that of the next one of its source, in two or three hunks.
 
     Some have a base, a nested marker, an empty side, a carriage return in a marker or no end.  Documents are paired by their place in the source, so a large source is no one task."""
-    f = order.ordinal(files(spark, sf_dir), "doc_id", "at", within="source").withColumn("content", F.coalesce("content", F.lit("")))
-    after = f.select(F.col("source").alias("s"), (F.col("at") - 1).alias("before"), F.col("content").alias("after"))
-    f = f.join(after, f["source"].eqNullSafe(after["s"]) & (f["at"] == after["before"]), "left").withColumn("after", F.coalesce("after", F.lit("no next")))
+    f = pairs(spark, sf_dir)
     a, b = F.split("content", "\n", -1), F.split("after", "\n", -1)
     f = f.select("doc_id", "path", a.alias("a"), b.alias("b")).withColumns({"ha": F.ceil(F.size("a") / 2).cast("int"), "hb": F.ceil(F.size("b") / 2).cast("int")})
     some = lambda cond, *xs: F.when(cond, F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs])).otherwise(F.array().cast("array<string>"))
@@ -78,6 +84,27 @@ def resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, path, base, ours, theirs): a file's text, each line with its number and a line feed, and two versions of it in which lines are gone, changed or followed by new ones; some changes are the same in both, and some files only one side changed."""
+    f = files(spark, sf_dir)
+    doc = F.col("doc_id")
+    numbered = F.transform(F.split(F.coalesce("content", F.lit("")), "\n", -1), lambda x, i: F.concat(i.cast("string"), F.lit(" "), x))
+
+    text = lambda lines: F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+
+    def side(name: str, a: int, b: int, m: int, quiet):
+        def change(x, i):
+            k = (doc * a + i * b) % m
+            same = (doc + i) % 23 == 0
+            none = F.array().cast("array<string>")
+            own = F.when(k == 0, none).when(k == 1, F.array(F.concat(x, F.lit(f" {name}")))).when(k == 2, F.array(x, F.concat(F.lit(f"{name} after "), i.cast("string")))).otherwise(F.array(x))
+            return F.when(same, F.array(F.concat(x, F.lit(" both")))).when(quiet, F.array(x)).otherwise(own)
+
+        return text(F.flatten(F.transform("lines", change))).alias(name)
+
+    return f.select("doc_id", "path", numbered.alias("lines")).select("doc_id", "path", text(F.col("lines")).alias("base"), side("ours", 1, 3, 17, F.lit(False)), side("theirs", 2, 5, 11, doc % 6 == 0))
+
+
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line): a status listing, a two-letter code and a path."""
     k = F.col("o_orderkey")
@@ -133,6 +160,10 @@ hunks AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_line)
   (CASE WHEN doc_id % 19 = 0 AND idx = 0 THEN end_line + 3 ELSE end_line END)::BIGINT AS end_line,
   CASE WHEN doc_id % 37 = 0 THEN 1.2::DOUBLE ELSE ((doc_id * 37 + idx * 11) % 101)::DOUBLE / 100.0::DOUBLE END AS confidence, CASE WHEN (doc_id + idx) % 4 = 0 THEN '' ELSE 'reason ' || doc_id END AS reasoning,
   CASE WHEN doc_id % 41 = 0 THEN ['  <<<<<<< HEAD'] WHEN doc_id % 43 = 0 THEN []::VARCHAR[] ELSE list_concat(['resolved ' || doc_id], CASE WHEN (doc_id + idx) % 2 = 0 THEN ours ELSE theirs END) END AS resolved_lines FROM hunks)""",
+    "versions": """numbered_lines AS (SELECT doc_id, path, unnest(range(0, len(ls))) AS i, unnest(ls) AS x FROM (SELECT doc_id, path, string_split(coalesce(content, ''), chr(10)) AS ls FROM files)),
+with_text AS (SELECT doc_id, path, i, i || ' ' || x AS base, (doc_id + i) % 23 = 0 AS same, (doc_id + i * 3) % 17 AS ko, (doc_id * 2 + i * 5) % 11 AS kt FROM numbered_lines),
+versions AS (SELECT doc_id, path, i, base, CASE WHEN same THEN [base || ' both'] WHEN ko = 0 THEN [] WHEN ko = 1 THEN [base || ' ours'] WHEN ko = 2 THEN [base, 'ours after ' || i] ELSE [base] END AS ours,
+  CASE WHEN same THEN [base || ' both'] WHEN doc_id % 6 = 0 THEN [base] WHEN kt = 0 THEN [] WHEN kt = 1 THEN [base || ' theirs'] WHEN kt = 2 THEN [base, 'theirs after ' || i] ELSE [base] END AS theirs FROM with_text)""",
     "status": f"""status AS (SELECT ({quoted(CODES)})[o_orderkey % 10 + 1] || ' src/o_' || o_orderkey || '.go' AS line FROM orders)""",
     "runs": """runs AS (SELECT l_orderkey AS batch_id, l_partkey % 900 + l_linenumber AS ms, l_returnflag <> 'R' AS ok, floor(l_quantity)::BIGINT AS conflicts, l_discount * 10 AS confidence FROM lineitem)""",
     "code": """code AS (SELECT doc_id, flatten([[CASE WHEN doc_id % 2 = 0 THEN 'package main' ELSE 'package tools' END, 'import "fmt"', 'func work' || doc_id || '(a int) error ' || CASE WHEN doc_id % 7 = 0 THEN '' ELSE '{' END,
@@ -141,7 +172,7 @@ hunks AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_line)
   CASE WHEN doc_id % 6 = 0 THEN '}' ELSE '// end' END, 'func ' || CASE WHEN doc_id % 19 = 0 THEN 'work' || doc_id ELSE 'other' || doc_id END || '(b int) {', '}'],
   CASE WHEN doc_id % 4 = 0 THEN ['import (', '  "os"', '  // none', '', '  log "logs"', ')'] ELSE [] END, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: '// ' || x)]) AS lines FROM documents)""",
 }
-NEEDS = {"conflicts": ["files"], "hunks": ["conflicts"], "res": ["hunks"]}
+NEEDS = {"conflicts": ["files"], "versions": ["files"], "hunks": ["conflicts"], "res": ["hunks"]}
 
 
 def sql(body: str, *names: str) -> str:
