@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions import text as T
-from ..operators import parse
+from ..operators import blocks, intervals, parse
 from ..sources import views as V
 from ..sources.views import sql
 from .files import DETECT_LANG, PAYLOAD_EXCLUDED, PAYLOAD_LANG, sql_any
@@ -33,6 +32,17 @@ def parse_conflict_hunks(spark, sf_dir):
     return h.select("doc_id", "path", F.concat_ws(":", "path", F.col("idx").cast("string")).alias("hunk_id"), "start_line", "end_line", joined("ours").alias("ours"), joined("theirs").alias("theirs"), joined("base").alias("base"))
 
 
+#: Lines of a block, and blocks of a run: small ones, so that files are split and runs are several.
+BLOCK_LINES, RUN = 16, 8
+
+
+@query(sql("SELECT path, idx, start_line, end_line, array_to_string(ours, chr(10)) AS ours, array_to_string(theirs, chr(10)) AS theirs, array_to_string(base, chr(10)) AS base FROM hunks", "hunks"))
+def parse_split_files(spark, sf_dir):
+    """The same hunks from files that are split into blocks of lines, none of which knows where the parser stands."""
+    h = blocks.hunk_rows(blocks.split(V.conflicts(spark, sf_dir), BLOCK_LINES), RUN)
+    return h.select("path", "idx", "start_line", "end_line", joined("ours").alias("ours"), joined("theirs").alias("theirs"), joined("base").alias("base"))
+
+
 @query(sql(f"""SELECT {PAYLOAD_LANG} AS language, count(DISTINCT path) AS files, count(*) AS hunks, sum(len(ours))::BIGINT AS ours_lines, sum(len(theirs))::BIGINT AS theirs_lines, sum({HUNK_TOKENS})::BIGINT AS tokens
 FROM hunks WHERE NOT {PAYLOAD_EXCLUDED} GROUP BY 1""", "hunks"))
 def conflicts_by_language(spark, sf_dir):
@@ -181,17 +191,27 @@ def refinement_prompt(spark, sf_dir):
     return h.select("doc_id", F.col("idx").alias("res_idx"), F.concat_ws(":", "path", F.col("h_idx").cast("string")).alias("hunk_id"), F.md5(text).alias("prompt_md5"))
 
 
+def containing(res, h):
+    """(doc_id, idx, h_idx, h_start, h_end): the first hunk of its file that contains each resolution's range; only places are compared."""
+    asked = res.select("doc_id", "idx", "file_path", F.col("start_line").alias("start"), F.col("end_line").alias("end"))
+    spans = h.select("path", F.col("idx").alias("h_idx"), F.col("start_line").cast("long").alias("start"), F.col("end_line").cast("long").alias("end"))
+    both = intervals.containing(asked, spans, "file_path", "path")
+    best = F.min(F.struct("o_start", "h_idx", "o_end")).alias("h")
+    return both.groupBy("doc_id", "idx").agg(best).select("doc_id", "idx", "h.h_idx", F.col("h.o_start").cast("int").alias("h_start"), F.col("h.o_end").cast("int").alias("h_end"))
+
+
 def first_containing(res, h):
-    """Each resolution (doc_id, idx) with the first hunk of its file that contains its range."""
-    h = h.select("path", F.col("idx").alias("h_idx"), F.col("start_line").alias("h_start"), F.col("end_line").alias("h_end"), "ours", "theirs", "base")
-    both = res.join(h, (F.col("file_path") == F.col("path")) & (F.col("h_start") <= F.col("start_line")) & (F.col("h_end") >= F.col("end_line")))
-    return both.withColumn("rn", F.row_number().over(Window.partitionBy("file_path", "doc_id", "idx").orderBy("h_start"))).filter("rn = 1")
+    """Each resolution with the first hunk of its file that contains its range, and that hunk's sides."""
+    found = containing(res, h).withColumnsRenamed({"doc_id": "r_doc", "idx": "r_idx"})
+    own = res.join(found, (res["doc_id"] == F.col("r_doc")) & (res["idx"] == F.col("r_idx"))).drop("r_doc", "r_idx")
+    sides = h.select("path", F.col("idx").alias("s_idx"), "ours", "theirs", "base")
+    return own.join(sides, (F.col("file_path") == F.col("path")) & (F.col("h_idx") == F.col("s_idx")))
 
 
 @query(sql("""SELECT r.doc_id, r.idx, h.idx AS h_idx, h.start_line::INT AS h_start, h.end_line::INT AS h_end FROM res r JOIN hunks h ON h.path = r.file_path AND h.start_line <= r.start_line AND h.end_line >= r.end_line
 QUALIFY row_number() OVER (PARTITION BY r.doc_id, r.idx ORDER BY h.start_line) = 1""", "hunks", "res"))
 def resolution_hunk_range_join(spark, sf_dir):
-    return first_containing(V.resolutions(spark, sf_dir), hunks(spark, sf_dir)).select("doc_id", "idx", "h_idx", "h_start", "h_end")
+    return containing(V.resolutions(spark, sf_dir), hunks(spark, sf_dir))
 
 
 @query("""WITH p AS (SELECT *, replace(replace(replace('a..b//' || source || '///x' || doc_id || chr(0) || CASE WHEN doc_id % 10 = 0 THEN repeat('é', 300) ELSE '' END, chr(0), ''), '..', ''), '//', '/') AS path FROM documents)
