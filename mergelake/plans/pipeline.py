@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..operators import apply, resolver
+from ..sources import shared
 from ..sources import views as V
 from ..sources.views import sql
 from ..streaming import detect
@@ -27,10 +25,7 @@ def mock_resolver_pipeline(spark, sf_dir):
 @query(sql(f"SELECT doc_id, path, idx, start_line::INT AS start_line, end_line::INT AS end_line, {DETECT_LANG} AS language FROM hunks WHERE NOT {sql_any('lower(path)', dims.DETECT_EXCLUDED)}", "hunks"))
 def stream_detect(spark, sf_dir):
     """The conflict files as a stream of Parquet files, detected in micro-batches; the same rows as in batch."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = f"{folder or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+    root = shared.folder(spark)
     V.conflicts(spark, sf_dir).repartition(4).write.parquet(f"{root}/in")
     detect.detect(spark, f"{root}/in", f"{root}/out", f"{root}/state", files_per_batch=2)
     return spark.read.schema("doc_id long, path string, idx long, start_line int, end_line int, language string").json(f"{root}/out")

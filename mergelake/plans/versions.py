@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import parse, versions
+from ..operators import history, parse, versions
+from ..sources import shared
 from ..sources import views as V
 from ..sources.views import sql
 from .registry import query
@@ -65,3 +66,12 @@ def merge_conflicts(spark, sf_dir):
     v = V.versions(spark, sf_dir).select("doc_id", "path", F.split(versions.merge("base", "ours", "theirs")["text"], "\n", -1).alias("lines"))
     text = lambda c: F.md5(F.array_join(c, "\n")).alias(f"{c}_md5")
     return parse.hunk_rows(v).select("doc_id", "idx", "start_line", "end_line", text("ours"), text("theirs"), text("base"))
+
+
+@query(sql(""", ancestors AS (SELECT pair, 1 AS side, ours AS k FROM commit_pairs UNION SELECT pair, 2, theirs FROM commit_pairs UNION SELECT a.pair, a.side, e.parent FROM ancestors a JOIN edges e ON e.k = a.k),
+shared_ AS (SELECT pair, k FROM ancestors GROUP BY pair, k HAVING count(*) = 2),
+covered AS (SELECT DISTINCT b.pair, e.parent AS k FROM shared_ b JOIN edges e ON e.k = b.k)
+SELECT pair::BIGINT AS pair, md5(k::VARCHAR) AS base FROM shared_ WHERE (pair, k) NOT IN (SELECT (pair, k) FROM covered)""", "commits"))
+def merge_bases(spark, sf_dir):
+    """The merge bases of each commit and one not far before it."""
+    return history.merge_bases(V.commits(spark, sf_dir), V.commit_pairs(spark, sf_dir), shared.kept)

@@ -105,6 +105,20 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("doc_id", "path", numbered.alias("lines")).select("doc_id", "path", text(F.col("lines")).alias("base"), side("ours", 1, 3, 17, F.lit(False)), side("theirs", 2, 5, 11, doc % 6 == 0))
 
 
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(commit, parents, rank): a history in which every order is a commit with one to three parents among the earlier ones."""
+    k = F.col("o_orderkey")
+    name = lambda c: F.md5(c.cast("string"))
+    numbers = F.array(F.when(k > 0, F.floor(k / 2)), F.when((k > 2) & (k % 5 == 0), F.floor(k / 3)), F.when((k > 3) & (k % 7 == 0), F.floor(k / 2) - 1))
+    return table(spark, sf_dir, "orders").select(name(k).alias("commit"), F.transform(F.filter(numbers, lambda p: p.isNotNull()), name).alias("parents"), k.cast("long").alias("rank"))
+
+
+def commit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pair, ours, theirs): each commit with one not far before it."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(k.cast("long").alias("pair"), F.md5(k.cast("string")).alias("ours"), F.md5(F.greatest(k - F.col("o_custkey") % 97, F.lit(0)).cast("string")).alias("theirs"))
+
+
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line): a status listing, a two-letter code and a path."""
     k = F.col("o_orderkey")
@@ -164,6 +178,8 @@ hunks AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_line)
 with_text AS (SELECT doc_id, path, i, i || ' ' || x AS base, (doc_id + i) % 23 = 0 AS same, (doc_id + i * 3) % 17 AS ko, (doc_id * 2 + i * 5) % 11 AS kt FROM numbered_lines),
 versions AS (SELECT doc_id, path, i, base, CASE WHEN same THEN [base || ' both'] WHEN ko = 0 THEN [] WHEN ko = 1 THEN [base || ' ours'] WHEN ko = 2 THEN [base, 'ours after ' || i] ELSE [base] END AS ours,
   CASE WHEN same THEN [base || ' both'] WHEN doc_id % 6 = 0 THEN [base] WHEN kt = 0 THEN [] WHEN kt = 1 THEN [base || ' theirs'] WHEN kt = 2 THEN [base, 'theirs after ' || i] ELSE [base] END AS theirs FROM with_text)""",
+    "commits": """edges AS (SELECT DISTINCT o_orderkey AS k, unnest(list_filter([CASE WHEN o_orderkey > 0 THEN o_orderkey // 2 END, CASE WHEN o_orderkey > 2 AND o_orderkey % 5 = 0 THEN o_orderkey // 3 END, CASE WHEN o_orderkey > 3 AND o_orderkey % 7 = 0 THEN o_orderkey // 2 - 1 END], lambda p: p IS NOT NULL)) AS parent FROM orders),
+commit_pairs AS (SELECT o_orderkey AS pair, o_orderkey AS ours, greatest(o_orderkey - o_custkey % 97, 0) AS theirs FROM orders)""",
     "status": f"""status AS (SELECT ({quoted(CODES)})[o_orderkey % 10 + 1] || ' src/o_' || o_orderkey || '.go' AS line FROM orders)""",
     "runs": """runs AS (SELECT l_orderkey AS batch_id, l_partkey % 900 + l_linenumber AS ms, l_returnflag <> 'R' AS ok, floor(l_quantity)::BIGINT AS conflicts, l_discount * 10 AS confidence FROM lineitem)""",
     "code": """code AS (SELECT doc_id, flatten([[CASE WHEN doc_id % 2 = 0 THEN 'package main' ELSE 'package tools' END, 'import "fmt"', 'func work' || doc_id || '(a int) error ' || CASE WHEN doc_id % 7 = 0 THEN '' ELSE '{' END,
