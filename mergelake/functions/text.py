@@ -25,6 +25,11 @@ def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"(\.[^./]*)\z", 1)
 
 
+def suffix(path: Column) -> Column:
+    """The extension without its dot; empty where there is none."""
+    return F.regexp_replace(extension(path), r"^\.", "")
+
+
 def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)\z", 1)
 
@@ -146,6 +151,12 @@ def repo_path(path: Column) -> Column:
     return F.octet_length(path).between(1, 999) & ~path.rlike(r"[;|&`$\x00\r\n]")
 
 
+def rfc3339(time: Column) -> Column:
+    """Whether a text is a time of RFC 3339: a day that exists, T, a time of day, and Z or an offset of hours and minutes."""
+    form = r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)\z"
+    return time.rlike(form) & F.substring(time, 1, 10).try_cast("date").isNotNull()
+
+
 def first_bytes(text: Column, n: int) -> Column:
     """The first n bytes of a text, as binary: the cut may fall inside a character."""
     return F.substring(text.cast("binary"), 1, n)

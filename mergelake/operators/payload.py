@@ -89,7 +89,12 @@ def tag_errors(p: Column) -> Column:
 
     files, repo = p["files"], F.coalesce(p["metadata"]["repo_path"], F.lit(""))
     inside = F.when(files.isNull(), error("Files", "required")).when(F.size(files) > dims.MAX_FILES, error("Files", "max", str(dims.MAX_FILES))).otherwise(each(files, file))
-    return F.concat(inside, first((repo == "", error("RepoPath", "required")), (~T.repo_path(repo), error("RepoPath", "repo_path"))))
+    meta = p["metadata"]
+    count = lambda c, name, limit: first((meta[c] < 0, error(name, "min", "0")), (meta[c] > limit, error(name, "max", str(limit))))
+    return F.concat(
+        inside, first((repo == "", error("RepoPath", "required")), (~T.repo_path(repo), error("RepoPath", "repo_path"))),
+        count("total_files", "TotalFiles", dims.META_FILES), count("total_conflicts", "TotalConflicts", dims.META_CONFLICTS), first((F.length(meta["version"]) > dims.META_VERSION, error("Version", "max", str(dims.META_VERSION)))),
+    )
 
 
 def business_error(p: Column) -> Column:
@@ -147,7 +152,7 @@ def validated(payloads: DataFrame) -> DataFrame:
         F.when(F.octet_length(text) > dims.MAX_PAYLOAD, one("max_size", "Payload is too large"))
         .when(F.octet_length(text) == 0, one("required", "Payload cannot be empty"))
         .when(F.try_parse_json(text).isNull(), one("json", "Invalid JSON format"))
-        .when(p.isNull() | p["_corrupt"].isNotNull() | ~strict(text), one("decode", "JSON parsing failed"))
+        .when(p.isNull() | p["_corrupt"].isNotNull() | ~F.coalesce(T.rfc3339(p["metadata"]["timestamp"]), F.lit(True)) | ~strict(text), one("decode", "JSON parsing failed"))
     )
     rows = rows.withColumn("__early", early)
     rows = rows.withColumn("__tags", F.when(F.col("__early").isNull(), tag_errors(p))).withColumn("__tag", F.get("__tags", 0))
@@ -159,5 +164,34 @@ def validated(payloads: DataFrame) -> DataFrame:
     ok, f = F.col("valid"), F.col("__found")
     return rows.select(
         *names, "valid", f["stage"].alias("stage"), F.coalesce(f["n_errors"], F.lit(0)).alias("n_errors"), f["error"]["field"].alias("field"), f["error"]["tag"].alias("tag"), f["message"].alias("message"),
-        F.when(ok, F.size(p["files"])).alias("total_files"), F.when(ok, conflicts(p)).alias("total_conflicts"), F.when(ok, longest_line(p)).alias("longest_line"), F.when(ok, p["files"]).alias("files"),
+        F.when(ok, F.size(p["files"])).alias("total_files"), F.when(ok, conflicts(p)).alias("total_conflicts"), F.when(ok, longest_line(p)).alias("longest_line"), F.when(ok, p["files"]).alias("files"), F.when(ok, p["metadata"]).alias("metadata"),
     )
+
+
+def clean_path(path: Column) -> Column:
+    """A path without null bytes, double dots and double slashes, at most 500 bytes long: the cut may fall inside a character."""
+    return T.first_bytes(F.replace(F.replace(F.replace(path, F.lit("\0"), F.lit("")), F.lit(".."), F.lit("")), F.lit("//"), F.lit("/")), dims.CLEAN_PATH).cast("string")
+
+
+def clean_lines(lines: Column) -> Column:
+    """Lines without null bytes, each at most as many bytes as a line may have; a missing list is an empty one."""
+    return F.coalesce(F.transform(lines, lambda x: T.first_bytes(F.replace(x, F.lit("\0"), F.lit("")), dims.MAX_LINE).cast("string")), F.array().cast("array<string>"))
+
+
+def clean_id(name: Column) -> Column:
+    """A conflict's id with its safe characters alone, 100 of them at most; a missing one is empty."""
+    return F.substring(F.regexp_replace(F.coalesce(name, F.lit("")), r"[^A-Za-z0-9:_./-]", ""), 1, dims.CLEAN_ID)
+
+
+def sanitized(files: Column) -> Column:
+    """A payload's files as they may be worked on: paths, ids, sides and contexts cleaned."""
+    sides = ("ours_lines", "theirs_lines", "base_lines")
+    hunk = lambda h: F.struct(clean_id(h["id"]).alias("id"), h["start_line"].alias("start_line"), h["end_line"].alias("end_line"), *[clean_lines(h[c]).alias(c) for c in sides])
+    context = lambda c: F.struct(*[clean_lines(c[k]).alias(k) for k in ("before_lines", "after_lines")])
+    return F.transform(files, lambda f: F.struct(clean_path(f["path"]).alias("path"), f["language"].alias("language"), F.transform(f["conflicts"], hunk).alias("conflicts"), context(f["context"]).alias("context")))
+
+
+def loaded(payloads: DataFrame) -> DataFrame:
+    """Validated payloads, those that pass with their files and their repository's path cleaned."""
+    repo = clean_path(F.col("metadata")["repo_path"])
+    return validated(payloads).withColumn("repo_path", repo).withColumn("files", F.when(F.col("valid"), sanitized(F.col("files")))).drop("metadata")

@@ -113,7 +113,7 @@ def go_context_extract(spark, sf_dir):
     """Package, imports (also those of a block), signatures and types of Go code."""
     like = lambda p: F.array_join(F.filter("lines", lambda x: x.rlike(p)), "|")
     package = F.get(F.filter(F.transform(F.slice("lines", 1, 10), T.trimmed), lambda x: F.startswith(x, F.lit("package "))), 0)
-    return V.code(spark, sf_dir).select("doc_id", F.substring(package, 9, 1000).alias("package"), F.array_join(checks.imports(F.col("lines")), "|").alias("imports"), like(dims.GO_FUNCTION).alias("functions"), like(dims.GO_TYPE).alias("types"))
+    return V.code(spark, sf_dir).select("doc_id", F.regexp_replace(package, "^package ", "").alias("package"), F.array_join(checks.imports(F.col("lines")), "|").alias("imports"), like(dims.GO_FUNCTION).alias("functions"), like(dims.GO_TYPE).alias("types"))
 
 
 @query(sql(r""", f AS (SELECT doc_id, unnest(regexp_extract_all(array_to_string(lines, chr(10)), 'func (\w+)\(', 1)) AS name FROM code) SELECT doc_id, name, count(*) AS n FROM f GROUP BY ALL HAVING count(*) > 1""", "code"))

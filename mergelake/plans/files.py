@@ -215,7 +215,7 @@ SELECT doc_id, path, o.options, coalesce(formatter, 'none') AS formatter FROM fi
 def formatter_selection(spark, sf_dir):
     """The first formatter in the registry's order that a run may use, for each file's extension and each run's options."""
     best = reduce(lambda a, b: a.unionByName(b), [eligible(spark, *o) for o in OPTIONS]).groupBy("options", "ext").agg(F.min_by("formatter", "ordinal").alias("formatter"))
-    rows = V.files(spark, sf_dir).select("doc_id", "path", F.lower(F.substring(T.extension(F.col("path")), 2, 64)).alias("ext"), F.explode(F.array(*[F.lit(o) for o, *_ in OPTIONS])).alias("options"))
+    rows = V.files(spark, sf_dir).select("doc_id", "path", F.lower(T.suffix(F.col("path"))).alias("ext"), F.explode(F.array(*[F.lit(o) for o, *_ in OPTIONS])).alias("options"))
     return rows.join(F.broadcast(best), ["options", "ext"], "left").select("doc_id", "path", "options", F.coalesce("formatter", F.lit("none")).alias("formatter"))
 
 
@@ -225,7 +225,7 @@ FROM files LEFT JOIN best ON best.ext = lower(substr({EXT}, 2))""", "files"))
 def format_plan(spark, sf_dir):
     """What a run does with each file: nothing where no formatter knows it, nothing but a message where it is dry, both of which are successes; else a command."""
     best = registry(spark).groupBy("ext").agg(F.min_by("formatter", "ordinal").alias("formatter"))
-    rows = V.files(spark, sf_dir).select("doc_id", "path", F.lower(F.substring(T.extension(F.col("path")), 2, 64)).alias("ext")).join(F.broadcast(best), "ext", "left")
+    rows = V.files(spark, sf_dir).select("doc_id", "path", F.lower(T.suffix(F.col("path"))).alias("ext")).join(F.broadcast(best), "ext", "left")
     known, dry = F.col("formatter").isNotNull(), F.col("doc_id") % 2 == 0
     message = F.when(~known, F.concat(F.lit("no formatter for ."), "ext")).when(dry, F.concat(F.lit("would run "), "formatter")).otherwise("")
     return rows.select("doc_id", "path", F.coalesce("formatter", F.lit("")).alias("formatter"), message.alias("message"), (known & ~dry).alias("runs"), F.lit(True).alias("success"))
@@ -241,7 +241,7 @@ SELECT doc_id, path, options FROM f JOIN reg USING (ext) CROSS JOIN ({SQL_FILTER
 def formattable_files(spark, sf_dir):
     """Files whose extension a formatter supports and a run's lists let through."""
     known = registry(spark).select("ext").distinct()
-    rows = V.files(spark, sf_dir).select("doc_id", "path", F.lower(F.substring(T.extension(F.col("path")), 2, 64)).alias("ext")).join(F.broadcast(known), "ext", "left_semi")
+    rows = V.files(spark, sf_dir).select("doc_id", "path", F.lower(T.suffix(F.col("path"))).alias("ext")).join(F.broadcast(known), "ext", "left_semi")
     lets = [F.when((F.col("ext").isin(inc) if inc else F.lit(True)) & (~F.col("ext").isin(exc) if exc else F.lit(True)), F.lit(n)) for n, inc, exc in FILTERS]
     return rows.select("doc_id", "path", F.explode(F.array_compact(F.array(*lets))).alias("options"))
 
@@ -267,7 +267,7 @@ def supported_extensions(spark, sf_dir):
 SELECT count(*) AS processed, count(*) FILTER (NOT (broke AND known)) AS formatted, count(*) FILTER (broke AND known) AS failed, count(*) FILTER (broke AND known) = 0 AS success FROM f""", "files"))
 def format_rollup(spark, sf_dir):
     known = registry(spark).select("ext").distinct().withColumn("known", F.lit(True))
-    rows = V.files(spark, sf_dir).select("doc_id", F.lower(F.substring(T.extension(F.col("path")), 2, 64)).alias("ext")).join(F.broadcast(known), "ext", "left")
+    rows = V.files(spark, sf_dir).select("doc_id", F.lower(T.suffix(F.col("path"))).alias("ext")).join(F.broadcast(known), "ext", "left")
     failed = (F.col("doc_id") % 13 == 0) & F.coalesce("known", F.lit(False))
     return rows.agg(F.count("*").alias("processed"), F.count_if(~failed).alias("formatted"), F.count_if(failed).alias("failed"), (F.count_if(failed) == 0).alias("success"))
 

@@ -13,12 +13,16 @@ from .files import PAYLOAD_LANG, sql_any
 from .registry import query
 
 #: Files of a payload; of so many payloads in a row each has another fault, or none.
-FILES, CASES = 5, 24
+FILES, CASES = 5, 30
+REPO = '"repo_path":"/work/repo"'
 # What is changed in a payload's text, by case: what stands there, and what is put in its place.
 CHANGES = {
     3: ('"metadata":', '"extra":1,"metadata":'), 4: ('"repo_path":"/work/repo"', '"repo_path":""'), 5: ('"path":"src/', '"path":"../src/'), 6: ('"language":"', '"language":"x-'), 7: ('"id":"', '"id":"bad id '),
     8: ('"repo_path":"/work/repo"', '"repo_path":"/work;repo"'), 9: ('"start_line":', '"start_line":-'), 10: ('"end_line":', '"end_line":"x","old_line":'), 11: ('"start_line":', '"start_line":9000'), 14: ('"ours_lines":[', '"ours_lines":[' + '"x",' * 1001),
     15: ('"before_lines":[', '"before_lines":[' + '"c",' * 51), 16: ('"ours_lines":[', '"ours_lines":["\\u0001",'), 17: ('"end_line":', '"end_line":"x'), 18: ('"ours_lines":[', '"ours_lines":["' + "y" * 10001 + '",'), 19: ('"repo_path":"/work/repo",', ""),
+    20: (REPO, REPO + ',"version":"' + "v" * 21 + '"'), 21: ('"total_files":', '"total_files":1000'), 22: (REPO, REPO + ',"total_conflicts":-1'), 23: (REPO, REPO + ',"timestamp":"not a time"'),
+    24: (REPO, REPO + ',"version":"' + "é" * 20 + '","timestamp":"2024-02-29T23:59:59.5+05:30","total_conflicts":5000'), 25: (REPO, REPO + ',"timestamp":"2023-02-29T00:00:00Z"'), 26: (REPO, REPO + ',"total_conflicts":5001,"version":"1234567890.1234567890"'),
+    27: ('"path":"src/', '"path":"src//x///'), 28: (REPO, '"repo_path":"/work/../a//b/' + "r" * 600 + '"'), 29: (REPO, REPO + ',"timestamp":null'),
 }
 SAME = {12: ('"path":"[^"]*"', '"path":"same.go"'), 13: ('"id":"[^"]*"', '"id":"dup:0"')}
 
@@ -53,7 +57,7 @@ def literal(text: str) -> str:
 
 
 def repeated(text: str) -> str:
-    for unit in ('"x",', '"c",', "y"):
+    for unit in ('"x",', '"c",', "y", "r"):
         n = 0
         while unit * (n + 1) in text:
             n += 1
@@ -79,7 +83,9 @@ jf AS MATERIALIZED (SELECT payload_id, unnest(range(0, json_array_length(j, '$.f
 jh AS MATERIALIZED (SELECT payload_id, fi, unnest(range(0, json_array_length(f, '$.conflicts')::BIGINT)) AS hi, unnest(json_extract(f, '$.conflicts[*]')) AS h FROM jf),
 jl AS (SELECT payload_id, fi, hi, side, unnest(range(0, len(ls))) AS li, unnest(ls) AS line FROM (SELECT payload_id, fi, hi, 4 AS side, (h->'ours_lines')::VARCHAR[] AS ls FROM jh UNION ALL SELECT payload_id, fi, hi, 5, (h->'theirs_lines')::VARCHAR[] FROM jh UNION ALL SELECT payload_id, fi, hi, 6, (h->'base_lines')::VARCHAR[] FROM jh)),
 undecoded AS (SELECT payload_id FROM valid_json WHERE len(list_filter(json_keys(j), lambda k: k NOT IN ('files', 'metadata'))) > 0 UNION SELECT payload_id FROM jh WHERE len(list_filter(json_keys(h), lambda k: k NOT IN ({", ".join(map(literal, payload.FIELDS["hunk"]))}))) > 0
-  OR json_type(h, '$.end_line') NOT IN ('UBIGINT', 'BIGINT') OR json_type(h, '$.start_line') NOT IN ('UBIGINT', 'BIGINT')),
+  OR json_type(h, '$.end_line') NOT IN ('UBIGINT', 'BIGINT') OR json_type(h, '$.start_line') NOT IN ('UBIGINT', 'BIGINT')
+  UNION SELECT payload_id FROM (SELECT payload_id, j->>'$.metadata.timestamp' AS t FROM valid_json) WHERE NOT (regexp_full_match(t, '\\d{{4}}-\\d\\d-\\d\\dT([01]\\d|2[0-3]):[0-5]\\d:[0-5]\\d([.]\\d+)?(Z|[+-]([01]\\d|2[0-3]):[0-5]\\d)') AND try_cast(t[1:10] AS DATE) IS NOT NULL)),
+meta AS (SELECT payload_id, (j->>'$.metadata.total_files')::BIGINT AS nf, (j->>'$.metadata.total_conflicts')::BIGINT AS nc, j->>'$.metadata.version' AS version FROM valid_json),
 hn AS (SELECT payload_id, fi, hi, h->>'id' AS id, try_cast(h->>'start_line' AS BIGINT) AS a, try_cast(h->>'end_line' AS BIGINT) AS b FROM jh),
 rules AS (SELECT payload_id, fi * 1e9 AS place, 'Path' AS field, 'filepath' AS tag, '' AS param FROM (SELECT *, f->>'path' AS path FROM jf) WHERE {sql_any("path", dims.UNSAFE_TOKENS)}
   UNION ALL SELECT payload_id, fi * 1e9 + 1, 'Language', 'language', '' FROM jf WHERE NOT list_contains({quoted(dims.LANGUAGES)}, lower(f->>'language'))
@@ -88,7 +94,10 @@ rules AS (SELECT payload_id, fi * 1e9 AS place, 'Path' AS field, 'filepath' AS t
   UNION ALL SELECT payload_id, fi * 1e9 + (hi + 1) * 1e5 + 3, 'EndLine', 'gtfield', 'StartLine' FROM hn WHERE b <= a
   UNION ALL SELECT payload_id, fi * 1e9 + (hi + 1) * 1e5 + side * 15000 + li, ['OursLines', 'TheirsLines', 'BaseLines'][side - 3] || '[' || li || ']', 'safe_content', '' FROM jl WHERE strlen(line) > 10000 OR regexp_matches(line, '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F]')
   UNION ALL SELECT payload_id, fi * 1e9 + 9e8, 'BeforeLines', 'max', '50' FROM jf WHERE json_array_length(f, '$.context.before_lines') > 50
-  UNION ALL SELECT payload_id, 1e15, 'RepoPath', CASE WHEN coalesce(j->>'$.metadata.repo_path', '') = '' THEN 'required' ELSE 'repo_path' END, '' FROM valid_json WHERE coalesce(j->>'$.metadata.repo_path', '') = '' OR regexp_matches(j->>'$.metadata.repo_path', '[;|&`$]')),
+  UNION ALL SELECT payload_id, 1e15, 'RepoPath', CASE WHEN coalesce(j->>'$.metadata.repo_path', '') = '' THEN 'required' ELSE 'repo_path' END, '' FROM valid_json WHERE coalesce(j->>'$.metadata.repo_path', '') = '' OR regexp_matches(j->>'$.metadata.repo_path', '[;|&`$]')
+  UNION ALL SELECT payload_id, 1e15 + 1, 'TotalFiles', CASE WHEN nf < 0 THEN 'min' ELSE 'max' END, CASE WHEN nf < 0 THEN '0' ELSE '1000' END FROM meta WHERE nf NOT BETWEEN 0 AND 1000
+  UNION ALL SELECT payload_id, 1e15 + 2, 'TotalConflicts', CASE WHEN nc < 0 THEN 'min' ELSE 'max' END, CASE WHEN nc < 0 THEN '0' ELSE '5000' END FROM meta WHERE nc NOT BETWEEN 0 AND 5000
+  UNION ALL SELECT payload_id, 1e15 + 3, 'Version', 'max', '20' FROM meta WHERE length(version) > 20),
 field_errors AS (SELECT payload_id, count(*)::INT AS n, arg_min(field, place) AS field, arg_min(tag, place) AS tag, arg_min(param, place) AS param FROM rules GROUP BY 1),
 across AS (SELECT payload_id, fi * 1e9 AS place, 'files[' || fi || '].path' AS field, 'duplicate' AS tag FROM jf QUALIFY count(*) OVER (PARTITION BY payload_id, f->>'path') > 1
   UNION ALL SELECT payload_id, fi * 1e9 + (hi + 1) * 10, 'files[' || fi || '].conflicts[' || hi || ']', 'conflict_size' FROM (SELECT payload_id, fi, hi, count(*) AS n FROM jl GROUP BY ALL) WHERE n > 1000
@@ -106,17 +115,23 @@ CASE stage WHEN 'fields' THEN {SQL_MESSAGE} WHEN 'business' THEN a_tag WHEN 'req
 CASE WHEN stage IS NULL THEN total_files END AS total_files, CASE WHEN stage IS NULL THEN total_conflicts END AS total_conflicts, CASE WHEN stage IS NULL THEN longest_line END AS longest_line FROM staged""", "hunks"))
 def payload_strict_validate(spark, sf_dir):
     """Each payload's stage, errors and summary, from its text alone."""
-    return payload.validated(faulty(payloads(spark, sf_dir))).drop("text", "files")
+    return payload.validated(faulty(payloads(spark, sf_dir))).drop("text", "files", "metadata")
 
 
-@query(sql(f""", {SQL_PAYLOADS} SELECT h.payload_id, h.fi::INT AS file_index, f->>'path' AS path, h.hi::INT AS hunk_index, h->>'id' AS hunk_id, (h->>'start_line')::BIGINT AS start_line, md5(array_to_string((h->'ours_lines')::VARCHAR[], chr(10))) AS ours_md5
-FROM jh h JOIN jf USING (payload_id, fi) JOIN staged s ON s.payload_id = h.payload_id WHERE stage IS NULL""", "hunks"))
+def sql_clean(path: str) -> str:
+    return f"left(replace(replace(replace({path}, chr(0), ''), '..', ''), '//', '/'), {dims.CLEAN_PATH})"
+
+
+@query(sql(f""", {SQL_PAYLOADS} SELECT h.payload_id, {sql_clean("j->>'$.metadata.repo_path'")} AS repo_path, h.fi::INT AS file_index, {sql_clean("f->>'path'")} AS path, h.hi::INT AS hunk_index, h->>'id' AS hunk_id, (h->>'start_line')::BIGINT AS start_line,
+md5(array_to_string((h->'ours_lines')::VARCHAR[], chr(10))) AS ours_md5, md5(array_to_string((f->'$.context.before_lines')::VARCHAR[], chr(10))) AS before_md5
+FROM jh h JOIN jf USING (payload_id, fi) JOIN valid_json v ON v.payload_id = h.payload_id JOIN staged s ON s.payload_id = h.payload_id WHERE stage IS NULL""", "hunks"))
 def payload_load(spark, sf_dir):
-    """Payloads that pass, read into hunks; the others do not get in."""
+    """Payloads that pass, cleaned and read into hunks; the others do not get in."""
     # Outer, and filtered by what comes out: a filter on valid would run all checks once more for each step below it.
-    files = payload.validated(faulty(payloads(spark, sf_dir))).select("payload_id", F.posexplode_outer("files").alias("file_index", "f")).filter("f IS NOT NULL")
-    hunks = files.select("payload_id", "file_index", F.col("f.path").alias("path"), F.posexplode("f.conflicts").alias("hunk_index", "h"))
-    return hunks.select("payload_id", "file_index", "path", "hunk_index", F.col("h.id").alias("hunk_id"), F.col("h.start_line").alias("start_line"), F.md5(F.array_join("h.ours_lines", "\n")).alias("ours_md5"))
+    files = payload.loaded(faulty(payloads(spark, sf_dir))).select("payload_id", "repo_path", F.posexplode_outer("files").alias("file_index", "f")).filter("f IS NOT NULL")
+    hunks = files.select("payload_id", "repo_path", "file_index", F.col("f.path").alias("path"), F.col("f.context.before_lines").alias("before"), F.posexplode("f.conflicts").alias("hunk_index", "h"))
+    text = lambda c: F.md5(F.array_join(c, "\n"))
+    return hunks.select("payload_id", "repo_path", "file_index", "path", "hunk_index", F.col("h.id").alias("hunk_id"), F.col("h.start_line").alias("start_line"), text("h.ours_lines").alias("ours_md5"), text("before").alias("before_md5"))
 
 
 @query("""SELECT doc_id, replace(text, chr(0), '') = text AS clean_text, CASE WHEN doc_id % 2 = 0 THEN strlen(text) <= 10000 AND NOT regexp_matches(text, '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F]') ELSE false END AS safe,
