@@ -152,9 +152,9 @@ def repo_path(path: Column) -> Column:
 
 
 def rfc3339(time: Column) -> Column:
-    """Whether a text is a time of RFC 3339: a day that exists, T, a time of day, and Z or an offset of hours and minutes."""
+    """Whether a text is a time of RFC 3339: a day that exists, T, a time of day, and Z or an offset of hours and minutes; null for null."""
     form = r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)\z"
-    return time.rlike(form) & F.substring(time, 1, 10).try_cast("date").isNotNull()
+    return F.when(time.isNotNull(), time.rlike(form) & F.substring(time, 1, 10).try_cast("date").isNotNull())
 
 
 def first_bytes(text: Column, n: int) -> Column:

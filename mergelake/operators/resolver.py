@@ -19,6 +19,14 @@ def mock(hunk_id: str, ours: list[str], theirs: list[str], turn: int) -> tuple[l
     return (ours if h[0] % 2 else theirs), min(1.0, h[1] / 255 + 0.2 * turn)
 
 
+def flaky(hunk_id: str, ours: list[str], theirs: list[str], turn: int) -> tuple[list[str], float]:
+    """The stand-in, but one id in sixteen always fails, and another one fails when asked again."""
+    k = hashlib.md5(hunk_id.encode()).digest()[2] % 16
+    if k == 0 or (k == 1 and turn):
+        raise RuntimeError("the model is away")
+    return mock(hunk_id, ours, theirs, turn)
+
+
 def resolve(hunks: DataFrame, resolver: Resolver = mock, turns: int = 3, refine_below: float = 0.6, retries: int = 2, wait: float = 1.0) -> DataFrame:
     """(hunk_id, ours, theirs) to (hunk_id, resolved_lines, confidence, turns, error): up to so many turns while the confidence is low and each one improves it; failed calls are retried with growing waits."""
 

@@ -258,9 +258,14 @@ def file_list_choice(spark, sf_dir):
     return rows.join(first, "source").filter("rank = first").select("source", "doc_id", kind.alias("kind"))
 
 
-@query(f"WITH reg AS ({REGISTRY}) SELECT ext, min(ordinal) AS first_seen, count(*) AS formatters FROM reg GROUP BY ext")
+@query(sql(f""", reg AS ({REGISTRY}), known AS (SELECT ext, arg_min(formatter, ordinal) AS formatter, count(*) AS formatters FROM reg GROUP BY ext), there AS (SELECT lower(substr({EXT}, 2)) AS ext, count(*) AS files FROM files GROUP BY 1)
+SELECT ext, coalesce(files, 0) AS files, formatter, coalesce(formatters, 0) AS formatters, formatter IS NOT NULL AS supported FROM there FULL JOIN known USING (ext)""", "files"))
 def supported_extensions(spark, sf_dir):
-    return registry(spark).groupBy("ext").agg(F.min("ordinal").alias("first_seen"), F.count("*").alias("formatters"))
+    """The extensions of the files there are beside those that the formatters know: how many files, which formatter comes first, how many there are."""
+    known = registry(spark).groupBy("ext").agg(F.min_by("formatter", "ordinal").alias("formatter"), F.count("*").alias("formatters"))
+    there = V.files(spark, sf_dir).groupBy(F.lower(T.suffix(F.col("path"))).alias("ext")).agg(F.count("*").alias("files"))
+    zero = F.lit(0).cast("long")
+    return there.join(known, "ext", "full").select("ext", F.coalesce("files", zero).alias("files"), "formatter", F.coalesce("formatters", zero).alias("formatters"), F.col("formatter").isNotNull().alias("supported"))
 
 
 @query(sql(f""", reg AS ({REGISTRY}), f AS (SELECT doc_id, doc_id % 13 = 0 AS broke, lower(substr({EXT}, 2)) IN (SELECT ext FROM reg) AS known FROM files)

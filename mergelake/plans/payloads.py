@@ -82,9 +82,10 @@ valid_json AS MATERIALIZED (SELECT payload_id, text::JSON AS j FROM texts WHERE
 jf AS MATERIALIZED (SELECT payload_id, unnest(range(0, json_array_length(j, '$.files')::BIGINT)) AS fi, unnest(json_extract(j, '$.files[*]')) AS f FROM valid_json),
 jh AS MATERIALIZED (SELECT payload_id, fi, unnest(range(0, json_array_length(f, '$.conflicts')::BIGINT)) AS hi, unnest(json_extract(f, '$.conflicts[*]')) AS h FROM jf),
 jl AS (SELECT payload_id, fi, hi, side, unnest(range(0, len(ls))) AS li, unnest(ls) AS line FROM (SELECT payload_id, fi, hi, 4 AS side, (h->'ours_lines')::VARCHAR[] AS ls FROM jh UNION ALL SELECT payload_id, fi, hi, 5, (h->'theirs_lines')::VARCHAR[] FROM jh UNION ALL SELECT payload_id, fi, hi, 6, (h->'base_lines')::VARCHAR[] FROM jh)),
+jc AS (SELECT payload_id, fi, side, unnest(range(0, len(ls))) AS li, unnest(ls) AS line FROM (SELECT payload_id, fi, 0 AS side, (f->'$.context.before_lines')::VARCHAR[] AS ls FROM jf UNION ALL SELECT payload_id, fi, 1, (f->'$.context.after_lines')::VARCHAR[] FROM jf) WHERE len(ls) <= 50),
 undecoded AS (SELECT payload_id FROM valid_json WHERE len(list_filter(json_keys(j), lambda k: k NOT IN ('files', 'metadata'))) > 0 UNION SELECT payload_id FROM jh WHERE len(list_filter(json_keys(h), lambda k: k NOT IN ({", ".join(map(literal, payload.FIELDS["hunk"]))}))) > 0
   OR json_type(h, '$.end_line') NOT IN ('UBIGINT', 'BIGINT') OR json_type(h, '$.start_line') NOT IN ('UBIGINT', 'BIGINT')
-  UNION SELECT payload_id FROM (SELECT payload_id, j->>'$.metadata.timestamp' AS t FROM valid_json) WHERE NOT (regexp_full_match(t, '\\d{{4}}-\\d\\d-\\d\\dT([01]\\d|2[0-3]):[0-5]\\d:[0-5]\\d([.]\\d+)?(Z|[+-]([01]\\d|2[0-3]):[0-5]\\d)') AND try_cast(t[1:10] AS DATE) IS NOT NULL)),
+  UNION SELECT payload_id FROM (SELECT payload_id, j->>'$.metadata.timestamp' AS t FROM valid_json) WHERE t IS NOT NULL AND NOT (regexp_full_match(t, '\\d{{4}}-\\d\\d-\\d\\dT([01]\\d|2[0-3]):[0-5]\\d:[0-5]\\d([.]\\d+)?(Z|[+-]([01]\\d|2[0-3]):[0-5]\\d)') AND try_cast(t[1:10] AS DATE) IS NOT NULL)),
 meta AS (SELECT payload_id, (j->>'$.metadata.total_files')::BIGINT AS nf, (j->>'$.metadata.total_conflicts')::BIGINT AS nc, j->>'$.metadata.version' AS version FROM valid_json),
 hn AS (SELECT payload_id, fi, hi, h->>'id' AS id, try_cast(h->>'start_line' AS BIGINT) AS a, try_cast(h->>'end_line' AS BIGINT) AS b FROM jh),
 rules AS (SELECT payload_id, fi * 1e9 AS place, 'Path' AS field, 'filepath' AS tag, '' AS param FROM (SELECT *, f->>'path' AS path FROM jf) WHERE {sql_any("path", dims.UNSAFE_TOKENS)}
@@ -93,6 +94,7 @@ rules AS (SELECT payload_id, fi * 1e9 AS place, 'Path' AS field, 'filepath' AS t
   UNION ALL SELECT payload_id, fi * 1e9 + (hi + 1) * 1e5 + 2, 'StartLine', CASE WHEN a < 1 THEN 'min' ELSE 'max' END, CASE WHEN a < 1 THEN '1' ELSE '1000000' END FROM hn WHERE a < 1 OR a > 1000000
   UNION ALL SELECT payload_id, fi * 1e9 + (hi + 1) * 1e5 + 3, 'EndLine', 'gtfield', 'StartLine' FROM hn WHERE b <= a
   UNION ALL SELECT payload_id, fi * 1e9 + (hi + 1) * 1e5 + side * 15000 + li, ['OursLines', 'TheirsLines', 'BaseLines'][side - 3] || '[' || li || ']', 'safe_content', '' FROM jl WHERE strlen(line) > 10000 OR regexp_matches(line, '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F]')
+  UNION ALL SELECT payload_id, fi * 1e9 + 9e8 + side * 1e7 + li, ['BeforeLines', 'AfterLines'][side + 1] || '[' || li || ']', 'safe_content', '' FROM jc WHERE strlen(line) > 10000 OR regexp_matches(line, '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F]')
   UNION ALL SELECT payload_id, fi * 1e9 + 9e8, 'BeforeLines', 'max', '50' FROM jf WHERE json_array_length(f, '$.context.before_lines') > 50
   UNION ALL SELECT payload_id, 1e15, 'RepoPath', CASE WHEN coalesce(j->>'$.metadata.repo_path', '') = '' THEN 'required' ELSE 'repo_path' END, '' FROM valid_json WHERE coalesce(j->>'$.metadata.repo_path', '') = '' OR regexp_matches(j->>'$.metadata.repo_path', '[;|&`$]')
   UNION ALL SELECT payload_id, 1e15 + 1, 'TotalFiles', CASE WHEN nf < 0 THEN 'min' ELSE 'max' END, CASE WHEN nf < 0 THEN '0' ELSE '1000' END FROM meta WHERE nf NOT BETWEEN 0 AND 1000

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions import text as T
+from ..operators import checks
 from ..sources import views as V
 from ..sources.views import quoted, sql
 from .files import PACKAGE, make_targets, package_text, scripts
@@ -79,8 +80,13 @@ def command_catalogue(spark, sf_dir):
 
 
 SQL_RESULTS = """results AS (SELECT *, (project * 7 + ordinal * 5) % 11 NOT IN (3, 4) AS success, (project * 7 + ordinal * 5) % 11 = 4 AS skipped FROM commands)"""
-SQL_ISSUES = r"""scan AS (SELECT doc_id, unnest(lines) AS line FROM conflicts WHERE doc_id % 3 = 0), per_file AS (SELECT doc_id, count(*) FILTER (regexp_matches(regexp_replace(line, '^[\s]+|[\s]+$', '', 'g'), '^(<<<<<<<|=======|>>>>>>>)')) AS errors FROM scan GROUP BY doc_id),
-clean AS (SELECT doc_id, 0::BIGINT AS errors FROM documents WHERE doc_id % 3 <> 0), checked AS (SELECT * FROM per_file UNION ALL SELECT * FROM clean)"""
+SQL_TRIMMED = r"regexp_replace(line, '^[\s]+|[\s]+$', '', 'g')"
+SQL_KINDS = " + ".join(f"(sum(length(replace(t, '{b}', '')) - length(replace(t, '{a}', ''))) <> 0)::INT" for a, b in ("{}", "()", "[]"))
+SQL_OPEN = "t <> '' AND NOT ends_with(t, ';') AND NOT ends_with(t, '{') AND NOT ends_with(t, '}') AND NOT contains(t, '//')"
+SQL_ISSUES = rf"""scanned AS (SELECT doc_id, path, unnest(lines) AS line FROM conflicts WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, path, unnest(string_split(coalesce(content, ''), chr(10))) FROM files WHERE doc_id % 3 <> 0),
+stripped AS (SELECT *, {SQL_TRIMMED} AS t, lower(regexp_extract(path, '([^.]*)$', 1)) AS ext FROM scanned),
+checked AS (SELECT doc_id, count(*) FILTER (regexp_matches(t, '^(<<<<<<<|=======|>>>>>>>)')) AS errors, (CASE WHEN ext = 'go' THEN {SQL_KINDS} + count(*) FILTER (ends_with(t, ';') AND NOT contains(t, 'for')) WHEN ext IN ('js', 'ts') THEN {SQL_KINDS} + count(*) FILTER ({SQL_OPEN})
+  WHEN ext = 'py' THEN {SQL_KINDS.split(" + ", 1)[1]} + count(*) FILTER (regexp_matches(t, '^(if|for|while|def|class) ') AND NOT ends_with(t, ':')) + count(*) FILTER (t <> '' AND (length(line) - length(ltrim(line, ' ' || chr(9)))) % 2 <> 0) ELSE 0 END)::BIGINT AS warnings FROM stripped GROUP BY doc_id, path, ext)"""
 
 
 def results(spark, sf_dir):
@@ -90,13 +96,19 @@ def results(spark, sf_dir):
 
 
 def checked(spark, sf_dir):
-    """(doc_id, errors): files with the number of conflict markers left in them; two files of three have been resolved."""
-    bad = V.conflicts(spark, sf_dir).filter("doc_id % 3 = 0").select("doc_id", F.size(F.filter("lines", lambda x: T.trimmed(x).rlike(r"^(<{7}|={7}|>{7})"))).cast("long").alias("errors"))
-    return bad.unionByName(V.table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0").select("doc_id", F.lit(0).cast("long").alias("errors")))
+    """(doc_id, errors, warnings) of every file, each scanned whole: markers left in it are errors, and what its language's checks find are warnings, for faults of syntax don't make a file invalid.
+
+    One file of three is still in conflict, the others are resolved."""
+    unresolved = V.conflicts(spark, sf_dir).filter("doc_id % 3 = 0").select("doc_id", "path", "lines")
+    resolved = V.files(spark, sf_dir).filter("doc_id % 3 <> 0").select("doc_id", "path", T.lines(F.coalesce("content", F.lit(""))).alias("lines"))
+    language = T.mapped(F.lower(F.regexp_extract("path", r"([^.]*)\z", 1)), {"go": ["go"], "javascript": ["js"], "typescript": ["ts"], "python": ["py"]}, "")
+    rows = unresolved.unionByName(resolved).withColumn("language", language).withColumn("found", F.when(F.col("language") != "", checks.syntax(F.col("language"), F.col("lines"))))
+    markers = F.size(F.filter("lines", lambda x: T.trimmed(x).rlike(r"^(<{7}|={7}|>{7})"))).cast("long")
+    return rows.select("doc_id", markers.alias("errors"), F.coalesce(F.size("found.errors") + F.size("found.warnings"), F.lit(0)).cast("long").alias("warnings"))
 
 
 SQL_COMMAND_COUNTS = "count(*) AS commands, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success AND skipped) AS skipped_commands, count(*) FILTER (NOT success AND NOT skipped) AS failed, bool_or(required AND NOT success AND NOT skipped) AS broke"
-SQL_FILE_COUNTS = "count(*) AS total_files, count(*) FILTER (errors = 0) AS valid_files, count(*) FILTER (errors > 0) AS invalid_files, sum(errors)::BIGINT AS total_issues, sum(errors)::BIGINT AS error_issues, 0::BIGINT AS warning_issues"
+SQL_FILE_COUNTS = "count(*) AS total_files, count(*) FILTER (errors = 0) AS valid_files, count(*) FILTER (errors > 0) AS invalid_files, sum(errors + warnings)::BIGINT AS total_issues, sum(errors)::BIGINT AS error_issues, sum(warnings)::BIGINT AS warning_issues"
 
 
 def command_counts():
@@ -107,7 +119,7 @@ def command_counts():
 
 def file_counts():
     n = F.col("errors")
-    return [F.count("*").alias("total_files"), F.count_if(n == 0).alias("valid_files"), F.count_if(n > 0).alias("invalid_files"), F.sum(n).alias("total_issues"), F.sum(n).alias("error_issues"), F.lit(0).cast("long").alias("warning_issues")]
+    return [F.count("*").alias("total_files"), F.count_if(n == 0).alias("valid_files"), F.count_if(n > 0).alias("invalid_files"), F.sum(n + F.col("warnings")).alias("total_issues"), F.sum(n).alias("error_issues"), F.sum("warnings").alias("warning_issues")]
 
 
 @query(sql(f", {SQL_CATALOGUE}, {SQL_RESULTS}, {SQL_ISSUES} SELECT * EXCLUDE (broke) FROM (SELECT {SQL_COMMAND_COUNTS} FROM results), (SELECT {SQL_FILE_COUNTS} FROM checked)", "conflicts"))
