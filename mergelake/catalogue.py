@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import code, files, hunks, payloads, pipeline, resolutions, runs, versions
+from .plans import code, files, hunks, payloads, pipeline, resolutions, runs, tables, versions
 from .plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "code", "files", "hunks", "payloads", "pipeline", "resolutions", "runs", "versions"]
+__all__ = ["ORACLES", "QUERIES", "code", "files", "hunks", "payloads", "pipeline", "resolutions", "runs", "tables", "versions"]
