@@ -67,6 +67,8 @@ GO_TYPE = r"^\s*type\s+\w+\s+(struct|interface).*"
 PYTHON_CONTROL = ["if ", "for ", "while ", "def ", "class "]
 # Limits of a payload: bytes, files, conflicts of a file and of all, bytes of a line, lines of context and of a hunk.
 MAX_PAYLOAD, MAX_FILES, MAX_FILE_CONFLICTS, MAX_CONFLICTS, MAX_LINE, MAX_CONTEXT, MAX_HUNK_LINES, MAX_LINE_NUMBER = 10 * 1024 * 1024, 1000, 100, 5000, 10000, 50, 1000, 1000000
+# Lines of context of a conflict, and those in a repository with more than so many files.
+CONTEXT, LARGE_CONTEXT, LARGE_REPOSITORY = 5, 3, 1000
 # Limits of a payload's metadata: files and conflicts it speaks of, characters of its version; bytes of a path and of a conflict's id once cleaned.
 META_FILES, META_CONFLICTS, META_VERSION, CLEAN_PATH, CLEAN_ID = 1000, 5000, 20, 500, 100
 # Messages of a payload's broken rules, by tag; the field and the limit are put in.

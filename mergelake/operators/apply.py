@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -35,6 +35,11 @@ def problem(path: Column, start: Column, end: Column, new: Column, confidence: C
     )
 
 
+def concatenated(results: list[DataFrame]) -> DataFrame:
+    """The results of batches as one table, columns by name; what a batch does not have is null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), results)
+
+
 def tier(confidence: Column) -> Column:
     return F.when(confidence >= 0.8, "high").when(confidence >= 0.6, "medium").otherwise("low")
 

@@ -82,12 +82,14 @@ def outcome(there: Column, language: Column, found: Column, marked: Column) -> C
 
 def imports(lines: Column) -> Column:
     """Import lines of Go code: single ones, and those between the brackets of a block, after a tab."""
-    start = F.struct(F.lit(False).alias("inside"), none().alias("out"))
+    t = F.transform(lines, T.trimmed)
+    opens = lambda x: F.startswith(x, F.lit("import ("))
+    turns = F.filter(F.transform(t, lambda x, i: F.struct((i + 1).alias("n"), opens(x).alias("opens"), (opens(x) | F.startswith(x, F.lit(")"))).alias("turns"))), lambda m: m["turns"])
+    marks = F.concat(F.array(F.struct(F.lit(0).alias("n"), F.lit(False).alias("opens"), F.lit(True).alias("turns"))), turns)
 
-    def step(s: Column, x: Column) -> Column:
-        opens, closes = F.startswith(x, F.lit("import (")), s["inside"] & F.startswith(x, F.lit(")"))
-        own = s["inside"] & ~opens & ~closes & (x != "") & ~F.startswith(x, F.lit("//"))
-        line = F.when(F.startswith(x, F.lit('import "')), x).when(own, F.concat(F.lit("\t"), x))
-        return F.struct(F.when(opens, True).when(closes, False).otherwise(s["inside"]).alias("inside"), F.when(line.isNotNull(), F.concat(s["out"], F.array(line))).otherwise(s["out"]).alias("out"))
+    def part(m: Column, k: Column) -> Column:
+        own = F.slice(t, m["n"] + 1, F.coalesce(F.get(marks, k + 1)["n"], F.size(t) + 1) - m["n"] - 1)
+        line = lambda x: F.when(F.startswith(x, F.lit('import "')), x).when(m["opens"] & (x != "") & ~F.startswith(x, F.lit("//")), F.concat(F.lit("\t"), x))
+        return F.filter(F.transform(own, line), lambda x: x.isNotNull())
 
-    return F.aggregate(F.transform(lines, T.trimmed), start, step)["out"]
+    return F.flatten(F.transform(marks, part))

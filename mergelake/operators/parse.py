@@ -48,7 +48,6 @@ def hunk_rows(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "path", "lines", F.posexplode(hunks(F.col("lines"))).alias("idx", "h")).select("doc_id", "path", "lines", F.col("idx").cast("long"), "h.*")
 
 
-RESOLUTION = "struct<file_path:string,start_line:int,end_line:int,resolved_lines:array<string>,confidence:double,reasoning:string>"
 ANSWER = "struct<resolutions:array<struct<file_path:string,start_line:int,end_line:int,resolved_lines:array<string>,confidence:double,reasoning:string,go_specific_notes:string>>,_corrupt:string>"
 
 
@@ -75,33 +74,29 @@ def text_resolutions(text: Column) -> Column:
 
     A line with a file opens one; lines with a range, a confidence or a reasoning fill it in; from the first that speaks of a resolution on,
     lines are its content, but for blank ones, rules and comments."""
-    none = F.array().cast(f"array<{RESOLUTION}>")
-    no_lines = F.array().cast("array<string>")
-    blank = F.struct(F.lit("").alias("file_path"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), no_lines.alias("resolved_lines"), F.lit(0.5).cast("double").alias("confidence"), F.lit("").alias("reasoning"))
-    start = F.struct(F.lit(False).alias("is_open"), F.lit(False).alias("collecting"), blank.alias("now"), none.alias("out"))
-
-    def step(s: Column, line: Column) -> Column:
-        file = F.regexp_extract(line, r"(?i)file:?\s*(.+)", 1)
-        opens = file != ""
-        is_open, collecting = s["is_open"] | opens, s["collecting"] & ~opens
-        old = lambda c: F.when(opens, blank[c]).otherwise(s["now"][c])
-        first, last = (F.when(~collecting, F.regexp_extract(line, r"(?i)lines?\s*(\d+)-(\d+)", g).try_cast("int")) for g in (1, 2))
-        why = T.trimmed(F.regexp_extract(line, r"(?i)reasoning:?\s*(.+)", 1))
-        begins = is_open & ~collecting & T.contains_any(F.lower(line), ["resolution", "resolved"])
-        content = is_open & collecting & (line != "") & ~T.contains_any(line, ["---", "==="]) & ~F.startswith(line, F.lit("#")) & ~F.startswith(line, F.lit("//"))
-        now = F.struct(
-            F.when(opens, T.trimmed(file)).otherwise(s["now"]["file_path"]).alias("file_path"),
-            F.coalesce(first, old("start_line")).alias("start_line"),
-            F.coalesce(last, old("end_line")).alias("end_line"),
-            F.when(content, F.concat(old("resolved_lines"), F.array(line))).otherwise(old("resolved_lines")).alias("resolved_lines"),
-            F.coalesce(F.regexp_extract(line, r"(?i)confidence:?\s*([0-9.]+)", 1).try_cast("double"), old("confidence")).alias("confidence"),
-            F.when(why != "", why).otherwise(old("reasoning")).alias("reasoning"),
+    trimmed = F.transform(F.split(text, "\n", -1), T.trimmed)
+    files = F.filter(F.transform(trimmed, lambda x, i: F.struct((i + 1).alias("n"), F.regexp_extract(x, r"(?i)file:?\s*(.+)", 1).alias("file"))), lambda m: m["file"] != "")
+    # Each record's lines are one slice, and what is in it is looked up there: the work is linear in the lines.
+    records = F.transform(files, lambda m, k: F.struct(m["file"].alias("file"), F.slice(trimmed, m["n"], F.coalesce(F.get(files, k + 1)["n"], F.size(trimmed) + 1) - m["n"]).alias("lines")))
+    begins = lambda x: T.contains_any(F.lower(x), ["resolution", "resolved"])
+    parted = F.transform(records, lambda r: r.withField("head", F.coalesce(F.array_min(F.filter(F.transform(r["lines"], lambda x, i: F.when(begins(x), i + 1)), lambda i: i.isNotNull())), F.size(r["lines"]))))
+    last = lambda lines, found, other: F.coalesce(F.try_element_at(F.filter(F.transform(lines, found), lambda v: v.isNotNull()), F.lit(-1)), other)
+    content = lambda x: (x != "") & ~T.contains_any(x, ["---", "==="]) & ~F.startswith(x, F.lit("#")) & ~F.startswith(x, F.lit("//"))
+
+    def resolution(r: Column) -> Column:
+        lines = r["lines"]
+        first, end = (last(F.slice(lines, F.lit(1), r["head"]), lambda x, g=g: F.regexp_extract(x, r"(?i)lines?\s*(\d+)-(\d+)", g).try_cast("int"), F.lit(0)) for g in (1, 2))
+        said = F.filter(F.transform(lines, lambda x: T.trimmed(F.regexp_extract(x, r"(?i)reasoning:?\s*(.+)", 1))), lambda w: w != "")
+        return F.struct(
+            T.trimmed(r["file"]).alias("file_path"),
+            first.alias("start_line"),
+            end.alias("end_line"),
+            F.filter(F.slice(lines, r["head"] + 1, F.size(lines)), content).alias("resolved_lines"),
+            last(lines, lambda x: F.regexp_extract(x, r"(?i)confidence:?\s*([0-9.]+)", 1).try_cast("double"), F.lit(0.5)).alias("confidence"),
+            F.coalesce(F.try_element_at(said, F.lit(-1)), F.lit("")).alias("reasoning"),
         )
-        out = F.when(opens & s["is_open"], F.concat(s["out"], F.array(s["now"]))).otherwise(s["out"])
-        return F.struct(is_open.alias("is_open"), (collecting | begins).alias("collecting"), F.when(is_open, now).otherwise(s["now"]).alias("now"), out.alias("out"))
 
-    trimmed = F.transform(F.split(text, "\n", -1), T.trimmed)
-    every = F.aggregate(trimmed, start, step, lambda s: F.when(s["is_open"], F.concat(s["out"], F.array(s["now"]))).otherwise(s["out"]))
+    every = F.transform(parted, resolution)
     good = F.filter(every, lambda r: apply.problem(r["file_path"], r["start_line"], r["end_line"], r["resolved_lines"], r["confidence"]) == "")
     return F.when(F.size(good) > 0, good)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dims
 from ..functions import text as T
 from ..operators import order, parse
+from ..sources import shared
 from ..sources import views as V
 from ..sources.views import quoted, sql
 from .registry import query
@@ -136,19 +137,21 @@ SELECT *, row_number() OVER (ORDER BY total_conflicts DESC, language, chunk) - 1
     )
 )
 def batches_by_language(spark, sf_dir):
-    """Ten files to a batch within each language; batches with the most hunks come first, ties by language and chunk."""
-    placed = order.ordinal(counted(spark, sf_dir), "doc_id", within="language")
+    """Ten files to a batch within each language; batches with the most hunks come first, ties by language and chunk.
+
+    The files are parsed once: what is put in order are slim rows, written to the shared folder."""
+    placed = order.ordinal(shared.kept(counted(spark, sf_dir).select("doc_id", "language", "n")), "doc_id", within="language")
     batches = placed.withColumn("chunk", F.floor(F.col("ordinal") / 10).cast("long")).groupBy("language", "chunk")
     batches = batches.agg(F.count("*").alias("n_files"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.sum("n").alias("total_conflicts"))
     name = F.array_position(F.array(*map(F.lit, NAMES)), F.col("language"))
     key = -F.col("total_conflicts") * F.lit(1 << 40) + name * F.lit(1 << 32) + F.col("chunk")
-    return order.ordinal(batches.withColumn("__key", key), "__key", "place").drop("__key")
+    return order.ordinal(shared.kept(batches.withColumn("__key", key)), "__key", "place").drop("__key")
 
 
 @query(sql(f", {COUNTED}, i AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS file_index, * FROM counted) SELECT file_index, doc_id, n AS priority, 'file:' || path AS criteria, row_number() OVER (ORDER BY n DESC, file_index) - 1 AS place FROM i", "hunks"))
 def batches_by_file(spark, sf_dir):
     """One file to a batch, its hunks as the priority; the largest come first, ties by the place in the input, which is the batch's id."""
-    rows = order.ordinal(counted(spark, sf_dir), "doc_id", "file_index").select("file_index", "doc_id", F.col("n").alias("priority"), F.concat(F.lit("file:"), "path").alias("criteria"))
+    rows = order.ordinal(shared.kept(counted(spark, sf_dir)), "doc_id", "file_index").select("file_index", "doc_id", F.col("n").alias("priority"), F.concat(F.lit("file:"), "path").alias("criteria"))
     return order.ordinal(rows.withColumn("__key", -F.col("priority") * F.lit(1 << 40) + F.col("file_index")), "__key", "place").drop("__key")
 
 
@@ -335,10 +338,30 @@ def scripts_allow_list(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", F.array_join(scripts(package_text(F.col("doc_id"))), ",").alias("scripts"))
 
 
-@query(sql(f"SELECT doc_id, path FROM files WHERE list_contains({quoted(dims.VALIDATED_EXTENSIONS)}, {EXT}) AND NOT {sql_any('path', dims.SKIPPED_FOLDERS)}", "files"))
+WALKED = r"SELECT doc_id, CASE doc_id % 9 WHEN 4 THEN regexp_replace(path, '([^/]*)$', '.\1') WHEN 5 THEN '.cfg/' || path ELSE path END AS path FROM files"
+
+
+def walked(spark, sf_dir):
+    """(doc_id, path): a tree in which some files have hidden names and some are in a hidden folder."""
+    k, path = F.col("doc_id") % 9, F.col("path")
+    return V.files(spark, sf_dir).select("doc_id", F.when(k == 4, F.regexp_replace(path, r"([^/]*)\z", r".$1")).when(k == 5, F.concat(F.lit(".cfg/"), path)).otherwise(path).alias("path"))
+
+
+def hidden(path):
+    """Whether a file's own name is hidden; the folders it is in don't matter."""
+    return F.startswith(T.base_name(path), F.lit("."))
+
+
+@query(sql(f"SELECT doc_id, path FROM ({WALKED}) WHERE list_contains({quoted(dims.VALIDATED_EXTENSIONS)}, {EXT}) AND NOT {sql_any('path', dims.SKIPPED_FOLDERS)} AND NOT starts_with(regexp_extract(path, '([^/]*)$', 1), '.')", "files"))
 def validation_walk_filter(spark, sf_dir):
     p = F.col("path")
-    return V.files(spark, sf_dir).select("doc_id", "path").filter(T.extension(p).isin(dims.VALIDATED_EXTENSIONS) & ~T.contains_any(p, dims.SKIPPED_FOLDERS) & ~F.startswith(T.base_name(p), F.lit(".")))
+    return walked(spark, sf_dir).filter(T.extension(p).isin(dims.VALIDATED_EXTENSIONS) & ~T.contains_any(p, dims.SKIPPED_FOLDERS) & ~hidden(p))
+
+
+@query(sql(f"SELECT doc_id, path FROM ({WALKED}) WHERE NOT starts_with(regexp_extract(path, '([^/]*)$', 1), '.')", "files"))
+def directory_walk(spark, sf_dir):
+    """All files of a tree but those whose own names are hidden."""
+    return walked(spark, sf_dir).filter(~hidden(F.col("path")))
 
 
 @query(sql("SELECT doc_id, path FROM files WHERE doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 4 <> 1)", "files"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -97,19 +98,22 @@ def marker_scan_issues(spark, sf_dir):
 SQL_CONTEXT = "c.lines[greatest(h.start_line - {n}, 1):h.start_line - 1] AS pre, c.lines[h.end_line + 1:h.end_line + {n}] AS post"
 
 
-def with_context(h, n: int = 5):
-    """Hunks with the n lines before and after each, fewer at a file's ends."""
+def with_context(h, n):
+    """Hunks with the n lines before and after each, a number or a column, fewer at a file's ends."""
+    n = n if isinstance(n, Column) else F.lit(n)
     first = F.greatest(F.col("start_line") - n, F.lit(1))
-    return h.withColumn("pre", F.slice("lines", first, F.col("start_line") - first)).withColumn("post", F.slice("lines", F.col("end_line") + 1, F.lit(n)))
+    return h.withColumn("pre", F.slice("lines", first, F.col("start_line") - first)).withColumn("post", F.slice("lines", F.col("end_line") + 1, n))
 
 
 @query(sql(f"""SELECT path || ':' || idx AS hunk_id, len(pre) AS n_pre, len(post) AS n_post, md5(array_to_string(pre, chr(10))) AS pre_md5, md5(array_to_string(post, chr(10))) AS post_md5, md5(array_to_string(ours, chr(10)) || '|' || array_to_string(theirs, chr(10))) AS sides_md5
-FROM (SELECT h.*, {SQL_CONTEXT.format(n=5)} FROM hunks h JOIN conflicts c USING (doc_id))""", "hunks"))
+FROM (SELECT h.*, {SQL_CONTEXT.format(n="s.n")} FROM hunks h JOIN conflicts c USING (doc_id), (SELECT CASE WHEN count(*) > {dims.LARGE_REPOSITORY} THEN {dims.LARGE_CONTEXT} ELSE {dims.CONTEXT} END AS n FROM documents) s)""", "hunks"))
 def payload_contexts(spark, sf_dir):
-    """A hunk of a payload with contexts: five lines on either side, both sides, no base."""
+    """A hunk of a payload with contexts: both sides, no base, and five lines before and after it, or three in a large repository."""
     text = lambda c: F.md5(joined(c))
     sides = F.md5(F.concat(joined("ours"), F.lit("|"), joined("theirs")))
-    return with_context(hunks(spark, sf_dir)).select(hunk_id(), F.size("pre").cast("long").alias("n_pre"), F.size("post").cast("long").alias("n_post"), text("pre").alias("pre_md5"), text("post").alias("post_md5"), sides.alias("sides_md5"))
+    files = V.table(spark, sf_dir, "documents").agg(F.when(F.count("*") > dims.LARGE_REPOSITORY, dims.LARGE_CONTEXT).otherwise(dims.CONTEXT).alias("context"))
+    sized = hunks(spark, sf_dir).crossJoin(F.broadcast(files))  # one row
+    return with_context(sized, F.col("context")).select(hunk_id(), F.size("pre").cast("long").alias("n_pre"), F.size("post").cast("long").alias("n_post"), text("pre").alias("pre_md5"), text("post").alias("post_md5"), sides.alias("sides_md5"))
 
 
 def hunk_id():

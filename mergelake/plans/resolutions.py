@@ -62,21 +62,21 @@ def splice_single(spark, sf_dir):
 
 
 def by_file(spark, sf_dir):
-    """(doc_id, lines, rs, ok, new): each file with its resolutions in one array; ok if all are well-formed and fit when spliced from the last on, new the result.
+    """(doc_id, file_path, lines, rs, ok, new): each named file with its resolutions in one array; ok if it is there, all are well-formed and fit when spliced from the last on, new the result.
 
-    A file has at most a hundred or so resolutions: its array is bounded by the file's own lines."""
+    Resolutions count for the path they name, and those that name none for no file. A file has at most a hundred or so: its array is bounded by the file's own lines."""
     one = F.struct(F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), "resolved_lines")
-    rs = V.resolutions(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(one).alias("rs"), F.bool_and(problem() == "").alias("formed"))
-    files = rs.join(V.conflicts(spark, sf_dir).select("doc_id", "lines"), "doc_id").withColumn("new", F.when(F.col("formed"), apply.splice_all(F.col("lines"), F.col("rs"))))
+    rs = V.resolutions(spark, sf_dir).filter("file_path <> ''").groupBy("file_path").agg(F.collect_list(one).alias("rs"), F.bool_and(problem() == "").alias("formed"))
+    files = rs.join(V.conflicts(spark, sf_dir).select("doc_id", F.col("path").alias("file_path"), "lines"), "file_path", "left").withColumn("new", F.when(F.col("formed"), apply.splice_all(F.col("lines"), F.col("rs"))))
     return files.withColumn("ok", F.col("new").isNotNull())
 
 
 # Lines are numbered in quarters, so that what is put in stands after what is before it; overlapping ranges are cut as the file is when their turn comes.
-SQL_SPLICE = f"""ordered AS (SELECT r.*, row_number() OVER (PARTITION BY doc_id ORDER BY start_line DESC, end_line DESC) AS turn, count(*) OVER (PARTITION BY doc_id) AS turns, bool_and({SQL_PROBLEM} = '') OVER (PARTITION BY doc_id) AS formed FROM res r),
+SQL_SPLICE = f"""ordered AS (SELECT r.*, row_number() OVER (PARTITION BY doc_id ORDER BY start_line DESC, end_line DESC) AS turn, count(*) OVER (PARTITION BY doc_id) AS turns, bool_and({SQL_PROBLEM} = '') OVER (PARTITION BY doc_id) AS formed FROM res r WHERE file_path <> ''),
 spliced(doc_id, turn, turns, formed, lines) AS (SELECT c.doc_id, 0::BIGINT, any_value(o.turns), any_value(o.formed), any_value(c.lines) FROM conflicts c JOIN ordered o USING (doc_id) GROUP BY c.doc_id
   UNION ALL SELECT s.doc_id, o.turn, s.turns, s.formed AND s.lines IS NOT NULL, CASE WHEN o.end_line <= len(s.lines) THEN list_concat(list_concat(s.lines[1:o.start_line - 1], o.resolved_lines), s.lines[o.end_line + 1:]) END
   FROM spliced s JOIN ordered o ON o.doc_id = s.doc_id AND o.turn = s.turn + 1 WHERE s.formed),
-done AS (SELECT c.doc_id, s.lines AS new, c.lines, coalesce(s.lines IS NOT NULL AND s.formed, false) AS ok FROM (SELECT DISTINCT doc_id FROM res) r JOIN conflicts c USING (doc_id) LEFT JOIN (SELECT * FROM spliced WHERE turn = turns) s USING (doc_id))"""
+done AS (SELECT c.doc_id, s.lines AS new, c.lines, coalesce(s.lines IS NOT NULL AND s.formed, false) AS ok FROM (SELECT DISTINCT doc_id FROM res WHERE file_path <> '') r JOIN conflicts c USING (doc_id) LEFT JOIN (SELECT * FROM spliced WHERE turn = turns) s USING (doc_id))"""
 
 
 @query(sql(f", {SQL_SPLICE} SELECT doc_id, md5(array_to_string(new, chr(10))) AS content_md5, len(lines)::BIGINT AS n_before, len(new)::BIGINT AS n_after FROM done WHERE ok", "res"))
@@ -85,10 +85,21 @@ def splice_multi(spark, sf_dir):
     return by_file(spark, sf_dir).filter("ok").select("doc_id", F.md5(F.array_join("new", "\n")).alias("content_md5"), F.size("lines").cast("long").alias("n_before"), F.size("new").cast("long").alias("n_after"))
 
 
-@query(sql(f", {SQL_SPLICE} SELECT count(*) FILTER (ok) AS applied_count, count(*) FILTER (NOT ok) AS failed_count FROM done", "res"))
+@query(sql(f", {SQL_SPLICE}, unnamed AS (SELECT least(count(*), 1) AS n FROM res WHERE file_path = '') SELECT count(*) FILTER (ok) AS applied_count, count(*) FILTER (NOT ok) + any_value(unnamed.n) AS failed_count FROM done, unnamed", "res"))
 def apply_rollup(spark, sf_dir):
-    """Counts of files, not of resolutions: one that fails fails its file, and others go on."""
-    return by_file(spark, sf_dir).agg(F.count_if("ok").alias("applied_count"), F.count_if(~F.col("ok")).alias("failed_count"))
+    """Counts of files, not of resolutions: one that fails fails its file, and others go on; all that name no file are one that fails."""
+    counts = by_file(spark, sf_dir).agg(F.count_if("ok").alias("applied_count"), F.count_if(~F.col("ok")).alias("failed"))
+    unnamed = V.resolutions(spark, sf_dir).agg(F.least(F.count_if(F.col("file_path") == ""), F.lit(1)).alias("unnamed"))
+    return counts.crossJoin(unnamed).select("applied_count", (F.col("failed") + F.col("unnamed")).alias("failed_count"))  # one row and one row
+
+
+@query(sql(f"SELECT doc_id % 4 AS batch, doc_id, idx, confidence, NULL AS error FROM res WHERE doc_id % 4 <> 3 UNION ALL SELECT 3, doc_id, NULL, NULL, 'batch 3 failed' FROM (SELECT DISTINCT doc_id FROM res WHERE doc_id % 4 = 3)", "res"))
+def batch_results_concat(spark, sf_dir):
+    """The results of four batches as one table: a batch that failed has errors in place of results."""
+    r = V.resolutions(spark, sf_dir).withColumn("batch", F.col("doc_id") % 4)
+    done = [r.filter(F.col("batch") == k).select("batch", "doc_id", "idx", "confidence") for k in range(3)]
+    failed = r.filter("batch = 3").select("batch", "doc_id").distinct().withColumn("error", F.lit("batch 3 failed"))
+    return apply.concatenated([*done, failed])
 
 
 @query(sql(f", x AS (SELECT r.*, NOT list_contains((SELECT list(doc_id) FROM documents WHERE doc_id % 9 = 0), r.doc_id) AS there FROM res r) SELECT doc_id, idx, CASE WHEN file_path = '' THEN 'File path is empty' WHEN NOT there THEN 'File does not exist: ' || file_path ELSE '' END AS missing, {SQL_PROBLEM} = '' AND there AS valid FROM x", "res"))

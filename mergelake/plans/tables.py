@@ -47,8 +47,8 @@ def rewritten_files(spark, sf_dir):
     """Files in conflict as a versioned table, with the resolutions of each file that all fit written as its next version."""
     table = rewrite.Files(spark, shared.folder(spark))
     table.create(V.conflicts(spark, sf_dir).select("path", F.array_join("lines", "\n").alias("content")))
-    applied = by_file(spark, sf_dir).filter("ok").join(V.files(spark, sf_dir).select("doc_id", "path"), "doc_id")
-    table.upsert(applied.select("path", F.array_join("new", "\n").alias("content")))
+    applied = by_file(spark, sf_dir).filter("ok")
+    table.upsert(applied.select(F.col("file_path").alias("path"), F.array_join("new", "\n").alias("content")))
     changed = table.last_change().select("path", F.lit(True).alias("changed"))
     return table.read().join(changed, "path", "left").select("path", F.md5("content").alias("content_md5"), F.coalesce("changed", F.lit(False)).alias("changed"))
 
