@@ -20,6 +20,11 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+\z", "")
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f's result names it, also inside other lambdas."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def extension(path: Column) -> Column:
     """From the last dot of the last path element; empty where there is none."""
     return F.regexp_extract(path, r"(\.[^./]*)\z", 1)

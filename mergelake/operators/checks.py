@@ -82,14 +82,14 @@ def outcome(there: Column, language: Column, found: Column, marked: Column) -> C
 
 def imports(lines: Column) -> Column:
     """Import lines of Go code: single ones, and those between the brackets of a block, after a tab."""
-    t = F.transform(lines, T.trimmed)
     opens = lambda x: F.startswith(x, F.lit("import ("))
-    turns = F.filter(F.transform(t, lambda x, i: F.struct((i + 1).alias("n"), opens(x).alias("opens"), (opens(x) | F.startswith(x, F.lit(")"))).alias("turns"))), lambda m: m["turns"])
-    marks = F.concat(F.array(F.struct(F.lit(0).alias("n"), F.lit(False).alias("opens"), F.lit(True).alias("turns"))), turns)
+    turn = lambda x, i: F.struct((i + 1).alias("n"), opens(x).alias("opens"), (opens(x) | F.startswith(x, F.lit(")"))).alias("turns"))
+    first = F.array(F.struct(F.lit(0).alias("n"), F.lit(False).alias("opens"), F.lit(True).alias("turns")))
 
-    def part(m: Column, k: Column) -> Column:
+    def part(t: Column, marks: Column, m: Column, k: Column) -> Column:
         own = F.slice(t, m["n"] + 1, F.coalesce(F.get(marks, k + 1)["n"], F.size(t) + 1) - m["n"] - 1)
         line = lambda x: F.when(F.startswith(x, F.lit('import "')), x).when(m["opens"] & (x != "") & ~F.startswith(x, F.lit("//")), F.concat(F.lit("\t"), x))
         return F.filter(F.transform(own, line), lambda x: x.isNotNull())
 
-    return F.flatten(F.transform(marks, part))
+    parts = lambda t: T.let(F.concat(first, F.filter(F.transform(t, turn), lambda m: m["turns"])), lambda marks: F.transform(marks, lambda m, k: part(t, marks, m, k)))
+    return F.flatten(T.let(F.transform(lines, T.trimmed), parts))

@@ -74,10 +74,10 @@ def text_resolutions(text: Column) -> Column:
 
     A line with a file opens one; lines with a range, a confidence or a reasoning fill it in; from the first that speaks of a resolution on,
     lines are its content, but for blank ones, rules and comments."""
-    trimmed = F.transform(F.split(text, "\n", -1), T.trimmed)
-    files = F.filter(F.transform(trimmed, lambda x, i: F.struct((i + 1).alias("n"), F.regexp_extract(x, r"(?i)file:?\s*(.+)", 1).alias("file"))), lambda m: m["file"] != "")
     # Each record's lines are one slice, and what is in it is looked up there: the work is linear in the lines.
-    records = F.transform(files, lambda m, k: F.struct(m["file"].alias("file"), F.slice(trimmed, m["n"], F.coalesce(F.get(files, k + 1)["n"], F.size(trimmed) + 1) - m["n"]).alias("lines")))
+    opened = lambda ls: F.filter(F.transform(ls, lambda x, i: F.struct((i + 1).alias("n"), F.regexp_extract(x, r"(?i)file:?\s*(.+)", 1).alias("file"))), lambda m: m["file"] != "")
+    record = lambda ls, ms, m, k: F.struct(m["file"].alias("file"), F.slice(ls, m["n"], F.coalesce(F.get(ms, k + 1)["n"], F.size(ls) + 1) - m["n"]).alias("lines"))
+    records = T.let(F.transform(F.split(text, "\n", -1), T.trimmed), lambda ls: T.let(opened(ls), lambda ms: F.transform(ms, lambda m, k: record(ls, ms, m, k))))
     begins = lambda x: T.contains_any(F.lower(x), ["resolution", "resolved"])
     parted = F.transform(records, lambda r: r.withField("head", F.coalesce(F.array_min(F.filter(F.transform(r["lines"], lambda x, i: F.when(begins(x), i + 1)), lambda i: i.isNotNull())), F.size(r["lines"]))))
     last = lambda lines, found, other: F.coalesce(F.try_element_at(F.filter(F.transform(lines, found), lambda v: v.isNotNull()), F.lit(-1)), other)
@@ -85,12 +85,12 @@ def text_resolutions(text: Column) -> Column:
 
     def resolution(r: Column) -> Column:
         lines = r["lines"]
-        first, end = (last(F.slice(lines, F.lit(1), r["head"]), lambda x, g=g: F.regexp_extract(x, r"(?i)lines?\s*(\d+)-(\d+)", g).try_cast("int"), F.lit(0)) for g in (1, 2))
+        number = lambda g: last(F.slice(lines, F.lit(1), r["head"]), lambda x: F.regexp_extract(x, r"(?i)lines?\s*(\d+)-(\d+)", g).try_cast("int"), F.lit(0))
         said = F.filter(F.transform(lines, lambda x: T.trimmed(F.regexp_extract(x, r"(?i)reasoning:?\s*(.+)", 1))), lambda w: w != "")
         return F.struct(
             T.trimmed(r["file"]).alias("file_path"),
-            first.alias("start_line"),
-            end.alias("end_line"),
+            number(1).alias("start_line"),
+            number(2).alias("end_line"),
             F.filter(F.slice(lines, r["head"] + 1, F.size(lines)), content).alias("resolved_lines"),
             last(lines, lambda x: F.regexp_extract(x, r"(?i)confidence:?\s*([0-9.]+)", 1).try_cast("double"), F.lit(0.5)).alias("confidence"),
             F.coalesce(F.try_element_at(said, F.lit(-1)), F.lit("")).alias("reasoning"),
@@ -98,7 +98,7 @@ def text_resolutions(text: Column) -> Column:
 
     every = F.transform(parted, resolution)
     good = F.filter(every, lambda r: apply.problem(r["file_path"], r["start_line"], r["end_line"], r["resolved_lines"], r["confidence"]) == "")
-    return F.when(F.size(good) > 0, good)
+    return T.let(good, lambda g: F.when(F.size(g) > 0, g))
 
 
 def answer_resolutions(text: Column) -> Column:
