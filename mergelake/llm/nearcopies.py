@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import checkpointed
+from .shared import checkpointed, join_small
 
 BLOCK = 192
 SLICE_BYTES = 512 << 10
@@ -204,8 +204,8 @@ def near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
                 packed = [runs[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(packed, pa.binary())], ["node", "buckets", "runs"])
 
-    # By id and key: the copies of one text are not gathered.
-    first = slim.alias("d").join(lists.alias("l"), F.col("d.id").eqNullSafe(F.col("l.id")) & (F.col("d.key") == F.col("l.key"))).select("l.node", "d.text", "l.buckets")
+    # By id and key: the copies of one text are not gathered, and rows equal in both are one before any of them is sent.
+    first = distinct_rows(slim).alias("d").join(lists.alias("l"), F.col("d.id").eqNullSafe(F.col("l.id")) & (F.col("d.key") == F.col("l.key"))).select("l.node", "d.text", "l.buckets")
     sets = first.mapInArrow(pack_sets, "node binary, buckets array<long>, runs binary")
     # Blocks of a large bucket: a member goes to every pair of blocks that has its own.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -222,6 +222,17 @@ def near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
     return keyed.join(per_class, "key").select(F.col("id").alias(id_col), "copy_of", "class_id", "n_links", "class_key", F.col("key").alias("text_key"))
 
 
+def distinct_rows(slim: DataFrame) -> DataFrame:
+    """One row for each id (null is one) and key of (id, text, key): only rows that are there several times are grouped, and each task sends one of them at most."""
+    row = F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")).cast("binary"), "key"))
+    told = slim.withColumn("row", row)
+    equal = told.groupBy("row").agg(F.count("*").alias("rows")).filter("rows > 1").withColumnRenamed("row", "of")
+    told = join_small(told, equal, "row", "of")
+    once = told.filter("rows IS NULL").select("id", "text", "key")
+    often = told.filter("rows IS NOT NULL").groupBy("row").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.first("key").alias("key"))
+    return once.union(often.select("id", "text", "key"))
+
+
 def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, with all columns: the smallest id (null ids last), then the smallest text key, then the smallest hash of the other columns; rows equal in all are one."""
     found = near_copies(docs, n, threshold, recall, id_col, text_col)

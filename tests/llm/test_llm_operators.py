@@ -558,6 +558,18 @@ def test_near_copies_null_and_shared_ids(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted(min(x) for x in best.values())
 
 
+def test_near_copies_of_hot_rows(spark):
+    """A third of the rows is equal in id and text and a third has no id and one text: each of them is sent once, and links are what they are without the repeats."""
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(7, base) if k % 3 == 0 else (None, base + " more") if k % 3 == 1 else (k, " ".join(f"v{k}x{j}" for j in range(30))) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    slim = docs.select(F.col("doc_id").alias("id"), "text", nearcopies.text_key(F.col("text")).alias("key"))
+    assert sorted(map(str, (r.id for r in nearcopies.distinct_rows(slim).collect()))) == sorted(map(str, {i for i, _ in rows}))
+    got = nearcopies.near_copies(docs).collect()
+    assert len(got) == 3000 and {(r.doc_id, r.class_id, r.n_links) for r in got if r.doc_id in (7, None)} == {(7, 7, 1), (None, 7, 1)} and sum(r.n_links for r in got) == 2000
+    assert nearcopies.keep_one(docs).count() == 1001
+
+
 def test_banding():
     bands, rows = nearcopies.banding(0.8, 0.9995)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9995
