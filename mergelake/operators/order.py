@@ -33,9 +33,11 @@ def ordinal(df: DataFrame, key: str, name: str = "ordinal", within: str | None =
     placed = placed.withColumn("__within", F.col(within) if within else F.lit(0))
     sizes = placed.groupBy("__within", "__bucket").agg(F.count("*").alias("__n"))
     before = sizes.select(F.col("__within").alias("__w"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(Window.partitionBy("__within").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__within", "__bucket").orderBy(key)) - 1
-    same = (F.col("__bucket") == F.col("__b")) & F.col("__within").eqNullSafe(F.col("__w"))
-    return placed.withColumn("__own", own).join(before, same).withColumn(name, (F.col("__before") + F.col("__own")).cast("long")).drop("__bucket", "__within", "__own", "__b", "__w", "__before")
+    here = Window.partitionBy("__within", "__bucket").orderBy(key)
+    # Joined on the bucket as the window gives it: of an alias of an expression with lambdas Spark 4.1 infers a filter for the other side, which hasn't the key.
+    placed = placed.withColumns({"__own": F.row_number().over(here) - 1, "__in": F.first("__bucket").over(here)})
+    same = (F.col("__in") == F.col("__b")) & F.col("__within").eqNullSafe(F.col("__w"))
+    return placed.join(before, same).withColumn(name, (F.col("__before") + F.col("__own")).cast("long")).drop("__bucket", "__in", "__within", "__own", "__b", "__w", "__before")
 
 
 def chains(tokens: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -206,3 +206,27 @@ def test_splice_in_turn(spark):
     r = lambda a, b, *new: F.struct(F.lit(a).alias("start_line"), F.lit(b).alias("end_line"), F.array(*map(F.lit, new)).cast("array<string>").alias("resolved_lines"))
     assert one(spark, apply.splice_all(lines, F.array(r(1, 1, "X", "Y"), r(4, 5, "Z"))), p=1) == ["X", "Y", "b", "c", "Z"]
     assert one(spark, apply.splice_all(lines, F.array(r(2, 5), r(3, 5))), p=1) is None
+
+
+@pytest.mark.parametrize("n", [10, 2000, 20000])
+def test_ordinal_of_a_computed_key(spark, n):
+    """In a session of its own, as the first query: the key is computed from a range and joined with what is counted from it."""
+    fresh = spark.newSession()
+    df = fresh.range(n).select((F.col("id") * 7919 % n).alias("k"), (F.col("id") % 3).alias("w"))
+    if n == 10:
+        df = fresh.range(n).select(((F.col("id") * 7) % 10).alias("k"), (F.col("id") % 3).alias("w"))
+    assert all(r.ordinal == r.k for r in order.ordinal(df, "k").collect())
+    got = order.ordinal(df, "k", within="w").collect()
+    assert all(sorted(r.ordinal for r in got if r.w == w) == list(range(sum(r.w == w for r in got))) for w in range(3))
+
+
+def test_answers_and_imports_are_linear(spark):
+    """A text answer with one long resolution, one with many, and a long import block."""
+    one = "File: a.go\nLines 1-2\nresolved\n" + "\n".join(f"code {k}" for k in range(40_000))
+    many = "\n".join(f"File: f{k}.go\nLines 1-{k + 2}\nConfidence: 0.5\nresolved:\ncode {k}" for k in range(6_000))
+    got = {r.n: r.out for r in spark.createDataFrame([(1, one), (2, many)], "n int, t string").select("n", parse.text_resolutions(F.col("t")).alias("out")).collect()}
+    assert len(got[1]) == 1 and got[1][0].resolved_lines == [f"code {k}" for k in range(40_000)]
+    assert [(r.file_path, r.end_line, r.resolved_lines) for r in got[2]] == [(f"f{k}.go", k + 2, [f"code {k}"]) for k in range(6_000)]
+    lines = ["import (", *[f'"p{k}"' for k in range(20_000)], "", "// x", ")", 'import "z"', "y"]
+    found = spark.createDataFrame([(lines,)], "l array<string>").select(checks.imports(F.col("l")).alias("i")).first().i
+    assert found == [f'\t"p{k}"' for k in range(20_000)] + ['import "z"']
