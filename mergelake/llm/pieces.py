@@ -60,6 +60,10 @@ class PieceCoder:
             self.auto.add_word(s, (len(s) - 1, s))
         self.auto.make_automaton()
         self.shorter = {s: next((s[:k] for k in range(len(s) - 1, 0, -1) if s[:k] in self.rank), None) for s in self.rank}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the memos: a worker that waits for its next task holds the model alone."""
         self.chunks, self.old_chunks = {}, {}
         self.pairs, self.old_pairs = {}, {}
 
@@ -150,7 +154,7 @@ class PieceCoder:
 
 @lru_cache(2)
 def coder(model: bytes) -> PieceCoder:
-    """One coder for each Python worker, which keeps its memos from task to task."""
+    """One coder for each Python worker, for all its tasks; Spark deals tasks to all workers that are there, so memos last for one task."""
     return PieceCoder(model)
 
 
@@ -159,13 +163,16 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model)
-        for batch in batches:
-            for part in parts(batch, 1, SLICE_BYTES):
-                ids = [own.encode(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([own.decode(i) for i in ids], pa.string())],
-                    ["id", "n_tokens", "ids", "decoded"],
-                )
+        try:
+            for batch in batches:
+                for part in parts(batch, 1, SLICE_BYTES):
+                    ids = [own.encode(t) for t in part.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([own.decode(i) for i in ids], pa.string())],
+                        ["id", "n_tokens", "ids", "decoded"],
+                    )
+        finally:
+            own.forget()
 
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
