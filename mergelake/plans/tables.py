@@ -69,6 +69,5 @@ def json_document(spark, sf_dir):
     sources.register(spark)
     path = f"{shared.folder(spark)}.json"
     hunks(spark, sf_dir).select("path", "idx", "start_line", "end_line", "ours").write.format("merge_document").option("key", "hunks").option("header", json.dumps({"success": True})).mode("append").save(path)
-    schema = "success boolean, count bigint, hunks array<struct<path:string,idx:bigint,start_line:bigint,end_line:bigint,ours:array<string>>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).select("count", F.explode("hunks").alias("h"))
-    return rows.select("h.path", "h.idx", "h.start_line", "h.end_line", F.md5(F.array_join("h.ours", "\n")).alias("ours_md5"), "count")
+    rows = sources.document(spark, path, "path string, idx bigint, start_line bigint, end_line bigint, ours array<string>", "success boolean, count bigint")
+    return rows.select("row.path", "row.idx", "row.start_line", "row.end_line", F.md5(F.array_join("row.ours", "\n")).alias("ours_md5"), "head.count")

@@ -15,7 +15,8 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -214,7 +215,8 @@ class DocumentWriter(DataSourceWriter):
         where, root = store(self.path)
         done = sorted((m for m in messages if m is not None and m.rows), key=lambda m: m.path)
         whole = f"{root}._whole-{uuid.uuid4().hex}"
-        head = json.dumps(self.head | {"count": sum(m.rows for m in done)}, ensure_ascii=False, indent=2)[:-2]
+        # One line for each field of the header and one for each row, so that a reader can begin at any of them.
+        head = "{\n" + ",\n".join(f"  {json.dumps(k)}: {json.dumps(v, ensure_ascii=False)}" for k, v in (self.head | {"count": sum(m.rows for m in done)}).items())
         with where.open_output_stream(whole) as f:
             f.write(f"{head},\n  {json.dumps(self.key)}: [\n    ".encode())
             for k, m in enumerate(done):
@@ -246,6 +248,16 @@ class Document(DataSource):
         return DocumentWriter(self.options)
 
 
+def document(spark: SparkSession, path: str, row: str, header: str) -> DataFrame:
+    """(head, row) of a document that the sink wrote, as structs with the fields of the two schemas.  The sink puts each row on a line of its own, so a file of any size is read in splits and no task holds a document."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    rows = lines.filter(F.startswith("value", F.lit("    {"))).select(F.from_json(F.regexp_replace("value", r",$", ""), row, {"mode": "FAILFAST"}).alias("row"))
+    field = F.from_json(F.concat(F.lit("{"), F.regexp_replace("value", r",$", ""), F.lit("}")), header)
+    names = StructType.fromDDL(header).names
+    head = lines.filter(F.startswith("value", F.lit('  "'))).select(field.alias("f")).agg(*[F.max(F.col("f")[c]).alias(c) for c in names])
+    return rows.crossJoin(F.broadcast(head.select(F.struct(*names).alias("head"))))  # one row
+
+
 def register(spark: SparkSession) -> None:
     """The four sources by their names, for spark.read, readStream and write."""
     for source in (Listing, Documents, Blocks, Document):
