@@ -2,9 +2,10 @@
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from mergelake.operators import 
+from mergelake.operators import versions
 from mergelake.sources import files
 
 
@@ -29,3 +30,22 @@ def test_documents_are_read_in_splits(spark, tmp_path):
     assert all((r.head.success, r.head["count"]) == (True, 3000) for r in got)
     assert sorted((r.row.n, r.row.s, r.row.a[0]) for r in got) == sorted((x["n"], x["s"], x["a"][0]) for x in whole["rows"])
     assert {r.row.s for r in got} == set(odd)
+
+
+def test_batches_are_taken_in_parts(monkeypatch):
+    """Only a part of a batch is Python objects at a time; the results are those of the whole."""
+    held = []
+    monkeypatch.setattr(versions, "PART_BYTES", 1000)
+    texts = pa.array([None, "", *["x" * 90] * 98])
+    listed = pa.array
+
+    def seen(values, kind):
+        held.append(len(values))
+        return listed(values, kind)
+
+    monkeypatch.setattr(versions.pa, "array", seen)
+    out = versions.by_parts(lambda a, b: f"{a}{b}"[:5], pa.string())(texts, texts)
+    monkeypatch.undo()
+    assert out.to_pylist()[:3] == ["NoneN", "", "xxxxx"] and len(out) == 100
+    assert max(held) < 10
+    assert versions.by_parts(lambda a: a, pa.string())(pa.array([], pa.string())).to_pylist() == []
