@@ -47,10 +47,11 @@ def rewritten_files(spark, sf_dir):
     """Files in conflict as a versioned table, with the resolutions of each file that all fit written as its next version."""
     table = rewrite.Files(spark, shared.folder(spark))
     table.create(V.conflicts(spark, sf_dir).select("path", F.array_join("lines", "\n").alias("content")))
-    applied = by_file(spark, sf_dir).filter("ok")
+    lines = table.read().select("path", F.split("content", "\n", -1).alias("lines"))
+    applied = by_file(spark, sf_dir, lines).filter("ok")
     table.upsert(applied.select(F.col("file_path").alias("path"), F.array_join("new", "\n").alias("content")))
-    changed = table.last_change().select("path", F.lit(True).alias("changed"))
-    return table.read().join(changed, "path", "left").select("path", F.md5("content").alias("content_md5"), F.coalesce("changed", F.lit(False)).alias("changed"))
+    changed = table.changed_paths().withColumn("changed", F.lit(True))
+    return table.read(of=F.md5).join(changed, "path", "left").select("path", F.col("content").alias("content_md5"), F.coalesce("changed", F.lit(False)).alias("changed"))
 
 
 @query(sql(f"SELECT line[1:2] AS status, trim(line[4:]) AS path, count(*) AS n FROM status WHERE list_contains({quoted(dims.CONFLICT_STATUS)}, line[1:2]) GROUP BY ALL", "status"))

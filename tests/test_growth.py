@@ -3,9 +3,10 @@
 import json
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from mergelake.operators import versions
+from mergelake.operators import rewrite, versions
 from mergelake.sources import files
 
 
@@ -49,3 +50,23 @@ def test_batches_are_taken_in_parts(monkeypatch):
     assert out.to_pylist()[:3] == ["NoneN", "", "xxxxx"] and len(out) == 100
     assert max(held) < 10
     assert versions.by_parts(lambda a: a, pa.string())(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_changes_hold_no_content_twice(spark, tmp_path):
+    """A change is written without what was there before, which the version before has; digests are made before files are compared."""
+    table = rewrite.Files(spark, str(tmp_path))
+    pairs = lambda xs: spark.createDataFrame(xs, "path string, content string")
+    table.create(pairs([("a", "1"), ("b", "2"), ("c", "3")]))
+    table.upsert(pairs([("a", "4"), ("b", None)]))
+    table.upsert(pairs([("a", "5"), ("d", "6")]))
+    assert "before" not in spark.read.parquet(f"{tmp_path}/{table.manifest()['changes'][-1]}").columns
+    assert sorted(map(tuple, table.last_change().collect())) == [("a", "4", "5"), ("d", None, "6")]
+    assert sorted(r.path for r in table.changed_paths().collect()) == ["a", "d"]
+    import hashlib
+
+    want = {"a": "5", "c": "3", "d": "6"}
+    assert {r.path: r.content for r in table.read(of=F.md5).collect()} == {k: hashlib.md5(v.encode()).hexdigest() for k, v in want.items()}
+    assert {r.path: r.content for r in table.read().collect()} == want
+    with pytest.raises(ValueError, match="several contents"):
+        table.upsert(pairs([("a", "x"), ("a", "y")]))
+    assert {r.path: r.content for r in table.read().collect()} == want
