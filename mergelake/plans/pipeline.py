@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import dims
 from ..operators import apply, resolver
 from ..sources import shared
-from ..sources import views as V
 from ..sources.views import sql
 from ..streaming import detect
 from .files import DETECT_LANG, sql_any
 from .hunks import hunks
 from .registry import query
-
+from .tables import stream_input
 
 SQL_ANSWERS = """asked AS (SELECT md5(path || ':' || idx) AS h FROM hunks), bytes AS (SELECT ('0x' || h[3:4])::INT / 255.0::DOUBLE AS c, ('0x' || h[5:6])::INT % 16 AS k FROM asked),
 answers AS (SELECT CASE WHEN k = 0 OR c >= 0.6 THEN 1 WHEN k = 1 OR c + 0.2::DOUBLE >= 0.6 THEN 2 ELSE 3 END AS turns, CASE WHEN k = 0 THEN 0.0::DOUBLE WHEN k = 1 OR c >= 0.6 THEN c WHEN c + 0.2::DOUBLE >= 0.6 THEN c + 0.2::DOUBLE ELSE c + 0.4::DOUBLE END AS confidence, k = 0 AS failed FROM bytes)"""
@@ -31,6 +30,5 @@ def mock_resolver_pipeline(spark, sf_dir):
 def stream_detect(spark, sf_dir):
     """The conflict files as a stream of Parquet files, detected in micro-batches; the same rows as in batch."""
     root = shared.folder(spark)
-    V.conflicts(spark, sf_dir).repartition(4).write.parquet(f"{root}/in")
-    detect.detect(spark, f"{root}/in", f"{root}/out", f"{root}/state", files_per_batch=2)
+    detect.detect(spark, f"{root}/in", f"{root}/out", f"{root}/state", files_per_batch=stream_input(spark, sf_dir, root))
     return spark.read.schema("doc_id long, path string, idx long, start_line int, end_line int, language string").json(f"{root}/out")

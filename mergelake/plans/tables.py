@@ -19,16 +19,25 @@ from .registry import query
 from .resolutions import SQL_SPLICE, by_file
 
 PARTS = 4
+#: Bytes of text in a part of a stream's input, and parts of a batch at most.
+PART_BYTES, BATCH_PARTS = 32 << 20, 64
 SQL_EXCLUDED = sql_any("lower(path)", dims.DETECT_EXCLUDED)
 
 
+def stream_input(spark, sf_dir, root: str) -> int:
+    """Files in conflict as a folder of Parquet files for a stream, as many as their texts ask for and PARTS at least; returns how many of them a batch takes: half of them, within a bound."""
+    size = V.table(spark, sf_dir, "documents").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(PARTS, -(-2 * size // PART_BYTES))  # each text is in two files
+    V.conflicts(spark, sf_dir).repartition(parts, "doc_id").write.parquet(f"{root}/in")
+    return min(parts // 2, BATCH_PARTS)
+
+
 @query(sql(f""", sized AS (SELECT c.doc_id, c.path, len(c.lines) AS n_lines, {SQL_EXCLUDED} AS excluded, h.n, h.longest FROM conflicts c LEFT JOIN (SELECT doc_id, count(*) AS n, max(end_line - start_line + 1) AS longest FROM hunks GROUP BY 1) h USING (doc_id))
 SELECT count(*) AS files, count(*) FILTER (excluded) AS excluded, count(*) FILTER (NOT excluded AND n > 0) AS parsed, coalesce(sum(n) FILTER (NOT excluded), 0)::BIGINT AS hunks, max(longest) FILTER (NOT excluded) AS longest, max(n_lines)::BIGINT AS most_lines FROM sized""", "hunks"))
 def stream_report(spark, sf_dir):
     """The counts and peaks of a report that was written batch by batch."""
     root = shared.folder(spark)
-    V.conflicts(spark, sf_dir).repartition(PARTS).write.parquet(f"{root}/in")
-    report.run(spark, f"{root}/in", f"{root}/out", f"{root}/state", 2)
+    report.run(spark, f"{root}/in", f"{root}/out", f"{root}/state", stream_input(spark, sf_dir, root))
     return report.totals(spark, f"{root}/out").drop("batches")
 
 
@@ -37,8 +46,7 @@ FROM conflicts LEFT JOIN (SELECT doc_id, count(*) AS n FROM hunks GROUP BY 1) h
 def stream_summary(spark, sf_dir):
     """The running summary by language, kept as state, after the last batch."""
     root = shared.folder(spark)
-    V.conflicts(spark, sf_dir).repartition(PARTS).write.parquet(f"{root}/in")
-    report.running_summary(spark, f"{root}/in", f"{root}/out", f"{root}/state", 2)
+    report.running_summary(spark, f"{root}/in", f"{root}/out", f"{root}/state", stream_input(spark, sf_dir, root))
     return report.latest_summary(spark, f"{root}/out")
 
 

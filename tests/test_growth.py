@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mergelake.operators import rewrite, versions
+from mergelake.plans import tables
 from mergelake.sources import files
 
 
@@ -52,6 +53,14 @@ def test_batches_are_taken_in_parts(monkeypatch):
     assert versions.by_parts(lambda a: a, pa.string())(pa.array([], pa.string())).to_pylist() == []
 
 
+def test_parts_of_a_stream_follow_the_text(spark, sf_dir, tmp_path, monkeypatch):
+    """More text makes more parts, within the bound of a batch."""
+    monkeypatch.setattr(tables, "PART_BYTES", 20_000)
+    batch = tables.stream_input(spark, sf_dir, str(tmp_path))
+    parts = len(spark.read.parquet(str(tmp_path / "in")).inputFiles())
+    assert parts > 2 * tables.PARTS and batch == min(tables.BATCH_PARTS, batch) and batch > 2
+
+
 def test_changes_hold_no_content_twice(spark, tmp_path):
     """A change is written without what was there before, which the version before has; digests are made before files are compared."""
     table = rewrite.Files(spark, str(tmp_path))
