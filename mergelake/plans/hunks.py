@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dims
 from ..functions import text as T
 from ..operators import blocks, intervals, parse
+from ..sources import shared
 from ..sources import views as V
 from ..sources.views import sql
 from .files import DETECT_LANG, PAYLOAD_EXCLUDED, PAYLOAD_LANG, sql_any
@@ -40,7 +41,7 @@ BLOCK_LINES, RUN = 16, 8
 @query(sql("SELECT path, idx, start_line, end_line, array_to_string(ours, chr(10)) AS ours, array_to_string(theirs, chr(10)) AS theirs, array_to_string(base, chr(10)) AS base FROM hunks", "hunks"))
 def parse_split_files(spark, sf_dir):
     """The same hunks from files that are split into blocks of lines, none of which knows where the parser stands."""
-    h = blocks.hunk_rows(blocks.split(V.conflicts(spark, sf_dir), BLOCK_LINES), RUN)
+    h = blocks.hunk_rows(blocks.split(V.conflicts(spark, sf_dir), BLOCK_LINES), RUN, shared.kept)
     return h.select("path", "idx", "start_line", "end_line", joined("ours").alias("ours"), joined("theirs").alias("theirs"), joined("base").alias("base"))
 
 

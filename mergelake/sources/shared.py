@@ -21,5 +21,5 @@ def folder(spark: SparkSession) -> str:
 def kept(df: DataFrame) -> DataFrame:
     """df as a new Parquet table in the shared folder, read again; a lost executor takes nothing with it."""
     path = folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -6,9 +6,16 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mergelake.operators import rewrite, versions
+from mergelake.operators import blocks, rewrite, versions
 from mergelake.plans import tables
-from mergelake.sources import files
+from mergelake.sources import files, shared
+
+
+def exchanges(df) -> int:
+    """Shuffles of a plan, a reused one not counted."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum("Exchange hashpartitioning" in x and "Reused" not in x for x in plan.splitlines())
 
 
 def test_documents_are_read_in_splits(spark, tmp_path):
@@ -79,3 +86,21 @@ def test_changes_hold_no_content_twice(spark, tmp_path):
     with pytest.raises(ValueError, match="several contents"):
         table.upsert(pairs([("a", "x"), ("a", "y")]))
     assert {r.path: r.content for r in table.read().collect()} == want
+
+
+def test_split_files_are_made_once(spark):
+    """Blocks and places are kept, and a conflict's bounds and pieces meet in one shuffle."""
+    lines = ["a", "<<<<<<< x", "o", "=======", "t", "t2", ">>>>>>> y", "z"] * 20
+    frame = spark.createDataFrame([(None, lines), ("p", lines[1:])], "path string, lines array<string>")
+    kept = []
+
+    def keep(df):
+        kept.append(df)
+        return shared.kept(df)
+
+    split = blocks.split(frame, 3)
+    out = blocks.hunk_rows(split, 5, keep)
+    key = lambda r: (r.path or "", r.idx)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, blocks.hunk_rows(split, 5).collect()), key=str)
+    assert len(kept) == 2 and len({key(r) for r in out.collect()}) == 40
+    assert exchanges(out) <= 8
