@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mergelake.operators import blocks, rewrite, versions
+from mergelake.operators import blocks, order, rewrite, versions
 from mergelake.plans import tables
 from mergelake.sources import files, shared
 
@@ -18,6 +18,31 @@ def exchanges(df) -> int:
     return sum("Exchange hashpartitioning" in x and "Reused" not in x for x in plan.splitlines())
 
 
+def test_following_values_and_groups(spark):
+    """The next of each group, over bucket edges, with a null group and one with most rows."""
+    rows = [(k * 3, None if k % 10 == 0 else "big" if k % 10 < 8 else f"g{k % 7}", f"t{k}") for k in range(2000)]
+    got = {r.k: r for r in order.following(spark.createDataFrame(rows, "k long, w string, t string").repartition(7), "k", "t", "next", "w").collect()}
+    assert len(got) == len(rows)
+    after = {}
+    for k, w, t in reversed(rows):
+        assert (got[k].w, got[k].t, got[k].next) == (w, t, after.get(w))
+        after[w] = t
+
+
+def test_following_of_nothing(spark):
+    assert order.following(spark.createDataFrame([], "k long, w string, t string"), "k", "t", "next", "w").count() == 0
+
+
+def test_following_shuffles_values_once(spark):
+    """The text goes through one shuffle; the others are of bucket edges."""
+    df = spark.range(500).select(F.col("id").alias("k"), (F.col("id") % 3).cast("string").alias("w"), F.repeat(F.lit("x"), F.lit(50)).alias("t"))
+    out = order.following(df, "k", "t", "next", "w")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert sum("Exchange hashpartitioning(__w" in x and "Reused" not in x for x in plan.splitlines()) == 1
+    assert "ReusedExchange" in plan
+
+
 def test_documents_are_read_in_splits(spark, tmp_path):
     """A document larger than a split is read by several tasks, with all its rows and its header."""
     files.register(spark)
