@@ -6,11 +6,14 @@ import hashlib
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: From a prompt and the turn to (resolved lines, confidence).
 Resolver = Callable[[str, list[str], list[str], int], tuple[list[str], float]]
+ANSWER = pa.schema({"hunk_id": pa.string(), "resolved_lines": pa.list_(pa.string()), "confidence": pa.float64(), "turns": pa.int32(), "error": pa.string()})
+#: Bytes of a batch that are Python objects at a time, a hunk at least.
+PART_BYTES = 1 << 20
 
 
 def mock(hunk_id: str, ours: list[str], theirs: list[str], turn: int) -> tuple[list[str], float]:
@@ -33,26 +36,28 @@ def resolve(hunks: DataFrame, resolver: Resolver = mock, turns: int = 3, refine_
     def call(row, turn):
         for attempt in range(retries + 1):
             try:
-                return resolver(row.hunk_id, list(row.ours), list(row.theirs), turn), ""
+                return resolver(row["hunk_id"], list(row["ours"]), list(row["theirs"]), turn), ""
             except Exception as e:  # noqa: BLE001
                 error = str(e)
                 if attempt < retries:
                     time.sleep(min(30.0, wait * 2**attempt))
         return None, error
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def answer(row):
+        best, error = call(row, 0)
+        used = 1
+        while best is not None and best[1] < refine_below and used < turns:
+            again, _ = call(row, used)
+            used += 1
+            if again is None or again[1] <= best[1]:
+                break
+            best = again
+        return {"hunk_id": row["hunk_id"], "resolved_lines": best[0] if best else [], "confidence": best[1] if best else 0.0, "turns": used, "error": error}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.itertuples():
-                best, error = call(row, 0)
-                used = 1
-                while best is not None and best[1] < refine_below and used < turns:
-                    again, _ = call(row, used)
-                    used += 1
-                    if again is None or again[1] <= best[1]:
-                        break
-                    best = again
-                out.append((row.hunk_id, best[0] if best else [], best[1] if best else 0.0, used, error))
-            yield pd.DataFrame(out, columns=["hunk_id", "resolved_lines", "confidence", "turns", "error"])
-
-    return hunks.select("hunk_id", "ours", "theirs").mapInPandas(run, "hunk_id string, resolved_lines array<string>, confidence double, turns int, error string")
+            step = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                yield pa.RecordBatch.from_pylist([answer(row) for row in batch.slice(at, step).to_pylist()], ANSWER)
+
+    return hunks.select("hunk_id", "ours", "theirs").mapInArrow(run, "hunk_id string, resolved_lines array<string>, confidence double, turns int, error string")

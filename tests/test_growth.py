@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mergelake.operators import blocks, order, rewrite, versions
+from mergelake.operators import blocks, order, resolver, rewrite, versions
 from mergelake.plans import tables
 from mergelake.sources import files, shared
 
@@ -85,6 +85,20 @@ def test_batches_are_taken_in_parts(monkeypatch):
     assert versions.by_parts(lambda a: a, pa.string())(pa.array([], pa.string())).to_pylist() == []
 
 
+def test_resolver_answers_in_parts(spark):
+    """A batch of large hunks comes back in many small ones, the same answers."""
+    sizes = spark.range(300).select(F.col("id").cast("string").alias("hunk_id"), F.array(F.repeat(F.lit("o"), F.lit(20_000))).alias("ours"), F.array(F.lit("t")).alias("theirs")).coalesce(1)
+    got = {r.hunk_id: r for r in resolver.resolve(sizes, resolver.flaky, wait=0.0).collect()}
+    assert len(got) == 300
+    for k, r in got.items():
+        try:
+            want = resolver.flaky(k, ["o" * 20_000], ["t"], 0)
+        except RuntimeError:
+            assert r.error == "the model is away" and r.resolved_lines == []
+            continue
+        assert r.resolved_lines == want[0] and r.confidence >= want[1]
+
+
 def test_parts_of_a_stream_follow_the_text(spark, sf_dir, tmp_path, monkeypatch):
     """More text makes more parts, within the bound of a batch."""
     monkeypatch.setattr(tables, "PART_BYTES", 20_000)
