@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mergelake.operators import blocks, order, resolver, rewrite, versions
+from mergelake.operators import apply, blocks, order, resolver, rewrite, versions
 from mergelake.plans import tables
 from mergelake.sources import files, shared
 
@@ -99,6 +99,19 @@ def test_resolver_answers_in_parts(spark):
         assert r.resolved_lines == want[0] and r.confidence >= want[1]
 
 
+def test_go_issues_are_linear(spark):
+    """Twenty thousand lines: each is trimmed once, not once for every other one."""
+    lines = F.concat(F.array(F.lit("x, err := call(a)"), F.lit("ok"), F.lit("if err != nil {"), F.lit("}")), F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda k: F.concat(F.lit("  v = "), k.cast("string"))))
+    rows = spark.createDataFrame([(0, []), (1, ["  y, err := f(b)"])], "k int, tail array<string>").withColumn("lines", F.concat(lines, "tail"))
+    got = {r.k: r.u for r in rows.select("k", apply.go_issues(F.col("lines"))["unhandled_error"].alias("u")).collect()}
+    assert got == {0: False, 1: True}
+
+
+def test_go_issues_of_no_lines(spark):
+    one = spark.createDataFrame([([],), (["a, err := b()"],), (None,)], "lines array<string>")
+    assert [r.u for r in one.select(apply.go_issues(F.col("lines"))["unhandled_error"].alias("u")).collect()][:2] == [False, True]
+
+
 def test_parts_of_a_stream_follow_the_text(spark, sf_dir, tmp_path, monkeypatch):
     """More text makes more parts, within the bound of a batch."""
     monkeypatch.setattr(tables, "PART_BYTES", 20_000)
